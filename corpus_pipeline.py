@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import quality
+from framespark.llm import near_dups, quality
 from framespark.llm.common import stash, work_dir
 
 
@@ -13,7 +13,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs)
 
 
-STAGES = [("quality", quality_stage)]
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest doc_id."""
+    return near_dups.drop_near_duplicates(docs)
+
+
+STAGES = [("quality", quality_stage), ("near_dups", near_dup_stage)]
 
 #: The stages use sketches, hashes and a tokenizer, which SQL can't express; tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import quality
+from framespark.llm import near_dups, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_near_duplicates": near_dups.op3_near_duplicates,
         "op8_quality_rules": quality.op8_quality_rules,
     }
 
