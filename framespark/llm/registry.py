@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import near_dups, quality
+from framespark.llm import near_dups, quality, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_near_duplicates": near_dups.op3_near_duplicates,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_token_ids": token_ids.op9_token_ids,
     }
 
 
