@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import mixing, near_dups, quality, token_ids
+from framespark.llm import decontaminate, mixing, near_dups, quality, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_near_duplicates": near_dups.op3_near_duplicates,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_mixing": mixing.op5_mixing,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_token_ids": token_ids.op9_token_ids,
