@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import near_dups, quality
+from framespark.llm import decontaminate, mixing, near_dups, quality, token_ids
 from framespark.llm.common import stash, work_dir
 
 
@@ -18,7 +18,28 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return near_dups.drop_near_duplicates(docs)
 
 
-STAGES = [("quality", quality_stage), ("near_dups", near_dup_stage)]
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, the last of each source cut to its words."""
+    return mixing.mixed_documents(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each row, read back from the token files."""
+    return token_ids.encoded_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dups", near_dup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("mixing", mixing_stage),
+    ("token_ids", token_stage),
+]
 
 #: The stages use sketches, hashes and a tokenizer, which SQL can't express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
