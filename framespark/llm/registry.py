@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import decontaminate, mixing, near_dups, quality, token_ids
+from framespark.llm import decontaminate, mixing, near_dups, quality, token_counts, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": token_counts.op2_token_counts,
         "op3_near_duplicates": near_dups.op3_near_duplicates,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_mixing": mixing.op5_mixing,
