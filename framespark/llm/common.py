@@ -116,10 +116,10 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a slice of documents: start, end (byte positions), doc (row number), hash (uint64 of the bytes)."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE):
         n = len(data)
         self.data, self.off = data, off
-        inside = ~SPACE[data]
+        inside = ~space[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         cuts = off[1:-1]
@@ -132,13 +132,26 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.doc = np.searchsorted(off, self.start, side="right") - 1
         if len(self.start):
-            sums = np.add.reduceat(_TABLE[data] * powers(_R, n), self.start)
+            letters = _TABLE[data] if space is SPACE else np.where(inside, _TABLE[data], np.uint64(0))
+            sums = np.add.reduceat(letters * powers(_R, n), self.start)
             self.hash = mix(sums * powers(_RI, n)[self.start])
         else:
             self.hash = np.zeros(0, np.uint64)
         self.per_doc = np.bincount(self.doc, minlength=len(off) - 1)
         self.first = np.concatenate(([0], np.cumsum(self.per_doc)))
 
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the word, hash of its first k characters) of every word that is longer than k characters."""
+        if not len(self.start):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        n = len(self.data)
+        leads = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), np.full(k, n))
+        cut = leads[np.minimum(np.searchsorted(leads, self.start) + k, len(leads) - 1)]
+        longer = np.flatnonzero(cut < self.end)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[self.data] * powers(_R, n))))
+        start = self.start[longer]
+        return longer, mix((sums[cut[longer]] - sums[start]) * powers(_RI, n)[start] + np.uint64(k))
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of k words inside one document."""
         m = len(self.hash) - k + 1
