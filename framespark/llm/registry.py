@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import decontaminate, mixing, near_dups, quality, token_counts, token_ids, toxicity
+from framespark.llm import decontaminate, mixing, near_dups, quality, sentence_spans, token_counts, token_ids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": near_dups.op3_near_duplicates,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_mixing": mixing.op5_mixing,
+        "op6_sentence_spans": sentence_spans.op6_sentence_spans,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_token_ids": token_ids.op9_token_ids,
