@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import decontaminate, mixing, near_dups, quality, sentence_spans, token_counts, token_ids, toxicity
+from framespark.llm import decontaminate, mixing, near_dups, pii, quality, sentence_spans, token_counts, token_ids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_token_ids": token_ids.op9_token_ids,
+        "op10_pseudonyms": pii.op10_pseudonyms,
     }
 
 
