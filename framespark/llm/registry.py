@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import decontaminate, mixing, near_dups, pii, quality, sentence_spans, token_counts, token_ids, toxicity
+from framespark.llm import decontaminate, mixing, near_dups, pii, quality, sentence_spans, suffix_dedup, token_counts, token_ids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_near_duplicates": near_dups.op3_near_duplicates,
         "op4_decontaminate": decontaminate.op4_decontaminate,
