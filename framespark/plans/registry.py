@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+GROUPS = ("frames", "scoring")
+
+
+def _gather(attribute: str) -> dict:
+    found: dict = {}
+    for group in GROUPS:
+        found |= getattr(import_module(f"framespark.plans.{group}"), attribute)
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return _gather("Q")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _gather("SQL")
