@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespark.llm.common import SPACE, Words, ragged, slices, text_bytes, work_dir
+from framespark.llm.common import SPACE, ragged, slices, text_bytes, work_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: A shard is closed when it has so many ids (a longer document still stays whole).
 SHARD_IDS = 1 << 22
-#: Words whose ids a task remembers; the memory is started anew beyond it, which changes no result.
-WORD_MEMORY = 300_000
+#: Pieces whose ids a worker remembers; the memory is started anew beyond it, which changes no result.
+WORD_MEMORY = 1_000_000
 BLOCK_BITS = 512
 SHARD_SCHEMA = "shard long, n_ids long, doc_ids binary, n_tokens binary, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -113,74 +113,155 @@ class WaveletMatrix:
 # ---------------------------------------------------------------- encoding
 
 
-def word_array(data: np.ndarray, w: Words) -> pa.Array:
-    """The words of a slice as a string array."""
-    off = np.concatenate(([0], np.cumsum(w.end - w.start))).astype(np.int64)
-    letters = data[~SPACE[data]]
-    return pa.Array.from_buffers(pa.large_string(), len(w.start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(letters))])
+#: Kinds of bytes: white space, letters, digits, other printable ASCII, and all that the plain path leaves alone.
+BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = SIGN
+KIND[SPACE] = BLANK
+KIND[list(range(65, 91)) + list(range(97, 123))] = LETTER
+KIND[48:58] = DIGIT
+KIND[39] = OTHER  # an apostrophe may begin a contraction
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The normalizer and pre-tokenizer (fixed values) for which the plain path gives the library's ids.
+PLAIN_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PLAIN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the rest for the characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids of documents, by way of the ids of their white-space separated words, which the task remembers.
+    """Ids of documents by the tokenizers library.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of its words in turn.
+    Texts of ASCII and Latin-1 letters are cut into the pre-tokenizer's pieces (runs of lower-cased letters, single
+    digits, runs of signs) for a whole slice at once, and the library's BPE model encodes each distinct piece once; the
+    worker process remembers them. Texts with anything else, apostrophes or special tokens, and any other tokenizer
+    than the one that the pieces are known to fit, go through the library's whole pipeline.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.bits = max(int(self.tok.get_vocab_size() - 1).bit_length(), 1)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("normalizer") or {}).get("normalizers")
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.plain = steps == PLAIN_NORMALIZERS and cuts[0].get("pattern") == {"Regex": PLAIN_PATTERN} and cuts[-1].get("type") == "ByteLevel"
+        self.alphabet = byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.count = np.zeros(1 << 16, np.int64)
         self.first = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            count = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(count.sum()))
-            n, used = len(self.known), self.used + len(flat)
-            while used > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            while n + len(part) > len(self.count):
-                self.count = np.concatenate((self.count, np.zeros_like(self.count)))
-                self.first = np.concatenate((self.first, np.zeros_like(self.first)))
-            self.pool[self.used : used] = flat
-            self.count[n : n + len(part)] = count
-            self.first[n : n + len(part)] = self.used + np.cumsum(count) - count
-            self.used = used
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+    def _piece(self, piece: bytes) -> list[int]:
+        text = piece.decode("ascii") if piece.isascii() else piece.decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        if not new:
+            return
+        got = list(map(self._piece, new))
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.array([x for ids in got for x in ids], np.uint32)
+        n, used = len(self.known), self.used + len(flat)
+        while used > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while n + len(new) > len(self.count):
+            self.count = np.concatenate((self.count, np.zeros_like(self.count)))
+            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
+        self.pool[self.used : used] = flat
+        self.count[n : n + len(new)] = count
+        self.first[n : n + len(new)] = self.used + np.cumsum(count) - count
+        self.used = used
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+
+    def _pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pieces of the plain documents, their documents, documents that aren't plain)."""
+        kind, low = KIND[data], LOWER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        # the letters of the second half of Latin-1, but for the signs of multiplication and division
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        low[lead + 1] |= 0x20
+        # the small sharp s has no capital here: 0x9F is lower case already
+        low[lead[data[lead + 1] == 0x9F] + 1] = 0x9F
+        odd = np.flatnonzero((kind == OTHER) | ((data == 0x3C) & np.append(data[1:] == 0x7C, False)))
+        odd = np.unique(np.searchsorted(off, odd, side="right") - 1)
+        for d in odd.tolist():
+            kind[off[d] : off[d + 1]] = BLANK
+        first = kind != BLANK
+        last = first.copy()
+        change = kind[1:] != kind[:-1]
+        change |= kind[1:] == DIGIT
+        cuts = off[1:-1]
+        cuts = cuts[(cuts > 0) & (cuts < len(data))]
+        change[cuts - 1] = True
+        first[1:] &= change
+        last[:-1] &= change
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        at = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
+        letters = np.ascontiguousarray(low[kind != BLANK])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(letters)])
+        return pieces, np.searchsorted(off, start, side="right") - 1, odd
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents joined, END_ID after each; ids of each document)."""
         data, off = text_bytes(col)
-        w = Words(data, off)
-        coded = word_array(data, w).dictionary_encode()
+        n = len(off) - 1
+        if self.plain and len(data):
+            pieces, doc, odd = self._pieces(data, off)
+        else:
+            pieces, doc, odd = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.arange(n)
+        coded = pieces.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) + len(words) > WORD_MEMORY:
             self._forget()
         self._learn([x for x in words if x not in self.known])
         entry = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        count = self.count[entry]
-        per_doc = np.bincount(w.doc, weights=count, minlength=len(off) - 1).astype(np.int64) + 1
+        first, count, pool = self.first[entry], self.count[entry], self.pool
+        if len(odd):
+            rest = [e.ids for e in self.tok.encode_batch_fast([col[d].as_py() or "" for d in odd.tolist()], add_special_tokens=False)]
+            size = np.array([len(x) for x in rest], np.int64)
+            pool = np.concatenate((pool[: self.used], np.array([x for ids in rest for x in ids], np.uint32)))
+            doc, first, count = np.concatenate((doc, odd)), np.concatenate((first, self.used + np.cumsum(size) - size)), np.concatenate((count, size))
+            order = np.argsort(doc, kind="stable")
+            doc, first, count = doc[order], first[order], count[order]
+        per_doc = np.bincount(doc, weights=count, minlength=n).astype(np.int64) + 1
         out = np.full(int(per_doc.sum()), END_ID, np.uint32)
-        ends = np.cumsum(per_doc) - 1
         body = np.ones(len(out), bool)
-        body[ends] = False
-        out[body] = self.pool[ragged(self.first[entry], count)]
+        body[np.cumsum(per_doc) - 1] = False
+        out[body] = pool[ragged(first, count)]
         return out, per_doc
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer: str) -> Encoder:
+    """The worker process's encoder, kept from task to task with the pieces it knows."""
+    import public_tokenizers
+
+    if tokenizer not in _ENCODERS:
+        _ENCODERS[tokenizer] = Encoder(public_tokenizers.path(tokenizer))
+    return _ENCODERS[tokenizer]
+
+
 def write_shards(docs: DataFrame, path: str, shards: int, tokenizer: str = TOKENIZER) -> DataFrame:
     """Encode docs (doc_id, text), write the shard table to path in ascending doc_id order, and return it as read back.
 
@@ -190,9 +271,7 @@ def write_shards(docs: DataFrame, path: str, shards: int, tokenizer: str = TOKEN
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        enc = Encoder(public_tokenizers.path(tokenizer))
+        enc = encoder_of(tokenizer)
         part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size, nth = 0, 0
