@@ -145,7 +145,7 @@ def sc14(spark, d):
     return rounded(op.threshold_sweep(j.select(F.least(F.col("n_chars") / 6000, F.lit(1.0)).alias("score"), F.col("quality").alias("label"))), "accuracy", "iou", "dice")
 
 
-@query("sc15_overlap_losses", f"""with v as (select vec_id, list_transform(embedding, lambda x: least(greatest(0.5 + x, 0), 1)) as p, list_transform(embedding, lambda x: case when x > 0 then 1.0 else 0.0 end) as y from embeddings),
+@query("sc15_overlap_losses", f"""with v as (select vec_id, list_transform(embedding, lambda x: least(greatest(0.5 + x::double, 0), 1)) as p, list_transform(embedding, lambda x: case when x > 0 then 1.0 else 0.0 end) as y from embeddings),
  w as (select vec_id, list_sum(p) as sp, list_sum(y) as sy, list_sum(list_transform(range(1, 65), lambda i: p[i] * y[i])) as b from v)
  select vec_id, {R("case when sy <= 0 then sp / 64 else 1 - (2 * b + 1e-6) / (sp + sy + 1e-6) end")} as dice_loss, {R("case when sy <= 0 then sp / 64 else 1 - (b + 1e-6) / (sp + sy - b + 1e-6) end")} as iou_loss from w""")
 def sc15(spark, d):
