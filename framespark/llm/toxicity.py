@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are lower-case words and their first four and five characters. Those whose document counts differ between the labels
-(log-likelihood ratio) form the vocabulary. A bounded sample of labelled rows are the examples; their vectors are kept as
+Terms are lower-case words and their first four and five characters. Those that stand in more of the toxic examples than
+of the others, beyond chance (log-likelihood ratio), form the vocabulary; a text without any is at the base rate. A bounded sample of labelled rows are the examples; their vectors are kept as
 postings in blocks of examples with the greatest weight of each term in each block, which bounds the cosine of any
 example of the block. A query scores blocks in order of their bounds and stops when no block can reach its k-th best, so
 neighbours are exact. Votes weigh by distance; a logistic curve fitted to left-one-out votes of the examples
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framespark.llm.common import Words, slices, text_bytes
+from framespark.llm.common import Words, ragged, slices, text_bytes
 
 #: Bound on the labelled rows that are examples, and on the terms.
 MAX_EXAMPLES, MAX_TERMS = 16_384, 4096
-MIN_DOCS, MIN_RATIO = 5, 10.83  # chi-square at 0.001
+#: Least documents of a term, its log-likelihood ratio (chi-square at 0.001), and how many times its share of toxic
+#: documents exceeds that of the others; without the last, every common word of long texts would be a term.
+MIN_DOCS, MIN_RATIO, MIN_LIFT = 5, 10.83, 3
 NEIGHBOURS = 15
 BLOCK = 64
 #: A vote weighs 1 / (distance + SOFT); PRIOR is the weight of the base rate among the votes.
@@ -86,42 +88,49 @@ class BlockMaxIndex:
     """Postings of the examples by block and term, with the greatest weight of each term in each block."""
 
     def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, label: np.ndarray, name: np.ndarray, v: int):
-        # examples with the same strongest term stand together, which makes the bounds tight
-        n = len(first) - 1
-        strongest = np.array([term[a:b][np.argmax(weight[a:b])] if b > a else v for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
-        order = np.lexsort((name, strongest))
-        self.label, self.name, self.n = label[order].astype(np.float64), name[order], n
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        row = place[np.repeat(np.arange(n), np.diff(first))]
-        blocks = -(-n // BLOCK)
+        self.base_rate = float(label.mean()) if len(label) else 0.0
+        # an example without a term is never near; the others with the same strongest term stand together, which makes
+        # the bounds tight
+        some = np.flatnonzero(np.diff(first))
+        strongest = np.array([term[a:b][np.argmax(weight[a:b])] for a, b in zip(first[some], first[some + 1], strict=True)], np.int64)
+        order = some[np.lexsort((name[some], strongest))]
+        self.label, self.name = label[order].astype(np.float64), name[order]
+        place = np.full(len(first) - 1, -1)
+        place[order] = np.arange(len(order))
+        row = place[np.repeat(np.arange(len(first) - 1), np.diff(first))]
+        blocks = -(-len(order) // BLOCK)
         sort = np.lexsort((row, term, row // BLOCK))
-        self.row, self.weight = (row % BLOCK)[sort], weight[sort]
+        self.row, self.weight = row[sort], weight[sort]
         key = (row // BLOCK * v + term)[sort]
-        self.first = np.searchsorted(key, np.arange(blocks * v + 1)).reshape(-1).astype(np.int64)
+        self.first = np.searchsorted(key, np.arange(blocks * v + 1)).astype(np.int64)
         self.top = np.zeros((v, blocks), np.float64)
         np.maximum.at(self.top, (term, row // BLOCK), weight)
         self.v, self.blocks = v, blocks
-        self.base_rate = float(label.mean()) if n else 0.0
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, ties in order of the index."""
+        """(examples, cosines) of the k nearest with a cosine above 0, ties in order of the index.
+
+        Blocks are scored by falling bound, a few at first and then twice as many each time.
+        """
         bound = weight @ self.top[term]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         ids, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cos) == k and bound[b] < cos[-1] - 1e-12:
+        at, many = 0, 4
+        while at < len(order):
+            if len(cos) == k and bound[order[at]] < cos[-1] - 1e-12:
                 break
-            lo, hi = self.first[b * self.v + term], self.first[b * self.v + term + 1]
-            score = np.zeros(BLOCK)
-            for a, z, w in zip(lo.tolist(), hi.tolist(), weight.tolist(), strict=True):
-                if z > a:
-                    score[self.row[a:z]] += w * self.weight[a:z]
-            some = np.flatnonzero(score > 0)
-            here = some + b * BLOCK
+            b = order[at : at + many]
+            at, many = at + many, many * 2
+            cell = (b[:, None] * self.v + term).ravel()
+            lo, count = self.first[cell], self.first[cell + 1] - self.first[cell]
+            hit = ragged(lo, count)
+            here, inverse = np.unique(self.row[hit], return_inverse=True)
+            score = np.bincount(inverse, weights=np.repeat(np.tile(weight, len(b)), count) * self.weight[hit])
             if without is not None:
                 keep = self.name[here] != without
-                some, here = some[keep], here[keep]
-            ids, cos = np.concatenate((ids, here)), np.concatenate((cos, score[some]))
+                here, score = here[keep], score[keep]
+            ids, cos = np.concatenate((ids, here)), np.concatenate((cos, score))
             # sums of one cosine may differ in the last bits by order; equal to 12 places is equal
             best = np.lexsort((ids, -np.round(cos, 12)))[:k]
             ids, cos = ids[best], cos[best]
@@ -206,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             a, c = b.column("n1").to_numpy(), b.column("n0").to_numpy()
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(a + c), pa.array(log_likelihood_ratio(a, c, n1, n0))], names=["h", "n", "ratio"])
 
-    rated = counts.where(f"h <> 0 and n1 + n0 >= {MIN_DOCS}").mapInArrow(rate, "h long, n long, ratio double")
+    rated = counts.where(f"h <> 0 and n1 + n0 >= {MIN_DOCS} and n1 * {n0} >= {MIN_LIFT} * n0 * {n1}").mapInArrow(rate, "h long, n long, ratio double")
     chosen = rated.where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "h").limit(MAX_TERMS).toPandas()
     counts.unpersist()
     if not len(chosen):
