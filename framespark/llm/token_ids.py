@@ -27,6 +27,8 @@ SHARD_IDS = 1 << 22
 #: Pieces whose ids a worker remembers; the memory is started anew beyond it, which changes no result.
 WORD_MEMORY = 1_000_000
 BLOCK_BITS = 512
+#: Bytes of text encoded at once: the larger, the fewer times a frequent piece is looked up.
+SLICE = 4 << 20
 SHARD_SCHEMA = "shard long, n_ids long, doc_ids binary, n_tokens binary, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
@@ -289,7 +291,7 @@ def write_shards(docs: DataFrame, path: str, shards: int, tokenizer: str = TOKEN
                 names=list(row),
             )
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             ids, per_doc = enc.encode(b.column("text"))
             if held and size + len(ids) > SHARD_IDS:
                 yield close()
