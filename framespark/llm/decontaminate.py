@@ -39,7 +39,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, matched, compared): per document and item the best diagonal that counts.
 
     start is the token of the document at which the item's first token would stand (negative if it is cut off), matched
-    of compared tokens agree in its best run. Items of fewer than five tokens are too short to tell and match nothing;
+    of compared tokens agree in its best run. Items of fewer than five tokens are too short to tell and match nothing,
+    and a substitution in an item of up to eight can leave no mask whole, which hides it;
     null texts have no tokens; rows without a doc_id or item_id are left out; rows that repeat an id count as one with
     the union of their hits. Repeated items give a row each. Other columns are ignored; empty tables give no rows.
     """
