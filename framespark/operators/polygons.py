@@ -38,16 +38,23 @@ def match_points(a: DataFrame, b: DataFrame, radius: float, keys: list[str]) ->
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["distance", "ia", "ib"])
+        frames = list(zip(*(pdf[k] for k in keys), strict=True))
         used_a, used_b, keep = set(), set(), []
-        for i, (x, y) in enumerate(zip(pdf["ia"], pdf["ib"], strict=True)):
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
+        for i, (f, x, y) in enumerate(zip(frames, pdf["ia"], pdf["ib"], strict=True)):
+            if (f, x) not in used_a and (f, y) not in used_b:
+                used_a.add((f, x))
+                used_b.add((f, y))
                 keep.append(i)
         return pdf.iloc[keep][[*keys, "ia", "ib", "distance"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema)
-    return j.groupBy(*keys, "component").applyInPandas(greedy, schema)
+    return _in_parts(j, [*keys, "component"]).applyInPandas(greedy, schema)
+
+
+def _in_parts(df: DataFrame, keys: list[str]):
+    """df grouped so that rows of equal keys share a group; many small parts share one, which spares a call for each."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(n)).alias("_part"))
 
 
 def nearest_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -287,16 +294,16 @@ def suppress_nms(dets: DataFrame, keys: list[str], kind: str, limit: float = 0.0
         order = pdf.assign(area=pdf["w"] * pdf["h"], length=pdf["w"] + pdf["h"])
         order = order.sort_values(["area", "length", "x", "y", "id"]) if kind == "via" else order.sort_values(["score", "id"], ascending=[False, True])
         kept, out = set(), []
-        for _, r in order.iterrows():
-            by = [f for f in r["foes"] if f in kept]
+        for f, x, foes in zip(zip(*(order[k] for k in keys), strict=True), order["id"], order["foes"], strict=True):
+            by = [y for y in foes if (f, y) in kept]
             if not by:
-                kept.add(r["id"])
-            out.append((*(r[k] for k in keys), r["id"], min(by) if by else None))
+                kept.add((f, x))
+            out.append((*f, x, min(by) if by else None))
         return pd.DataFrame(out, columns=[*keys, "id", "suppressed_by"])
 
     types = {f.name: f.dataType.simpleString() for f in dets.schema}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"id {types['id']}", f"suppressed_by {types['id']}"])
-    return dets.join(part.groupBy(*keys, "component").applyInPandas(greedy, schema), [*keys, "id"], "left")
+    return dets.join(_in_parts(part, [*keys, "component"]).applyInPandas(greedy, schema), [*keys, "id"], "left")
 
 
 def polygons_changed(before: DataFrame, after: DataFrame) -> DataFrame:
