@@ -81,7 +81,8 @@ def _from48(raw: bytes) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Anchors have small hashes, being the least of their windows, so buckets go by a hash of the hash."""
+    return ((mix(h) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _grams(buckets: int):
@@ -362,10 +363,14 @@ def remove_repeats(docs: DataFrame, folder: str | None = None) -> DataFrame:
     odd = sums.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("id", F.lit(False).alias("copy"))
     copies = sums.join(first, "h").where("id > first").select("id", F.lit(True).alias("copy")).distinct()
     left_out = stash(copies.join(odd, "id", "left_anti").union(odd), folder, "left-out")
-    ranges = removal_ranges(all_rows.where("id is not null"), left_out.select("id"))
+    # one and the same set of rows meets the marks and the ranges, so its exchange is reused
+    named = all_rows.where("id is not null")
+    ranges = removal_ranges(named, left_out.select("id"))
     ranges = ranges.groupBy("id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     marked = left_out.groupBy("id").agg(F.max("copy").alias("copy"))
-    j = all_rows.join(ranges, "id", "left").join(marked, "id", "left").select(F.col("id").alias("doc_id"), "text", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))
+    j = named.join(ranges, "id", "left").join(marked, "id", "left").select("id", "text", "starts", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))
+    none = F.lit(None).cast("array<array<int>>")
+    j = j.union(all_rows.where("id is null").select("id", "text", none, none, F.lit(False))).withColumnRenamed("id", "doc_id")
     return j.mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
