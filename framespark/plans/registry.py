@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("frames", "scoring", "rasters", "selection", "polygons", "netlist")
+GROUPS = ("frames", "scoring", "rasters", "selection", "polygons", "netlist", "sources")
 
 
 def _gather(attribute: str) -> dict:
