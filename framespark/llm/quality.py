@@ -2,8 +2,9 @@
 
 Each document gets counts of symbols, repeated lines and repeated words. KLL sketches of the derived ratios are built per
 (lang, source), merged upwards per language and over everything, and a group with too few documents uses the next
-wider sketch. A document goes when a ratio lies beyond its group's fence (upper quartile plus a multiple of the
-interquartile range, with a floor so that a group of equal values rejects nobody) or when it fails the fixed base rule.
+wider sketch, for each ratio by itself. A document goes when a ratio lies beyond its group's fence (upper quartile plus a
+multiple of the interquartile range, by a least span so that a group of equal values rejects nobody) or when it fails
+the fixed base rule. Repeats are rare, so the quartiles of their ratios are those of the values above 0.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A group's own sketch counts from so many documents that pass the base rule; else that of its language, else of all.
 MIN_GROUP = 100
-#: ratio -> (multiple of the interquartile range above the upper quartile, least fence).
+#: ratio -> (multiple of the interquartile range above the upper quartile, least distance from that quartile). Mean word
+#: length also has a lower fence as far below the lower quartile. The least distances only bridge equal values: about one
+#: symbol in the shortest text that passes the base rule, one repeated line or word in a hundred, half a character.
 FENCES = {
-    "symbol_ratio": (8.0, 0.05),
-    "dup_line_ratio": (8.0, 0.30),
-    "repeat_ratio": (8.0, 0.30),
-    "word_length": (8.0, 14.0),
+    "symbol_ratio": (8.0, 0.005),
+    "dup_line_ratio": (8.0, 0.01),
+    "repeat_ratio": (8.0, 0.01),
+    "word_length": (8.0, 0.5),
 }
-#: Mean word length also has a lower fence: lower quartile less the multiple of the range, at most this.
-LOW_WORD_LENGTH = 2.0
+#: Ratios that are 0 for most documents of any group: only values above 0 go into the sketch, which counts from so many.
+ABOVE_ZERO = ("dup_line_ratio", "repeat_ratio")
+MIN_ABOVE_ZERO = 20
 SKETCH_K = 400
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -132,10 +136,11 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
     m = measured.withColumn("base_failed", base).withColumn("n_lines_scale", F.greatest(F.col("n_dup_lines"), F.col("n_words") / 10))
     m = m.withColumn("_q", F.struct(*[_ratio(k).alias(k) for k in FENCES])).drop("n_lines_scale")
     by = [F.col(lang).alias("_lang"), F.col(source).alias("_source")]
+    value = lambda k: F.when(F.col(f"_q.{k}") > 0, F.col(f"_q.{k}")) if k in ABOVE_ZERO else F.col(f"_q.{k}")
     groups = (
         m.where("not base_failed")
         .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(f"_q.{k}"), F.lit(SKETCH_K)).alias(k) for k in FENCES])
+        .agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(value(k), F.lit(SKETCH_K)).alias(k) for k in FENCES])
     )
     merge = [F.kll_merge_agg_double(F.col(k), F.lit(SKETCH_K)).alias(k) for k in FENCES]
     total = F.sum("n").alias("n")
@@ -147,21 +152,26 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
         q = lambda k, p: F.kll_sketch_get_quantile_double(F.col(k), F.lit(p))
         cols = []
         for k, (times, least) in FENCES.items():
-            span = times * (q(k, 0.75) - q(k, 0.25))
-            cols.append(F.greatest(q(k, 0.75) + span, F.lit(least)).alias(f"{k}_high"))
+            # an empty sketch has no quantiles, so its size is asked first
+            enough = F.kll_sketch_get_n_double(F.col(k)) >= (1 if tag == "all" or k not in ABOVE_ZERO else MIN_ABOVE_ZERO)
+            enough = enough & (F.col("n") >= (1 if tag == "all" else MIN_GROUP))
+            span = F.greatest(times * (q(k, 0.75) - q(k, 0.25)), F.lit(least))
+            cols.append(F.when(enough, q(k, 0.75) + span).alias(f"{k}_high"))
             if k == "word_length":
-                cols.append(F.least(q(k, 0.25) - span, F.lit(LOW_WORD_LENGTH)).alias(f"{k}_low"))
+                cols.append(F.when(enough, q(k, 0.25) - span).alias(f"{k}_low"))
         keys = [c for c in ("_lang", "_source") if c in df.columns]
         # merging no groups gives a null sketch, of which no quantile may be asked
-        return df.where("n > 0").select(*keys, F.when(F.col("n") >= (MIN_GROUP if tag != "all" else 1), F.struct(*cols)).alias(tag))
+        return df.where("n > 0").select(*keys, F.struct(*cols).alias(tag))
 
+    bounds = [*[f"{k}_high" for k in FENCES], "word_length_low"]
     g, pl, al = fences(groups, "own"), fences(per_lang, "of_lang"), fences(overall, "all")
     rules = (
         g.join(pl, g["_lang"].eqNullSafe(pl["_lang"]), "left")
         .crossJoin(F.broadcast(al))  # one row
-        .select(g["_lang"], g["_source"], F.coalesce("own", "of_lang", "all").alias("_fence"))
+        .select(g["_lang"], g["_source"], F.struct(*[F.coalesce(*[f"{t}.{b}" for t in ("own", "of_lang", "all")]).alias(b) for b in bounds]).alias("_fence"))
     )
-    # groups none of whose documents pass the base rule have no sketch; all their documents go anyway
+    # groups none of whose documents pass the base rule have no sketch; all their documents go anyway. A ratio that is 0
+    # everywhere has no fence and needs none
     j = m.join(rules, m[lang].eqNullSafe(rules["_lang"]) & m[source].eqNullSafe(rules["_source"]), "left")
     tests = []
     for k in FENCES:

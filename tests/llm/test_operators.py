@@ -397,6 +397,25 @@ def test_quality_rules(spark, sf, odd, nothing):
     assert quality.quality_rules(nothing).count() == 0 and quality.kept_documents(nothing).count() == 0
 
 
+def test_quality_fences_follow_the_group(spark):
+    """Groups of 100 rows whose usual values differ: an equal ratio is far out in one and usual in the other."""
+    usual = {"a": (500, 0, 0, 0), "b": (900, 90, 20, 40)}
+    rows = []
+    for source, (chars, symbols, lines, repeats) in usual.items():
+        for i in range(100):
+            j = i % 5
+            rows.append((source, "usual", 100, chars + 4 * j, symbols and symbols + j, lines and lines + j, repeats and repeats + j))
+        if source == "a":  # repeats are rare here, and small
+            rows += [(source, "usual", 100, 500, 0, 1, 3)] * 30
+    probes = {"symbol_ratio_high": (500, 20, 0, 0), "dup_line_ratio_high": (500, 0, 9, 0), "repeat_ratio_high": (500, 0, 0, 20), "word_length_high": (880, 0, 0, 0)}
+    for name, (chars, symbols, lines, repeats) in probes.items():
+        rows.append(("a", name, 100, chars, symbols, lines, repeats))
+        rows.append(("b", name, 100, 900, 36 if symbols else 0, lines, repeats))
+    got = quality.judge(spark.createDataFrame([("en", *r) for r in rows], "lang string, source string, kind string, " + quality.MEASURES))
+    by = {(r.source, r.kind, tuple(r.reasons)) for r in got.collect()}
+    assert by == {*((s, "usual", ()) for s in "ab"), *(("a", k, (k,)) for k in probes), *(("b", k, ()) for k in probes)}
+
+
 # ---------------------------------------------------------------- 9
 
 
