@@ -3,6 +3,9 @@
 A sentence ends at a word that closes with . ! or ?, or at a line break. A run counts as repeated if its words occur as
 a run elsewhere, in any document; the first occurrence (smallest doc_id, then position) stays, and every sentence that
 some other occurrence covers is removed. Runs of fewer than ten words are no passages and are left alone.
+
+Runs of three miss repeats of one or two sentences. With ``short`` runs of two sentences, single sentences of LONG words
+and whole texts of fewer than three sentences are hashed too, and joined in the same way.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from framespark.llm.common import _R, _RI, Words, mix, powers, slices, stash, te
 
 RUN = 3
 LEAST_WORDS = 10
+#: With short: so many words make a single sentence a passage.
+LONG = 20
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?")] = True
 
@@ -43,27 +48,39 @@ class Sentences:
         else:
             self.hash = np.zeros(0, np.uint64)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first sentence, hash) of each run inside one document that has enough words."""
-        m = len(self.hash) - RUN + 1
+    def runs(self, size: int = RUN, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """(first sentence, hash) of each run of so many sentences inside one document that has enough words."""
+        m = len(self.hash) - size + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        words = np.convolve(self.size, np.ones(RUN, np.int64), "valid")
-        at = np.flatnonzero((self.doc[:m] == self.doc[RUN - 1 :]) & (words >= LEAST_WORDS))
+        words = np.convolve(self.size, np.ones(size, np.int64), "valid")
+        at = np.flatnonzero((self.doc[:m] == self.doc[size - 1 :]) & (words >= least))
         h = np.zeros(m, np.uint64)
-        for i in range(RUN):
+        for i in range(size):
             h = h * np.uint64(0x9FB21C651E98DF25) + self.hash[i : i + m]
         return at, mix(h[at])
 
+    def short_runs(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(sentences, first sentence, hash) of runs below RUN: long enough, or the whole text."""
+        found = []
+        for size in range(1, RUN):
+            at, h = self.runs(size, 1)
+            words = np.convolve(self.size, np.ones(size, np.int64), "valid")[at] if len(at) else at
+            take = (words >= (LONG if size == 1 else LEAST_WORDS)) | (self.per_doc[self.doc[at]] == size)
+            found.append((size, at[take], mix(h[take] + np.uint64(size))))
+        return found
+
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         data, off = text_bytes(b.column("text"))
         s = Sentences(data, off)
-        at, h = s.runs()
-        doc = s.doc[at]
-        place = at - np.concatenate(([0], np.cumsum(s.per_doc)))[doc]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(place, pa.int32()), pa.array(h.view(np.int64))], names=["doc_id", "place", "h"])
+        for size, at, h in [(RUN, *s.runs()), *(s.short_runs() if short else [])]:
+            doc = s.doc[at]
+            place = at - np.concatenate(([0], np.cumsum(s.per_doc)))[doc]
+            # place and number of sentences in one number
+            code = place * (RUN + 1) + size
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(code, pa.int32()), pa.array(h.view(np.int64))], names=["doc_id", "place", "h"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +93,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = b.column("places").to_pylist()
         for d, hit in enumerate(places):
             if hit:
-                at = (base[d] + np.array(hit, np.int64))[:, None] + np.arange(RUN)
-                gone[at[at < base[d + 1]]] = True
+                place, size = np.divmod(np.array(hit, np.int64), RUN + 1)
+                at = (base[d] + place)[:, None] + np.arange(RUN)
+                gone[at[(at < base[d + 1]) & (np.arange(RUN) < size[:, None])]] = True
         # a sentence reaches to the next one of its document; blanks before the first belong to it
         start = s.words.start[s.first] if len(s.first) else np.zeros(0, np.int64)
         starts_doc = np.concatenate(([True], s.doc[1:] != s.doc[:-1])) if len(s.doc) else np.zeros(0, bool)
@@ -97,11 +115,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_runs(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """(doc_id, place): the runs (number of the first sentence) that are no first occurrence."""
+def repeated_runs(docs: DataFrame, folder: str | None = None, short: bool = False) -> DataFrame:
+    """(doc_id, place): the runs (number of the first sentence times RUN + 1, plus sentences) that are no first occurrence."""
     folder = folder or work_dir(docs.sparkSession)
     texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text")
-    runs = stash(texts.mapInArrow(_runs, "doc_id long, place int, h long"), folder, "runs")
+    runs = stash(texts.mapInArrow(lambda batches: _runs(batches, short), "doc_id long, place int, h long"), folder, "runs")
     # rows that repeat a doc_id repeat its runs; they are the same occurrence
     first = runs.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = runs.join(first.select("h", "least"), "h")
@@ -110,13 +128,13 @@ def repeated_runs(docs: DataFrame, folder: str | None = None) -> DataFrame:
     return shared.join(places, "h").where("not (doc_id = least and place = stays)").select("doc_id", "place").distinct()
 
 
-def remove_repeated_spans(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, folder: str | None = None, short: bool = False) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text): each row of docs with the text that stays.
 
-    Null texts become empty; texts with fewer than three sentences have no run and stay whole; rows without a doc_id are
+    Null texts become empty; texts with fewer than three sentences have no run and stay whole, unless short is on; rows without a doc_id are
     neither compared nor cut; rows that repeat a doc_id count as one document; other columns are ignored.
     """
-    repeated = repeated_runs(docs, folder).groupBy("doc_id").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc_id", "_id")
+    repeated = repeated_runs(docs, folder, short).groupBy("doc_id").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc_id", "_id")
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     j = rows.join(repeated, rows["doc_id"] == repeated["_id"], "left").select("doc_id", "text", "places")
     return j.mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, text string")

@@ -317,6 +317,20 @@ def test_sentence_spans(spark, sf, odd, nothing):
     assert sentence_spans.remove_repeated_spans(nothing).count() == 0
 
 
+def test_short_spans(spark, odd, nothing):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "."
+    long, two, one = say(25), f"{say(7)} {say(8)}", say(12)
+    texts = [f"{say(9)} {long} {say(9)}", f"{say(9)} {two} {say(9)}", one, "Short text.", f"{say(9)} {long} {say(9)}", f"{say(9)} {two} {say(9)}", one, "Short text.", f"{say(9)} {one} {say(9)}", two]
+    got = by_id(sentence_spans.remove_repeated_spans(docs_of(spark, texts), short=True))
+    assert [got[i].n_removed for i in range(10)] == [0, 0, 0, 0, 1, 2, 1, 1, 0, 2]
+    assert got[4].text == texts[4].replace(long + " ", "") and got[5].text == texts[5].replace(two + " ", "") and got[6].text == got[9].text == ""
+    rows = sentence_spans.remove_repeated_spans(odd, short=True).collect()
+    by = {r.doc_id: r for r in rows if r.doc_id}
+    assert len(rows) == odd.count() and by[6].n_removed == 900 and by[5].n_removed == 0 and by[3].text == " \n\t "
+    assert sentence_spans.remove_repeated_spans(nothing, short=True).count() == 0
+
+
 # ---------------------------------------------------------------- 7
 
 
