@@ -40,6 +40,15 @@ def io3(spark, d):
     return op.parse_cif(op.format_cif(p, frames).select(F.col("frame_key").alias("path"), "value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("io3_cif_round_trip_all", f"select frame_key, count(*) as n, sum(case when id % 7 = 0 and not via then 3 else 4 end) as n_vertices from {POLY} where not is_hole group by 1")
+def io3_all(spark, d):
+    """The round trip of the polygons of every frame; vias come back as boxes."""
+    p = polygons(spark, d).withColumnRenamed("id", "polygon_id")
+    frames = p.select("frame_key").distinct().withColumns({"w": F.lit(400), "h": F.lit(400)})
+    back = op.parse_cif(op.format_cif(p, frames).select(F.col("frame_key").alias("path"), "value"))
+    return back.groupBy(F.col("path").alias("frame_key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("points")).alias("n_vertices"))
+
+
 @query("io4_explode_vertices", f"select frame_key, id as polygon_id, cast(is_hole as int) as is_hole, coalesce(cast(parent_id as varchar), '') as parent_id, case when id % 7 = 0 then 3 else 4 end as n from {POLY}")
 def io4(spark, d):
     v = op.explode_vertices(polygons(spark, d).withColumnRenamed("id", "polygon_id"))
