@@ -117,19 +117,66 @@ def label_clusters(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("name", name)
 
 
-def rarity(df: DataFrame, column: str = "features", exact_rows: int = 1200) -> DataFrame:
-    """df(id) with rarity in [0, 1]: mean distance to the five nearest up to exact_rows rows, to the centroid beyond, min-max scaled."""
-    sq = lambda a, b: F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
-    if df.limit(exact_rows + 1).count() <= exact_rows:
-        other = df.select(F.col("id").alias("_id"), F.col(column).alias("_f"))
-        # both sides are bounded by exact_rows
-        d = df.crossJoin(F.broadcast(other)).where("id <> _id").select("id", sq(F.col(column), F.col("_f")).alias("d"))
-        r = d.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, 5).alias("_d")).select("id", (total(F.col("_d")) / F.size("_d")).alias("rarity"))
-        j = df.join(r, "id", "left").na.fill(0.0, ["rarity"])
-    else:
-        mean = df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_m"))
-        j = df.crossJoin(F.broadcast(mean)).withColumn("rarity", sq(F.col(column), F.transform("_m", lambda m: m["x"]))).drop("_m")
-    return normalize_scores(j, ["rarity"])
+def _pack_nearest(xs: list, ys: list, k: int) -> list[list[float]]:
+    """Distances of each of xs, a list of (id, f), to the k nearest of ys with another id, in order."""
+    if not xs or not ys:
+        return [[] for _ in xs]
+    a, b = (np.array([r["f"] for r in rows], np.float64) for rows in (xs, ys))
+    sq = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        sq += (a[:, i, None] - b[None, :, i]) ** 2
+    names = np.array([r["id"] for r in ys], object)
+    for i, r in enumerate(xs):
+        sq[i, names == r["id"]] = np.inf
+    near = np.sort(np.partition(sq, min(k, len(b)) - 1, axis=1)[:, :k], axis=1)
+    return [np.sqrt(r[np.isfinite(r)]).tolist() for r in near]
+
+
+def nearest_distances(df: DataFrame, column: str = "features", k: int = 5, block: int = 256) -> DataFrame:
+    """(id, distances): of each row of df(id) the exact distances to the k nearest rows with another id, in order.
+
+    Rows are cut into cells of at most block rows, by the first and then the second feature. A cell is compared with those
+    cells whose box is nearer than the farthest k-th neighbour within itself, two cells at a time, so no task holds more.
+    """
+    out = f"id {df.schema['id'].dataType.simpleString()}, d array<double>"
+    folder = work_dir(df.sparkSession)
+    n = global_row_number(df.where(F.col(column).isNotNull()).select("id", F.col(column).cast("array<double>").alias("f")), [F.get("f", F.lit(0))], "_n")
+    n = n.withColumn("_slab", F.floor(F.col("_n") / (16 * block)))
+    place = F.row_number().over(Window.partitionBy("_slab").orderBy(F.get("f", F.lit(1)), "id")) - 1
+    cells = n.withColumn("cell", F.col("_slab") * 16 + F.floor(place / block)).groupBy("cell").agg(F.collect_list(F.struct("id", "f")).alias("rows"))
+    cells = stash(cells, f"{folder}/cells")
+
+    def boxes(batches):
+        for pdf in batches:
+            rows = []
+            for cell, members in zip(pdf["cell"], pdf["rows"], strict=True):
+                x = np.array([r["f"] for r in members], np.float64)
+                near = _pack_nearest(list(members), list(members), k)
+                reach = max(r[-1] if len(r) == k else np.inf for r in near)
+                rows.append((cell, x.min(0).tolist(), x.max(0).tolist(), float(reach)))
+            yield pd.DataFrame(rows, columns=["cell", "lo", "hi", "reach"])
+
+    box = stash(cells.mapInPandas(boxes, "cell long, lo array<double>, hi array<double>, reach double"), f"{folder}/boxes")
+    other = box.select(F.col("cell").alias("_cell"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    apart = lambda lo, hi: F.zip_with(lo, hi, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    gap = F.sqrt(total(F.zip_with(apart("_lo", "hi"), apart("lo", "_hi"), lambda x, y: x * x + y * y)))
+    # one row a cell on both sides
+    pairs = box.crossJoin(F.broadcast(other)).where((F.col("cell") == F.col("_cell")) | (gap < F.col("reach"))).select("cell", "_cell")
+    pairs = pairs.join(cells, "cell").join(cells.select(F.col("cell").alias("_cell"), F.col("rows").alias("_rows")), "_cell").select("rows", "_rows")
+
+    def compare(batches):
+        for pdf in batches:
+            for xs, ys in zip(pdf["rows"], pdf["_rows"], strict=True):
+                yield pd.DataFrame({"id": [r["id"] for r in xs], "d": _pack_nearest(list(xs), list(ys), k)})
+
+    d = pairs.mapInPandas(compare, out).groupBy("id").agg(F.flatten(F.collect_list("d")).alias("d"))
+    return d.select("id", F.slice(F.array_sort("d"), 1, k).alias("distances"))
+
+
+def rarity(df: DataFrame, column: str = "features") -> DataFrame:
+    """df(id) with rarity in [0, 1]: mean distance to the five nearest, min-max scaled; 0 for a row without others."""
+    r = nearest_distances(df, column).select("id", F.when(F.size("distances") > 0, total(F.col("distances")) / F.size("distances")).alias("rarity"))
+    return normalize_scores(df.join(r, "id", "left").na.fill(0.0, ["rarity"]), ["rarity"])
 
 
 def priority_scores(df: DataFrame, uncertainty: bool = False) -> DataFrame:

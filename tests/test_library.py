@@ -123,6 +123,24 @@ def test_latch(spark):
     assert [(r.a, r.b) for r in netlist.bistable_cores(inv).collect()] == [("A", "B")]
 
 
+def test_rarity_beyond_small_tables(spark):
+    """More rows than one cell or slab, with equal rows and an outlier, against all distances."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(1400, 3)), np.tile([[0.5, 0.5, 0.5]], (100, 1)), [[50.0, 0.0, 0.0]]])
+    df = one(spark, [(i, f.tolist()) for i, f in enumerate(x)], "id long, features array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    mean = np.sort(d, axis=1)[:, :5].mean(1)
+    want = (mean - mean.min()) / (mean.max() - mean.min())
+    got = {r.id: r.rarity for r in selection.rarity(df).collect()}
+    assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], want)
+    near = {r.id: r.distances for r in selection.nearest_distances(df, block=16).collect()}
+    assert np.allclose([near[i] for i in range(len(x))], np.sort(d, axis=1)[:, :5])
+    assert selection.nearest_distances(df.limit(1)).first().distances == []
+
+
 def test_stream_equals_batch(spark):
     got = sorted(map(tuple, sources.Q["st2_stream_loss_weights"](spark, SF).collect()))
     assert got == sorted(map(tuple, sources.batch_loss_weights(spark, SF).collect()))
