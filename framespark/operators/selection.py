@@ -220,27 +220,27 @@ def select_diverse(pool: DataFrame, quotas: DataFrame, alpha: float = 0.6, beta:
     """(id, cluster, pick): per cluster its quota of pool(id, cluster, priority, structure, features) picked greedily.
 
     Each pick has the greatest alpha * priority + beta * distance to the picked + .10 * structure - .20 if it (nearly) repeats one.
-    The pool is bounded, so a cluster's part of it fits a task.
+    A round picks one row of every cluster, by a maximum that is taken on the map side first; only the picks are broadcast,
+    so a cluster may be of any size. Of equal values the smallest id is taken.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        x = np.stack([np.asarray(f, np.float64) for f in pdf["features"]])
-        base = alpha * pdf["priority"].to_numpy() + 0.10 * pdf["structure"].to_numpy()
-        near = np.full(len(x), np.inf)
-        left, out = np.ones(len(x), bool), []
-        scale = max(float(np.linalg.norm(x.max(0) - x.min(0))), EPS)
-        for _ in range(min(int(pdf["quota"].iloc[0]), len(x))):
-            gain = np.where(np.isinf(near), 1.0, near / scale)
-            value = np.where(left, base + beta * gain - 0.20 * (near < 1e-6), -np.inf)
-            i = int(value.argmax())
-            left[i] = False
-            out.append((pdf["id"].iloc[i], pdf["cluster"].iloc[i], len(out)))
-            near = np.minimum(near, np.linalg.norm(x - x[i], axis=1))
-        return pd.DataFrame(out, columns=["id", "cluster", "pick"])
-
+    folder = work_dir(pool.sparkSession)
+    dist = lambda a, b: F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
     j = pool.join(F.broadcast(quotas.select("cluster", "quota")), "cluster").where("quota > 0")
-    return j.groupBy("cluster").applyInPandas(pick, f"id {pool.schema['id'].dataType.simpleString()}, cluster {pool.schema['cluster'].dataType.simpleString()}, pick int")
+    side = j.select("cluster", F.posexplode("features").alias("_i", "x")).groupBy("cluster", "_i").agg((F.max("x") - F.min("x")).alias("x"))
+    scale = side.groupBy("cluster").agg(F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(EPS)).alias("_scale"))
+    j = stash(j.join(F.broadcast(scale), "cluster").select("id", "cluster", "features", "quota", "_scale", (alpha * F.col("priority") + 0.10 * F.col("structure")).alias("_base")), f"{folder}/pool")
+    picks = stash(j.limit(0).select("id", "cluster", "features", F.lit(0).alias("pick")), f"{folder}/pick-0")
+    for n in range(1, (j.agg(F.max("quota")).first()[0] or 0) + 1):
+        seen = picks.groupBy(F.col("cluster").alias("_c")).agg(F.collect_list("id").alias("_ids"), F.collect_list("features").alias("_picked"))
+        d = j.where(F.col("quota") >= n).join(F.broadcast(seen), F.col("cluster") == F.col("_c"), "left").where("_ids is null or not array_contains(_ids, id)")
+        near = F.array_min(F.transform("_picked", lambda p: dist(F.col("features"), p)))
+        value = F.col("_base") + beta * F.coalesce(near / F.col("_scale"), F.lit(1.0)) - F.when(near < 1e-6, 0.20).otherwise(0.0)
+        best = d.withColumn("_v", value).groupBy("cluster").agg(F.min_by(F.struct("id", "features"), F.struct(-F.col("_v"), F.col("id"))).alias("_b"))
+        new = stash(best.select("_b.id", "cluster", "_b.features", F.lit(n).alias("pick")), f"{folder}/pick-{n}")
+        if new.isEmpty():
+            break
+        picks = picks.union(new)
+    return picks.select("id", "cluster", "pick")
 
 
 def uniform_sample(df: DataFrame, n: int, order: str = "path") -> DataFrame:

@@ -78,7 +78,7 @@ def io7(spark, d):
 @query("io8_selection_manifest", f"select count(*) as n_primary from {METRICS_SQL} where metric_key = 'dice'")
 def io8(spark, d):
     m = metrics(spark, d).where("metric_key = 'dice'").select("frame", F.col("value").alias("score"), F.lit(1.0).alias("percentile"), F.lit("primary").alias("reason"))
-    return op.selection_manifest(m).select(F.json_array_length(F.get_json_object("value", "$.primary")).cast("long").alias("n_primary"))
+    return op.selection_lines(m).agg(F.count_if(F.get_json_object("value", "$.reason") == "primary").alias("n_primary"))
 
 
 def _stream(spark, df, job):

@@ -153,8 +153,21 @@ def series_table(series: DataFrame, labels: list[str], x_name: str = "Epoch") ->
     return p.select(x.alias(x_name), *labels)
 
 
+def selection_lines(selected: DataFrame) -> DataFrame:
+    """(reason, value): one JSON text of each row of selected(frame, score, percentile, reason), for selections of any size."""
+    return selected.select("reason", F.to_json(F.struct("frame", "score", "percentile", "reason")).alias("value"))
+
+
+def write_selection(selected: DataFrame, path: str) -> None:
+    """selection_lines as text files, a folder for each reason."""
+    selection_lines(selected).write.partitionBy("reason").text(path)
+
+
 def selection_manifest(selected: DataFrame) -> DataFrame:
-    """(value): one JSON text of selected(frame, score, percentile, reason): keys by reason in order, and score, percentile and reason of each."""
+    """(value): one JSON text of selected(frame, score, percentile, reason): keys by reason in order, and score, percentile and reason of each.
+
+    All rows go into one text, so this is for small selections (the top k); selection_lines takes any.
+    """
     keys = lambda r: F.array_sort(F.collect_list(F.when(F.col("reason") == r, F.col("frame")))).alias(r)
     info = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("frame").cast("string"), F.struct("score", "percentile", "reason"))))).alias("frames")
     return selected.agg(keys("primary"), keys("neighbor"), info).select(F.to_json(F.struct("primary", "neighbor", "frames")).alias("value"))

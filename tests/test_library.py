@@ -141,6 +141,35 @@ def test_rarity_beyond_small_tables(spark):
     assert selection.nearest_distances(df.limit(1)).first().distances == []
 
 
+def test_select_diverse_without_groups_in_pandas(spark):
+    """Equal to greedy picks one by one, and no task holds a cluster."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 10 // 8, float(rng.random()), float(rng.random()), np.round(rng.random(3), 1).tolist()) for i in range(300)]
+    df = one(spark, rows, "id long, cluster int, priority double, structure double, features array<double>")
+    want = set()
+    for cluster, quota in ((0, 9), (1, 4)):
+        mine = [r for r in rows if r[1] == cluster]
+        x = np.array([r[4] for r in mine])
+        scale, out = np.linalg.norm(x.max(0) - x.min(0)), []
+        for k in range(quota):
+            near = [min((np.linalg.norm(x[i] - x[j]) for j in out), default=scale) for i in range(len(x))]
+            value = [0.6 * r[2] + 0.1 * r[3] + 0.4 * near[i] / scale - 0.2 * (near[i] < 1e-6) if i not in out else -9 for i, r in enumerate(mine)]
+            out.append(int(np.argmax(value)))
+            want.add((mine[out[-1]][0], cluster, k + 1))
+    got = selection.select_diverse(df, one(spark, [(0, 9), (1, 4), (2, 3)], "cluster int, quota int"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Pandas" not in got._jdf.queryExecution().toString()
+
+
+def test_selection_lines(spark, tmp_path):
+    df = one(spark, [(1, 0.5, 1.0, "primary"), (2, 0.4, 0.9, "neighbor"), (3, 0.3, 0.8, "primary")], "frame long, score double, percentile double, reason string")
+    files.write_selection(df, f"{tmp_path}/m")
+    back = spark.read.text(f"{tmp_path}/m").select("reason", F.get_json_object("value", "$.frame").alias("frame"))
+    assert sorted(map(tuple, back.collect())) == [("neighbor", "2"), ("primary", "1"), ("primary", "3")]
+
+
 def test_stream_equals_batch(spark):
     got = sorted(map(tuple, sources.Q["st2_stream_loss_weights"](spark, SF).collect()))
     assert got == sorted(map(tuple, sources.batch_loss_weights(spark, SF).collect()))
