@@ -173,6 +173,43 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """The rows of each run of equal keys, as lists of columns; rows come sorted by the keys."""
+    now, rows = None, None
+    for b in batches:
+        cols = {c: b.column(c).to_pylist() for c in b.schema.names}
+        key = list(zip(*(cols[k] for k in keys), strict=True))
+        cuts = [i for i in range(1, len(key)) if key[i] != key[i - 1]]
+        for x, y in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            if x == y:
+                continue
+            if rows is None or key[x] != now:
+                if rows is not None:
+                    yield rows
+                now, rows = key[x], {c: [] for c in cols}
+            for c, v in cols.items():
+                rows[c].extend(v[x:y])
+    if rows is not None:
+        yield rows
+
+
+# ---------------------------------------------------------------- joins
+
+
+SALTS = 8
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of left, any number of rows of a key, with right, one row of a key: rows of a key are dealt over SALTS tasks.
+
+    A key that a third of all rows share then stands in many tasks, and since both sides have an exchange of their own
+    a part that is still large can be split at run time. Rows of right are repeated SALTS times; they must be narrow.
+    """
+    l = left.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), by), F.lit(SALTS)).cast("int"))
+    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return l.join(r, [key, "_salt"], how).drop("_salt")
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -181,7 +218,8 @@ def components(edges: DataFrame, folder: str, name: str, rounds: int = 40) -> Da
 
     Every round each vertex takes the smallest label among itself and its neighbours, then the label of that label
     (pointer jumping), so the number of rounds grows with the logarithm of the longest path. Each round is written to
-    the shared folder. Labels are aggregated on the map side, so a vertex with many edges is no hot spot.
+    the shared folder. Labels are aggregated on the map side, and both joins have exchanges of their own on either side, so
+    that the rows of a vertex with many edges, or of a component with many vertices, are split at run time.
     """
     spark = edges.sparkSession
     both = stash(

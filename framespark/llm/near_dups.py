@@ -5,10 +5,14 @@ Poisson process on [0, w): dyadic blocks of the weight axis have a process each,
 and those at or above w are thinned out, so equal parts of two weights share their points whatever the rest. Each point
 falls on one signature component; the earliest stays. Equal components estimate the weighted Jaccard similarity.
 
-Bands of the signature name candidates. Documents linked through buckets form loose families; within a family
-signatures are compared and every pair that could reach the similarity and isn't linked already is verified on the
-multisets. Families are cut in blocks of bounded size, and each pair of blocks is a task of its own; only links that
-join two parts leave a task, never all pairs. Exact copies are set aside first and share their representative's class.
+Bands of the signature name candidates. Documents linked through buckets form loose families. A family of up to a block
+of documents is compared in one task. A larger one is dealt into blocks by a hash of the id, and once more by another
+hash if it still falls in several classes; each time a document goes to one block only, and pairs whose classes are joined
+already are skipped. What is left is settled by family, or by bucket if many are left: documents outside its largest class
+meet all of it, block by block.
+Pairs that could reach the similarity are verified on the multisets, and a task returns one link for two classes that it
+joins, so links and what is shuffled grow with the size of a family. Exact copies are set aside first and share their
+representative's class.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespark.llm.common import Words, components, mix, ragged, slices, stash, text_bytes, work_dir
+from framespark.llm.common import Words, components, mix, ragged, runs_of, salted_join, slices, stash, text_bytes, work_dir
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,6 +36,8 @@ M = BANDS * ROWS
 AGREE = math.floor(M * SIMILARITY - 4.5 * math.sqrt(M * SIMILARITY * (1 - SIMILARITY)))
 #: Documents, and shingles, of a block of a family.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Times that a large family is dealt into blocks anew before its buckets are settled.
+MIX_ROUNDS = 1
 KEY_BITS = np.uint64(44)
 KEY_MASK = np.uint64((1 << 44) - 1)
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -133,7 +139,7 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.bincount(doc, minlength=n)
         sig = bag_min_hash(doc, key, count, n)
         cols = [_binary(sig.ravel(), np.full(n, M)), _binary(key, size), _binary(count.astype(np.uint32), size)]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("comp", "parts", "part", "id")), *cols], names=["comp", "parts", "part", "id", "sig", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), *cols], names=["id", "sig", "keys", "counts"])
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -145,29 +151,39 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def _links(rows: dict[str, list], cross: bool) -> list[tuple[int, int]]:
-    """Links found in one block (cross off) or between two blocks, as few as join what belongs together."""
-    n = len(rows["id"])
-    sets = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)) for k, c in zip(rows["keys"], rows["counts"], strict=True)]
-    weight = np.array([int(c.sum()) for _, c in sets])
-    sig = np.stack([np.frombuffer(s, np.uint32) for s in rows["sig"]])
-    side = np.array(rows["part"])
+def _pairs(rows: dict[str, list], sig: np.ndarray, weight: np.ndarray, across: bool) -> np.ndarray:
+    """(i, j, equal components) of the rows worth verifying: classes differ and signatures and sizes are near.
+
+    Across, stragglers (side 0) meet members (side 1); in a bucket (number nth, else -1) a pair counts if no earlier one
+    holds it.
+    """
+    cls, side = np.array(rows["cls"]), np.array(rows["side"])
     found = []
-    for i in range(n - 1):
-        same = (sig[i + 1 :] == sig[i]).sum(axis=1)
+    inner = np.flatnonzero(side == 1) if across else np.arange(len(cls))
+    for n, i in enumerate(np.flatnonzero(side == 0)):
+        other = inner if across else inner[n + 1 :]
+        other = other[cls[other] != cls[i]]
+        other = other[np.minimum(weight[other], weight[i]) >= SIMILARITY * np.maximum(weight[other], weight[i]) - 1e-9]
+        equal = sig[other] == sig[i]
+        same = equal.sum(axis=1)
         near = same >= AGREE
-        if cross:
-            near &= side[i + 1 :] != side[i]
-        if near.any():
-            j = np.flatnonzero(near) + i + 1
-            small, large = np.minimum(weight[j], weight[i]), np.maximum(weight[j], weight[i])
-            j = j[small >= SIMILARITY * large - 1e-9]
-            found.append(np.stack([np.full(len(j), i), j, same[j - i - 1]], axis=1))
-    if not found:
+        if across and rows["nth"][i] >= 0:
+            near &= equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == rows["nth"][i]
+        other, same = other[near], same[near]
+        found.append(np.stack([np.full(len(other), i), other, same], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    return pairs[np.argsort(-pairs[:, 2], kind="stable")]
+
+
+def _links(rows: dict[str, list], across: bool) -> list[tuple[int, int]]:
+    """Pairs of classes that similar rows join; as few as join what belongs together."""
+    cls = rows["cls"]
+    if len(set(cls)) < 2:
         return []
-    pairs = np.concatenate(found)
-    pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
-    up = list(range(n))
+    sets = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)) for k, c in zip(rows["keys"], rows["counts"], strict=True)]
+    weight = np.array([int(c.sum()) for _, c in sets])
+    sig = np.stack([np.frombuffer(s, np.uint32) for s in rows["sig"]])
+    up = {c: c for c in cls}
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -176,40 +192,84 @@ def _links(rows: dict[str, list], cross: bool) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for i, j, _ in pairs.tolist():
-        a, b = top(i), top(j)
+    for i, j, _ in _pairs(rows, sig, weight, across).tolist():
+        a, b = top(cls[i]), top(cls[j])
         if a != b and overlap(sets[i], sets[j]) >= SIMILARITY - 1e-12:
             up[max(a, b)] = min(a, b)
-            out.append((rows["id"][i], rows["id"][j]))
+            out.append((a, b))
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (comp, lo, hi): each run is one pair of blocks."""
-    names = ("id", "part", "sig", "keys", "counts")
-    key, rows = None, {c: [] for c in names}
-    out: list[tuple[int, int]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        a, b = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        out.clear()
-
-    for batch in batches:
-        cols = {c: batch.column(c).to_pylist() for c in (*names, "comp", "lo", "hi")}
-        for i in range(batch.num_rows):
-            k = (cols["comp"][i], cols["lo"][i], cols["hi"][i])
-            if k != key:
-                if key is not None and len(rows["id"]) > 1:
-                    out += _links(rows, key[1] != key[2])
-                    if len(out) > 10_000:
-                        yield from flush()
-                key, rows = k, {c: [] for c in names}
-            for c in names:
-                rows[c].append(cols[c][i])
-    if key is not None and len(rows["id"]) > 1:
-        out += _links(rows, key[1] != key[2])
-    yield from flush()
+_PAYLOAD = "id long, sig binary, keys binary, counts binary"
+_TASK = ("group", "i", "j")
+
+
+def _verify(across: bool):
+    """Links (a, b) between classes, found in tasks: runs of rows with equal (group, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, _TASK):
+            links = _links(rows, across)
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _linked(tasks: DataFrame, across: bool = False) -> DataFrame:
+    n = max(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return tasks.repartition(n, *_TASK).sortWithinPartitions(*_TASK, "id").mapInArrow(_verify(across), "a long, b long")
+
+
+def _joined(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """labels (id, cls) after the classes that links name have been joined."""
+    comp = components(links, folder, name).withColumnRenamed("id", "cls")
+    return stash(labels.join(comp, "cls", "left").select("id", F.coalesce("comp", "cls").alias("cls")), folder, f"{name}-labels")
+
+
+def _blocks(n: Column, size: Column) -> Column:
+    """Number of blocks for n documents with so many shingles."""
+    return F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("long")
+
+
+def _large_families(payload: DataFrame, placed: DataFrame, labels: DataFrame, sizes: DataFrame, bands: DataFrame, folder: str) -> DataFrame:
+    """labels after the links between the blocks of families of several blocks.
+
+    payload, sizes (id, size) and bands (id, nth, band) hold the documents of such families, placed their comp and parts.
+    Stragglers come in lots of a block. With more lots than bands a family is settled bucket by bucket, so that no
+    document goes out more often than that, or than its buckets have lots.
+    """
+    one = F.lit(0).cast("long")
+
+    def still_open() -> DataFrame:
+        """(id, comp, parts, cls) of families that fall in several classes."""
+        now = placed.join(labels, "id")
+        several = now.groupBy("comp").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("comp")
+        return now.join(several, "comp", "left_semi")
+
+    for r in range(1, MIX_ROUNDS + 1):
+        rows = still_open().select("id", "cls", F.col("comp").alias("group"), F.pmod(F.xxhash64(F.lit(r), "id"), "parts").alias("i"), one.alias("j"), F.lit(0).alias("side"), F.lit(0).alias("nth"))
+        labels = _joined(labels, _linked(payload.join(rows, "id")), folder, f"mixed-{r}")
+
+    def with_sides(rows: DataFrame) -> DataFrame:
+        """rows (id, cls, group, size) and for each group its largest class and the number of lots and of member blocks."""
+        per_class = rows.groupBy("group", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        groups = per_class.groupBy("group").agg(F.max_by("cls", F.struct("n", "cls")).alias("most"), F.max("n").alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+        lone = F.col("n") - F.col("top")
+        groups = groups.where(lone > 0).select("group", "most", _blocks(F.col("n"), F.col("size")).alias("members"), _blocks(lone, F.col("size") * lone / F.col("n")).alias("lots"))
+        return salted_join(rows, groups, "group", "id")
+
+    def deal(rows: DataFrame) -> DataFrame:
+        spread = lambda c: F.explode(F.sequence(one, F.col(c) - 1))
+        own = lambda c: F.pmod(F.xxhash64(F.lit(0), "id"), c)
+        lone = rows.where("cls <> most").select("id", "cls", "nth", "group", own("lots").alias("i"), spread("members").alias("j"), F.lit(0).alias("side"))
+        return lone.union(rows.select("id", "cls", "nth", "group", spread("lots").alias("i"), own("members").alias("j"), F.lit(1).alias("side")))
+
+    families = with_sides(still_open().select("id", "cls", F.col("comp").alias("group")).join(sizes, "id"))
+    few = deal(families.where(F.col("lots") <= BANDS).withColumn("nth", F.lit(-1)))
+    in_buckets = families.where(F.col("lots") > BANDS).select("id", "cls", "size").join(bands, "id").select("id", "cls", "nth", F.col("band").alias("group"), "size")
+    return _joined(labels, _linked(payload.join(few.union(deal(with_sides(in_buckets))), "id"), across=True), folder, "last")
 
 
 def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -223,33 +283,35 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or work_dir(spark)
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     same = base.select("id", F.unhex(F.md5("text")).alias("h"))
-    member = stash(same.join(same.groupBy("h").agg(F.min("id").alias("rep")), "h").groupBy("id").agg(F.min("rep").alias("rep")), folder, "members")
+    rep = same.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    alike = salted_join(same, rep, "h", "id").select("id", "rep")
+    member = stash(same.select("id", F.col("id").alias("rep")).union(alike).groupBy("id").agg(F.min("rep").alias("rep")), folder, "members")
 
     signed = base.mapInArrow(_signed, "id long, size long, bands array<long>")
     reps = member.where("id = rep").select("id")
     signed = stash(signed.join(reps, "id", "left_semi"), folder, "signed")
     rows = signed.select("id", F.explode("bands").alias("band"))
     lead = rows.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead")
-    stars = rows.join(lead, "band").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    # a document's leads are joined through the least of them, so a large family has few edges besides one a document
+    leads = salted_join(rows, lead, "band", "id").groupBy("id").agg(F.collect_set("lead").alias("leads")).withColumn("least", F.array_min("leads"))
+    stars = leads.select(F.col("id").alias("a"), F.col("least").alias("b")).union(leads.select(F.explode("leads").alias("a"), F.col("least").alias("b")).distinct())
     family = components(stars, folder, "families")
 
     sized = family.join(signed.select("id", "size").groupBy("id").agg(F.max("size").alias("size")), "id")
-    parts = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
-    placed = family.join(parts, "comp").select("id", "comp", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-    # a block meets itself and every other block of its family; a block of a family of one part goes out once
-    blocks = base.join(placed, "id").select("comp", "parts", "part", "id", "text").mapInArrow(
-        _payload, "comp long, parts long, part long, id long, sig binary, keys binary, counts binary"
-    )
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    dealt = blocks.select("*", other).select(
-        "comp", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "part", "sig", "keys", "counts"
-    )
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(n, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "id")
-    links = dealt.mapInArrow(_verify, "a long, b long")
-    classes = components(links, folder, "classes")
-    of_rep = classes.select(F.col("id").alias("rep"), "comp")
-    return member.join(of_rep, "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("comp", "rep").alias("class_id"))
+    parts = sized.groupBy("comp").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("parts"))
+    placed = stash(salted_join(family, parts, "comp", "id").select("id", "comp", "parts"), folder, "placed")
+    payload = base.join(placed.select("id"), "id").mapInArrow(_payload, _PAYLOAD)
+    one = F.lit(0).cast("long")
+    rows = placed.select("id", F.col("id").alias("cls"), F.col("comp").alias("group"), F.pmod(F.xxhash64(F.lit(0), "id"), "parts").alias("i"), one.alias("j"), F.lit(0).alias("side"), F.lit(0).alias("nth"))
+    labels = _joined(placed.select("id", F.col("id").alias("cls")), _linked(payload.join(rows, "id")), folder, "classes")
+    large = placed.where("parts > 1")
+    if not large.isEmpty():
+        own = stash(base.join(large.select("id"), "id").mapInArrow(_payload, _PAYLOAD), folder, "large")
+        rows = signed.join(large.select("id"), "id")
+        sizes = rows.groupBy("id").agg(F.max("size").alias("size"))
+        labels = _large_families(own, large, labels, sizes, rows.select("id", F.posexplode("bands").alias("nth", "band")).distinct(), folder)
+    of_rep = labels.withColumnRenamed("id", "rep")
+    return salted_join(member, of_rep, "rep", "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("cls", "rep").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -268,4 +330,4 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs)
     sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return salted_join(found, sizes, "class_id", "doc_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))

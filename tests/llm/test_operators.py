@@ -159,10 +159,12 @@ def family(rng, n, size, most):
     return out
 
 
-def test_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "BLOCK_DOCS", 8)
+@pytest.mark.parametrize("block", [8, 1])
+def test_near_duplicates(spark, monkeypatch, block):
+    """Families of many blocks; with blocks of one document more lots are left than bands, so buckets settle them."""
+    monkeypatch.setattr(near_dups, "BLOCK_DOCS", block)
     rng = random.Random(7)
-    texts = family(rng, 40, 200, 12) + family(rng, 20, 60, 4) + ["same same same same same same"] * 3 + ["a b c", "a b c", "a b d", "", None, "q"] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(50)) for _ in range(20)]
+    texts = family(rng, 40, 200, 12) + family(rng, 20, 60, 4) + family(rng, 45, 200, 20) + ["same same same same same same"] * 3 + ["a b c", "a b c", "a b d", "", None, "q"] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(50)) for _ in range(20)]
     got = by_id(near_dups.near_duplicates(docs_of(spark, texts)))
     assert {k: r.class_id for k, r in got.items()} == brute_classes(texts)
 
@@ -285,50 +287,67 @@ def test_schedule_is_even(spark):
 # ---------------------------------------------------------------- 6
 
 
-def brute_spans(texts):
+def brute_spans(texts, marks=".!?,;:", runs=None):
+    runs = runs or {3: 15, 2: 20, 1: 25}
     parts = {}
     for i, t in enumerate(texts):
         m = list(WORD.finditer(t))
-        first = [j for j in range(len(m)) if j == 0 or m[j - 1].group()[-1] in ".!?" or "\n" in t[m[j - 1].end() : m[j].start()]]
+        first = [j for j in range(len(m)) if j == 0 or m[j - 1].group()[-1] in marks or "\n" in t[m[j - 1].end() : m[j].start()]]
         ends = [*first[1:], len(m)]
         sent = [tuple(x.group() for x in m[a:b]) for a, b in zip(first, ends, strict=True)]
         place = [0 if k == 0 else m[a].start() for k, a in enumerate(first)] + [len(t)]
         parts[i] = (sent, place)
     count, least = Counter(), {}
-    for i, (s, _) in parts.items():
-        for j in range(len(s) - 2):
-            if sum(map(len, s[j : j + 3])) >= 10:
-                count[tuple(s[j : j + 3])] += 1
-                least.setdefault(tuple(s[j : j + 3]), (i, j))
+    every = {i: [(j, k, tuple(s[j : j + k])) for k, words in runs.items() for j in range(len(s) - k + 1) if sum(map(len, s[j : j + k])) >= words] for i, (s, _) in parts.items()}
+    for i, found in every.items():
+        for j, _, run in found:
+            count[run] += 1
+            least.setdefault(run, (i, j))
     out = {}
     for i, (s, p) in parts.items():
-        gone = {x for j in range(len(s) - 2) for x in (j, j + 1, j + 2) if count[tuple(s[j : j + 3])] > 1 and least[tuple(s[j : j + 3])] != (i, j)}
+        gone = {x for j, k, run in every[i] for x in range(j, j + k) if count[run] > 1 and least[run] != (i, j)}
         out[i] = (len(s), len(gone), "".join(texts[i][p[k] : p[k + 1]] for k in range(len(s)) if k not in gone) if s else texts[i])
     return out
 
 
 def test_sentence_spans(spark, sf, odd, nothing):
     got = by_id(sentence_spans.op6_sentence_spans(spark, SF))
-    assert {k: (r.n_sentences, r.n_removed, r.text) for k, r in got.items()} == brute_spans([t for _, t in sf])
+    assert {k: (r.n_pieces, r.n_removed, r.text) for k, r in got.items()} == brute_spans([t for _, t in sf])
+    got = by_id(sentence_spans.remove_repeated_spans(spark.read.parquet(f"{SF}/documents.parquet"), marks=".!?", runs={3: 10}))
+    assert {k: (r.n_pieces, r.n_removed, r.text) for k, r in got.items()} == brute_spans([t for _, t in sf], ".!?", {3: 10})
     rows = sentence_spans.remove_repeated_spans(odd).collect()
     assert len(rows) == odd.count()
     by = {r.doc_id: r for r in rows if r.doc_id}
-    assert by[6].n_removed == by[6].n_sentences == 900 and by[5].n_removed == 0 and by[1].text == "" and by[3].text == " \n\t "
+    assert by[6].n_removed == by[6].n_pieces == 900 and by[5].n_removed == 0 and by[1].text == "" and by[3].text == " \n\t "
     assert sentence_spans.remove_repeated_spans(nothing).count() == 0
 
 
-def test_short_spans(spark, odd, nothing):
+def test_passages_cut_inside_sentences(spark):
+    """Passages of 51 to 100 words, cut and put in anywhere: nine in ten lose words, and other documents none."""
     rng = random.Random(6)
-    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "."
-    long, two, one = say(25), f"{say(7)} {say(8)}", say(12)
-    texts = [f"{say(9)} {long} {say(9)}", f"{say(9)} {two} {say(9)}", one, "Short text.", f"{say(9)} {long} {say(9)}", f"{say(9)} {two} {say(9)}", one, "Short text.", f"{say(9)} {one} {say(9)}", two]
-    got = by_id(sentence_spans.remove_repeated_spans(docs_of(spark, texts), short=True))
-    assert [got[i].n_removed for i in range(10)] == [0, 0, 0, 0, 1, 2, 1, 1, 0, 2]
-    assert got[4].text == texts[4].replace(long + " ", "") and got[5].text == texts[5].replace(two + " ", "") and got[6].text == got[9].text == ""
-    rows = sentence_spans.remove_repeated_spans(odd, short=True).collect()
-    by = {r.doc_id: r for r in rows if r.doc_id}
-    assert len(rows) == odd.count() and by[6].n_removed == 900 and by[5].n_removed == 0 and by[3].text == " \n\t "
-    assert sentence_spans.remove_repeated_spans(nothing, short=True).count() == 0
+
+    def prose(n):
+        out = []
+        while n > 0:
+            k = min(n, rng.choice([3, 6, 6, 10, 15, 30]))
+            n -= k
+            out.append(" ".join(f"w{rng.randrange(10**5)}" for _ in range(k)) + rng.choice(".,.!;"))
+        return " ".join(out)
+
+    texts, planted = [], []
+    for i in range(300):
+        words = prose(200).split()
+        if i % 3:
+            at = rng.randrange(200)
+            if i % 3 == 1:
+                passage = prose(150).split()[(k := rng.randrange(40)) : k + rng.randrange(51, 101)]
+            else:
+                planted.append(i)
+            words[at:at] = passage
+        texts.append(" ".join(words))
+    got = by_id(sentence_spans.remove_repeated_spans(docs_of(spark, texts)))
+    assert sum(got[i].n_removed > 0 for i in planted) >= 0.9 * len(planted)
+    assert not any(got[i].n_removed for i in range(300) if i % 3 != 2)
 
 
 # ---------------------------------------------------------------- 7
