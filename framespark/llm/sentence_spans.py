@@ -1,11 +1,10 @@
-"""Substring dedup by sliding sentence spans: every run of three sentences is hashed and joined globally.
+"""Substring dedup by sliding sentence spans: every run of consecutive pieces of sentences is hashed and joined globally.
 
-A sentence ends at a word that closes with . ! or ?, or at a line break. A run counts as repeated if its words occur as
-a run elsewhere, in any document; the first occurrence (smallest doc_id, then position) stays, and every sentence that
-some other occurrence covers is removed. Runs of fewer than ten words are no passages and are left alone.
-
-Runs of three miss repeats of one or two sentences. With ``short`` runs of two sentences, single sentences of LONG words
-and whole texts of fewer than three sentences are hashed too, and joined in the same way.
+A piece ends at a word that closes with . ! ? , ; or :, or at a line break. Sentences alone are too coarse: where a passage
+starts or ends inside a sentence, the whole of that sentence would be lost to the comparison. A run of three, two or one
+pieces with enough words counts as repeated if its words occur as such a run elsewhere, in any document; the first
+occurrence (smallest doc_id, then position) stays, and every piece that some other occurrence covers is removed. Shorter
+runs need more words, so that everyday phrases are left alone.
 """
 
 from __future__ import annotations
@@ -17,27 +16,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framespark.llm.common import _R, _RI, Words, mix, powers, slices, stash, text_bytes, work_dir
+from framespark.llm.common import _R, _RI, Words, mix, powers, salted_join, slices, stash, text_bytes, work_dir
 
-RUN = 3
-LEAST_WORDS = 10
-#: With short: so many words make a single sentence a passage.
-LONG = 20
-ENDS = np.zeros(256, bool)
-ENDS[list(b".!?")] = True
+#: Pieces of a run -> its least words.
+RUNS = {3: 15, 2: 20, 1: 25}
+#: Marks that end a piece.
+MARKS = ".!?,;:"
 
 
 class Sentences:
-    """Sentences of a slice: index of the first word, document, hash of the words, and number of words."""
+    """Pieces of a slice: index of the first word, document, hash of the words, and number of words."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, marks: str = MARKS):
+        ends = np.zeros(256, bool)
+        ends[list(marks.encode())] = True
         w = self.words = Words(data, off)
         n = len(w.start)
         first = np.ones(n, bool)
         if n:
             breaks = np.concatenate(([0], np.cumsum(data == 10)))
             gap = breaks[w.start[1:]] - breaks[w.end[:-1]] > 0
-            first[1:] = gap | ENDS[data[w.end[:-1] - 1]] | (w.doc[1:] != w.doc[:-1])
+            first[1:] = gap | ends[data[w.end[:-1] - 1]] | (w.doc[1:] != w.doc[:-1])
         self.first = np.flatnonzero(first)
         self.doc = w.doc[self.first]
         self.size = np.diff(np.append(self.first, n))
@@ -48,98 +47,92 @@ class Sentences:
         else:
             self.hash = np.zeros(0, np.uint64)
 
-    def runs(self, size: int = RUN, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-        """(first sentence, hash) of each run of so many sentences inside one document that has enough words."""
+    def runs(self, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first piece, hash) of each run of so many pieces inside one document that has enough words."""
         m = len(self.hash) - size + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         words = np.convolve(self.size, np.ones(size, np.int64), "valid")
         at = np.flatnonzero((self.doc[:m] == self.doc[size - 1 :]) & (words >= least))
-        h = np.zeros(m, np.uint64)
+        h = np.full(m, size, np.uint64)
         for i in range(size):
             h = h * np.uint64(0x9FB21C651E98DF25) + self.hash[i : i + m]
         return at, mix(h[at])
 
-    def short_runs(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(sentences, first sentence, hash) of runs below RUN: long enough, or the whole text."""
-        found = []
-        for size in range(1, RUN):
-            at, h = self.runs(size, 1)
-            words = np.convolve(self.size, np.ones(size, np.int64), "valid")[at] if len(at) else at
-            take = (words >= (LONG if size == 1 else LEAST_WORDS)) | (self.per_doc[self.doc[at]] == size)
-            found.append((size, at[take], mix(h[take] + np.uint64(size))))
-        return found
-
-
-def _runs(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        data, off = text_bytes(b.column("text"))
-        s = Sentences(data, off)
-        for size, at, h in [(RUN, *s.runs()), *(s.short_runs() if short else [])]:
-            doc = s.doc[at]
-            place = at - np.concatenate(([0], np.cumsum(s.per_doc)))[doc]
-            # place and number of sentences in one number
-            code = place * (RUN + 1) + size
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(code, pa.int32()), pa.array(h.view(np.int64))], names=["doc_id", "place", "h"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        data, off = text_bytes(b.column("text"))
-        s = Sentences(data, off)
-        n = len(off) - 1
-        base = np.concatenate(([0], np.cumsum(s.per_doc)))
-        gone = np.zeros(len(s.first), bool)
-        places = b.column("places").to_pylist()
-        for d, hit in enumerate(places):
-            if hit:
-                place, size = np.divmod(np.array(hit, np.int64), RUN + 1)
-                at = (base[d] + place)[:, None] + np.arange(RUN)
-                gone[at[(at < base[d + 1]) & (np.arange(RUN) < size[:, None])]] = True
-        # a sentence reaches to the next one of its document; blanks before the first belong to it
-        start = s.words.start[s.first] if len(s.first) else np.zeros(0, np.int64)
-        starts_doc = np.concatenate(([True], s.doc[1:] != s.doc[:-1])) if len(s.doc) else np.zeros(0, bool)
-        start = np.where(starts_doc, off[s.doc], start)
-        end = np.where(np.append(starts_doc[1:], True), off[s.doc + 1], np.append(start[1:], 0)) if len(s.doc) else start
-        cover = np.zeros(len(data) + 1, np.int64)
-        cover[start[gone]] += 1
-        np.add.at(cover, end[gone], -1)
-        keep = np.cumsum(cover[:-1]) == 0
-        kept = np.concatenate(([0], np.cumsum(keep)))[off]
-        text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep]))]).cast(pa.string())
-        removed = np.bincount(s.doc[gone], minlength=n)
-        rest = [c for c in b.schema.names if c not in ("text", "places")]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in rest), pa.array(s.per_doc, pa.int64()), pa.array(removed, pa.int64()), text],
-            names=[*rest, "n_sentences", "n_removed", "text"],
-        )
-
-
-def repeated_runs(docs: DataFrame, folder: str | None = None, short: bool = False) -> DataFrame:
-    """(doc_id, place): the runs (number of the first sentence times RUN + 1, plus sentences) that are no first occurrence."""
+
+def _runs(marks: str, runs: dict[int, int]):
+    most = max(runs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            s = Sentences(*text_bytes(b.column("text")), marks)
+            base = np.concatenate(([0], np.cumsum(s.per_doc)))
+            for size, least in runs.items():
+                at, h = s.runs(size, least)
+                doc = s.doc[at]
+                # place and number of pieces in one number
+                code = (at - base[doc]) * (most + 1) + size
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(code, pa.int64()), pa.array(h.view(np.int64))], names=["doc_id", "place", "h"])
+
+    return run
+
+
+def _cut(marks: str, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            data, off = text_bytes(b.column("text"))
+            s = Sentences(data, off, marks)
+            n = len(off) - 1
+            base = np.concatenate(([0], np.cumsum(s.per_doc)))
+            gone = np.zeros(len(s.first), bool)
+            for d, hit in enumerate(b.column("places")):
+                if hit.is_valid:
+                    place, size = np.divmod(hit.values.to_numpy(), most + 1)
+                    at = (base[d] + place)[:, None] + np.arange(most)
+                    gone[at[(at < base[d + 1]) & (np.arange(most) < size[:, None])]] = True
+            # a piece reaches to the next one of its document; blanks before the first belong to it
+            start = s.words.start[s.first] if len(s.first) else np.zeros(0, np.int64)
+            starts_doc = np.concatenate(([True], s.doc[1:] != s.doc[:-1])) if len(s.doc) else np.zeros(0, bool)
+            start = np.where(starts_doc, off[s.doc], start)
+            end = np.where(np.append(starts_doc[1:], True), off[s.doc + 1], np.append(start[1:], 0)) if len(s.doc) else start
+            cover = np.zeros(len(data) + 1, np.int64)
+            cover[start[gone]] += 1
+            np.add.at(cover, end[gone], -1)
+            keep = np.cumsum(cover[:-1]) == 0
+            kept = np.concatenate(([0], np.cumsum(keep)))[off]
+            text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep]))]).cast(pa.string())
+            removed = np.bincount(s.doc[gone], minlength=n)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s.per_doc, pa.int64()), pa.array(removed, pa.int64()), text], names=["doc_id", "n_pieces", "n_removed", "text"])
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, folder: str | None = None, marks: str = MARKS, runs: dict[int, int] | None = None) -> DataFrame:
+    """(doc_id, place): the runs that are no first occurrence, as first piece times (longest run + 1), plus pieces."""
     folder = folder or work_dir(docs.sparkSession)
     texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text")
-    runs = stash(texts.mapInArrow(lambda batches: _runs(batches, short), "doc_id long, place int, h long"), folder, "runs")
+    found = stash(texts.mapInArrow(_runs(marks, runs or RUNS), "doc_id long, place long, h long"), folder, "runs")
     # rows that repeat a doc_id repeat its runs; they are the same occurrence
-    first = runs.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = runs.join(first.select("h", "least"), "h")
+    first = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = salted_join(found, first.select("h", "least"), "h", "doc_id")
     # inside the first document too only its first place stays
     places = shared.where("doc_id = least").groupBy("h").agg(F.min("place").alias("stays"))
-    return shared.join(places, "h").where("not (doc_id = least and place = stays)").select("doc_id", "place").distinct()
+    return salted_join(shared, places, "h", "doc_id").where("not (doc_id = least and place = stays)").select("doc_id", "place").distinct()
 
 
-def remove_repeated_spans(docs: DataFrame, folder: str | None = None, short: bool = False) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, text): each row of docs with the text that stays.
+def remove_repeated_spans(docs: DataFrame, folder: str | None = None, marks: str = MARKS, runs: dict[int, int] | None = None) -> DataFrame:
+    """(doc_id, n_pieces, n_removed, text): pieces, removed pieces and the text that stays of each row of docs.
 
-    Null texts become empty; texts with fewer than three sentences have no run and stay whole, unless short is on; rows without a doc_id are
-    neither compared nor cut; rows that repeat a doc_id count as one document; other columns are ignored.
+    Null texts become empty; texts without a run of enough words stay whole; rows without a doc_id are neither compared
+    nor cut; rows that repeat a doc_id count as one document; other columns are ignored.
     """
-    repeated = repeated_runs(docs, folder, short).groupBy("doc_id").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc_id", "_id")
+    runs = runs or RUNS
+    repeated = repeated_runs(docs, folder, marks, runs).groupBy("doc_id").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc_id", "_id")
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     j = rows.join(repeated, rows["doc_id"] == repeated["_id"], "left").select("doc_id", "text", "places")
-    return j.mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, text string")
+    return j.mapInArrow(_cut(marks, max(runs)), "doc_id long, n_pieces long, n_removed long, text string")
 
 
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_sentences, n_removed, text (what stays) of every document."""
+    """doc_id, n_pieces, n_removed, text (what stays) of every document."""
     return remove_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
