@@ -1,11 +1,14 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are lower-case words and their first four and five characters. Those that stand in more of the toxic examples than
-of the others, beyond chance (log-likelihood ratio), form the vocabulary; a text without any is at the base rate. A bounded sample of labelled rows are the examples; their vectors are kept as
-postings in blocks of examples with the greatest weight of each term in each block, which bounds the cosine of any
-example of the block. A query scores blocks in order of their bounds and stops when no block can reach its k-th best, so
-neighbours are exact. Votes weigh by distance; a logistic curve fitted to left-one-out votes of the examples
-calibrates them. The nearest examples are returned as evidence.
+Terms are lower-case words and the first five characters of longer ones; every term of the examples is in the vocabulary.
+A weight is (1 + log tf) * idf, with document frequencies of all documents, times 1 + the term's log-likelihood ratio
+between the toxic examples and the others: a factor that lets telling terms prevail and drops none. The examples are a
+bounded sample of labelled rows. Their vectors are postings by term, cut in blocks of examples, with the greatest weight
+of a term in each block; the most frequent terms are kept as dense rows and added up by a matrix product. Both bound the
+cosine of any example of a block. A query scores the blocks of the highest bounds, then every block that could still reach
+its k-th best, so neighbours are exact; all that are as near as the k-th count, whatever their order. Votes weigh by
+distance; a logistic curve calibrates them, fitted to votes on the examples with each one's label taken back, out of the
+index and out of its own term weights. The nearest examples are returned as evidence.
 """
 
 from __future__ import annotations
@@ -18,18 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framespark.llm.common import Words, ragged, slices, text_bytes
+from framespark.llm.common import Words, ragged, slices, stash, text_bytes, work_dir
 
-#: Bound on the labelled rows that are examples, and on the terms.
-MAX_EXAMPLES, MAX_TERMS = 16_384, 4096
-#: Least documents of a term, its log-likelihood ratio (chi-square at 0.001), and how many times its share of toxic
-#: documents exceeds that of the others; without the last, every common word of long texts would be a term.
-MIN_DOCS, MIN_RATIO, MIN_LIFT = 5, 10.83, 3
+#: Bound on the labelled rows that are examples.
+MAX_EXAMPLES = 4096
 NEIGHBOURS = 15
-BLOCK = 64
+#: Examples of a block, blocks scored at first, frequent terms kept dense, and queries of a matrix product.
+BLOCK, FIRST_BLOCKS, DENSE, QUERIES = 32, 4, 256, 256
+#: Cosines that differ by less are equal.
+SAME = 1e-9
 #: A vote weighs 1 / (distance + SOFT); PRIOR is the weight of the base rate among the votes.
 SOFT, PRIOR = 0.1, 1.0
-PREFIXES = (4, 5)
+PREFIXES = (5,)
 
 #: Bytes that part terms: ASCII other than letters.
 PARTS = np.ones(256, bool)
@@ -61,36 +64,52 @@ def log_likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.n
     return 2 * (part(a, n1, a / max(n1, 1)) + part(b, n0, b / max(n0, 1)) - part(a, n1, both) - part(b, n0, both))
 
 
-class Vectors:
-    """Unit TF-IDF vectors over a sorted vocabulary of term hashes."""
-
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
-        self.vocabulary, self.idf = vocabulary, idf
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[(vocabulary & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-
-    def of(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first entry of each document, term numbers, weights)."""
-        doc, h, n = terms(col)
-        some = self.maybe[(h & np.uint64((1 << 18) - 1)).astype(np.int64)]
-        doc, h = doc[some], h[some]
-        v = len(self.vocabulary)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), v - 1)
-        hit = self.vocabulary[at] == h
+def term_counts(col: pa.Array, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each document, terms, occurrences): hashes in order, or numbers of those in a sorted vocabulary."""
+    doc, h, n = terms(col)
+    if vocabulary is not None:
+        v = len(vocabulary)
+        at = np.minimum(np.searchsorted(vocabulary, h), max(v - 1, 0))
+        hit = vocabulary[at] == h if v else np.zeros(len(h), bool)
         key, tf = np.unique(doc[hit] * v + at[hit], return_counts=True)
-        doc, term = key // v, key % v
-        weight = (1 + np.log(tf)) * self.idf[term]
-        norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=n))
-        return np.searchsorted(doc, np.arange(n + 1)), term, weight / norm[doc]
+        return np.searchsorted(key, np.arange(n + 1) * v), key % max(v, 1), tf
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return np.searchsorted(doc[at], np.arange(n + 1)), h[at], np.diff(np.append(at, len(h)))
+
+
+class Weights:
+    """Unit vectors over a sorted vocabulary: n1, n0 toxic and other examples, a and b of them with each term."""
+
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, a: np.ndarray, b: np.ndarray, n1: int, n0: int):
+        self.vocabulary, self.idf, self.a, self.b, self.n1, self.n0 = vocabulary, idf, a, b, n1, n0
+        self.factor = 1 + np.maximum(log_likelihood_ratio(a, b, n1, n0), 0)
+
+    def unit(self, first: np.ndarray, term: np.ndarray, tf: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Weights of the entries; own is the label of each document, taken out of its factors."""
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        factor = self.factor[term]
+        if own is not None:
+            for label in (0, 1):
+                at = np.flatnonzero(own[doc] == label)
+                t = term[at]
+                lone = log_likelihood_ratio(self.a[t] - label, self.b[t] - (1 - label), self.n1 - label, self.n0 - (1 - label))
+                factor[at] = 1 + np.maximum(lone, 0)
+        weight = (1 + np.log(tf)) * self.idf[term] * factor
+        norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=len(first) - 1))
+        return weight / np.maximum(norm[doc], 1e-300)
 
 
 class BlockMaxIndex:
-    """Postings of the examples by block and term, with the greatest weight of each term in each block."""
+    """Unit vectors of the examples: dense rows of the most frequent terms; of the others postings by term, in blocks of
+    examples, with the greatest weight of each block."""
 
     def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, label: np.ndarray, name: np.ndarray, v: int):
         self.base_rate = float(label.mean()) if len(label) else 0.0
-        # an example without a term is never near; the others with the same strongest term stand together, which makes
-        # the bounds tight
+        # examples with the same strongest term stand together, which makes the bounds tight
         some = np.flatnonzero(np.diff(first))
         strongest = np.array([term[a:b][np.argmax(weight[a:b])] for a, b in zip(first[some], first[some + 1], strict=True)], np.int64)
         order = some[np.lexsort((name[some], strongest))]
@@ -98,47 +117,80 @@ class BlockMaxIndex:
         place = np.full(len(first) - 1, -1)
         place[order] = np.arange(len(order))
         row = place[np.repeat(np.arange(len(first) - 1), np.diff(first))]
-        blocks = -(-len(order) // BLOCK)
-        sort = np.lexsort((row, term, row // BLOCK))
-        self.row, self.weight = row[sort], weight[sort]
-        key = (row // BLOCK * v + term)[sort]
-        self.first = np.searchsorted(key, np.arange(blocks * v + 1)).astype(np.int64)
-        self.top = np.zeros((v, blocks), np.float64)
-        np.maximum.at(self.top, (term, row // BLOCK), weight)
-        self.v, self.blocks = v, blocks
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, ties in order of the index.
-
-        Blocks are scored by falling bound, a few at first and then twice as many each time.
-        """
-        bound = weight @ self.top[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, cos = np.zeros(0, np.int64), np.zeros(0)
-        at, many = 0, 4
-        while at < len(order):
-            if len(cos) == k and bound[order[at]] < cos[-1] - 1e-12:
-                break
-            b = order[at : at + many]
-            at, many = at + many, many * 2
-            cell = (b[:, None] * self.v + term).ravel()
-            lo, count = self.first[cell], self.first[cell + 1] - self.first[cell]
-            hit = ragged(lo, count)
-            here, inverse = np.unique(self.row[hit], return_inverse=True)
-            score = np.bincount(inverse, weights=np.repeat(np.tile(weight, len(b)), count) * self.weight[hit])
-            if without is not None:
-                keep = self.name[here] != without
-                here, score = here[keep], score[keep]
-            ids, cos = np.concatenate((ids, here)), np.concatenate((cos, score))
-            # sums of one cosine may differ in the last bits by order; equal to 12 places is equal
-            best = np.lexsort((ids, -np.round(cos, 12)))[:k]
-            ids, cos = ids[best], cos[best]
-        return ids, cos
+        self.blocks = -(-len(order) // BLOCK)
+        df = np.bincount(term, minlength=v)
+        frequent = np.argsort(-df, kind="stable")[:DENSE]
+        self.dense_at = np.full(v, -1)
+        self.dense_at[frequent] = np.arange(len(frequent))
+        at = self.dense_at[term]
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        self.dense[at[at >= 0], row[at >= 0]] = weight[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.lexsort((row[rare], term[rare]))]
+        t, self.row, self.weight = term[rare], row[rare].astype(np.int32), weight[rare]
+        key = t * self.blocks + self.row // BLOCK
+        cell = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.cell_first = np.append(cell, len(key))
+        self.cell_block = (self.row[cell] // BLOCK).astype(np.int64)
+        self.cell_top = np.maximum.reduceat(self.weight, cell) if len(cell) else np.zeros(0)
+        self.cells = np.searchsorted(t[cell], np.arange(v + 1))
+
+    def nearest(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of each query: the k nearest with a cosine above 0 and all as near as the last of them, nearest
+        first. ``without`` names an example for each query that doesn't count."""
+        at = self.dense_at[term]
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for low in range(0, len(first) - 1, QUERIES):
+            high = min(low + QUERIES, len(first) - 1)
+            part = np.flatnonzero(at[first[low] : first[high]] >= 0) + first[low]
+            frequent = np.zeros((high - low, len(self.dense)))
+            frequent[doc[part] - low, at[part]] = weight[part]
+            sums = frequent @ self.dense
+            tops = sums.reshape(high - low, self.blocks, BLOCK).max(axis=2)
+            for i in range(low, high):
+                rare = np.flatnonzero(at[first[i] : first[i + 1]] < 0) + first[i]
+                yield self._nearest(sums[i - low], tops[i - low], term[rare], weight[rare], k, None if without is None else without[i])
+
+    def _nearest(self, score: np.ndarray, top: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        count = self.cells[term + 1] - self.cells[term]
+        cell = ragged(self.cells[term], count)
+        w = np.repeat(weight, count)
+        block = self.cell_block[cell]
+        bound = top + np.bincount(block, weights=w * self.cell_top[cell], minlength=self.blocks)
+        out = np.flatnonzero(self.name == without) if without is not None else None
+        done = np.zeros(self.blocks, bool)
+        last = 0.0
+        for stage in (0, 1):
+            if stage == 0:
+                todo = np.zeros(self.blocks, bool)
+                todo[np.argpartition(-bound, FIRST_BLOCKS - 1)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else slice(None)] = True
+            else:
+                todo = ~done & (bound >= last - SAME)
+            mine = todo[block]
+            if mine.any():
+                c = cell[mine]
+                many = self.cell_first[c + 1] - self.cell_first[c]
+                hit = ragged(self.cell_first[c], many)
+                score += np.bincount(self.row[hit], weights=np.repeat(w[mine], many) * self.weight[hit], minlength=len(score))
+            done |= todo
+            here = np.flatnonzero(np.repeat(done, BLOCK)[: len(self.name)])
+            here = here[score[here] > SAME]
+            if out is not None:
+                here = here[~np.isin(here, out)]
+            cos = score[here]
+            if len(cos) > k:
+                last = -np.partition(-cos, k - 1)[k - 1]
+                near = cos >= last - SAME
+                here, cos = here[near], cos[near]
+            else:
+                last = 0.0
+        order = np.argsort(-np.round(cos, 9), kind="stable")
+        return here[order], np.minimum(cos[order], 1.0)
 
     def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
-        w = 1 / (np.maximum(1 - cos, 0) + SOFT)
-        return float((w @ self.label[ids] + PRIOR * self.base_rate) / (w.sum() + PRIOR))
+        # equal cosines may differ in their last bits, and so might sums over them in another order
+        w = np.round(1 / (1 - np.round(cos, 9) + SOFT), 9)
+        return float((math.fsum(w * self.label[ids]) + PRIOR * self.base_rate) / (math.fsum(w) + PRIOR))
 
 
 def fit_curve(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -158,15 +210,14 @@ def fit_curve(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    def __init__(self, vectors: Vectors, index: BlockMaxIndex, slope: float = 1.0, shift: float = 0.0):
-        self.vectors, self.index, self.slope, self.shift = vectors, index, slope, shift
+    def __init__(self, weights: Weights, index: BlockMaxIndex, slope: float = 1.0, shift: float = 0.0):
+        self.weights, self.index, self.slope, self.shift = weights, index, slope, shift
 
-    def raw(self, col: pa.Array, without: list[int] | None = None) -> tuple[list[float], list[list[int]]]:
-        first, term, weight = self.vectors.of(col)
+    def raw(self, col: pa.Array, own: np.ndarray | None = None, without: np.ndarray | None = None) -> tuple[list[float], list[list[int]]]:
+        """Votes and evidence; for calibration with each text's own label and example left out."""
+        first, term, tf = term_counts(col, self.weights.vocabulary)
         votes, evidence = [], []
-        for i in range(len(first) - 1):
-            a, b = first[i], first[i + 1]
-            ids, cos = self.index.nearest(term[a:b], weight[a:b], NEIGHBOURS, without[i] if without else None) if b > a else (np.zeros(0, np.int64), np.zeros(0))
+        for ids, cos in self.index.nearest(first, term, self.weights.unit(first, term, tf, own), NEIGHBOURS, without):
             votes.append(self.index.vote(ids, cos))
             evidence.append(self.index.name[ids[:3]].tolist())
         return votes, evidence
@@ -176,73 +227,69 @@ class Model:
         return 1 / (1 + math.exp(-(self.slope * math.log(raw / (1 - raw)) + self.shift)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """(documents with each term, documents), counted over all of docs; each task sends one sum a term."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        n = np.zeros(len(v) + 1, np.int64)  # the last one counts the documents
+        for b in slices(batches):
+            _, term, _ = term_counts(b.column("text"), v)
+            n[:-1] += np.bincount(term, minlength=len(v))
+            n[-1] += b.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
+
+    got = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[got["term"].to_numpy()] = got["n"].to_numpy()
+    return df[:-1], int(df[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Model | None:
     """A model from labelled rows (doc_id, toxic 0 or 1), of which at most MAX_EXAMPLES are used; None if one label lacks.
 
     A doc_id with several labels counts as toxic if any is; labels without a document, and other values, are ignored.
-    Which rows are sampled depends on a hash. What reaches the driver is bounded by MAX_EXAMPLES and MAX_TERMS.
+    Which rows are sampled depends on a hash. What reaches the driver is the terms of at most MAX_EXAMPLES texts.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(MAX_EXAMPLES)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").selectExpr("cast(doc_id as long) doc_id", "text", "toxic")
+    rows = stash(rows, folder or work_dir(spark), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            doc, h, n = terms(b.column("text"))
-            label = b.column("toxic").to_numpy()
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            doc, h = doc[new], h[new]
-            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            toxic = np.add.reduceat(label[doc], at) if len(h) else at
-            total = np.diff(np.append(at, len(h)))
-            # hash 0 stands for the documents themselves
-            hs = np.append(h[at], np.uint64(0)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hs), pa.array(np.append(toxic, label.sum()), pa.int64()), pa.array(np.append(total - toxic, n - label.sum()), pa.int64())], names=["h", "n1", "n0"])
-
-    counts = rows.mapInArrow(count, "h long, n1 long, n0 long").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).persist()
-    size = counts.where("h = 0").first()
-    if not size or not size.n1 or not size.n0:
-        counts.unpersist()
-        return None
-    n1, n0 = int(size.n1), int(size.n0)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = b.column("n1").to_numpy(), b.column("n0").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(a + c), pa.array(log_likelihood_ratio(a, c, n1, n0))], names=["h", "n", "ratio"])
-
-    rated = counts.where(f"h <> 0 and n1 + n0 >= {MIN_DOCS} and n1 * {n0} >= {MIN_LIFT} * n0 * {n1}").mapInArrow(rate, "h long, n long, ratio double")
-    chosen = rated.where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "h").limit(MAX_TERMS).toPandas()
-    counts.unpersist()
-    if not len(chosen):
+            first, h, tf = term_counts(b.column("text"))
+            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in (h.view(np.int64), tf)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *lists], names=["doc_id", "toxic", "h", "tf"])
+
+    got = rows.mapInArrow(count, "doc_id long, toxic int, h array<long>, tf array<long>").orderBy("doc_id").toArrow().combine_chunks()
+    label = got["toxic"].to_numpy().astype(np.int64)
+    n1 = int(label.sum())
+    n0 = len(label) - n1
+    if not n1 or not n0:
         return None
-    h = chosen["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    vectors = Vectors(h[order], np.log((n1 + n0 + 1) / (chosen["n"].to_numpy()[order] + 0.5)))
-
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            first, term, weight = vectors.of(b.column("text"))
-            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in (term, weight)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *lists], names=["doc_id", "toxic", "term", "weight"])
-
-    got = rows.mapInArrow(embed, "doc_id long, toxic int, term array<long>, weight array<double>").toArrow().combine_chunks()
-    first = np.concatenate(([0], np.cumsum(np.array([len(x) for x in got["term"]], np.int64))))
-    flat = [got[c].combine_chunks().flatten().to_numpy() for c in ("term", "weight")]
-    index = BlockMaxIndex(first, *flat, got["toxic"].to_numpy(), got["doc_id"].to_numpy(), len(vectors.vocabulary))
-    model = Model(vectors, index)
+    first = np.concatenate(([0], np.cumsum([len(x) for x in got["h"]]))).astype(np.int64)
+    h, tf = (got[c].combine_chunks().flatten().to_numpy() for c in ("h", "tf"))
+    vocabulary, term = np.unique(h.view(np.uint64), return_inverse=True)
+    toxic = np.repeat(label, np.diff(first)) == 1
+    v = len(vocabulary)
+    a, b = np.bincount(term[toxic], minlength=v), np.bincount(term[~toxic], minlength=v)
+    df, n = document_frequencies(docs, vocabulary)
+    weights = Weights(vocabulary, np.log((n + 1) / (df + 0.5)), a, b, n1, n0)
+    index = BlockMaxIndex(first, term, weights.unit(first, term, tf), label, got["doc_id"].to_numpy(), v)
+    model = Model(weights, index)
     shared = spark.sparkContext.broadcast(model)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            raw, _ = shared.value.raw(b.column("text"), b.column("doc_id").to_pylist())
+            raw, _ = shared.value.raw(b.column("text"), b.column("toxic").to_numpy(), b.column("doc_id").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), b.column("toxic")], names=["raw", "toxic"])
 
-    votes = rows.mapInArrow(left_out, "raw double, toxic int").toPandas()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    votes = rows.repartition(parts).mapInArrow(left_out, "raw double, toxic int").orderBy("raw", "toxic").toPandas()
     model.slope, model.shift = fit_curve(votes["raw"].to_numpy(), votes["toxic"].to_numpy(np.float64))
     return model
 
@@ -250,8 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, predicted, evidence): score in [0, 1] from the text alone; evidence are the nearest examples' ids.
 
-    Texts without a known term, null and empty ones too, get the calibrated base rate. Repeated rows score alike; a null
-    doc_id stays null. Without a model (no labels of one kind) every score is 0. Other columns are ignored.
+    Texts without a word of any example, null and empty ones too, get the calibrated base rate and no evidence. Repeated
+    rows score alike; a null doc_id stays null. Without a model (no labels of one kind) every score is 0. Other columns
+    are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
