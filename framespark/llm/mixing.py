@@ -122,12 +122,20 @@ def streams(sizes: DataFrame, n_docs: int) -> DataFrame:
 
 
 def mixed_sizes(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """(doc_id, h, source, size, source_size, target, taken): one row per row of docs; taken counts repeats.
+    """(doc_id, h, source, size, source_size, target, taken, lo, first_slot, last_slot): one row per row of docs.
+
+    taken counts repeats; first_slot and last_slot are the slots of the schedule that take the document first and last,
+    lo its place in its source's stream; all three are null where nothing is taken.
 
     Null texts have no words and none are taken; a null source is a source of its own; rows that repeat a doc_id are
     documents of their own; other columns are ignored; an empty table gives no rows. The order of documents and the
     schedule depend on the rows alone, so reruns agree.
     """
+    return _mix(docs, folder)[0]
+
+
+def _mix(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The result of mixed_sizes, the slots of the schedule, and the words of a block."""
     spark = docs.sparkSession
     folder = folder or work_dir(spark)
     sizes = stash(sized(docs), folder, "sizes")
@@ -140,7 +148,7 @@ def mixed_sizes(docs: DataFrame, folder: str | None = None) -> DataFrame:
     size = targets.select(F.col("source").alias("_s"), F.col("source_size").alias("_n"))
     turns = slots.join(size, _same(slots["source"], size["_s"])).withColumn("turn", F.explode(F.expr("sequence(begin div _n, (end - 1) div _n)")))
     base = F.col("turn") * F.col("_n")
-    pieces = turns.select("source", (F.greatest(F.col("begin"), base) - base).alias("lo"), (F.least(F.col("end"), base + F.col("_n")) - base).alias("hi"))
+    pieces = turns.select("slot", "source", (F.greatest(F.col("begin"), base) - base).alias("lo"), (F.least(F.col("end"), base + F.col("_n")) - base).alias("hi"))
 
     def cut(df: DataFrame) -> DataFrame:
         """Split [lo, hi) at the bin borders."""
@@ -148,35 +156,47 @@ def mixed_sizes(docs: DataFrame, folder: str | None = None) -> DataFrame:
         return df.withColumns({"a": F.greatest(F.col("lo"), F.col("bin") * block), "b": F.least(F.col("hi"), (F.col("bin") + 1) * block)})
 
     of_docs = cut(placed.withColumn("hi", F.col("lo") + F.col("size"))).select("doc_id", "h", "source", "size", "lo", "bin", "a", "b")
-    of_slots = cut(pieces).groupBy("source", "bin", "a", "b").agg(F.count(F.lit(1)).alias("times"))
-    of_slots = of_slots.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), F.col("a").alias("_lo"), F.col("b").alias("_hi"), "times")
+    of_slots = cut(pieces).groupBy("source", "bin", "a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+    of_slots = of_slots.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), F.col("a").alias("_lo"), F.col("b").alias("_hi"), "times", "first", "last")
     hit = of_docs.join(of_slots, _same(of_docs["source"], of_slots["_s"]) & (of_docs["bin"] == of_slots["_b"]), "left")
     words = F.coalesce(F.greatest(F.least("b", "_hi") - F.greatest("a", "_lo"), F.lit(0)) * F.col("times"), F.lit(0))
-    taken = hit.groupBy("source", "lo", "doc_id", "h", "size").agg(F.sum(words).alias("taken")).select("doc_id", "h", "source", "size", "taken")
-    none = sizes.where("size = 0").select("doc_id", "h", "source", "size", F.lit(0).cast("long").alias("taken"))
+    used = lambda c: F.when(words > 0, F.col(c))
+    taken = hit.groupBy("source", "lo", "doc_id", "h", "size").agg(F.sum(words).alias("taken"), F.min(used("first")).alias("first_slot"), F.max(used("last")).alias("last_slot"))
+    null = F.lit(None).cast("long")
+    none = sizes.where("size = 0").select("source", null, "doc_id", "h", "size", F.lit(0).cast("long"), null, null)
     info = targets.select(F.col("source").alias("_s"), "source_size", "target")
     out = taken.union(none)
-    return out.join(info, _same(out["source"], info["_s"]), "left").select("doc_id", "h", "source", "size", "source_size", "target", "taken")
+    out = out.join(info, _same(out["source"], info["_s"]), "left")
+    return out.select("doc_id", "h", "source", "size", "source_size", "target", "taken", "lo", "first_slot", "last_slot"), slots, block
 
 
 def mixed_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """The rows of docs as the mix takes them: a row for each whole time, and one cut to the words taken in part.
+    """The rows of docs as the mix takes them, in order of the schedule: a row for each whole time, and one cut to the words
+    taken in part.
 
-    Documents of which nothing is taken go, also those without a word. Rows that repeat doc_id and text are one
-    document. The text of a cut document is its first words joined by blanks.
+    A row stands in the slot that its first word fills. Documents of which nothing is taken go, also those without a
+    word. Rows that repeat doc_id and text are one document. The text of a cut document is its first words joined by
+    blanks.
     """
-    took = mixed_sizes(docs, folder).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"))
-    took = took.where("_taken > 0")
-    j = docs.withColumn("_key", F.xxhash64("text")).join(took, _same(F.col("doc_id"), F.col("_id")) & (F.col("_key") == F.col("_h")))
-    one = Window.partitionBy("_id", "_h").orderBy("text")
-    j = j.withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
-    j = j.withColumn("_turn", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
+    sizes, slots, block = _mix(docs, folder)
+    took = sizes.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source")).agg(
+        F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.min("lo").alias("_lo"), F.max("source_size").alias("_n")
+    )
+    took = took.where("_taken > 0").withColumn("_turn", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
+    took = took.withColumn("_rank", F.expr(f"(_lo + _turn * _n) div {block}"))
+    at = slots.select(F.col("source").alias("_s"), F.col("rank").alias("_r"), F.col("slot").alias("_slot"))
+    took = took.join(at, _same(took["_source"], at["_s"]) & (took["_rank"] == at["_r"]), "left")
+    one = docs.withColumn("_key", F.xxhash64("text"))
+    first = Window.partitionBy("doc_id", "_key", "source").orderBy("text")
+    one = one.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    j = one.join(took, _same(F.col("doc_id"), F.col("_id")) & (F.col("_key") == F.col("_h")) & _same(F.col("source"), F.col("_source")))
     left = F.least(F.col("_taken") - F.col("_turn") * F.col("_size"), F.col("_size"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
     text = F.when(left < F.col("_size"), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text"))
+    j = j.orderBy(F.col("_slot").asc_nulls_last(), "_lo", "_turn")
     return j.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract: doc_id, size, source_size, target, taken; then source."""
-    return mixed_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    """Contract: doc_id, size, source_size, target, taken; then source, first_slot, last_slot."""
+    return mixed_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "last_slot")
