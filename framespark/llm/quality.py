@@ -1,14 +1,16 @@
 """Quality rules with adaptive thresholds: mergeable quantile sketches per language and source, joined back as filters.
 
-Each document gets counts of symbols, repeated lines and repeated words. KLL sketches of the derived ratios are built per
-(lang, source), merged upwards per language and over everything, and a group with too few documents uses the next
-wider sketch, for each ratio by itself. A document goes when a ratio lies beyond its group's fence (upper quartile plus a
+Each document gets counts of symbols, repeated lines and repeated words. Quantile sketches of the derived ratios are built
+per (lang, source), merged upwards per language and over everything, and a group with too few documents uses the next
+wider sketch, for each ratio by itself. A sketch counts values in bins whose borders grow by a constant factor, so it is
+bounded, merges by adding, knows every quantile to half a per cent and, unlike a randomised one, never changes in a rerun. A document goes when a ratio lies beyond its group's fence (upper quartile plus a
 multiple of the interquartile range, by a least span so that a group of equal values rejects nobody) or when it fails
 the fixed base rule. Repeats are rare, so the quartiles of their ratios are those of the values above 0.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from framespark.llm.common import Words, mix, slices, stash, text_bytes, work_dir
 
@@ -38,7 +41,8 @@ FENCES = {
 #: Ratios that are 0 for most documents of any group: only values above 0 go into the sketch, which counts from so many.
 ABOVE_ZERO = ("dup_line_ratio", "repeat_ratio")
 MIN_ABOVE_ZERO = 20
-SKETCH_K = 400
+#: Factor between the borders of a sketch's bins, and the bin of zero.
+GROWTH, ZERO = 1.01, -(1 << 30)
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -129,46 +133,47 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
     """measured plus base_failed, kept and reasons (names of the fences that the document lies beyond).
 
     Null languages and sources form groups of their own. Ratios with a zero denominator are 0. An empty table gives an
-    empty table. Sketches are aggregated on the map side: a source with a third of all rows sends one sketch a task.
+    empty table. Bins are counted on the map side: a source with a third of all rows sends one sketch a task.
     """
     # repeated lines are set against the words, a scale that every document has: 10 words count as a line
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     m = measured.withColumn("base_failed", base).withColumn("n_lines_scale", F.greatest(F.col("n_dup_lines"), F.col("n_words") / 10))
     m = m.withColumn("_q", F.struct(*[_ratio(k).alias(k) for k in FENCES])).drop("n_lines_scale")
     by = [F.col(lang).alias("_lang"), F.col(source).alias("_source")]
-    value = lambda k: F.when(F.col(f"_q.{k}") > 0, F.col(f"_q.{k}")) if k in ABOVE_ZERO else F.col(f"_q.{k}")
-    groups = (
-        m.where("not base_failed")
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(value(k), F.lit(SKETCH_K)).alias(k) for k in FENCES])
-    )
-    merge = [F.kll_merge_agg_double(F.col(k), F.lit(SKETCH_K)).alias(k) for k in FENCES]
-    total = F.sum("n").alias("n")
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_q.{k}").alias("v")) for k in FENCES])).alias("x")
+    bins = m.where("not base_failed").select(*by, value).withColumn("bin", F.when(F.col("x.v") > 0, F.ceil(F.log("x.v") / math.log(GROWTH))).otherwise(ZERO))
+    own = bins.groupBy("_lang", "_source", F.col("x.k").alias("k"), "bin").agg(F.count(F.lit(1)).alias("n"))
     # the sketches of a language and of everything are merged from those of the groups; no second pass over documents
-    per_lang = groups.groupBy("_lang").agg(total, *merge)
-    overall = groups.groupBy().agg(total, *merge)
-
-    def fences(df: DataFrame, tag: str) -> DataFrame:
-        q = lambda k, p: F.kll_sketch_get_quantile_double(F.col(k), F.lit(p))
+    merged = lambda *keys: own.groupBy(*keys, "k", "bin").agg(F.sum("n").alias("n"))
+
+    def fences(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
+        """keys and tag: a struct of the bounds that the sketch gives, null where it holds too little."""
+        known = (F.col("bin") > ZERO) | ~F.col("k").isin(*ABOVE_ZERO)
+        part = Window.partitionBy(*keys, "k")
+        s = sketch.withColumn("docs", F.sum("n").over(part)).where(known)
+        s = s.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("total", F.sum("n").over(part))
+        at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bin")))
+        q = s.groupBy(*keys, "k").agg(at(0.25).alias("low"), at(0.75).alias("high"), F.max("total").alias("total"), F.max("docs").alias("docs"))
+        middle = lambda b: F.when(F.col(b) == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), F.col(b)) * 2 / (1 + GROWTH))
+        q = q.withColumns({"low": middle("low"), "high": middle("high")})
+        if tag != "all":
+            q = q.where((F.col("docs") >= MIN_GROUP) & (~F.col("k").isin(*ABOVE_ZERO) | (F.col("total") >= MIN_ABOVE_ZERO)))
         cols = []
         for k, (times, least) in FENCES.items():
-            # an empty sketch has no quantiles, so its size is asked first
-            enough = F.kll_sketch_get_n_double(F.col(k)) >= (1 if tag == "all" or k not in ABOVE_ZERO else MIN_ABOVE_ZERO)
-            enough = enough & (F.col("n") >= (1 if tag == "all" else MIN_GROUP))
-            span = F.greatest(times * (q(k, 0.75) - q(k, 0.25)), F.lit(least))
-            cols.append(F.when(enough, q(k, 0.75) + span).alias(f"{k}_high"))
+            span = F.greatest(times * (F.col("high") - F.col("low")), F.lit(least))
+            cols.append(F.max(F.when(F.col("k") == k, F.col("high") + span)).alias(f"{k}_high"))
             if k == "word_length":
-                cols.append(F.when(enough, q(k, 0.25) - span).alias(f"{k}_low"))
-        keys = [c for c in ("_lang", "_source") if c in df.columns]
-        # merging no groups gives a null sketch, of which no quantile may be asked
-        return df.where("n > 0").select(*keys, F.struct(*cols).alias(tag))
+                cols.append(F.max(F.when(F.col("k") == k, F.col("low") - span)).alias(f"{k}_low"))
+        return q.groupBy(*keys).agg(*cols).select(*keys, F.struct(*[F.col(c) for c in bounds]).alias(tag))
 
     bounds = [*[f"{k}_high" for k in FENCES], "word_length_low"]
-    g, pl, al = fences(groups, "own"), fences(per_lang, "of_lang"), fences(overall, "all")
+    g, pl, al = fences(own, ["_lang", "_source"], "own"), fences(merged("_lang"), ["_lang"], "of_lang"), fences(merged(), [], "all")
+    names = own.select("_lang", "_source").distinct()
+    rules = names.join(g, names["_lang"].eqNullSafe(g["_lang"]) & names["_source"].eqNullSafe(g["_source"]), "left").select(names["_lang"], names["_source"], "own")
     rules = (
-        g.join(pl, g["_lang"].eqNullSafe(pl["_lang"]), "left")
+        rules.join(pl, rules["_lang"].eqNullSafe(pl["_lang"]), "left")
         .crossJoin(F.broadcast(al))  # one row
-        .select(g["_lang"], g["_source"], F.struct(*[F.coalesce(*[f"{t}.{b}" for t in ("own", "of_lang", "all")]).alias(b) for b in bounds]).alias("_fence"))
+        .select(rules["_lang"], rules["_source"], F.struct(*[F.coalesce(*[f"{t}.{b}" for t in ("own", "of_lang", "all")]).alias(b) for b in bounds]).alias("_fence"))
     )
     # groups none of whose documents pass the base rule have no sketch; all their documents go anyway. A ratio that is 0
     # everywhere has no fence and needs none
