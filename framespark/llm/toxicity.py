@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,8 +86,8 @@ class Weights:
     """Unit vectors over a sorted vocabulary: n1, n0 toxic and other examples, a and b of them with each term."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, a: np.ndarray, b: np.ndarray, n1: int, n0: int):
-        self.vocabulary, self.idf, self.a, self.b, self.n1, self.n0 = vocabulary, idf, a, b, n1, n0
-        self.factor = 1 + np.maximum(log_likelihood_ratio(a, b, n1, n0), 0)
+        self.vocabulary, self.idf, self.a, self.b, self.n1, self.n0 = vocabulary, idf.astype(np.float32), a.astype(np.int16), b.astype(np.int16), n1, n0
+        self.factor = (1 + np.maximum(log_likelihood_ratio(a, b, n1, n0), 0)).astype(np.float32)
 
     def unit(self, first: np.ndarray, term: np.ndarray, tf: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Weights of the entries; own is the label of each document, taken out of its factors."""
@@ -98,13 +99,13 @@ class Weights:
                 t = term[at]
                 lone = log_likelihood_ratio(self.a[t] - label, self.b[t] - (1 - label), self.n1 - label, self.n0 - (1 - label))
                 factor[at] = 1 + np.maximum(lone, 0)
-        weight = (1 + np.log(tf)) * self.idf[term] * factor
+        weight = (1 + np.log(tf)) * self.idf[term].astype(np.float64) * factor
         norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=len(first) - 1))
         return weight / np.maximum(norm[doc], 1e-300)
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples: dense rows of the most frequent terms; of the others postings by term, in blocks of
+    """Unit vectors of the examples, in single precision to be small on the wire: dense rows of the most frequent terms; of the others postings by term, in blocks of
     examples, with the greatest weight of each block."""
 
     def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, label: np.ndarray, name: np.ndarray, v: int):
@@ -120,20 +121,20 @@ class BlockMaxIndex:
         self.blocks = -(-len(order) // BLOCK)
         df = np.bincount(term, minlength=v)
         frequent = np.argsort(-df, kind="stable")[:DENSE]
-        self.dense_at = np.full(v, -1)
+        self.dense_at = np.full(v, -1, np.int16)
         self.dense_at[frequent] = np.arange(len(frequent))
         at = self.dense_at[term]
-        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
         self.dense[at[at >= 0], row[at >= 0]] = weight[at >= 0]
         rare = np.flatnonzero(at < 0)
         rare = rare[np.lexsort((row[rare], term[rare]))]
-        t, self.row, self.weight = term[rare], row[rare].astype(np.int32), weight[rare]
+        t, self.row, self.weight = term[rare], row[rare].astype(np.int32), weight[rare].astype(np.float32)
         key = t * self.blocks + self.row // BLOCK
         cell = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.cell_first = np.append(cell, len(key))
-        self.cell_block = (self.row[cell] // BLOCK).astype(np.int64)
-        self.cell_top = np.maximum.reduceat(self.weight, cell) if len(cell) else np.zeros(0)
-        self.cells = np.searchsorted(t[cell], np.arange(v + 1))
+        self.cell_first = np.append(cell, len(key)).astype(np.int32)
+        self.cell_block = (self.row[cell] // BLOCK).astype(np.int16)
+        self.cell_top = np.maximum.reduceat(self.weight, cell) if len(cell) else np.zeros(0, np.float32)
+        self.cells = np.searchsorted(t[cell], np.arange(v + 1)).astype(np.int32)
 
     def nearest(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(examples, cosines) of each query: the k nearest with a cosine above 0 and all as near as the last of them, nearest
@@ -209,9 +210,11 @@ def fit_curve(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
-class Model:
-    def __init__(self, weights: Weights, index: BlockMaxIndex, slope: float = 1.0, shift: float = 0.0):
-        self.weights, self.index, self.slope, self.shift = weights, index, slope, shift
+class Core:
+    """What tasks need: weights and index."""
+
+    def __init__(self, weights: Weights, index: BlockMaxIndex):
+        self.weights, self.index = weights, index
 
     def raw(self, col: pa.Array, own: np.ndarray | None = None, without: np.ndarray | None = None) -> tuple[list[float], list[list[int]]]:
         """Votes and evidence; for calibration with each text's own label and example left out."""
@@ -222,9 +225,17 @@ class Model:
             evidence.append(self.index.name[ids[:3]].tolist())
         return votes, evidence
 
-    def score(self, raw: float) -> float:
-        raw = min(max(raw, 1e-4), 1 - 1e-4)
-        return 1 / (1 + math.exp(-(self.slope * math.log(raw / (1 - raw)) + self.shift)))
+
+class Model:
+    """A core, sent to the executors once, and the curve of its votes."""
+
+    def __init__(self, core: Broadcast, slope: float, shift: float):
+        self.core, self.slope, self.shift = core, slope, shift
+
+
+def calibrated(raw: float, slope: float, shift: float) -> float:
+    raw = min(max(raw, 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-(slope * math.log(raw / (1 - raw)) + shift)))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -262,10 +273,10 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Model
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             first, h, tf = term_counts(b.column("text"))
-            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in (h.view(np.int64), tf)]
+            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *lists], names=["doc_id", "toxic", "h", "tf"])
 
-    got = rows.mapInArrow(count, "doc_id long, toxic int, h array<long>, tf array<long>").orderBy("doc_id").toArrow().combine_chunks()
+    got = rows.mapInArrow(count, "doc_id long, toxic int, h array<long>, tf array<int>").orderBy("doc_id").toArrow().combine_chunks()
     label = got["toxic"].to_numpy().astype(np.int64)
     n1 = int(label.sum())
     n0 = len(label) - n1
@@ -277,11 +288,11 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Model
     toxic = np.repeat(label, np.diff(first)) == 1
     v = len(vocabulary)
     a, b = np.bincount(term[toxic], minlength=v), np.bincount(term[~toxic], minlength=v)
+    del h
     df, n = document_frequencies(docs, vocabulary)
     weights = Weights(vocabulary, np.log((n + 1) / (df + 0.5)), a, b, n1, n0)
     index = BlockMaxIndex(first, term, weights.unit(first, term, tf), label, got["doc_id"].to_numpy(), v)
-    model = Model(weights, index)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(Core(weights, index))
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -290,8 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Model
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     votes = rows.repartition(parts).mapInArrow(left_out, "raw double, toxic int").orderBy("raw", "toxic").toPandas()
-    model.slope, model.shift = fit_curve(votes["raw"].to_numpy(), votes["toxic"].to_numpy(np.float64))
-    return model
+    return Model(shared, *fit_curve(votes["raw"].to_numpy(), votes["toxic"].to_numpy(np.float64)))
 
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -301,13 +311,12 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     rows score alike; a null doc_id stays null. Without a model (no labels of one kind) every score is 0. Other columns
     are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    core, slope, shift = (model.core, model.slope, model.shift) if model else (None, 0.0, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in slices(batches):
-            raw, evidence = m.raw(b.column("text")) if m else ([], [[]] * b.num_rows)
-            score = [m.score(x) for x in raw] if m else [0.0] * b.num_rows
+            raw, evidence = core.value.raw(b.column("text")) if core else ([], [[]] * b.num_rows)
+            score = [calibrated(x, slope, shift) for x in raw] if core else [0.0] * b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
                 names=["doc_id", "score", "predicted", "evidence"],
