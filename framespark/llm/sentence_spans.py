@@ -111,10 +111,11 @@ def repeated_runs(docs: DataFrame, folder: str | None = None, marks: str = MARKS
     """(doc_id, place): the runs that are no first occurrence, as first piece times (longest run + 1), plus pieces."""
     folder = folder or work_dir(docs.sparkSession)
     texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text")
-    found = stash(texts.mapInArrow(_runs(marks, runs or RUNS), "doc_id long, place long, h long"), folder, "runs")
+    # cheaper to hash twice than to keep; of the runs only the repeated ones are written
+    found = texts.mapInArrow(_runs(marks, runs or RUNS), "doc_id long, place long, h long")
     # rows that repeat a doc_id repeat its runs; they are the same occurrence
     first = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = salted_join(found, first.select("h", "least"), "h", "doc_id")
+    shared = stash(salted_join(found, first.select("h", "least"), "h", "doc_id"), folder, "repeated")
     # inside the first document too only its first place stays
     places = shared.where("doc_id = least").groupBy("h").agg(F.min("place").alias("stays"))
     return salted_join(shared, places, "h", "doc_id").where("not (doc_id = least and place = stays)").select("doc_id", "place").distinct()

@@ -378,7 +378,7 @@ def test_block_max_is_exact(monkeypatch, frequent):
     dense = rng.random((n, v)) * (rng.random((n, v)) < 0.1)
     dense[5] = 0
     norm = np.linalg.norm(dense, axis=1, keepdims=True)
-    dense = np.divide(dense, norm, where=norm > 0, out=np.zeros_like(dense))
+    dense = np.divide(dense, norm, where=norm > 0, out=np.zeros_like(dense)).astype(np.float32).astype(float)
     r, c = np.nonzero(dense)
     first = np.searchsorted(r, np.arange(n + 1))
     index = toxicity.BlockMaxIndex(first, c, dense[r, c], np.arange(n) % 2, np.arange(n), v)
