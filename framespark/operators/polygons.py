@@ -112,14 +112,26 @@ def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
 def containing_polygon(polygons: DataFrame, keys: list[str], tile: float = 32.0) -> DataFrame:
     """(keys, id, container): the smallest other polygon that contains the centre of each polygon's box; columns points, area, bbox(x, y, w, h).
 
-    Centres meet the boxes that cover their tile.
+    Boxes lie on the level whose tiles are at least as large as they are, so each covers at most four, and a centre is
+    sought in one tile of every level that occurs. Only ids and boxes meet there; rings come to the pairs that remain.
     """
     b = F.col("bbox")
-    p = polygons.select(*keys, "id", "area", "points", (b["x"] + b["w"] / 2).alias("cx"), (b["y"] + b["h"] / 2).alias("cy"), "bbox")
-    span = lambda lo, size: F.sequence(F.floor(b[lo] / tile), F.floor((b[lo] + b[size]) / tile))
-    outer = p.select(*keys, F.col("id").alias("container"), F.col("area").alias("_area"), F.col("points").alias("_ring"), F.explode(span("x", "w")).alias("_tx"), "bbox").withColumn("_ty", F.explode(span("y", "h"))).drop("bbox")
-    inner = p.withColumns({"_tx": F.floor(F.col("cx") / tile), "_ty": F.floor(F.col("cy") / tile)})
-    j = inner.join(outer, [*keys, "_tx", "_ty"]).where("id <> container").where(point_in_ring(F.col("cx"), F.col("cy"), F.col("_ring")))
+    p = polygons.select(*keys, "id", "area", "bbox", (b["x"] + b["w"] / 2).alias("cx"), (b["y"] + b["h"] / 2).alias("cy"))
+    # boxes beyond 2**20 tiles are one level
+    level = F.least(F.greatest(F.ceil(F.log2(F.greatest(b["w"], b["h"]) / tile)), F.lit(0)), F.lit(20)).cast("int")
+    at = lambda c, lev: F.floor(c / (F.lit(tile) * F.pow(F.lit(2.0), lev)))
+    span = lambda lo, size: F.explode(F.sequence(at(b[lo], F.col("_level")), at(b[lo] + b[size], F.col("_level"))))
+    outer = p.withColumn("_level", level)
+    levels = sorted(outer.agg(F.collect_set("_level").alias("s")).first()["s"])
+    outer = outer.withColumn("_tx", span("x", "w")).withColumn("_ty", span("y", "h"))
+    outer = outer.select(*keys, "_level", "_tx", "_ty", F.col("id").alias("container"), F.col("area").alias("_area"), F.col("bbox").alias("_box"))
+    inner = p.select(*keys, "id", "cx", "cy", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("_level"))
+    inner = inner.withColumns({"_tx": at(F.col("cx"), F.col("_level")), "_ty": at(F.col("cy"), F.col("_level"))})
+    box = F.col("_box")
+    inside = (F.col("cx") >= box["x"]) & (F.col("cx") <= box["x"] + box["w"]) & (F.col("cy") >= box["y"]) & (F.col("cy") <= box["y"] + box["h"])
+    pairs = inner.join(outer, [*keys, "_level", "_tx", "_ty"]).where("id <> container").where(inside).select(*keys, "id", "cx", "cy", "container", "_area")
+    rings = polygons.select(*keys, F.col("id").alias("container"), F.col("points").alias("_ring"))
+    j = pairs.join(rings, [*keys, "container"]).where(point_in_ring(F.col("cx"), F.col("cy"), F.col("_ring")))
     return j.groupBy(*keys, "id").agg(F.min_by("container", F.struct("_area", "container")).alias("container"))
 
 

@@ -33,15 +33,8 @@ def io2(spark, d):
     return op.parse_cif(t).select(F.col("path").cast("long").alias("s_suppkey"), "polygon_id", "category", F.size("points").alias("n"), p["x"].alias("x"), p["y"].alias("y"))
 
 
-@query("io3_cif_round_trip", f"select count(*) as n from {POLY} where not is_hole and frame_key < 20")
+@query("io3_cif_round_trip", f"select frame_key, count(*) as n, sum(case when id % 7 = 0 and not via then 3 else 4 end) as n_vertices from {POLY} where not is_hole group by 1")
 def io3(spark, d):
-    p = polygons(spark, d).where("frame_key < 20").withColumnRenamed("id", "polygon_id")
-    frames = p.select("frame_key").distinct().withColumns({"w": F.lit(400), "h": F.lit(400)})
-    return op.parse_cif(op.format_cif(p, frames).select(F.col("frame_key").alias("path"), "value")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("io3_cif_round_trip_all", f"select frame_key, count(*) as n, sum(case when id % 7 = 0 and not via then 3 else 4 end) as n_vertices from {POLY} where not is_hole group by 1")
-def io3_all(spark, d):
     """The round trip of the polygons of every frame; vias come back as boxes."""
     p = polygons(spark, d).withColumnRenamed("id", "polygon_id")
     frames = p.select("frame_key").distinct().withColumns({"w": F.lit(400), "h": F.lit(400)})
