@@ -129,7 +129,7 @@ def _ratio(name: str) -> Column:
     }[name]
 
 
-def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def judge(measured: DataFrame, lang: str = "lang", source: str = "source", folder: str | None = None) -> DataFrame:
     """measured plus base_failed, kept and reasons (names of the fences that the document lies beyond).
 
     Null languages and sources form groups of their own. Ratios with a zero denominator are 0. An empty table gives an
@@ -143,6 +143,8 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
     value = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_q.{k}").alias("v")) for k in FENCES])).alias("x")
     bins = m.where("not base_failed").select(*by, value).withColumn("bin", F.when(F.col("x.v") > 0, F.ceil(F.log("x.v") / math.log(GROWTH))).otherwise(ZERO))
     own = bins.groupBy("_lang", "_source", F.col("x.k").alias("k"), "bin").agg(F.count(F.lit(1)).alias("n"))
+    # small, read four times below
+    own = stash(own, folder or work_dir(measured.sparkSession), "sketches")
     # the sketches of a language and of everything are merged from those of the groups; no second pass over documents
     merged = lambda *keys: own.groupBy(*keys, "k", "bin").agg(F.sum("n").alias("n"))
 
@@ -194,7 +196,8 @@ def quality_rules(docs: DataFrame, folder: str | None = None) -> DataFrame:
     The counts (no texts) are written to the shared folder, since both the sketches and the verdicts read them.
     """
     measured = measure(docs.select("doc_id", "lang", "source", "text"), keep_text=False)
-    return judge(stash(measured, folder or work_dir(docs.sparkSession), "measured"))
+    folder = folder or work_dir(docs.sparkSession)
+    return judge(stash(measured, folder, "measured"), folder=folder)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
