@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framespark.functions.common import r6
+from framespark.operators import patterns
 from framespark.operators import rasters as op
 from framespark.plans.tables import table
 
@@ -117,6 +118,14 @@ def ra9(spark, d):
     return op.frame_features(rasters(spark, d).withColumn("px", F.transform("px", lambda x: x * 255)), "vec_id long")
 
 
+@query("ra10_pattern_vectors")
+def ra10(spark, d):
+    """Each embedding's map as a gray image; the vectors as one column a number."""
+    v = patterns.pattern_vectors(rasters(spark, d).withColumn("px", F.transform("px", lambda x: x * 255)), "vec_id long")
+    wide = [F.get(c, F.lit(i)).alias(f"{c}_{i}") for c, n in (("hardness", 11), ("pattern", 33)) for i in range(n)]
+    return v.select("vec_id", *wide, "artifact", "edge", "object", "saturation_or_noise")
+
+
 _TILE = "(select p_partkey, cast(p_size * 7 + 20 as bigint) as h, cast(p_size * 5 + 30 as bigint) as w from part)"
 _ST = lambda dim: f"list_sort(list_distinct(list_concat(range(0, {dim} - least(64, {dim}) + 1, greatest(least(64, {dim}) - least(16, least(64, {dim}) - 1), 1)), [{dim} - least(64, {dim})])))"
 

@@ -173,3 +173,42 @@ def test_selection_lines(spark, tmp_path):
 def test_stream_equals_batch(spark):
     got = sorted(map(tuple, sources.Q["st2_stream_loss_weights"](spark, SF).collect()))
     assert got == sorted(map(tuple, sources.batch_loss_weights(spark, SF).collect()))
+
+
+def test_pattern_vectors(spark):
+    import numpy as np
+
+    from framespark.operators import patterns
+
+    rng = np.random.default_rng(0)
+
+    def flood(mask):
+        todo, areas = {tuple(p) for p in np.argwhere(mask)}, []
+        while todo:
+            edge, n = [todo.pop()], 0
+            while edge:
+                y, x = edge.pop()
+                n += 1
+                for p in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                    if p in todo:
+                        todo.remove(p)
+                        edge.append(p)
+            areas.append(n)
+        return sorted(areas)
+
+    for _ in range(20):
+        mask = rng.random((rng.integers(1, 20), rng.integers(1, 20))) < 0.6
+        assert sorted(patterns.component_areas(mask)) == flood(mask)
+    levels = np.zeros(256)
+    levels[[10, 12, 200]] = 5
+    assert 12 <= patterns.otsu(levels) < 200
+    flat, bars = np.full((10, 12), 90.0), np.zeros((32, 32))
+    bars[:, ::4] = 255
+    image = spark.createDataFrame([(i, g.ravel().tolist(), *g.shape) for i, g in enumerate((flat, bars))], "id long, px array<double>, h int, w int")
+    got = {r.id: r for r in patterns.pattern_vectors(image, "id long").collect()}
+    assert len(got[0].hardness) == 11 and len(got[0].pattern) == 33 and got[0].pattern[2] == 1 and got[0].hardness[:3] == [0, 0, 0]
+    p = dict(zip(patterns.PATTERN, got[1].pattern[8:], strict=True))
+    # eight bars of 32 pixels, a quarter of the image, of period four along the rows
+    assert p["many"] == 8 / 24 and p["mean_area"] == 1 / 32 and p["active"] == 0.25 and p["saturation"] == 1 and p["turns_y"] == 0
+    assert p["axis_bias"] == 1 and p["row_std"] == 0 and abs(p["col_period"] - 0.5) < 0.2 and got[1].edge > 0.4
+    assert patterns.pattern_vectors(image.limit(0), "id long").count() == 0
