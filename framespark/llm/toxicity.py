@@ -28,7 +28,7 @@ from framespark.llm.common import Words, ragged, slices, stash, text_bytes, work
 MAX_EXAMPLES = 4096
 NEIGHBOURS = 15
 #: Examples of a block, blocks scored at first, frequent terms kept dense, and queries of a matrix product.
-BLOCK, FIRST_BLOCKS, DENSE, QUERIES = 32, 4, 256, 256
+BLOCK, FIRST_BLOCKS, DENSE, QUERIES = 512, 2, 512, 256
 #: Cosines that differ by less are equal.
 SAME = 1e-9
 #: A vote weighs 1 / (distance + SOFT); PRIOR is the weight of the base rate among the votes.

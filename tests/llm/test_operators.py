@@ -373,6 +373,7 @@ def test_passages_cut_inside_sentences(spark):
 @pytest.mark.parametrize("frequent", [0, 7, 256])
 def test_block_max_is_exact(monkeypatch, frequent):
     monkeypatch.setattr(toxicity, "DENSE", frequent)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
     rng = np.random.default_rng(3)
     v, n = 40, 300
     dense = rng.random((n, v)) * (rng.random((n, v)) < 0.1)
