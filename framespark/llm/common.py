@@ -28,8 +28,12 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder named in spark.checkpoint.dir; a temporary one if that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder below the shared folder named in spark.checkpoint.dir. Only a local session (tests) may leave it unset: it gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/framespark-{uuid.uuid4().hex}"
 
 

@@ -4,8 +4,8 @@ A sparse set of suffixes carries the work. In every 50-byte window the least 16-
 windows share their anchor and its place; consecutive windows with one anchor form a segment. Anchors that stand in a
 single document can't take part in a repeat and are dropped after a count over hash buckets. The segments of the others
 meet in buckets, where the suffixes that begin at their windows are sorted to a depth of 50 bytes by deep-shallow
-sorting: multikey passes over eight-byte words down to a shallow depth, then blind tries for what still agrees, which
-skip every word that all suffixes below a node share and sort only where they branch. Suffixes equal to the full
+sorting: multikey quicksort over eight-byte words down to a shallow depth, then blind tries for what still agrees, which
+skip what all suffixes below a node share and look only at the byte where they branch. Suffixes equal to the full
 depth are one string; it is removed from every document but the one with the smallest doc_id.
 """
 
@@ -23,18 +23,20 @@ from framespark.llm.common import _R, _RI, mix, powers, ragged, slices, stash, t
 
 LENGTH = 50
 GRAM = 16
-#: Words of eight bytes that the multikey passes sort by; beyond them groups go to blind tries.
+#: Words of eight bytes that the multikey quicksort goes by; beyond them groups go to blind tries.
 SHALLOW_WORDS = 2
 #: Hash buckets for each shuffle partition, so that hashing deals them evenly.
 BUCKETS_EACH = 4
 SLICE = 2 << 20
+#: Windows whose anchors are sought at once.
+CHUNK = 1 << 24
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5AFE))
 _MASK48 = np.uint64((1 << 48) - 1)
 _PLACE = np.uint64(28)
 
 
-def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, last window, hash) of the segments of a slice; windows never cross documents."""
+def _anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchors() of at most CHUNK + LENGTH - 1 bytes, whose places fit in 28 bits."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -59,6 +61,19 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[a], window[a], last, gram[place[a]]
 
 
+def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, last window, hash) of the segments of a slice; windows never cross documents.
+
+    A slice longer than CHUNK (one long document) is cut by the windows' starts; that only cuts segments in two.
+    """
+    parts = []
+    for low in range(0, max(len(data) - LENGTH + 1, 1), CHUNK):
+        high = min(low + CHUNK + LENGTH - 1, len(data))
+        doc, first, last, h = _anchors(data[low:high], np.clip(off, low, high) - low)
+        parts.append((doc, first + low, last + low, h))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+
+
 def _packs(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, bounds) of the runs of equal buckets in a sorted array."""
     at = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if n else np.zeros(0, np.int64)
@@ -204,13 +219,99 @@ def _segments(buckets: int):
     return run
 
 
+def _multikey(word: np.ndarray, start: np.ndarray, order: np.ndarray, head: np.ndarray, offsets: list[int]) -> np.ndarray:
+    """Multikey quicksort of ``order`` by the words at ``offsets``; sets ``head`` where suffixes differ. Returns the
+    (begin, size) rows of the groups that agree in all of them.
+
+    All parts of one round are partitioned at once round the median of three of their words: smaller and greater ones
+    stay at their word, equal ones go on to the next.
+    """
+    deep = []
+    begin, size, level = np.zeros(1, np.int64), np.array([len(order)]), np.zeros(1, np.int64)
+    offs = np.array(offsets)
+    key = word[start[order] + offsets[0]]
+    while len(begin):
+        first = np.cumsum(size) - size
+        a, m, z = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, m), np.minimum(np.maximum(a, m), z)), size)
+        side = (key > pivot).view(np.int8) + (key >= pivot).view(np.int8)
+        at = ragged(begin, size)
+        old = order[at]
+        part = np.repeat(np.arange(len(begin)) * 3, size) + side
+        count = np.bincount(part, minlength=3 * len(begin))
+        base = np.cumsum(count) - count
+        moved, keys = np.empty_like(old), np.empty_like(key)
+        for s in range(3):
+            to, by = ragged(base[s::3], count[s::3]), np.flatnonzero(side == s)
+            moved[to], keys[to] = old[by], key[by]
+        order[at] = moved
+        # the parts of the next round
+        begin = np.repeat(begin - first, 3) + base
+        level = np.repeat(level, 3)
+        level[1::3] += 1
+        some = count > 0
+        head[begin[some]] = True
+        done = (count > 1) & (level == len(offsets))
+        deep.append(np.stack((begin[done], count[done]), axis=1))
+        live = (count > 1) & (level < len(offsets))
+        keep = ragged(base[live], count[live])
+        key, moved = keys[keep], moved[keep]
+        onward = np.flatnonzero(np.repeat((np.arange(3 * len(size)) % 3 == 1)[live], count[live]))
+        begin, size, level = begin[live], count[live], level[live]
+        key[onward] = word[start[moved[onward]] + np.repeat(offs[level], size)[onward]]
+    return np.concatenate(deep)
+
+
+def _blind_tries(word: np.ndarray, start: np.ndarray, order: np.ndarray, head: np.ndarray, groups: np.ndarray, offsets: list[int]) -> None:
+    """Order the suffixes of each group by a blind trie over the words at ``offsets``; sets ``head`` where they differ.
+
+    A node knows only the byte at which its suffixes first branch; what they share before it is skipped, not compared.
+    Its children are the values of that byte, in order. Nodes are opened level by level, those of all tries at once; a
+    node of one suffix, or one without a branch up to the depth, is a leaf.
+    """
+    if not len(groups) or not offsets:
+        return
+    offs = np.array(offsets)
+    groups = groups[np.argsort(groups[:, 0])]
+    size, level = groups[:, 1], np.zeros(len(groups), np.int64)
+    at = ragged(groups[:, 0], size)
+    key = word[start[order[at]] + offsets[0]]
+    while len(size):
+        first = np.cumsum(size) - size
+        branch = np.bitwise_or.reduceat(key ^ np.repeat(key[first], size), first)
+        shift = np.zeros(len(size), np.uint64)
+        for s in (32, 16, 8):
+            shift += np.where(branch >> (shift + np.uint64(s)) > 0, np.uint64(s), np.uint64(0))
+        forks = np.repeat(branch > 0, size)
+        new = np.zeros(len(at), bool)
+        new[first] = True
+        b = np.flatnonzero(forks)
+        if len(b):
+            node = np.repeat(np.arange(len(size)), size)[b]
+            child = (node << 8) | ((key[b] >> np.repeat(shift, size)[b]) & np.uint64(255)).astype(np.int64)
+            by = np.argsort(child, kind="stable")
+            order[at[b]] = order[at[b[by]]]
+            key[b] = key[b[by]]
+            child = child[by]
+            fork = b[1:][child[1:] != child[:-1]]
+            new[fork] = True
+            head[at[fork]] = True
+        level = np.repeat(level + (branch == 0), size)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(at)))
+        level = level[begin]
+        live = (size > 1) & (level < len(offsets))
+        keep = ragged(begin[live], size[live])
+        at, key, onward = at[keep], key[keep], np.flatnonzero(~forks[keep])
+        size, level = size[live], level[live]
+        key[onward] = word[start[order[at[onward]]] + np.repeat(offs[level], size)[onward]]
+
+
 def sort_suffixes(buf: np.ndarray, start: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, class): the suffixes sorted by their first ``depth`` bytes, and the class of equal ones, in that order.
 
-    Deep-shallow sorting. Every pass looks at the next eight bytes (the last one overlaps so as to end at the depth). The
-    first SHALLOW_WORDS passes are multikey sorting: ties of the passes before are split by the next word. The groups
-    left then share a long prefix and become blind tries: a node whose suffixes all have the same next word is passed
-    through without sorting, and only nodes that branch order their suffixes by the word at which they do.
+    Deep-shallow sorting: multikey quicksort by the first SHALLOW_WORDS words of eight bytes, then blind tries for the
+    groups that still agree. The last word overlaps the one before so as to end at the depth.
     """
     n = len(start)
     if not n:
@@ -220,30 +321,11 @@ def sort_suffixes(buf: np.ndarray, start: np.ndarray, depth: int = LENGTH) -> tu
     for i in range(8):
         word |= padded[i : i + len(word)].astype(np.uint64) << np.uint64(56 - 8 * i)
     offsets = [min(x, depth - 8) for x in range(0, depth, 8)]
-    order = np.argsort(word[start], kind="stable")
-    key = word[start[order]]
-    head = np.ones(n, bool)
-    head[1:] = key[1:] != key[:-1]
-    for level, offset in enumerate(offsets[1:], 1):
-        group = np.cumsum(head) - 1
-        first = np.flatnonzero(head)
-        size = np.diff(np.append(first, n))
-        live = size > 1
-        if not live.any():
-            break
-        key = word[start[order] + offset]
-        if level >= SHALLOW_WORDS:
-            # blind step: nodes without a branch at this word are passed through
-            live &= np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
-        at = np.flatnonzero(live[group])
-        if not len(at):
-            continue
-        sort = np.lexsort((key[at], group[at]))
-        order[at] = order[at[sort]]
-        key[at] = key[at[sort]]
-        split = np.zeros(n, bool)
-        split[at[1:]] = (key[at[1:]] != key[at[:-1]]) & (group[at[1:]] == group[at[:-1]])
-        head |= split
+    order = np.arange(n)
+    head = np.zeros(n, bool)
+    head[0] = True
+    deep = _multikey(word, start, order, head, offsets[:SHALLOW_WORDS])
+    _blind_tries(word, start, order, head, deep, offsets[SHALLOW_WORDS:])
     return order, np.cumsum(head) - 1
 
 

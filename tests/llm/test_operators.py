@@ -76,6 +76,36 @@ def test_sort_suffixes():
     assert [g for g in group] == np.unique([keys[i] for i in order], return_inverse=True)[1].tolist()
 
 
+def test_sort_suffixes_deep_groups():
+    # long common prefixes that branch late, in the same word twice, in the last bytes only, and not at all
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 100, 50).astype(np.uint8)
+    rows = [base.copy() for _ in range(300)]
+    for i, r in enumerate(rows):
+        for at in rng.choice([16, 18, 23, 24, 31, 40, 42, 49], i % 4):
+            r[at] = rng.integers(0, 256)
+    buf = np.concatenate(rows)
+    start = rng.permutation(np.arange(300) * 50)
+    order, group = suffix_dedup.sort_suffixes(buf, start)
+    keys = [buf[s : s + 50].tobytes() for s in start]
+    assert [keys[i] for i in order] == sorted(keys) and sorted(order.tolist()) == list(range(300))
+    assert group.tolist() == np.unique([keys[i] for i in order], return_inverse=True)[1].tolist()
+
+
+def test_anchors_of_a_long_text_in_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 101, 9000).astype(np.uint8)
+    off = np.array([0, 30, 30, 700, 9000])
+
+    def windows(parts):
+        doc, first, last, h = parts
+        return [(d, w, int(x)) for d, a, z, x in zip(doc, first, last, h, strict=True) for w in range(a, z + 1)]
+
+    whole = windows(suffix_dedup.anchors(data, off))
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 257)
+    assert windows(suffix_dedup.anchors(data, off)) == whole
+
+
 def test_suffix_dedup_odd(odd, nothing):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == odd.count()
