@@ -74,6 +74,37 @@ def io8(spark, d):
     return op.selection_lines(m).agg(F.count_if(F.get_json_object("value", "$.reason") == "primary").alias("n_primary"))
 
 
+def customer_files(spark, d):
+    """A folder with a text file for each nation, a line for each of its customers, written in the shared folder."""
+    root = f"{work_dir(spark)}/nations"
+    c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").cast("string").alias("value"))
+    c.repartition("c_nationkey").write.partitionBy("c_nationkey").text(root)
+    return root
+
+
+_NATION = r"c_nationkey=(\d+)"
+
+
+@query("io1_scan_manifest", "select c_nationkey as nation, '.txt' as ext, sum(length(cast(c_custkey as varchar)) + 1) as size from customer group by c_nationkey")
+def io1(spark, d):
+    m = op.scan_manifest(spark, customer_files(spark, d), (".TXT",))
+    return m.groupBy(F.regexp_extract("path", _NATION, 1).cast("long").alias("nation"), "ext").agg(F.sum("size").alias("size"))
+
+
+def count_lines(text: str) -> str:
+    n = len(text.splitlines())
+    if n % 5 == 0:
+        raise ValueError("a multiple of five")
+    return str(n)
+
+
+@query("st1_stream_folder", """select c_nationkey as nation, case when count(*) % 5 <> 0 then cast(count(*) as varchar) end as result, case when count(*) % 5 = 0 then 'ValueError: a multiple of five' end as error from customer group by c_nationkey""")
+def st1(spark, d):
+    out = work_dir(spark)
+    jobs.stream_folder(spark, customer_files(spark, d), count_lines, f"{out}/rows", f"{out}/offsets").awaitTermination()
+    return spark.read.schema("path string, result string, error string").parquet(f"{out}/rows").select(F.regexp_extract("path", _NATION, 1).cast("long").alias("nation"), "result", "error")
+
+
 def _stream(spark, df, job):
     """The last state of a keyed stream over df, written as files and read as a stream."""
     folder = work_dir(spark)

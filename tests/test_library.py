@@ -212,3 +212,47 @@ def test_pattern_vectors(spark):
     assert p["many"] == 8 / 24 and p["mean_area"] == 1 / 32 and p["active"] == 0.25 and p["saturation"] == 1 and p["turns_y"] == 0
     assert p["axis_bias"] == 1 and p["row_std"] == 0 and abs(p["col_period"] - 0.5) < 0.2 and got[1].edge > 0.4
     assert patterns.pattern_vectors(image.limit(0), "id long").count() == 0
+
+
+def test_flip_flops_are_the_greedy_pairs(spark, tmp_path):
+    from framespark.functions.common import stash
+    from framespark.operators import storage
+    from framespark.plans import storage as plan
+
+    t, inverters, switches, _ = plan._parts(spark, SF)
+    inverters = stash(inverters, f"{tmp_path}/inverters")
+    latches = stash(storage.topological_latches(inverters, switches), f"{tmp_path}/latches")
+    outputs = t.limit(0).select("design", t.gate.alias("net"))
+    pairs = storage.latch_pairs(latches, inverters, outputs).collect()
+    used, want = set(), set()
+    for p in sorted(pairs, key=lambda p: (-p.score, not p.drives, p.master, p.slave)):
+        ends = {(p.design, p.master), (p.design, p.slave)}
+        if not ends & used:
+            used |= ends
+            want.add((p.design, p.master, p.slave))
+    got = storage.flip_flops(latches, inverters, outputs).collect()
+    assert len(got) == len(want) > 100 and {(r.design, r.master, r.slave) for r in got} == want
+    by_name = {(r.design, r.a): r for r in latches.collect()}
+    for r in got:
+        slave, master = by_name[r.design, r.slave], by_name[r.design, r.master]
+        assert r.clock == slave.enable != master.enable and r.edge == ("rising" if slave.level == "high" else "falling")
+
+
+def test_truth_tables_of_unknown_and_fought_outputs(spark):
+    from framespark.operators import storage
+
+    rows = [
+        (1, "P1", "pmos", "A", "VDD", "Y"), (1, "N1", "nmos", "A", "GND", "Y"),  # inverter
+        (2, "P1", "pmos", "A", "VDD", "Y"), (2, "N1", "nmos", "B", "GND", "Y"),  # fights or floats
+        (3, "P1", "pmos", "GND", "VDD", "Y"), (3, "N1", "nmos", "A", "q", "r"),  # tied
+        (4, "N1", "nmos", "A", "B", "m"), (4, "P1", "pmos", "m", "VDD", "Y"), (4, "N2", "nmos", "A", "Y", "n"), (4, "N3", "nmos", "m", "n", "GND"),  # a gate that is unknown
+    ]
+    t = spark.createDataFrame(rows, "design long, device string, kind string, gate string, source string, drain string")
+    inputs = spark.createDataFrame([(1, "A"), (2, "A"), (2, "B"), (3, "A"), (4, "A"), (4, "B")] + [(5, f"I{i}") for i in range(13)], "design long, net string")
+    outputs = spark.createDataFrame([(i, "Y") for i in range(1, 6)], "design long, output string")
+    got = {r.design: r for r in storage.truth_tables(t, inputs, outputs).collect()}
+    assert got[1].value == [1, 0] and got[1].sop == "!A" and got[1].depends_on == ["A"]
+    assert got[2].value == [1, None, None, 0] and got[2].sop is None and got[2].depends_on is None
+    assert got[3].value == [1, 1] and got[3].sop == "1" and got[3].depends_on == []
+    assert got[4].value == [1, 1, 1, 0] and got[4].sop == "!A & !B | !A & B | A & !B" and got[4].depends_on == ["A", "B"]
+    assert 5 not in got
