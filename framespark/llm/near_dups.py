@@ -246,7 +246,7 @@ def _large_families(payload: DataFrame, placed: DataFrame, labels: DataFrame, si
         """(id, comp, parts, cls) of families that fall in several classes."""
         now = placed.join(labels, "id")
         several = now.groupBy("comp").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("comp")
-        return now.join(several, "comp", "left_semi")
+        return salted_join(now, several, "comp", "id")
 
     for r in range(1, MIX_ROUNDS + 1):
         rows = still_open().select("id", "cls", F.col("comp").alias("group"), F.pmod(F.xxhash64(F.lit(r), "id"), "parts").alias("i"), one.alias("j"), F.lit(0).alias("side"), F.lit(0).alias("nth"))
