@@ -40,6 +40,20 @@ def supplies(nets: DataFrame) -> DataFrame:
     return nets.withColumns({"is_power": F.col("net").rlike(POWER), "is_ground": F.col("net").rlike(GROUND)})
 
 
+def top_ports(ports: DataFrame, wire_points: DataFrame) -> DataFrame:
+    """(design, port, net, direction, is_power, is_ground): the nets with a wire point at each port's place.
+
+    direction is input or output by the port's name, else null; a supply port makes its nets supplies. Ports without a
+    place, or with no wire there, have no row.
+    """
+    name = F.upper("port")
+    direction = F.when(name.rlike(r"^IN(\d+$|_)"), "input").when(name.rlike(r"^OUT(\d+$|_)"), "output").when(name.rlike("CLK|^CLOCK$|RST|RESET|SET|EN"), "input")
+    # the wire points of a place are distinct nets, so a net is met once however many of its wires cross there
+    at = wire_points.select("design", "x", "y", "net").distinct()
+    supply = {"is_power": name.rlike(r"VDD|VCC|POWER|\+5|5PLUS"), "is_ground": name.isin("0", "&0", "GND")}
+    return ports.select("design", "port", "x", "y").distinct().join(at, ["design", "x", "y"]).select("design", "port", "net", direction.alias("direction"), *[v.alias(k) for k, v in supply.items()]).distinct()
+
+
 def classify_devices(devices: DataFrame) -> DataFrame:
     """devices(design, device, cell, pins map) with kind and domain by the first rule that fits: pin shapes of transistors first, then name tokens."""
     names = F.map_keys("pins")
@@ -162,6 +176,25 @@ def phase_transparency(edges: DataFrame, phases: DataFrame, source: DataFrame) -
     return reach(free.union(guarded), starts, ("design", "phase"))
 
 
+def phase_report(conduction: DataFrame, influence: DataFrame, phases: DataFrame, source: DataFrame, storage: DataFrame, hold: DataFrame) -> DataFrame:
+    """(design, phase, conduction_paths, influence_paths, transparent, hold_isolated) of every phase.
+
+    Paths are pairs of a source(design, start) and a storage(design, node) that edges of the kind connect in the phase; a
+    node that is a source itself counts. A phase with any is transparent; one of hold(design, phase) without any is
+    isolated, and hold_isolated is null in other phases.
+    """
+    every = phases.select("design", "phase").distinct()
+    out = every
+    for name, edges in (("conduction_paths", conduction), ("influence_paths", influence)):
+        reached = phase_transparency(edges, phases, source).select("design", "phase", "start", "node")
+        own = every.join(source, "design").select("design", "phase", "start", F.col("start").alias("node"))
+        paths = reached.union(own).distinct().join(storage.select("design", "node").distinct(), ["design", "node"])
+        out = out.join(paths.groupBy("design", "phase").agg(F.count(F.lit(1)).alias(name)), ["design", "phase"], "left")
+    out = out.na.fill(0, ["conduction_paths", "influence_paths"]).join(hold.select("design", "phase", F.lit(True).alias("_hold")).distinct(), ["design", "phase"], "left")
+    open_ = (F.col("conduction_paths") > 0) | (F.col("influence_paths") > 0)
+    return out.select("design", "phase", "conduction_paths", "influence_paths", open_.alias("transparent"), F.when(F.col("_hold"), ~open_).alias("hold_isolated"))
+
+
 def classify_storage(devices: DataFrame) -> DataFrame:
     """(design, device, structure, confidence, features) of storage macros: the class of greatest confidence, with set, reset and enable features by pins."""
     names = F.map_keys("pins")
@@ -183,13 +216,31 @@ def logic_cone(transistors: DataFrame, outputs: DataFrame, supply_nets: DataFram
     return reach(dep, outputs, ("design",))
 
 
-def netlist_diagnostics(nets: DataFrame, pins: DataFrame, wire_points: DataFrame, ports: DataFrame) -> DataFrame:
-    """(design, code, name) distinct: duplicate net names, nets without pins or wires, ports without a place; designs without any get an info row."""
+def netlist_diagnostics(nets: DataFrame, pins: DataFrame, wire_points: DataFrame, ports: DataFrame, instances: DataFrame | None = None, views: DataFrame | None = None) -> DataFrame:
+    """(design, code, name) distinct; designs without any get an info row.
+
+    Duplicate net names; nets without pins, without wires, with a wire of fewer than two points (where wire_points names
+    the wire); ports without a place; designs without input or output ports (name ''); and instances(design, instance,
+    library, cell, view) whose symbol is not named in full or is not among views(library, cell, view).
+    """
     row = lambda df, code, col: df.select("design", F.lit(code).alias("code"), F.col(col).alias("name"))
     dup = nets.groupBy("design", "net").count().where("count > 1")
     out = row(dup, "duplicate_net", "net").union(row(nets.join(pins, ["design", "net"], "left_anti"), "net_without_pins", "net")).union(row(nets.join(wire_points, ["design", "net"], "left_anti"), "net_without_wires", "net"))
-    out = out.union(row(ports.where("x is null or y is null"), "port_without_location", "port")).distinct()
-    fine = nets.select("design").distinct().join(out.select("design"), "design", "left_anti")
+    out = out.union(row(ports.where("x is null or y is null"), "port_without_location", "port"))
+    if "wire" in wire_points.columns:
+        short = wire_points.groupBy("design", "net", "wire").count().where("count < 2")
+        out = out.union(row(short, "degenerate_wire", "net"))
+    designs = nets.select("design").distinct()
+    for code, names in (("no_input_ports", r"(?i)^(IN|INSIN)\d+$"), ("no_output_ports", r"(?i)^OUT\d+$")):
+        has = ports.where(F.col("port").rlike(names)).select("design")
+        out = out.union(designs.join(has, "design", "left_anti").select("design", F.lit(code), F.lit("")))
+    if instances is not None:
+        named = "library is not null and cell is not null and view is not null"
+        out = out.union(row(instances.where(f"not ({named})"), "missing_symbol_reference", "instance"))
+        if views is not None:
+            out = out.union(row(instances.where(named).join(views, ["library", "cell", "view"], "left_anti"), "unresolved_symbol", "instance"))
+    out = out.distinct()
+    fine = designs.join(out.select("design"), "design", "left_anti")
     return out.union(fine.select("design", F.lit("info"), F.lit("no problems")))
 
 

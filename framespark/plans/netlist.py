@@ -49,12 +49,12 @@ def supply_nets(spark, d):
     return nets(spark, d).where("is_power or is_ground").select("design", "net")
 
 
-_WIRES = "(select l_suppkey as design, 'n' || l_orderkey % 400 as net, l_partkey % 60 as x, l_linenumber as y from lineitem where l_quantity < 10)"
+_WIRES = "(select l_suppkey as design, 'n' || l_orderkey % 400 as net, l_partkey % 60 as x, l_linenumber as y, l_partkey % 2 as wire from lineitem where l_quantity < 10)"
 
 
 def wires(spark, d):
     c = F.col
-    return table(spark, d, "lineitem").where("l_quantity < 10").select(c("l_suppkey").alias("design"), F.concat(F.lit("n"), (c("l_orderkey") % 400).cast("string")).alias("net"), (c("l_partkey") % 60).alias("x"), c("l_linenumber").alias("y"))
+    return table(spark, d, "lineitem").where("l_quantity < 10").select(c("l_suppkey").alias("design"), F.concat(F.lit("n"), (c("l_orderkey") % 400).cast("string")).alias("net"), (c("l_partkey") % 60).alias("x"), c("l_linenumber").alias("y"), (c("l_partkey") % 2).alias("wire"))
 
 
 def pins(spark, d):
@@ -89,6 +89,21 @@ def gr4(spark, d):
     return nets(spark, d)
 
 
+#: (name) of the ports of a design; each stands at (number of the design modulo 60, 1 + its place in this list).
+PORTS = ["IN1", "out_q", "CLK", "RST", "VDD", "GND", "X"]
+_PORTS = f"(select s_suppkey as design, port, s_suppkey % 60 as x, i as y from supplier, (values {', '.join(f'({x!r}, {i})' for i, x in enumerate(PORTS, 1))}) t(port, i))"
+
+
+def port_places(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("design"))
+    return s.select("design", F.posexplode(F.array(*[F.lit(x) for x in PORTS])).alias("i", "port")).select("design", "port", (F.col("design") % 60).alias("x"), (F.col("i") + 1).alias("y"))
+
+
+@query("gr4_ports", f"""select distinct design, port, net, case when port in ('IN1', 'CLK', 'RST') then 'input' when port = 'out_q' then 'output' end as direction, port = 'VDD' as is_power, port = 'GND' as is_ground from {_PORTS} join {_WIRES} w using (design, x, y)""")
+def gr4_ports(spark, d):
+    return op.top_ports(port_places(spark, d), wires(spark, d))
+
+
 @query("gr5_classify_devices", """select p_partkey as device, case p_partkey % 6 when 0 then 'nmos' when 1 then 'pmos' when 2 then 'nand' when 3 then 'dff' when 4 then 'xor' else 'unknown' end as kind, case p_partkey % 6 when 0 then 'switch' when 1 then 'switch' when 2 then 'gate' when 3 then 'storage' when 4 then 'gate' else 'unknown' end as domain from part""")
 def gr5(spark, d):
     k = F.col("p_partkey") % 6
@@ -173,6 +188,20 @@ def gr14(spark, d):
     return op.phase_transparency(e, designs.select("design", ph).select("design", "p.*"), designs.select("design", F.lit("D").alias("start")))
 
 
+@query("gr14_phase_report", f"""with recursive t as (select *, case when kind = 'nmos' then 1 else 0 end as level from {T_SQL}), p as (select * from (values ('on', 'EN', 1), ('on', 'ENB', 0), ('off', 'EN', 0), ('off', 'ENB', 1)) v(phase, signal, level)), x as (select s_suppkey as design, phase, start from supplier, (values ('on'), ('off')) a(phase), (values ('D'), ('EN')) b(start)),
+ c as (select 'c' as sem, design, phase, source as s, drain as t from t join p on t.gate = p.signal and t.level = p.level union all select 'c', design, phase, drain, source from t join p on t.gate = p.signal and t.level = p.level
+  union all select 'i', design, phase, gate, source from t, (values ('on'), ('off')) a(phase) union all select 'i', design, phase, gate, drain from t, (values ('on'), ('off')) a(phase)), g as (select distinct * from c where s not in ('VDD', 'GND') and t not in ('VDD', 'GND')),
+ r as (select sem, design, phase, start, start as node from x, (values ('c'), ('i')) k(sem) union select r.sem, r.design, r.phase, r.start, g.t from r join g on g.sem = r.sem and g.design = r.design and g.phase = r.phase and g.s = r.node),
+ n as (select design, phase, count(*) filter (where sem = 'c' and node in ('A', 'B')) as conduction_paths, count(*) filter (where sem = 'i' and node in ('A', 'B')) as influence_paths from r group by 1, 2)
+ select *, conduction_paths + influence_paths > 0 as transparent, case when phase = 'off' then conduction_paths + influence_paths = 0 end as hold_isolated from n""")
+def gr14_report(spark, d):
+    e = op.switch_edges(transistors(spark, d), supply_nets(spark, d))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("design"))
+    each = lambda name, *values: s.select("design", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    levels = F.explode(F.array(*[F.struct(F.lit(a).alias("phase"), F.lit(b).alias("signal"), F.lit(c).alias("level")) for a, b, c in (("on", "EN", 1), ("on", "ENB", 0), ("off", "EN", 0), ("off", "ENB", 1))])).alias("p")
+    return op.phase_report(e.where("semantic = 'conduction'"), e.where("semantic = 'influence'"), s.select("design", levels).select("design", "p.*"), each("start", "D", "EN"), each("node", "A", "B"), each("phase", "off"))
+
+
 @query("gr15_classify_storage", """select p_partkey as device, case p_partkey % 5 when 0 then 'd_flip_flop' when 1 then 'jk_flip_flop' when 2 then 't_flip_flop' when 3 then 'gated_d_latch' else 'rs_latch' end as structure, case p_partkey % 5 when 0 then 'sync_reset' when 1 then '' when 2 then '' when 3 then 'enable' else 'async_reset' end as features from part""")
 def gr15(spark, d):
     k = F.col("p_partkey") % 5
@@ -189,13 +218,23 @@ def gr17(spark, d):
     return op.logic_cone(transistors(spark, d), starts, supply_nets(spark, d))
 
 
+#: Instances of pins' designs; every eleventh lacks a view, and cell c6 has no symbol.
+_INSTANCES = "(select distinct l_suppkey as design, cast(l_partkey % 40 as varchar) as instance, 'c' || l_partkey % 40 % 7 as cell, case when l_partkey % 40 % 11 <> 0 then 'symbol' end as view from lineitem where l_quantity > 48)"
+
+
 @query("gr19_netlist_diagnostics", f"""with n as (select design, net from {_WIRES} union select design, net from {_PINS}) select distinct design, code, name from (select design, 'net_without_pins' as code, net as name from n where not exists (select 1 from {_PINS} p where p.design = n.design and p.net = n.net)
- union all select design, 'net_without_wires', net from n where not exists (select 1 from {_WIRES} p where p.design = n.design and p.net = n.net) union all select design, 'duplicate_net', net from n where net like '%7' union all select distinct design, 'port_without_location', 'IN' from n where design % 2 = 0)""")
+ union all select design, 'net_without_wires', net from n where not exists (select 1 from {_WIRES} p where p.design = n.design and p.net = n.net) union all select design, 'duplicate_net', net from n where net like '%7' union all select distinct design, 'port_without_location', 'IN1' from n where design % 2 = 0
+ union all select design, 'degenerate_wire', net from {_WIRES} group by design, net, wire having count(*) = 1 union all select distinct design, 'no_output_ports', '' from n where design % 5 = 0
+ union all select design, case when view is null then 'missing_symbol_reference' else 'unresolved_symbol' end, instance from {_INSTANCES} where view is null or cell = 'c6')""")
 def gr19(spark, d):
     w, p = wires(spark, d), pins(spark, d)
     n = w.select("design", "net").union(p.select("design", "net")).distinct()
-    ports = n.select("design", F.lit("IN").alias("port"), F.when(F.col("design") % 2 == 1, 1).alias("x"), F.lit(1).alias("y")).distinct()
-    return op.netlist_diagnostics(n.union(n.where("net like '%7'")), p, w, ports)
+    inputs = n.select("design", F.lit("IN1").alias("port"), F.when(F.col("design") % 2 == 1, 1).alias("x"), F.lit(1).alias("y")).distinct()
+    outputs = n.where("design % 5 <> 0").select("design", F.lit("OUT1"), F.lit(2), F.lit(1)).distinct()
+    k = F.col("instance").cast("int")
+    used = p.select("design", "instance", F.lit("lib").alias("library"), F.concat(F.lit("c"), (k % 7).cast("string")).alias("cell"), F.when(k % 11 != 0, "symbol").alias("view")).distinct()
+    symbols = used.where("view is not null and cell <> 'c6'").select("library", "cell", "view").distinct()
+    return op.netlist_diagnostics(n.union(n.where("net like '%7'")), p, w, inputs.union(outputs), used, symbols)
 
 
 @query("gr20_structure_report")
