@@ -65,6 +65,14 @@ def nearest_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return side("ia").join(side("ib"), keys).select(*keys, ((F.col("mean_ia") + F.col("mean_ib")) / 2).alias("chamfer"), F.greatest("max_ia", "max_ib").alias("hausdorff"))
 
 
+def frame_distance(a: DataFrame, b: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chamfer, hausdorff) for every row of frames(keys, w, h): nearest_distance where both sides have points, 0 where neither has, the frame's diagonal where one has."""
+    has = lambda df, name: df.select(*keys, F.lit(True).alias(name)).distinct()
+    out = frames.select(*keys, F.sqrt(F.pow("w", F.lit(2)) + F.pow("h", F.lit(2))).alias("_far")).join(has(a, "_a"), keys, "left").join(has(b, "_b"), keys, "left").join(nearest_distance(a, b, keys), keys, "left")
+    absent = F.when(F.col("_a").isNull() & F.col("_b").isNull(), 0.0).otherwise(F.col("_far"))
+    return out.select(*keys, *[F.coalesce(c, absent).alias(c) for c in ("chamfer", "hausdorff")])
+
+
 # ---------------------------------------------------------------- boxes
 
 

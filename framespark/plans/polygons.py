@@ -73,6 +73,21 @@ def jn8(spark, d):
     return rounded(op.nearest_distance(*sides(spark, d), ["frame_key"]), "chamfer", "hausdorff")
 
 
+#: Strips of a frame, each two pixels high and as wide as the frame; many have points of one side or none.
+STRIPS, WIDTH = 100, 200
+_PS = "(select *, cast(floor(y / 2) as bigint) as strip from " + POINTS + ")"
+
+
+@query("jn8_frame_distance", f"""with s as {_PS}, a as (select * from s where side = 'A'), b as (select * from s where side = 'R'), f as (select s_suppkey as frame_key, unnest(range({STRIPS})) as strip from supplier), p as (select a.frame_key, a.strip, a.id as ia, b.id as ib, {_D} as d from a join b on a.frame_key = b.frame_key and a.strip = b.strip),
+ m as (select frame_key, strip, avg(m) as u, max(m) as v from (select frame_key, strip, ia, min(d) as m from p group by 1, 2, 3) group by 1, 2), n as (select frame_key, strip, avg(m) as u, max(m) as v from (select frame_key, strip, ib, min(d) as m from p group by 1, 2, 3) group by 1, 2),
+ g as (select f.*, case when exists (select 1 from a where a.frame_key = f.frame_key and a.strip = f.strip) or exists (select 1 from b where b.frame_key = f.frame_key and b.strip = f.strip) then sqrt({WIDTH}.0 * {WIDTH} + 4) else 0.0 end as far from f)
+ select g.frame_key, g.strip, {R('coalesce((m.u + n.u) / 2, far)')} as chamfer, {R('coalesce(greatest(m.v, n.v), far)')} as hausdorff from g left join m on m.frame_key = g.frame_key and m.strip = g.strip left join n on n.frame_key = g.frame_key and n.strip = g.strip""")
+def jn8_frames(spark, d):
+    a, b = (p.withColumn("strip", F.floor(F.col("y") / 2)) for p in sides(spark, d))
+    frames = table(spark, d, "supplier").select(F.col("s_suppkey").alias("frame_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STRIPS - 1).cast("long"))).alias("strip"), F.lit(WIDTH).alias("w"), F.lit(2).alias("h"))
+    return rounded(op.frame_distance(a, b, frames, ["frame_key", "strip"]), "chamfer", "hausdorff")
+
+
 _DX = "(greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w))"
 _DY = "(greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h))"
 _GAP = f"sqrt(pow(greatest({_DX}, 0), 2) + pow(greatest({_DY}, 0), 2))"
