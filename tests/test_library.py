@@ -256,3 +256,37 @@ def test_truth_tables_of_unknown_and_fought_outputs(spark):
     assert got[3].value == [1, 1] and got[3].sop == "1" and got[3].depends_on == []
     assert got[4].value == [1, 1, 1, 0] and got[4].sop == "!A & !B | !A & B | A & !B" and got[4].depends_on == ["A", "B"]
     assert 5 not in got
+
+
+def test_frames_with_one_side(spark):
+    from framespark.operators import polygons
+
+    point = "f long, id long, x double, y double"
+    a = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, 1, 5.0, 5.0)], point)
+    b = spark.createDataFrame([(1, 7, 3.0, 4.0), (3, 1, 5.0, 5.0)], point)
+    frames = spark.createDataFrame([(i, 6, 8) for i in (1, 2, 3, 4)], "f long, w int, h int")
+    got = {r.f: (r.chamfer, r.hausdorff) for r in polygons.frame_distance(a, b, frames, ["f"]).collect()}
+    assert got == {1: (5.0, 5.0), 2: (10.0, 10.0), 3: (10.0, 10.0), 4: (0.0, 0.0)}
+
+
+def test_ports_phases_and_diagnostics(spark):
+    wires = spark.createDataFrame([(1, "a", 0, 0, 0), (1, "a", 0, 1, 0), (1, "b", 0, 1, 0), (2, "c", 0, 9, 9)], "design long, net string, wire long, x long, y long")
+    ports = spark.createDataFrame([(1, "in1", 1, 0), (1, "VDD", 0, 0), (1, "XCLOCK", 0, 0), (1, "OUT2", 5, 5), (1, "OUT3", None, None)], "design long, port string, x long, y long")
+    got = {(r.port, r.net, r.direction, r.is_power) for r in netlist.top_ports(ports, wires).collect()}
+    assert got == {("in1", "a", "input", False), ("in1", "b", "input", False), ("VDD", "a", None, True), ("XCLOCK", "a", None, False)}
+
+    nets = wires.select("design", "net").distinct()
+    pins = nets.withColumn("instance", F.lit("i"))
+    inst = spark.createDataFrame([(1, "u", "l", "c", "v"), (1, "w", "l", "c", None), (1, "z", "l", "d", "v")], "design long, instance string, library string, cell string, view string")
+    views = spark.createDataFrame([("l", "c", "v")], "library string, cell string, view string")
+    got = {(r.design, r.code, r.name) for r in netlist.netlist_diagnostics(nets, pins, wires, ports, inst, views).collect()}
+    assert got == {
+        (1, "degenerate_wire", "b"), (2, "degenerate_wire", "c"), (1, "port_without_location", "OUT3"), (2, "no_input_ports", ""), (2, "no_output_ports", ""),
+        (1, "missing_symbol_reference", "w"), (1, "unresolved_symbol", "z"),
+    }
+
+    edges = spark.createDataFrame([(1, "D", "Q", "EN", 1), (1, "Q", "P", "X", 1)], "design long, src string, dst string, control string, level int")
+    phases = spark.createDataFrame([(1, "on", "EN", 1), (1, "off", "EN", 0)], "design long, phase string, signal string, level int")
+    one_of = lambda name, v: spark.createDataFrame([(1, v)], f"design long, {name} string")
+    rows = netlist.phase_report(edges, edges.limit(0), phases, one_of("start", "D"), one_of("node", "Q"), one_of("phase", "off")).collect()
+    assert {(r.phase, r.conduction_paths, r.transparent, r.hold_isolated) for r in rows} == {("on", 1, True, None), ("off", 0, False, True)}
