@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import decontaminate, mixing, near_dups, pii, quality, sentence_spans, suffix_dedup, token_counts, token_ids, toxicity
+from framespark.llm import decontaminate, mixing, near_dups, pii, quality, resampling, sentence_spans, suffix_dedup, token_counts, token_ids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_token_ids": token_ids.op9_token_ids,
         "op10_pseudonyms": pii.op10_pseudonyms,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_importance_resampling": resampling.SQL}
