@@ -47,7 +47,7 @@ GROWTH, ZERO = 1.01, -(1 << 30)
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def _measure_slice(col: pa.Array) -> list[np.ndarray]:
+def measure_slice(col: pa.Array) -> list[np.ndarray]:
     data, off = text_bytes(col)
     n = len(off) - 1
     w = Words(data, off)
@@ -112,7 +112,7 @@ def measure(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            cols = _measure_slice(b.column(text))
+            cols = measure_slice(b.column(text))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(c, pa.int64()) for c in cols)], names=[*rest, *names])
 
     out = StructType([*(docs.schema[c] for c in rest), *(StructField(name, LongType()) for name in names)])

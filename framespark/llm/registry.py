@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framespark.llm import conversations, decontaminate, mixing, near_dups, pii, quality, resampling, sentence_spans, suffix_dedup, token_counts, token_ids, toxicity
+from framespark.llm import conversations, decontaminate, mixing, near_dups, pii, quality, resampling, rule_ensemble, sentence_spans, suffix_dedup, token_counts, token_ids, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_ids": token_ids.op9_token_ids,
         "op10_pseudonyms": pii.op10_pseudonyms,
         "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_quality_classifier": rule_ensemble.op12_quality_classifier,
         "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
