@@ -25,7 +25,7 @@ from framespark.llm.quality import measure_slice
 
 #: Bound on the labelled rows that the model is fitted to.
 MAX_EXAMPLES = 20_000
-TREES, DEPTH, SEED = 40, 3, 12
+TREES, DEPTH, SEED = 20, 3, 12
 #: Weight of the lasso penalty against the mean log-loss.
 PENALTY = 0.001
 #: A document counts as good from this score.
@@ -159,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> RuleMo
     rules = sorted({r for t in forest.trees for r in _paths(t._java_obj.rootNode(), {})}, key=str)
     if not rules:
         return RuleModel(math.log(share / (1 - share)))
-    y = rows.select("label", array_to_vector(F.array(*[r.column().cast("double") for r in rules])).alias("features"))
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, maxIter=200).fit(y)
+    held = stash(rows.select("label", F.array(*[r.column().cast("double") for r in rules]).alias("held")), folder, "held")
+    y = held.select("label", array_to_vector("held").alias("features"))
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, maxIter=100, tol=1e-5).fit(y)
     return RuleModel(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if w))
 
 
