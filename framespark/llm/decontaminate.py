@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Token offsets that each mask uses (fixed values): 11111, 111011, 1101101.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
@@ -48,24 +49,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = _windows(bench, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "h")
     keys = seeds.select("h").distinct()
     few = seeds.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = _windows(texts.select("doc_id", tokens(F.col("text")).alias("t")), ["doc_id"])
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("v"), "text")
+    rows = _windows(texts.select("doc_id", "v", tokens(F.col("text")).alias("t")), ["doc_id", "v"])
     hits = rows.join(F.broadcast(keys) if few else keys, "h", "left_semi")
-    found = hits.join(seeds, "h").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
-
-    # few documents have a hit; only their tokens meet the items'
-    sides = found.groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-    sides = sides.join(bench.select("item_id", F.col("t").alias("b")), "item_id")
-    both = texts.join(sides, "doc_id").select("doc_id", "item_id", "b", "starts", tokens(F.col("text")).alias("t"))
-    both = both.select("doc_id", "item_id", "b", "t", F.explode("starts").alias("start"))
-    # element_at counts from 1 and from the end if negative, so positions before the text are kept out by the test
-    agree = F.transform(
-        F.sequence(F.lit(0), F.size("b") - 1),
-        lambda j: F.when((F.col("start") + j >= 0) & F.get("t", F.greatest(F.col("start") + j, F.lit(0))).eqNullSafe(F.get("b", j)), 1).otherwise(0),
-    )
-    both = both.withColumn("agree", agree).withColumn("compared", F.least(F.size("b"), F.lit(RUN)))
-    runs = F.transform(F.sequence(F.lit(1), F.size("b") - F.col("compared") + 1), lambda i: F.aggregate(F.slice("agree", i, F.col("compared")), F.lit(0), lambda a, x: a + x))
-    best = both.withColumn("matched", F.array_max(runs)).where(F.col("matched") >= F.ceil(F.col("compared") * SIMILARITY))
+    diagonal = ["doc_id", "v", "item_id", "start"]
+    found = hits.join(seeds, "h").select("doc_id", "v", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
+
+    # every diagonal as rows of (position, token of the item), joined with the tokens at those positions of the few documents
+    # that have a hit; a row is a token, so no text is too long or too repetitive
+    item = bench.select("item_id", F.xxhash64("t").alias("b"), F.least(F.size("t"), F.lit(RUN)).alias("compared"), F.posexplode("t").alias("j", "token"))
+    want = found.join(item, "item_id").withColumn("pos", F.col("start") + F.col("j"))
+    of = texts.join(found.select("doc_id", "v").distinct(), ["doc_id", "v"], "left_semi")
+    have = of.select("doc_id", "v", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).distinct()
+    both = want.join(have.withColumn("agree", F.lit(1)), ["doc_id", "v", "pos", "token"], "left")
+    both = both.groupBy(*diagonal, "b", "compared", "j").agg(F.coalesce(F.max("agree"), F.lit(0)).alias("agree"))
+    run = Window.partitionBy(*diagonal, "b").orderBy("j")
+    # runs that begin before the item end with fewer tokens than compared, so they never agree more than the first whole one
+    runs = both.withColumn("matched", F.sum("agree").over(run.rowsBetween(1 - RUN, 0)).cast("int"))
+    best = runs.groupBy(*diagonal, "b", "compared").agg(F.max("matched").alias("matched")).where(F.col("matched") >= F.ceil(F.col("compared") * SIMILARITY))
     top = F.max_by(F.struct("start", "matched", "compared"), F.struct("matched", -F.col("start"))).alias("top")
     return best.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "top.start", "top.matched", "top.compared")
 
