@@ -186,15 +186,17 @@ def mixed_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
     took = took.withColumn("_rank", F.expr(f"(_lo + _turn * _n) div {block}"))
     at = slots.select(F.col("source").alias("_s"), F.col("rank").alias("_r"), F.col("slot").alias("_slot"))
     took = took.join(at, _same(took["_source"], at["_s"]) & (took["_rank"] == at["_r"]), "left")
-    one = docs.withColumn("_key", F.xxhash64("text"))
-    first = Window.partitionBy("doc_id", "_key", "source").orderBy("text")
+    # columns are numbered meanwhile, so none can clash with a helper
+    c = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    one = docs.toDF(*c.values()).withColumn("_key", F.xxhash64(c["text"]))
+    first = Window.partitionBy(c["doc_id"], "_key", c["source"]).orderBy(c["text"])
     one = one.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    j = one.join(took, _same(F.col("doc_id"), F.col("_id")) & (F.col("_key") == F.col("_h")) & _same(F.col("source"), F.col("_source")))
+    j = one.join(took, _same(F.col(c["doc_id"]), F.col("_id")) & (F.col("_key") == F.col("_h")) & _same(F.col(c["source"]), F.col("_source")))
     left = F.least(F.col("_taken") - F.col("_turn") * F.col("_size"), F.col("_size"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    text = F.when(left < F.col("_size"), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text"))
+    words = F.filter(F.split(c["text"], r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    text = F.when(left < F.col("_size"), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col(c["text"]))
     j = j.orderBy(F.col("_slot").asc_nulls_last(), "_lo", "_turn")
-    return j.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return j.select(*[(text if name == "text" else F.col(at)).alias(name) for name, at in c.items()])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

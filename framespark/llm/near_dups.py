@@ -319,10 +319,14 @@ def drop_near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFram
 
     Of rows that repeat a doc_id one stays (the least text). Rows without a doc_id are kept; they can't be compared.
     """
-    keep = near_duplicates(docs, folder).where("doc_id = class_id").select(F.col("doc_id").alias("_keep"))
-    one = Window.partitionBy("_keep").orderBy(F.col("text").asc_nulls_last())
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"]).withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth", "_keep")
-    return kept.union(docs.where("doc_id is null"))
+    keep = near_duplicates(docs, folder).where("doc_id = class_id").select(F.col("doc_id").alias("keep"))
+    # columns are numbered meanwhile, so none can clash with a helper
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    key, text = at["doc_id"], at["text"]
+    rows = docs.toDF(*at.values())
+    one = Window.partitionBy("keep").orderBy(F.col(text).asc_nulls_last())
+    kept = rows.join(keep, F.col(key) == F.col("keep")).withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*at.values())
+    return kept.union(rows.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

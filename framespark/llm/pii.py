@@ -264,16 +264,19 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     if not key:
         raise ValueError("pseudonyms need a key")
-    t = F.col("text")
-    some = docs.withColumn("_m", F.when(t.rlike(r"[0-9@]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    # columns are numbered meanwhile, so none can clash with a helper
+    c = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    t = F.col(c["text"])
+    some = docs.toDF(*c.values()).withColumn("_m", F.when(t.rlike(r"[0-9@]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(1))).otherwise(F.array().cast("array<string>")))
     some = some.withColumn("_new", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(m, key))))
     # as many pieces as candidates, and the rest
     pieces = F.split(t, CANDIDATE, -1)
     joined = F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_m")), "_new", lambda p, x: F.concat(p, x["value"])), "")
     text = F.when(F.size("_m") > 0, F.concat(joined, F.element_at(pieces, -1))).otherwise(t)
     kinds = F.coalesce(F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    out = some.withColumns({"text": text, "pii_kinds": kinds}).withColumn("n_pii", F.size("pii_kinds").cast("long"))
-    return out.drop("_m", "_new")
+    new = {"pii_kinds": F.col("_kinds"), "n_pii": F.size("_kinds").cast("long")}
+    rest = [(text if name == "text" else F.col(at)).alias(name) for name, at in c.items() if name not in new]
+    return some.withColumn("_kinds", kinds).select(*rest, *[v.alias(k) for k, v in new.items()])
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
