@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds: mergeable quantile sketches per language and source, joined back as filters.
 
-Each document gets counts of symbols, repeated lines and repeated words. Quantile sketches of the derived ratios are built
-per (lang, source), merged upwards per language and over everything, and a group with too few documents uses the next
-wider sketch, for each ratio by itself. A sketch counts values in bins whose borders grow by a constant factor, so it is
-bounded, merges by adding, knows every quantile to half a per cent and, unlike a randomised one, never changes in a rerun. A document goes when a ratio lies beyond its group's fence (upper quartile plus a
-multiple of the interquartile range, by a least span so that a group of equal values rejects nobody) or when it fails
-the fixed base rule. Repeats are rare, so the quartiles of their ratios are those of the values above 0.
+Each document gets counts of symbols, repeated lines and repeated words, set against its size, and a mean word length. Quantile
+sketches are built per (lang, source), merged upwards per language and over everything, and a group with too few documents
+uses the next wider sketch. A sketch counts values in bins whose borders grow by a constant factor, so it is bounded, merges
+by adding, knows every quantile to half a per cent and, unlike a randomised one, never changes in a rerun. A document goes
+when a value lies beyond its group's fence, the upper quartile plus a multiple of the interquartile range, or when it fails
+the fixed base rule. Most documents have no symbols, so symbols are compared as square roots of (count + 3/8) / characters, which
+differ among documents without any by their length, and on which chance spreads every rate alike, by 0.5 / sqrt(characters). Half of
+that, at the group's median length, is the least range of a group. Repeats are rare too, and come in bunches: their quartiles are
+those of the values above 0.
 """
 
 from __future__ import annotations
@@ -29,16 +32,13 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A group's own sketch counts from so many documents that pass the base rule; else that of its language, else of all.
 MIN_GROUP = 100
-#: ratio -> (multiple of the interquartile range above the upper quartile, least distance from that quartile). Mean word
-#: length also has a lower fence as far below the lower quartile. The least distances only bridge equal values: about one
-#: symbol in the shortest text that passes the base rule, one repeated line or word in a hundred, half a character.
-FENCES = {
-    "symbol_ratio": (8.0, 0.005),
-    "dup_line_ratio": (8.0, 0.01),
-    "repeat_ratio": (8.0, 0.01),
-    "word_length": (8.0, 0.5),
-}
-#: Ratios that are 0 for most documents of any group: only values above 0 go into the sketch, which counts from so many.
+#: Multiple of the interquartile range that lies between the upper quartile and the fence, for every value.
+MULTIPLE = 8.0
+#: value -> least interquartile range that counts, which only bridges equal values; that of symbols is CHANCE / sqrt(the group's
+#: median characters). Mean word length also has a lower fence as far below the lower quartile.
+FENCES = {"symbol_ratio": None, "dup_line_ratio": 0.00125, "repeat_ratio": 0.00125, "word_length": 0.0625}
+CHANCE = 0.25
+#: Values that are 0 for most documents of any group: only those above 0 go into the sketch, which counts from so many.
 ABOVE_ZERO = ("dup_line_ratio", "repeat_ratio")
 MIN_ABOVE_ZERO = 20
 #: Factor between the borders of a sketch's bins, and the bin of zero.
@@ -119,13 +119,14 @@ def measure(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Data
     return docs.mapInArrow(run, out)
 
 
-def _ratio(name: str) -> Column:
-    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+def _value(name: str) -> Column:
+    part = lambda a, b: F.when(F.col(b) > 0, a / F.col(b)).otherwise(F.lit(0.0))
     return {
-        "symbol_ratio": part("n_symbols", "word_chars"),
-        "dup_line_ratio": part("n_dup_lines", "n_lines_scale"),
-        "repeat_ratio": part("n_repeat_words", "n_words"),
-        "word_length": part("word_chars", "n_words"),
+        "symbol_ratio": F.sqrt(part(F.col("n_symbols") + 0.375, "word_chars")),
+        "dup_line_ratio": part(F.col("n_dup_lines"), "n_lines_scale"),
+        "repeat_ratio": part(F.col("n_repeat_words"), "n_words"),
+        "word_length": part(F.col("word_chars"), "n_words"),
+        "word_chars": F.col("word_chars").cast("double"),
     }[name]
 
 
@@ -135,12 +136,13 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source", folde
     Null languages and sources form groups of their own. Ratios with a zero denominator are 0. An empty table gives an
     empty table. Bins are counted on the map side: a source with a third of all rows sends one sketch a task.
     """
-    # repeated lines are set against the words, a scale that every document has: 10 words count as a line
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    # repeated lines are set against the words, a scale that every document has: 10 words count as a line
     m = measured.withColumn("base_failed", base).withColumn("n_lines_scale", F.greatest(F.col("n_dup_lines"), F.col("n_words") / 10))
-    m = m.withColumn("_q", F.struct(*[_ratio(k).alias(k) for k in FENCES])).drop("n_lines_scale")
+    sketched = [*FENCES, "word_chars"]
+    m = m.withColumn("_q", F.struct(*[_value(k).alias(k) for k in sketched])).drop("n_lines_scale")
     by = [F.col(lang).alias("_lang"), F.col(source).alias("_source")]
-    value = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_q.{k}").alias("v")) for k in FENCES])).alias("x")
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_q.{k}").alias("v")) for k in sketched])).alias("x")
     bins = m.where("not base_failed").select(*by, value).withColumn("bin", F.when(F.col("x.v") > 0, F.ceil(F.log("x.v") / math.log(GROWTH))).otherwise(ZERO))
     own = bins.groupBy("_lang", "_source", F.col("x.k").alias("k"), "bin").agg(F.count(F.lit(1)).alias("n"))
     # small, read four times below
@@ -155,17 +157,18 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source", folde
         s = sketch.withColumn("docs", F.sum("n").over(part)).where(known)
         s = s.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("total", F.sum("n").over(part))
         at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bin")))
-        q = s.groupBy(*keys, "k").agg(at(0.25).alias("low"), at(0.75).alias("high"), F.max("total").alias("total"), F.max("docs").alias("docs"))
+        q = s.groupBy(*keys, "k").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"), F.max("total").alias("total"), F.max("docs").alias("docs"))
         middle = lambda b: F.when(F.col(b) == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), F.col(b)) * 2 / (1 + GROWTH))
-        q = q.withColumns({"low": middle("low"), "high": middle("high")})
+        q = q.withColumns({c: middle(c) for c in ("low", "mid", "high")})
         if tag != "all":
             q = q.where((F.col("docs") >= MIN_GROUP) & (~F.col("k").isin(*ABOVE_ZERO) | (F.col("total") >= MIN_ABOVE_ZERO)))
+        of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
         cols = []
-        for k, (times, least) in FENCES.items():
-            span = F.greatest(times * (F.col("high") - F.col("low")), F.lit(least))
-            cols.append(F.max(F.when(F.col("k") == k, F.col("high") + span)).alias(f"{k}_high"))
+        for k, least in FENCES.items():
+            span = MULTIPLE * F.greatest(of(k, "high") - of(k, "low"), F.lit(least) if least else CHANCE / F.sqrt(of("word_chars", "mid")))
+            cols.append((of(k, "high") + span).alias(f"{k}_high"))
             if k == "word_length":
-                cols.append(F.max(F.when(F.col("k") == k, F.col("low") - span)).alias(f"{k}_low"))
+                cols.append((of(k, "low") - span).alias(f"{k}_low"))
         return q.groupBy(*keys).agg(*cols).select(*keys, F.struct(*[F.col(c) for c in bounds]).alias(tag))
 
     bounds = [*[f"{k}_high" for k in FENCES], "word_length_low"]
