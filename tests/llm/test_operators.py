@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from framespark.llm import decontaminate, mixing, near_dups, pii, quality, sentence_spans, suffix_dedup, token_counts, token_ids, toxicity
+from framespark.llm import conversations, decontaminate, mixing, near_dups, pii, quality, resampling, rule_ensemble, sentence_spans, suffix_dedup, token_counts, token_ids, toxicity
 from tests.conftest import SF
+from tests.llm.conftest import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -267,6 +268,12 @@ def test_decontaminate(spark, odd, nothing):
     assert decontaminate.contaminated(df, nothing.selectExpr("doc_id as item_id", "text")).count() == 0
 
 
+def test_decontaminate_long_repetitive_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 1_000_000), (2, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "w " * 12), (2, "w v " * 6)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1, 0, 12, 12)]
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -459,6 +466,8 @@ def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     scored = toxicity.op7_toxicity(spark, base).where("held_out").join(labels, "doc_id").collect()
     assert sum(r.predicted == r.toxic for r in scored) / len(scored) > 0.95
+    both = sum(r.predicted and r.toxic for r in scored)
+    assert both / sum(r.toxic for r in scored) > 0.85 and both / sum(r.predicted for r in scored) > 0.9
     assert docs.count() == 10_000
 
 
@@ -505,6 +514,15 @@ def test_quality_verdicts_are_the_same_in_reruns(spark):
     assert kept == again and first == sorted(map(str, quality.op8_quality_rules(spark, SF).collect()))
 
 
+def test_quality_verdicts_follow_the_sketch(spark, monkeypatch):
+    """On the test table another multiple of the ranges in the sketches gives other verdicts."""
+    kept = []
+    for multiple in (0.0, 2.0, 8.0, 1e6):
+        monkeypatch.setattr(quality, "MULTIPLE", multiple)
+        kept.append(quality.op8_quality_rules(spark, "/root/testdata/sf0.01").where("kept").count())
+    assert kept[0] < kept[1] < kept[2] < kept[3]
+
+
 def test_quality_fences_follow_the_group(spark):
     """Groups of 100 rows whose usual values differ: an equal ratio is far out in one and usual in the other."""
     usual = {"a": (500, 0, 0, 0), "b": (900, 90, 20, 40)}
@@ -656,6 +674,219 @@ def test_long_texts_of_marks(spark):
     assert [len(t) for t in got] == [len(t) for t in long] and got[1:7] == long[1:7] and re.fullmatch(r"[a-z]@b(\.c){50000}", got[0])
 
 
+# ---------------------------------------------------------------- 11
+
+
+def brute_resampling(docs, bench, percent=25, least=20):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def features(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(fold))
+        return len(w), [zlib.crc32(x.encode()) % 10000 for x in w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]]
+
+    s, t = (Counter(b for x in texts for b in features(x)[1]) for texts in ([x for _, x in docs], bench))
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10000) / ((s[b] + 1) * (t.total() + 10000)))) for b in range(10000)]
+    out = {}
+    for i, text in docs:
+        n, f = features(text)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{i}".encode()).hexdigest()[:8], 16)
+        out[i] = [n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None]
+    able = sorted((i for i, r in out.items() if r[0] >= least), key=lambda i: (-out[i][3], i))
+    for r, i in enumerate(able[: percent * len(able) // 100]):
+        out[i][4] = r + 1
+    return {i: tuple(r) for i, r in out.items()}
+
+
+def test_importance_resampling(spark, sf, odd, nothing, monkeypatch):
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = by_id(resampling.op11_importance_resampling(spark, SF))
+    names = ("n_words", "n_features", "weight", "score", "rank")
+    assert {k: tuple(r[n] for n in names) for k, r in got.items()} == brute_resampling(sf, bench)
+    rows = resampling.importance_ranks(odd, spark.createDataFrame([(None,), ("",)], "text string")).collect()
+    texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id is not None}
+    want = brute_resampling(list(texts.items()), [])
+    assert len(rows) == odd.count() and all(r.n_features == want[r.doc_id][1] for r in rows if r.doc_id is not None)
+    assert sorted(r["rank"] for r in rows if r["rank"]) == list(range(1, sum(r.n_words >= 20 for r in rows) * 25 // 100 + 1))
+    assert resampling.importance_ranks(nothing, odd).count() == 0 and resampling.importance_ranks(odd, nothing).count() == len(rows)
+    drawn = resampling.resampled_documents(odd.where("doc_id < 7"), odd, percent=50)
+    assert drawn.columns == odd.columns and drawn.count() == 1
+
+
+def test_features_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abÀé Z.9\n") for _ in range(3000)) + "x" * 500
+    whole = resampling.count_features(text)
+    monkeypatch.setattr(resampling, "PIECE", 7)
+    pieces = resampling.count_features(text)
+    assert whole[0] == pieces[0] and (whole[1] == pieces[1]).all()
+
+
+def test_bit_planes_are_exact():
+    rng = np.random.default_rng(4)
+    for low, high in ((-9000, 9000), (0, 1), (-1, 0), (5, 6), (-4096, 4096)):
+        gain = rng.integers(low, high, resampling.BUCKETS)
+        counts = rng.integers(0, 5, resampling.BUCKETS) * (rng.random(resampling.BUCKETS) < 0.1)
+        counts[7] = 1_000_003
+        assert resampling.GainPlanes(gain).total(counts) == int(gain @ counts)
+
+
+# ---------------------------------------------------------------- 12
+
+
+def test_rule_ensemble(spark, odd, nothing):
+    base = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    scored = rule_ensemble.op12_quality_classifier(spark, base).join(labels, "doc_id").where("held_out").collect()
+    bad = [r for r in scored if r.quality == 0]
+    assert sum(r.predicted == 0 for r in bad) / len(bad) > 0.97 and sum(r.predicted for r in scored if r.quality) / (len(scored) - len(bad)) > 0.99
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in scored)
+
+
+def test_rules_are_compiled_and_repeatable(spark, odd, nothing):
+    rng = random.Random(8)
+    texts = [words(rng, 60) + (" ##" * 20 if i % 4 == 0 else "") for i in range(400)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(300)] + [(None, 1), (999, 0), (5, None)], "doc_id long, quality int")
+    model = rule_ensemble.fit(docs, labels)
+    assert model.weights and len(model.weights) < 100
+    assert model == rule_ensemble.fit(docs.repartition(5), labels.repartition(3))
+    got = by_id(rule_ensemble.classify(docs, model))
+    stats = {r.doc_id: r for r in rule_ensemble.statistics(docs, ("doc_id",)).collect()}
+    for i in range(300, 400):
+        hold = lambda rule: all((o is None or stats[i][s] > o) and (u is None or stats[i][s] <= u) for s, o, u in rule.bounds)
+        total = model.intercept + sum(w for rule, w in model.weights if hold(rule))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-total))) and got[i].predicted == (i % 4 != 0)
+    rows = rule_ensemble.classify(odd, model).collect()
+    assert len(rows) == odd.count() and len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
+    assert rule_ensemble.classify(nothing, model).count() == 0
+    for kind, score in ((0, 0.0), (1, 1.0), (7, 0.0)):
+        only = rule_ensemble.fit(docs, labels.where(f"quality = {kind}"))
+        assert {r.score for r in rule_ensemble.classify(docs, only).collect()} == {score}
+
+
+def test_statistics(spark):
+    text = "One two TWO two.\nOne two 3 !!\nOne two 3 !!\n"
+    r = rule_ensemble.statistics(docs_of(spark, [text, "", None])).collect()
+    assert (r[0].n_words, r[0].longest_word, r[0].top_word_ratio * 12, r[0].line_words) == (12, 4, pytest.approx(3), 3)
+    assert r[0].upper_ratio == pytest.approx(6 / 36) and r[0].digit_ratio == pytest.approx(2 / 36) and r[0].distinct_ratio == pytest.approx(6 / 12)
+    assert r[1] == r[2] and set(r[1]) == {0.0}
+
+
+# ---------------------------------------------------------------- 13
+
+
+def brute_repair(initials, forced, cuts):
+    """Least (cost, audit) by extending every state of the grammar turn by turn."""
+    after = {0: (2, "u"), 1: (2, "u"), 2: (3, "a"), 3: (2, "u")}
+
+    def insert(best):
+        todo = list(best)
+        while todo:
+            p = todo.pop()
+            new = (best[p][0] + 3, best[p][1] + "I")
+            if new < best.get(after[p][0], (10**9, "")):
+                best[after[p][0]] = new
+                todo.append(after[p][0])
+        return best
+
+    best = insert({0: (0, "")})
+    for c, f, t in zip(initials, forced, cuts, strict=True):
+        ways = []
+        for p, (k, a) in best.items():
+            ways.append((p, (k + 4, a + "D")))
+            if not f:
+                q, e = after[p]
+                ways.append((q, (k + 3 * t + 3 * (c != e), a + "RK"[c == e])))
+                if p == 0 and c == "s":
+                    ways.append((1, (k + 3 * t, a + "K")))
+        best = {}
+        for p, v in ways:
+            best[p] = min(v, best.get(p, v))
+        best = insert(best)
+    return min(best[p] for p in (0, 3) if p in best)
+
+
+def test_alignment_is_the_cheapest_and_least():
+    rng = random.Random(1)
+    for _ in range(3000):
+        n = rng.randrange(0, 12)
+        wild = rng.random()
+        initials = [rng.choice(["s", "u", "a", "", "t"]) if rng.random() < wild else "ua"[i % 2] for i in range(n)]
+        forced = np.array([rng.random() < 0.2 for _ in range(n)], bool)
+        cuts = np.array([not f and rng.random() < 0.2 for f in forced], bool)
+        assert conversations._align(initials, forced, cuts) == brute_repair(initials, forced, cuts)
+    initials = [rng.choice("ua") if rng.random() < 0.2 else "ua"[i % 2] for i in range(400) if rng.random() > 0.05]
+    forced = np.array([rng.random() < 0.1 for _ in initials], bool)
+    assert conversations.align(initials, forced, forced & False) == brute_repair(initials, forced, forced & False)
+
+
+def brute_conversations(rows):
+    blank = lambda x: " " if x is None else str(x)
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = []
+        for _, turn, role, text in (r for r in rows if r[0] == conv):
+            kind = zlib.crc32(f"{blank(conv)}:{blank(turn)}".encode()) % 20
+            role, text = "user" if kind == 4 else blank(role), "" if kind == 1 else re.sub("[.!?]", "", blank(text)) if kind == 2 else blank(text)
+            mine += [(turn, role, text)] * {0: 0, 3: 2}.get(kind, 1)
+        mine.sort(key=lambda r: (r[0] is not None, r[0], r[1].encode(), r[2].encode()))
+        faults, seen = [], set()
+        for _, role, text in mine:
+            body = WORD.sub("x", text)
+            last = [c for c in text if c not in " \t\n\x0b\x0c\r"][-1:]
+            faults.append("blank" if "x" not in body else "duplicate" if (role, text) in seen else "" if last[0] in ".!?" else "truncated")
+            seen.add((role, text))
+        turns = [t for t, _, _ in mine if t is not None]
+        initials = [r[1][:1] for r in mine]
+        cost, audit = brute_repair(initials, [f in ("blank", "duplicate") for f in faults], [f == "truncated" for f in faults])
+        size = sum(op != "D" for op in audit)
+        target = "s" * (size % 2) + "ua" * (size // 2)
+        left, result, names = iter(mine), [], {"u": "user", "a": "assistant", "s": "system"}
+        for op in audit:
+            row = next(left) if op != "I" else (None, "", "")
+            if op != "D":
+                result.append((row[1] if op == "K" else names[target[len(result)]]) + ":" + row[2])
+        counts = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        out[conv] = (gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(result).encode()).hexdigest())
+    return out
+
+
+def reports(df):
+    return {r.conv_id: tuple(r)[1:] for r in df.collect()}
+
+
+def test_conversation_repair(spark):
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    assert reports(conversations.op13_conversation_repair(spark, SF)) == brute_conversations([tuple(r) for r in table.collect()])
+
+
+CONVERSATION = "conv_id long, turn long, role string, text string, there boolean, kind int"
+
+
+def odd_turns():
+    rng = random.Random(6)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(None, *range(40)), pick(None, 0, 1, 2, 3, 2**40), pick("user", "assistant", "system", "", "tool", None), pick(None, "", " \n", "Hi.", "Hi", "é!", "Yes? ", "a" * 9000)) for _ in range(400)]
+    return rows + [(100, t, "user", "w" * t) for t in range(60)]
+
+
+def test_conversation_repair_odd(spark):
+    rows = odd_turns()
+    table = spark.createDataFrame([(*r, True, 3) for r in rows], CONVERSATION)
+    want = brute_conversations(rows)
+    assert reports(conversations.repair_reports(conversations.damaged(table))) == want
+    assert conversations.repair_reports(table.limit(0)).count() == 0
+    gone = conversations.repair_reports(table.limit(1).selectExpr("5L conv_id", "turn", "role", "text", "false there")).collect()
+    assert [tuple(r) for r in gone] == [(5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+    turns = {}
+    for r in conversations.repaired_turns(conversations.damaged(table)).orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append(f"{r.role}:{r.text}")
+    assert {c: hashlib.sha256("\n".join(turns.get(c, [])).encode()).hexdigest() for c in want} == {c: w[-1] for c, w in want.items()}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
