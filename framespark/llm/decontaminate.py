@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framespark.llm.common import stash, work_dir
+
 #: Token offsets that each mask uses (fixed values): 11111, 111011, 1101101.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
 RUN = 16
@@ -54,6 +56,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = rows.join(F.broadcast(keys) if few else keys, "h", "left_semi")
     diagonal = ["doc_id", "v", "item_id", "start"]
     found = hits.join(seeds, "h").select("doc_id", "v", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
+    found = stash(found, work_dir(docs.sparkSession), "diagonals")  # narrow, and read twice
 
     # every diagonal as rows of (position, token of the item), joined with the tokens at those positions of the few documents
     # that have a hit; a row is a token, so no text is too long or too repetitive
