@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,65 +32,136 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), src: str
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def reach(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), src: str = "src", dst: str = "dst", rounds: int = 200) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), src: str = "src", dst: str = "dst") -> DataFrame:
     """(keys, start, node): nodes reached from each start along directed edges, the start itself only through a cycle or as given.
 
-    Breadth first: every round joins the newest nodes with the edges and keeps what is new.
+    Breadth first: every round joins the newest nodes with the edges and keeps what is new, until nothing is, however deep
+    the graph. Rounds are written to the shared folder and merged now and then, so that plans stay small.
     """
     k = list(keys)
     folder = work_dir(edges.sparkSession)
     e = stash(edges.select(*k, F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct(), f"{folder}/edges")
     front = starts.select(*k, F.col("start"), F.col("start").alias("node")).distinct()
-    seen = None
-    for i in range(rounds):
+    parts: list[DataFrame] = []
+    i = 0
+    while True:
         step = front.join(e, [*[front[c] == e[c] for c in k], front["node"] == e["_s"]]).select(*[front[c] for c in k], "start", F.col("_d").alias("node")).distinct()
-        if seen is not None:
+        for seen in parts:
             step = step.join(seen, [*k, "start", "node"], "left_anti")
         front = stash(step, f"{folder}/new-{i}")
         if front.isEmpty():
-            return seen if seen is not None else front
-        seen = stash(front if seen is None else seen.union(front), f"{folder}/seen-{i}")
-    raise RuntimeError(f"still growing after {rounds} rounds")
+            return reduce(DataFrame.union, parts) if parts else front
+        parts.append(front)
+        if len(parts) == 8:
+            parts = [stash(reduce(DataFrame.union, parts), f"{folder}/seen-{i}")]
+        i += 1
+
+
+def _chains(e: DataFrame, k: list[str], folder: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Of edges (a, b): nodes with one edge in and one out as (node, entry, exit), the ends of their chain; those on closed rings as (node, component); edges over the chains. None without such nodes.
 
+    Pointers along the chains double every round; on rings they never leave, and carry the least node along.
+    """
+    out = e.groupBy(*k, F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("next")).where("n = 1").drop("n")
+    into = e.groupBy(*k, F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("prev")).where("n = 1").drop("n")
+    chain = stash(out.join(into, [*k, "node"]), f"{folder}/chain")
+    if chain.isEmpty():
+        return None
+    p = chain.select(*k, "node", F.col("next").alias("to"), F.col("node").alias("last"), F.col("node").alias("low"))
+    before = -1
+    i = 0
+    while True:
+        far = p.select(*k, F.col("node").alias("to"), F.col("to").alias("to2"), F.col("last").alias("last2"), F.col("low").alias("low2"))
+        moved = F.col("to2").isNotNull()
+        low = F.least("low", F.coalesce("low2", "low"))
+        p = p.join(far, [*k, "to"], "left").select(*k, "node", F.coalesce("to2", "to").alias("to"), F.coalesce("last2", "last").alias("last"), low.alias("low"), moved.alias("on"), (low < F.col("low")).alias("less"))
+        p = stash(p, f"{folder}/jump-{i}")
+        on, less = p.agg(F.count_if("on"), F.count_if(F.col("on") & F.col("less"))).head()
+        # while some chain ends ahead, fewer nodes move in every round
+        if not on or (on == before and not less):
+            break
+        before = on
+        i += 1
+    ring = p.where("on").select(*k, "node", F.col("low").alias("component"))
+    first = chain.join(chain.select(*k, F.col("node").alias("prev")), [*k, "prev"], "left_anti").select(*k, "node", F.col("prev").alias("entry"))
+    ends = p.where("not on").select(*k, "node", "last", F.col("to").alias("exit"))
+    entry = first.join(ends, [*k, "node"]).select(*k, "last", "entry")
+    links = stash(ends.join(entry, [*k, "last"]).select(*k, "node", "entry", "exit"), f"{folder}/links")
+    over = links.select(*k, F.col("entry").alias("a"), F.col("exit").alias("b")).where("a <> b").distinct()
+    return links, ring, over
 
-def strong_components(edges: DataFrame, keys: tuple[str, ...] = (), src: str = "src", dst: str = "dst", rounds: int = 200) -> DataFrame:
+
+def strong_components(edges: DataFrame, keys: tuple[str, ...] = (), src: str = "src", dst: str = "dst") -> DataFrame:
     """(keys, node, component, size): strongly connected components of directed edges, named by their smallest node.
 
-    Rounds of colouring: labels flow forward to a fixed point (least node that reaches a node), then back along edges of one
-    colour from each colour's root; what the root is reached from is its component and leaves the graph.
+    Nodes without an edge in or out are trimmed, and chains of nodes with one edge in and one out become one edge, by pointers
+    that double, so long paths and rings take a number of rounds that grows with the logarithm of their length. What is left
+    is coloured: labels flow forward to a fixed point (least node that reaches a node), then back along edges of one colour from each
+    colour's root; what the root is reached from is its component and leaves the graph. Every loop runs until nothing
+    changes. At last the nodes of a chain join the component of its ends if both ends are in one.
     """
     k = list(keys)
     folder = work_dir(edges.sparkSession)
+    every = edges.select(*k, F.col(src).alias("node")).union(edges.select(*k, F.col(dst).alias("node"))).distinct()
     e = stash(edges.select(*k, F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct(), f"{folder}/edges")
-    nodes = stash(edges.select(*k, F.col(src).alias("node")).union(edges.select(*k, F.col(dst).alias("node"))).distinct(), f"{folder}/nodes")
-    done = None
-    for i in range(rounds):
-        if nodes.isEmpty():
+    n = e.count()
+    levels: list[DataFrame] = []
+    found: list[DataFrame] = []
+    i = 0
+    both = lambda e: e.select(*k, F.col("a").alias("node")).intersect(e.select(*k, F.col("b").alias("node")))
+    inside = lambda e, nodes, how: e.join(nodes.withColumnRenamed("node", "a"), [*k, "a"], how).join(nodes.withColumnRenamed("node", "b"), [*k, "b"], how).select(*k, "a", "b")
+    while n:
+        here = f"{folder}/{i}"
+        i += 1
+        chains = _chains(e, k, here)
+        if chains is not None:
+            links, ring, over = chains
+            levels.append(links)
+            found.append(ring)
+            gone = links.select(*k, "node").union(ring.select(*k, "node"))
+            e = inside(e, gone, "left_anti").union(over).distinct()
+        e = stash(inside(e, both(e), "left_semi"), f"{here}/trimmed")
+        left = e.count()
+        if chains is not None or left < n:
+            n = left
+            continue
+        members = _coloured(e, k, here)
+        found.append(members)
+        e = stash(inside(e, members.select(*k, "node"), "left_anti"), f"{here}/rest")
+        n = e.count()
+    if not found:
+        return every.select(*k, "node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"))
+    comp = reduce(DataFrame.union, found)
+    for j, links in reversed(list(enumerate(levels))):
+        comp = stash(comp, f"{folder}/comp-{j}")
+        end = lambda name: comp.select(*k, F.col("node").alias(name), F.col("component").alias(f"c_{name}"))  # noqa: B023, E731
+        at = links.join(end("entry"), [*k, "entry"], "left").join(end("exit"), [*k, "exit"], "left")
+        at = at.select(*k, "node", F.coalesce("c_entry", "entry").alias("component"), F.coalesce("c_exit", "exit").alias("other"))
+        # an end that is the whole component of its own joins what it closes a ring with
+        closed = at.where("component = other").drop("other")
+        ends = closed.select(*k, F.col("component").alias("node"), "component").distinct().join(comp, [*k, "node"], "left_anti")
+        comp = comp.union(closed).union(ends)
+    comp = stash(comp, f"{folder}/comp")
+    names = comp.groupBy(*k, "component").agg(F.min("node").alias("name"), F.count(F.lit(1)).alias("size"))
+    named = comp.join(names, [*k, "component"]).select(*k, "node", F.col("name").alias("component"), "size")
+    return every.join(named, [*k, "node"], "left").select(*k, "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
+def _coloured(e: DataFrame, k: list[str], folder: str) -> DataFrame:
+    """(keys, node, component) of at least one component a key: nodes that reach the least node which reaches them."""
+    lab = stash(e.select(*k, F.col("a").alias("node"), F.col("a").alias("color")).distinct(), f"{folder}/color")
+    j = 0
+    while True:
+        inc = e.join(lab.withColumnRenamed("node", "a"), [*k, "a"]).groupBy(*k, F.col("b").alias("node")).agg(F.min("color").alias("in"))
+        new = stash(lab.join(inc, [*k, "node"], "left").select(*k, "node", F.least("color", "in").alias("color"), F.col("color").alias("was")), f"{folder}/color-{j}")
+        lab = new.drop("was")
+        j += 1
+        if new.where("color <> was").isEmpty():
             break
-        live = e.join(nodes.withColumnRenamed("node", "a"), [*k, "a"], "left_semi").join(nodes.withColumnRenamed("node", "b"), [*k, "b"], "left_semi")
-        live = stash(live, f"{folder}/live-{i}")
-        lab = nodes.withColumn("color", F.col("node"))
-        for j in range(rounds):
-            inc = live.join(lab.withColumnRenamed("node", "a"), [*k, "a"]).groupBy(*k, F.col("b").alias("node")).agg(F.min("color").alias("in"))
-            new = stash(lab.join(inc, [*k, "node"], "left").select(*k, "node", F.least("color", "in").alias("color"), F.col("color").alias("was")), f"{folder}/color-{i}-{j}")
-            lab = new.drop("was")
-            if new.where("color <> was").isEmpty():
-                break
-        c = lab.withColumnRenamed("node", "x")
-        inner = live.join(c.withColumnRenamed("x", "a"), [*k, "a"]).withColumnRenamed("color", "ca").join(c.withColumnRenamed("x", "b"), [*k, "b"]).where("ca = color").select(*k, F.col("b").alias("from"), F.col("a").alias("to"), "color")
-        inner = stash(inner, f"{folder}/inner-{i}")
-        member = lab.where("node = color")
-        front = member
-        for j in range(rounds):
-            step = front.withColumnRenamed("node", "from").join(inner, [*k, "from", "color"]).select(*k, F.col("to").alias("node"), "color").distinct()
-            front = stash(step.join(member, [*k, "node", "color"], "left_anti"), f"{folder}/back-{i}-{j}")
-            if front.isEmpty():
-                break
-            member = stash(member.select(*k, "node", "color").union(front.select(*k, "node", "color")), f"{folder}/member-{i}-{j}")
-        found = member.select(*k, "node", F.col("color").alias("component"))
-        done = stash(found if done is None else done.union(found), f"{folder}/done-{i}")
-        nodes = stash(nodes.join(found, [*k, "node"], "left_anti"), f"{folder}/nodes-{i}")
-    else:
-        raise RuntimeError(f"nodes are left after {rounds} rounds")
-    size = done.groupBy(*k, "component").agg(F.count(F.lit(1)).alias("size")) if done is not None else None
-    return nodes.withColumns({"component": F.col("node"), "size": F.lit(0).cast("long")}) if done is None else done.join(size, [*k, "component"]).select(*k, "node", "component", "size")
+    c = lab.withColumnRenamed("node", "x")
+    inner = e.join(c.withColumnRenamed("x", "a"), [*k, "a"]).withColumnRenamed("color", "ca").join(c.withColumnRenamed("x", "b"), [*k, "b"]).where("ca = color")
+    inner = stash(inner.select(*k, F.col("b").alias("src"), F.col("a").alias("dst"), "color"), f"{folder}/inner")
+    root = lab.where("node = color")
+    back = reach(inner, root.withColumnRenamed("node", "start").select(*k, "color", "start"), (*k, "color"))
+    members = back.select(*k, "node", F.col("color").alias("component")).union(root.select(*k, "node", "color")).distinct()
+    return stash(members, f"{folder}/members")

@@ -145,24 +145,29 @@ def inverse_pairs(signals: DataFrame, inverters: DataFrame) -> DataFrame:
     return named.union(wired.select("design", "signal", "inverse")).distinct()
 
 
-def toggle_chains(links: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(design, start, path) of links(design, src, dst): from nodes nobody points at (all if there are none in a design) along the smallest successor, until one repeats; at least two nodes."""
-    nxt = links.groupBy("design", F.col("src").alias("at")).agg(F.min("dst").alias("to"))
+def toggle_chains(links: DataFrame) -> DataFrame:
+    """(design, start, path) of links(design, src, dst): from nodes nobody points at (all if there are none in a design) along the smallest successor, until one repeats; at least two nodes.
+
+    Both the known part of every path and the pointers double each round, until a round meets no new node.
+    """
     roots = links.select("design", "src").join(links.select("design", F.col("dst").alias("src")), ["design", "src"], "left_anti").distinct()
     no_root = links.select("design", "src").distinct().join(roots.select("design").distinct(), "design", "left_anti")
     folder = work_dir(links.sparkSession)
-    nxt = stash(nxt, f"{folder}/next")
-    cur = roots.union(no_root).select("design", F.col("src").alias("start"), F.array("src").alias("path"))
-    done = None
-    for i in range(rounds):
-        step = cur.withColumn("at", F.element_at("path", -1)).join(nxt, ["design", "at"], "left")
-        step = stash(step.withColumn("go", F.col("to").isNotNull() & ~F.coalesce(F.array_contains("path", F.col("to")), F.lit(False))), f"{folder}/{i}")
-        ended = step.where("not go and size(path) >= 2").select("design", "start", "path")
-        done = ended if done is None else done.union(ended)
-        cur = step.where("go").select("design", "start", F.concat("path", F.array("to")).alias("path"))
-        if cur.isEmpty():
-            return done
-    raise RuntimeError(f"chains still grow after {rounds} rounds")
+    jump = stash(links.groupBy("design", F.col("src").alias("node")).agg(F.min("dst").alias("to")), f"{folder}/jump")
+    path = stash(roots.union(no_root).select("design", F.col("src").alias("start"), F.col("src").alias("node"), F.lit(0).cast("long").alias("at")), f"{folder}/path")
+    n = path.count()
+    i = 0
+    while True:
+        ahead = path.join(jump, ["design", "node"]).select("design", "start", F.col("to").alias("node"), F.col("at") + (1 << i))
+        path = stash(path.union(ahead).groupBy("design", "start", "node").agg(F.min("at").alias("at")), f"{folder}/path-{i}")
+        now = path.count()
+        if now == n:
+            break
+        far = jump.select("design", F.col("node").alias("to"), F.col("to").alias("far"))
+        jump = stash(jump.join(far, ["design", "to"]).select("design", "node", F.col("far").alias("to")), f"{folder}/jump-{i}")
+        n, i = now, i + 1
+    row = F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"])
+    return path.groupBy("design", "start").agg(row.alias("path")).where("size(path) >= 2").select("design", "start", "path")
 
 
 def phase_transparency(edges: DataFrame, phases: DataFrame, source: DataFrame) -> DataFrame:
