@@ -112,23 +112,6 @@ def bistable_cores(inverters: DataFrame) -> DataFrame:
     return inverters.join(r, ["design", "gate", "out"], "left_semi").where("gate < out").select("design", F.col("gate").alias("a"), F.col("out").alias("b"))
 
 
-def parity_cores(edges: DataFrame, scc: DataFrame) -> DataFrame:
-    """(design, component, positive, negative): whether a node of each strong component of two or more reaches itself with an even and an odd number of inversions; edges(design, src, dst, inversion)."""
-    s = scc.where("size > 1").select("design", F.col("node").alias("src"), "component")
-    t = s.withColumnRenamed("src", "dst").withColumnRenamed("component", "_c")
-    e = edges.where("inversion is not null").join(s, ["design", "src"]).join(t, ["design", "dst"]).where("component = _c")
-    par = F.explode(F.array(F.lit(0), F.lit(1))).alias("p")
-    d = e.select("design", "component", "src", "dst", "inversion", par)
-    tag = lambda n, p: F.concat(F.col(n), F.lit("#"), p.cast("string"))
-    doubled = d.select("design", tag("src", F.col("p")).alias("src"), tag("dst", (F.col("p") + F.col("inversion")) % 2).alias("dst"))
-    # inside a strong component one node tells for all
-    start = scc.where("size > 1 and node = component").select("design", "node", F.concat("node", F.lit("#0")).alias("start"))
-    r = reach(doubled, start.select("design", "start"), ("design",))
-    j = start.alias("s").join(r.alias("r"), ["design", "start"])
-    at = lambda p: F.max(F.col("r.node") == F.concat(F.col("s.node"), F.lit(p)))
-    return j.groupBy("design", F.col("s.node").alias("component")).agg(at("#0").alias("positive"), at("#1").alias("negative"))
-
-
 def clock_candidates(edges: DataFrame) -> DataFrame:
     """(design, signal, n, name_score, rank): controls of guarded edges by (clock-like name, count, name)."""
     g = edges.where("control is not null").groupBy("design", F.col("control").alias("signal")).agg(F.count(F.lit(1)).alias("n"))
@@ -208,7 +191,7 @@ def classify_storage(devices: DataFrame) -> DataFrame:
     structure = F.when((F.col("kind") == "dff") & any_of("J") & any_of("K"), "jk_flip_flop").when((F.col("kind") == "dff") & any_of("T"), "t_flip_flop").when(F.col("kind") == "dff", "d_flip_flop").when(any_of("EN", "G", "CLK"), "gated_d_latch").otherwise("rs_latch")
     tests = {"sync_reset": ("SCLR", "SRST"), "async_reset": ("RN", "CLR", "ACLR", "RST"), "async_set": ("SN", "PRE", "SET"), "enable": ("CE", "EN")}
     feats = F.filter(F.array(*[F.when(any_of(*p), F.lit(k)) for k, p in tests.items()]), lambda x: x.isNotNull())
-    return s.select("design", "device", structure.alias("structure"), F.when(F.col("kind") == "dff", 0.95).otherwise(0.90).alias("confidence"), feats.alias("features"))
+    return s.select("design", "device", structure.alias("structure"), F.lit(0.75).alias("confidence"), feats.alias("features"))
 
 
 def logic_cone(transistors: DataFrame, outputs: DataFrame, supply_nets: DataFrame) -> DataFrame:
@@ -250,10 +233,10 @@ def netlist_diagnostics(nets: DataFrame, pins: DataFrame, wire_points: DataFrame
 
 
 def structure_report(nodes: DataFrame, edges: DataFrame, scc: DataFrame, storage: DataFrame) -> DataFrame:
-    """(design, report): counts of nodes, edges, strong components of two or more, and storage classes as JSON."""
+    """(design, report): counts of nodes, edges, strong components of two or more, storage classes and their features as JSON; what a design lacks is left out."""
     n = lambda df, name: df.groupBy("design").agg(F.count(F.lit(1)).alias(name))
+    counted = lambda df, key, name: df.groupBy("design", key).count().groupBy("design").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "count")))).alias(name))
     j = n(nodes, "nodes").join(n(edges, "edges"), "design", "left").join(n(scc.where("size > 1 and node = component"), "scc"), "design", "left")
-    st = storage.groupBy("design", "structure").count().groupBy("design").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("structure", "count")))).alias("storage"))
-    j = j.na.fill(0).join(st, "design", "left")
-    return j.select("design", F.to_json(F.struct("nodes", "edges", "scc", "storage")).alias("report"))
-
+    feats = storage.select("design", F.explode("features").alias("feature"))
+    j = j.na.fill(0).join(counted(storage, "structure", "storage"), "design", "left").join(counted(feats, "feature", "features"), "design", "left")
+    return j.select("design", F.to_json(F.struct("nodes", "edges", "scc", "storage", "features")).alias("report"))

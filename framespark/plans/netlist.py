@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framespark.operators import graph
 from framespark.operators import netlist as op
+from framespark.operators import structure
 from framespark.plans.tables import table
 
 Q, SQL = {}, {}
@@ -152,10 +153,14 @@ def gr10(spark, d):
     return op.bistable_cores(op.cmos_inverters(transistors(spark, d), nets(spark, d)))
 
 
-@query("gr10_parity_cores")
+@query("gr10_parity_cores", f"""with recursive e as (select *, (src + dst) % 2 as v from {_G}), n as (select design, src as node from e union select design, dst from e), r as (select design, src as a, dst as b from e union select r.design, r.a, e.dst from r join e on e.design = r.design and e.src = r.b),
+ c as (select n.design, n.node, coalesce(least(n.node, min(x.b)), n.node) as component from n left join (select f.design, f.a, f.b from r f join r g on f.design = g.design and f.a = g.b and f.b = g.a) x on x.design = n.design and x.a = n.node group by n.design, n.node),
+ i as (select e.design, c.component, e.src, e.dst, e.v from e join c on c.design = e.design and c.node = e.src join c d on d.design = e.design and d.node = e.dst and d.component = c.component),
+ w as (select design, component, src as a, dst as b, v as p from i union select w.design, w.component, w.a, i.dst, (w.p + i.v) % 2 from w join i on i.design = w.design and i.component = w.component and i.src = w.b)
+ select design, component, bool_or(a = b and p = 0) as positive, bool_or(a = b and p = 1) as negative from w group by 1, 2""")
 def gr10b(spark, d):
     e = digraph(spark, d).withColumn("inversion", ((F.col("src") + F.col("dst")) % 2).cast("int"))
-    return op.parity_cores(e.withColumns({"src": F.col("src").cast("string"), "dst": F.col("dst").cast("string")}), graph.strong_components(digraph(spark, d), ("design",)).withColumns({"node": F.col("node").cast("string"), "component": F.col("component").cast("string")}))
+    return structure.parity_cores(e, graph.strong_components(digraph(spark, d), ("design",)))
 
 
 @query("gr11_clock_candidates", f"""select design, signal, n, case when signal like 'EN%' then 1 else 0 end as name_score, row_number() over (partition by design order by case when signal like 'EN%' then 1 else 0 end desc, n desc, signal) as rank from (select design, gate as signal, 2 * count(*) as n from {T_SQL} where source not in ('VDD', 'GND') and drain not in ('VDD', 'GND') group by 1, 2)""")
@@ -237,9 +242,15 @@ def gr19(spark, d):
     return op.netlist_diagnostics(n.union(n.where("net like '%7'")), p, w, inputs.union(outputs), used, symbols)
 
 
-@query("gr20_structure_report")
+@query("gr20_structure_report", f"""with recursive e as {_G}, n as (select design, src as node from e union select design, dst from e), r as (select design, src as a, dst as b from e union select r.design, r.a, e.dst from r join e on e.design = r.design and e.src = r.b),
+ c as (select n.design, n.node, coalesce(least(n.node, min(x.b)), n.node) as component from n left join (select f.design, f.a, f.b from r f join r g on f.design = g.design and f.a = g.b and f.b = g.a) x on x.design = n.design and x.a = n.node group by n.design, n.node),
+ s as (select design, component from c group by 1, 2 having count(*) > 1), d as (select p_partkey % 100 as design, case when p_partkey % 3 = 0 then 'enable' end as feature from part)
+ select x.design, '{{"nodes":' || x.nodes || ',"edges":' || (select count(*) from e where e.design = x.design) || ',"scc":' || (select count(*) from s where s.design = x.design)
+  || case when exists (select 1 from d where d.design = x.design) then ',"storage":{{"d_flip_flop":' || (select count(*) from d where d.design = x.design) || '}}' else '' end
+  || case when exists (select 1 from d where d.design = x.design and feature is not null) then ',"features":{{"enable":' || (select count(feature) from d where d.design = x.design) || '}}' else '' end || '}}' as report from (select design, count(*) as nodes from n group by 1) x""")
 def gr20(spark, d):
     g = digraph(spark, d)
     scc = graph.strong_components(g, ("design",))
-    st = op.classify_storage(table(spark, d, "part").select((F.col("p_partkey") % 100).alias("design"), F.col("p_partkey").alias("device"), F.create_map(F.lit("D"), F.lit("w")).alias("pins"), F.lit("dff").alias("kind"), F.lit("storage").alias("domain")))
+    pins = F.when(F.col("p_partkey") % 3 == 0, F.create_map(F.lit("D"), F.lit("w"), F.lit("CE"), F.lit("w"))).otherwise(F.create_map(F.lit("D"), F.lit("w")))
+    st = op.classify_storage(table(spark, d, "part").select((F.col("p_partkey") % 100).alias("design"), F.col("p_partkey").alias("device"), pins.alias("pins"), F.lit("dff").alias("kind"), F.lit("storage").alias("domain")))
     return op.structure_report(scc.select("design", "node"), g, scc, st)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("frames", "scoring", "rasters", "selection", "polygons", "netlist", "storage", "sources")
+GROUPS = ("frames", "scoring", "rasters", "selection", "polygons", "netlist", "storage", "structure", "sources")
 
 
 def _gather(attribute: str) -> dict:
