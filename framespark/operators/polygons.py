@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespark.functions.common import total
+from framespark.functions.common import stash, total, work_dir
 from framespark.operators.graph import connected_components
 
 # ---------------------------------------------------------------- points
@@ -57,12 +57,49 @@ def _in_parts(df: DataFrame, keys: list[str]):
     return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(n)).alias("_part"))
 
 
+#: Points a leaf of the quadtree should hold, and its greatest depth.
+LEAF_POINTS, DEPTH = 4, 12
+
+
+def _directed(a: DataFrame, b: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """(keys, id, distance) of every point of a that has points of b with its keys: distance to the nearest of them.
+
+    The points of b lie in a quadtree per key, kept as a table of cells a level with the boxes of their points. Every point goes
+    down from the root to those cells that may hold its nearest: a cell stays if its box is not farther than the far side of another.
+    """
+    b = b.select(*keys, F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
+    whole = b.groupBy(*keys).agg(F.min("bx").alias("x0"), F.min("by").alias("y0"), F.greatest(F.max("bx") - F.min("bx"), F.max("by") - F.min("by")).alias("side"))
+    place = lambda c, lo: F.least(F.floor(F.when(F.col("side") > 0, (F.col(c) - F.col(lo)) / F.col("side")).otherwise(0.0) * 2**depth), F.lit(2**depth - 1))
+    leaves = b.join(whole, keys).select(*keys, "bx", "by", place("bx", "x0").alias("cx"), place("by", "y0").alias("cy"))
+    box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    cells = {depth: leaves.select(*keys, "cx", "cy", F.col("bx").alias("x0"), F.col("bx").alias("x1"), F.col("by").alias("y0"), F.col("by").alias("y1")).groupBy(*keys, "cx", "cy").agg(*box)}
+    for l in range(depth - 1, 0, -1):
+        cells[l] = cells[l + 1].withColumns({"cx": F.shiftright("cx", 1), "cy": F.shiftright("cy", 1)}).groupBy(*keys, "cx", "cy").agg(*box)
+    at = a.select(*keys, "id", "x", "y").withColumns({"cx": F.lit(0).cast("long"), "cy": F.lit(0).cast("long")})
+    for l in range(1, depth + 1):
+        below = cells[l].withColumns({"nx": F.col("cx"), "ny": F.col("cy"), "cx": F.shiftright("cx", 1), "cy": F.shiftright("cy", 1)})
+        j = at.join(below, [*keys, "cx", "cy"])
+        short = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
+        long = lambda c: F.greatest(F.abs(F.col(f"{c}0") - F.col(c)), F.abs(F.col(f"{c}1") - F.col(c)))
+        j = j.withColumns({"near": F.hypot(short("x"), short("y")), "far": F.hypot(long("x"), long("y"))})
+        j = j.withColumn("bound", F.min("far").over(Window.partitionBy(*keys, "id")))
+        # the bound of a cell of one point is the distance itself, so rounding must not part them
+        at = j.where(F.col("near") <= F.col("bound") * (1 + 1e-12)).select(*keys, "id", "x", "y", F.col("nx").alias("cx"), F.col("ny").alias("cy"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2))
+    return at.join(leaves, [*keys, "cx", "cy"]).groupBy(*keys, "id").agg(F.min(d).alias("distance"))
+
+
 def nearest_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, chamfer, hausdorff) of the points of both sides: mean of both directed means, max of both directed maxima, for keys that both sides have."""
-    p = a.select(*keys, F.col("id").alias("ia"), F.col("x").alias("xa"), F.col("y").alias("ya")).join(b.select(*keys, F.col("id").alias("ib"), F.col("x").alias("xb"), F.col("y").alias("yb")), keys)
-    p = p.withColumn("d", F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)))
-    side = lambda c: p.groupBy(*keys, c).agg(F.min("d").alias("m")).groupBy(*keys).agg(F.avg("m").alias(f"mean_{c}"), F.max("m").alias(f"max_{c}"))
-    return side("ia").join(side("ib"), keys).select(*keys, ((F.col("mean_ia") + F.col("mean_ib")) / 2).alias("chamfer"), F.greatest("max_ia", "max_ib").alias("hausdorff"))
+    """(keys, chamfer, hausdorff) of the points of both sides: mean of both directed means, max of both directed maxima, for keys that both sides have.
+
+    Rows stay near the number of points times the depth of a quadtree over them, however many points a key has. The depth follows the
+    largest key.
+    """
+    sizes = a.groupBy(*keys).count().union(b.groupBy(*keys).count())
+    most = sizes.agg(F.max("count")).head()[0] or 1
+    depth = min(max(math.ceil(math.log(most / LEAF_POINTS, 4)), 1), DEPTH)
+    side = lambda p, q, c: _directed(p, q, keys, depth).groupBy(*keys).agg(F.avg("distance").alias(f"mean_{c}"), F.max("distance").alias(f"max_{c}"))
+    return side(a, b, "a").join(side(b, a, "b"), keys).select(*keys, ((F.col("mean_a") + F.col("mean_b")) / 2).alias("chamfer"), F.greatest("max_a", "max_b").alias("hausdorff"))
 
 
 def frame_distance(a: DataFrame, b: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,11 +196,55 @@ def polygon_metrics(points: Column) -> Column:
     return F.struct(area.alias("area"), length.alias("perimeter"), F.when(n > 0, box).otherwise(F.struct(*[F.lit(0).alias(k) for k in "xywh"])).alias("bbox"))
 
 
+def _chain(p: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Points of a convex chain over points in order, without the last."""
+    out: list[tuple[float, float]] = []
+    for q in p:
+        while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+            out.pop()
+        out.append(q)
+    return out[:-1]
+
+
+def _ring_hull_area(ring) -> float | None:
+    if ring is None:
+        return None
+    p = sorted({(q["x"], q["y"]) for q in ring})
+    hull = _chain(p) + _chain(p[::-1])
+    return abs(sum(u[0] * v[1] - v[0] * u[1] for u, v in zip(hull, hull[1:] + hull[:1], strict=True))) / 2
+
+
+def hull_area(points: Column) -> Column:
+    """Area of the convex hull of each ring; null for a null ring."""
+
+    @F.pandas_udf("double")
+    def area(rings: pd.Series) -> pd.Series:
+        return rings.map(_ring_hull_area)
+
+    return area(points)
+
+
+def hierarchy_depth(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, depth): ancestors of each of polygons(keys, id, parent_id); a parent that is no row counts but has none itself.
+
+    Pointers to ancestors double every round, so the rounds grow with the logarithm of the depth. Parents in a ring are an error.
+    """
+    folder = work_dir(polygons.sparkSession)
+    p = stash(polygons.select(*keys, "id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth")), f"{folder}/depth")
+    for i in range(64):
+        far = p.select(*keys, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        p = stash(p.join(far, [*keys, "up"], "left").select(*keys, "id", F.col("up2").alias("up"), F.col("depth") + F.coalesce("more", F.lit(0))).toDF(*keys, "id", "up", "depth"), f"{folder}/depth-{i}")
+        if p.where("up is not null").isEmpty():
+            return p.select(*keys, "id", "depth")
+    raise ValueError("parents form a ring")
+
+
 def polygon_filter(df: DataFrame, limits: dict[str, float]) -> DataFrame:
     """df(points, area, perimeter, bbox, is_hole, parent_id, category, h, w, id, frame_key) with reject_reason: the first failing rule, null if none.
 
     Rules in order: min_points, empty, min_area, max_area, min_perimeter, min_width, min_height, via size, min_roundness, max_aspect, border,
-    min_extent, min_hole_area, max_hole_ratio (hole area over the parent's). Rules without a limit are off.
+    min_depth, max_depth (ancestors), min_solidity (area over that of the hull), min_extent, min_hole_area, max_hole_ratio (hole area
+    over the parent's). Rules without a limit are off; those on depth want df to have the column depth, see hierarchy_depth().
     """
     g = limits.get
     b = F.col("bbox")
@@ -190,6 +271,9 @@ def polygon_filter(df: DataFrame, limits: dict[str, float]) -> DataFrame:
     add("aspect", "max_aspect", lambda v: aspect > v)
     if g("border"):
         tests.append(("border", touch))
+    add("min_hierarchy_depth", "min_depth", lambda v: F.col("depth") < v)
+    add("max_hierarchy_depth", "max_depth", lambda v: F.col("depth") > v)
+    add("solidity", "min_solidity", lambda v: F.coalesce(F.col("area") / F.nullif(hull_area(F.col("points")), F.lit(0.0)), F.lit(0.0)) < v)
     add("extent", "min_extent", lambda v: F.col("area") / (b["w"] * b["h"]) < v)
     add("small_hole", "min_hole_area", lambda v: hole & (F.col("area") < v))
     add("hole_ratio", "max_hole_ratio", lambda v: hole & F.col("_parent").isNotNull() & (F.col("area") > v * F.col("_parent")))
@@ -286,6 +370,81 @@ def merge_overlapping(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.join(comp.withColumnRenamed("node", "id"), [*keys, "id"], "left").select(*keys, "id", F.coalesce("component", "id").alias("group_id"))
 
 
+def rings_overlap(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the areas of two simple rings (n x 2) share more than a border.
+
+    Each edge of one is cut wherever it meets the other ring. A piece whose middle is strictly inside the other ring shows an overlap;
+    without such pieces the rings are apart, touch, or are the same, which a point inside one tells.
+    """
+    return _edge_inside(a, b) or _edge_inside(b, a) or bool(_strictly_inside(_inner_point(a)[None], b)[0])
+
+
+def _cross(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+
+
+def _strictly_inside(p: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Which of the points lie inside the ring and not on it."""
+    v, w = ring[None], np.roll(ring, -1, axis=0)[None]
+    q = p[:, None]
+    up = (v[..., 1] > q[..., 1]) != (w[..., 1] > q[..., 1])
+    side = _cross(w - v, q - v)
+    crosses = up & ((side > 0) == (w[..., 1] > v[..., 1]))
+    size = np.abs(w - v).max(axis=-1) * np.maximum(np.abs(q - v).max(axis=-1), 1e-300)
+    on = (np.abs(side) <= 1e-12 * size) & (((q - v) * (q - w)).sum(axis=-1) <= 0)
+    return (crosses.sum(axis=1) % 2 == 1) & ~on.any(axis=1)
+
+
+def _edge_inside(a: np.ndarray, b: np.ndarray) -> bool:
+    w = np.roll(b, -1, axis=0)
+    for p, q in zip(a, np.roll(a, -1, axis=0), strict=True):
+        d, e = q - p, w - b
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = _cross(b - p, e) / _cross(d[None], e)
+            along = ((b - p) @ d) / (d @ d)
+        cuts = np.concatenate(([0.0, 1.0], t, along))
+        cuts = np.unique(cuts[np.isfinite(cuts) & (cuts >= 0) & (cuts <= 1)])
+        middle = p + ((cuts[1:] + cuts[:-1]) / 2)[:, None] * d
+        if len(middle) and _strictly_inside(middle, b).any():
+            return True
+    return False
+
+
+def _inner_point(ring: np.ndarray) -> np.ndarray:
+    """A point strictly inside a simple ring: the middle of the first stretch of a level line between its lowest two heights."""
+    heights = np.unique(ring[:, 1])
+    y = heights[:2].mean()
+    v, w = ring, np.roll(ring, -1, axis=0)
+    hit = (v[:, 1] > y) != (w[:, 1] > y)
+    x = np.sort(v[hit, 0] + (y - v[hit, 1]) / (w[hit, 1] - v[hit, 1]) * (w[hit, 0] - v[hit, 0]))
+    return np.array([(x[0] + x[1]) / 2, y]) if len(x) > 1 else ring[0]
+
+
+def merge_polygons(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, group_id, members, area, x, y, w, h): polygons(keys, id, points, area, bbox) whose areas overlap are one group, transitively.
+
+    Boxes meet first, then the rings of those pairs, by rings_overlap(). group_id is the smallest id; area is the sum of the members' and the box
+    that of them all. Rings of fewer than three points overlap nothing.
+    """
+    b = F.col("bbox")
+    pairs = bbox_neighbors(polygons.select(*keys, "id", *[b[c].cast("double").alias(c) for c in "xywh"]), 0.0, keys).select(*keys, "a", "b")
+    ring = lambda c: polygons.where("size(points) >= 3").select(*keys, F.col("id").alias(c), F.col("points").alias(f"_{c}"))
+    pairs = pairs.join(ring("a"), [*keys, "a"]).join(ring("b"), [*keys, "b"])
+
+    def test(parts):
+        for pdf in parts:
+            at = [[np.array([(p["x"], p["y"]) for p in r], float) for r in pdf[c]] for c in ("_a", "_b")]
+            keep = [rings_overlap(x, y) for x, y in zip(*at, strict=True)]
+            yield pdf.loc[keep, [*keys, "a", "b"]]
+
+    names = [*keys, "a", "b"]
+    found = pairs.mapInPandas(test, ", ".join(f"{n} {pairs.schema[n].dataType.simpleString()}" for n in names))
+    comp = connected_components(found.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst")), tuple(keys))
+    g = polygons.join(comp.withColumnRenamed("node", "id"), [*keys, "id"], "left").withColumn("group_id", F.coalesce("component", "id"))
+    g = g.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("members"), F.sum("area").alias("area"), F.min(b["x"]).alias("x"), F.min(b["y"]).alias("y"), F.max(b["x"] + b["w"]).alias("x1"), F.max(b["y"] + b["h"]).alias("y1"))
+    return g.select(*keys, "group_id", "members", "area", "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"))
+
+
 def suppress_nms(dets: DataFrame, keys: list[str], kind: str, limit: float = 0.0) -> DataFrame:
     """dets(keys, id, x, y, w, h, score) with suppressed_by (null for those kept).
 

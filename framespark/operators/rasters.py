@@ -34,6 +34,51 @@ def graded_uncertainty(px: Column) -> Column:
     return F.transform(px, lambda p: 1 - 2 * F.abs(p - 0.5))
 
 
+def border_distance(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Exact distance of every pixel of a mask to the nearest pixel of the other kind, as far as ``reach``, beyond it infinite.
+
+    First along columns, by counting from the last change, then along rows: the nearest over all columns within reach.
+    """
+    h, w = mask.shape
+    out = np.full((h, w), np.inf)
+    for kind in (False, True):
+        y = np.arange(h)[:, None]
+        other = mask != kind
+        before = np.maximum.accumulate(np.where(other, y, -10 * h - 10), axis=0)
+        after = np.minimum.accumulate(np.where(other, y, 11 * h + 10)[::-1], axis=0)[::-1]
+        column = np.minimum(y - before, after - y).astype(float) ** 2
+        column[column > (h + w) ** 2] = np.inf
+        best = column.copy()
+        for dx in range(1, min(reach, w - 1) + 1):
+            best[:, dx:] = np.minimum(best[:, dx:], column[:, :-dx] + dx * dx)
+            best[:, :-dx] = np.minimum(best[:, :-dx], column[:, dx:] + dx * dx)
+        out = np.where(mask == kind, np.sqrt(best), out)
+    return out
+
+
+def algorithmic_uncertainty(df: DataFrame, px: str = "px", radius: float = 4.0, tolerance: float = 1e-4) -> DataFrame:
+    """df(h, w, px) with u: for maps of 0 and 1 within the tolerance 1 - distance to the nearest border pixel / radius, else the graded uncertainty.
+
+    Maps of one kind only have no border and no uncertainty; empty maps give an empty array, a null map null. Each raster is worked on by itself.
+    """
+    edge = F.forall(px, lambda p: F.least(F.abs(p), F.abs(p - 1)) <= tolerance)
+
+    @F.pandas_udf("array<double>")
+    def near_border(values: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for v, w in zip(values, width, strict=True):
+            if v is None or not len(v):
+                out.append(v)
+                continue
+            mask = np.asarray(v, float).reshape(-1, int(w)) >= 0.5
+            out.append(np.clip(1 - border_distance(mask, math.ceil(radius)) / radius, 0, 1).ravel())
+        return pd.Series(out)
+
+    # the array is handed over only where the branch needs it
+    given = F.when(edge, F.col(px))
+    return df.withColumn("u", F.when(edge, near_border(given, F.col("w"))).otherwise(graded_uncertainty(F.col(px))))
+
+
 def bad_area(u: Column, threshold: float = 0.8, gamma: float = 0.65) -> Column:
     """((u - t) / (1 - t)) ** gamma above the threshold, else 0."""
     return F.transform(u, lambda x: F.when(x > threshold, F.pow((x - threshold) / (1 - threshold), F.lit(gamma))).otherwise(0.0))

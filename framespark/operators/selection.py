@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,22 +51,57 @@ def dedupe_fingerprint(df: DataFrame, key: str = "fingerprint", quality: str = "
     return top.select("_r.*")
 
 
-def near_duplicates(df: DataFrame, max_distance: float, min_similarity: float = 0.9, bands: int = 8) -> DataFrame:
-    """(a, b, distance, similarity) of rows df(id, features array<double>, bits text, cluster) of one cluster that are near.
+def pack_bits(text: Column) -> Column:
+    """A text of 0 and 1 as an array of longs of 64 bits, the last one filled with 0."""
+    words = F.sequence(F.lit(0), ((F.length(text) - 1) / 64).cast("int"))
+    word = lambda i: F.rpad(F.substring(text, i * 64 + 1, F.lit(64)), 64, "0")
+    return F.transform(words, lambda i: F.conv(word(i), 2, -10).cast("long"))
+
 
-    Near: distance <= d, or Hamming similarity >= s and distance <= 1.8 d. Pairs meet by a band of the bits or a cell of the
-    first feature of width 1.8 d (its own and the next), so none that is near is missed by distance.
+def near_duplicates(df: DataFrame, max_distance: float, min_similarity: float = 0.9, length: int | None = None) -> DataFrame:
+    """(a, b, distance, similarity) of rows df(id, features array<double>, bits, cluster) of one cluster that are near.
+
+    Near: distance <= d, or Hamming similarity >= s and distance <= 1.8 d. bits is text, compared by characters, or an array of longs
+    as of pack_bits(), compared by bit_count of xor; ``length`` is its number of bits then. Pairs meet in a cell of width d of the first
+    feature (its own or the next), or in one of width 1.8 d and a band of the bits: of one band more than may differ, one is equal
+    (pigeonholes), so no pair is missed, and the wider cells don't compare everything. Null bits have no band; rows without features are left out.
     """
-    width = 1.8 * max_distance
-    cell = F.floor(F.get("features", F.lit(0)) / width)
-    left = df.withColumn("_c", F.explode(F.array(cell, cell + 1)))
-    right = df.withColumn("_c", cell + 1).select(F.col("id").alias("b"), F.col("features").alias("fb"), F.col("bits").alias("bb"), F.col("cluster").alias("cb"), F.col("_c").alias("cc"))
-    j = left.join(right, (F.col("_c") == F.col("cc")) & (F.col("cluster") == F.col("cb"))).where("id <> b")
+    kind = df.schema["bits"].dataType.simpleString()
+    packed = kind.startswith("array")
+    if packed and not length:
+        raise ValueError("packed bits need their length")
+    df = df.select("id", "features", "bits", "cluster").where("size(features) > 0")
+    if not packed:
+        length = df.agg(F.max(F.length("bits"))).head()[0] or 1
+    differ = math.floor((1 - min_similarity) * length + 1e-9)
+    bands = min(differ + 1, length)
+    borders = [round(i * length / bands) for i in range(bands + 1)]
+    if packed:
+        bit = lambda k: F.getbit(F.get("bits", F.lit(k // 64)), F.lit(63 - k % 64)).cast("string")
+        values = [F.concat(*[bit(k) for k in range(x, y)]) for x, y in zip(borders, borders[1:], strict=False)]
+    else:
+        values = [F.substring("bits", x + 1, y - x) for x, y in zip(borders, borders[1:], strict=False)]
+    keys = F.array(*[F.xxhash64(F.lit(i), v) for i, v in enumerate(values)])
+    first = F.get("features", F.lit(0))
+
+    def meet(left: DataFrame, width: float, by: list[str]) -> DataFrame:
+        """Pairs of rows of one cluster whose cells of a width are equal or follow each other."""
+        cell = F.floor(first / width) if width > 0 else first
+        l = left.withColumn("_c", F.explode(F.array(cell, cell + 1)) if width > 0 else cell)
+        r = left.select(*by, "cluster", (cell + 1 if width > 0 else cell).alias("_c"), F.col("id").alias("b"), F.col("features").alias("fb"), F.col("bits").alias("bb"))
+        return l.join(r, [*by, "cluster", "_c"]).where("id <> b").select("id", "b", "features", "fb", "bits", "bb")
+
     dist = F.sqrt(F.aggregate(F.zip_with("features", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    same = F.aggregate(F.zip_with(F.split("bits", ""), F.split("bb", ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.length("bits")
-    j = j.withColumns({"distance": dist, "similarity": same})
-    near = j.where((F.col("distance") <= max_distance) | ((F.col("similarity") >= min_similarity) & (F.col("distance") <= width)))
-    return near.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), "distance", "similarity").dropDuplicates(["a", "b"])
+    if packed:
+        same = 1 - F.aggregate(F.zip_with("bits", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v) / length
+    else:
+        same = F.aggregate(F.zip_with(F.split("bits", ""), F.split("bb", ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.length("bits")
+    scored = lambda j: j.withColumns({"distance": dist, "similarity": same})
+    by_distance = scored(meet(df, max_distance, [])).where(F.col("distance") <= max_distance)
+    banded = df.where("bits is not null").withColumn("_k", F.explode(keys))
+    by_bits = scored(meet(banded, 1.8 * max_distance, ["_k"])).where((F.col("similarity") >= min_similarity) & (F.col("distance") <= 1.8 * max_distance))
+    pair = lambda j: j.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), "distance", "similarity")
+    return pair(by_distance).union(pair(by_bits)).dropDuplicates(["a", "b"])
 
 
 def minmax_features(df: DataFrame, column: str = "features") -> DataFrame:

@@ -134,6 +134,39 @@ def pg2(spark, d):
     return op.polygon_filter(p, limits).select("frame_key", "id", "reject_reason")
 
 
+#: L-shapes: the lower half of each box and its left half; parents are the box before, three generations deep.
+_HALVES = f"(select frame_key, id, x, y, w, h / 2 as h from {BOXES} union all select frame_key, id, x, y, w / 2, h from {BOXES})"
+
+
+def ells(spark, d):
+    b = boxes(spark, d)
+    x, y, w, h = (F.col(k) for k in "xywh")
+    p = lambda u, v: F.struct(u.alias("x"), v.alias("y"))
+    ring = F.array(p(x, y), p(x + w, y), p(x + w, y + h / 2), p(x + w / 2, y + h / 2), p(x + w / 2, y + h), p(x, y + h))
+    out = b.select("frame_key", "id", ring.alias("points"), F.when(F.col("id") % 4 != 0, F.col("id") - 1).alias("parent_id"), (F.col("id") % 3 == 0).alias("is_hole"), F.lit("conductor").alias("category"), F.lit(310).alias("w"), F.lit(330).alias("h"))
+    return out.withColumn("_m", op.polygon_metrics(F.col("points"))).select("*", "_m.*").drop("_m")
+
+
+@query("pg2_hierarchy_depth", f"select frame_key, id, id % 4 as depth from {BOXES} where id % 4 = 0 union all select a.frame_key, a.id, case when a.id % 4 = 1 or b.id is null then 1 when a.id % 4 = 2 or c.id is null then 2 else 3 end from {BOXES} a left join {BOXES} b on b.frame_key = a.frame_key and b.id = a.id - 1 left join {BOXES} c on b.id is not null and c.frame_key = a.frame_key and c.id = a.id - 2 where a.id % 4 <> 0")
+def pg2_depth(spark, d):
+    return op.hierarchy_depth(ells(spark, d), ["frame_key"])
+
+
+@query("pg2_solidity", f"""with p as (select a.frame_key, a.id, case when a.id % 4 = 0 then 0 when a.id % 4 = 1 or b.id is null then 1 when a.id % 4 = 2 or c.id is null then 2 else 3 end as depth, a.w, a.h from {BOXES} a left join {BOXES} b on b.frame_key = a.frame_key and b.id = a.id - 1 left join {BOXES} c on b.id is not null and c.frame_key = a.frame_key and c.id = a.id - 2)
+ select frame_key, id, case when depth > 2 then 'max_hierarchy_depth' when id % 3 = 0 and 0.75 * w * h < 20 then 'small_hole' end as reject_reason from p""")
+def pg2_solidity(spark, d):
+    p = ells(spark, d).join(op.hierarchy_depth(ells(spark, d), ["frame_key"]), ["frame_key", "id"])
+    # an L fills 3/4 of its box and 6/7 of its hull
+    return op.polygon_filter(p, {"max_depth": 2, "min_solidity": 0.857, "min_hole_area": 20}).select("frame_key", "id", "reject_reason")
+
+
+@query("pg7_merge_polygons", f"""with recursive h as {_HALVES}, p as (select distinct a.frame_key, a.id as a, b.id as b from h a join h b on a.frame_key = b.frame_key and a.id <> b.id where a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h),
+ r as (select frame_key, id as a, id as b from {BOXES} union select r.frame_key, r.a, p.b from r join p on p.frame_key = r.frame_key and p.a = r.b), g as (select frame_key, a as id, min(b) as group_id from r group by 1, 2)
+ select frame_key, group_id, count(*) as members, {R('sum(0.75 * w * h)')} as area, min(floor(x))::int as x, min(floor(y))::int as y, (max(ceil(x + w) + 1) - min(floor(x)))::int as w, (max(ceil(y + h) + 1) - min(floor(y)))::int as h from g join {BOXES} using (frame_key, id) group by 1, 2""")
+def pg7_polygons(spark, d):
+    return rounded(op.merge_polygons(ells(spark, d), ["frame_key"]), "area")
+
+
 @query("pg3_via_candidate_filter", f"""select frame_key, id, case when least(w, h) < 2 or greatest(w, h) > 12 then 'size' when greatest(w, h) / least(w, h) > 3 then 'aspect' when score * 10 < 0.1 then 'roundness' when w / 13 < 0.2 then 'contrast' when h / 11 < 0.3 then 'edge_coverage' when score < 0.04 then 'score' end as reject_reason from {BOXES}""")
 def pg3(spark, d):
     b = boxes(spark, d).withColumns({"roundness": F.col("score") * 10, "contrast": F.col("w") / 13, "edge_coverage": F.col("h") / 11})

@@ -57,6 +57,16 @@ def ra2(spark, d):
     return rounded(rasters(spark, d).select("vec_id", op.total(op.graded_uncertainty(F.col("px"))).alias("mass")), "mass")
 
 
+@query("ra2_border_uncertainty", f"""with m as (select vec_id, i, (i - 1) // 8 as y, (i - 1) % 8 as x, case when vec_id % 4 = 0 then px[i] else (px[i] >= 0.5)::int end as p from {RASTERS}, range(1, 65) t(i)),
+ n as (select a.vec_id, a.i, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) as d from m a join m b on a.vec_id = b.vec_id and a.p <> b.p where a.vec_id % 4 <> 0 group by 1, 2)
+ select vec_id, {R('sum(case when vec_id % 4 = 0 then 1 - 2 * abs(p - 0.5) else greatest(1 - coalesce(d, 1e9) / 4, 0) end)')} as mass from m left join n using (vec_id, i) group by 1""")
+def ra2_border(spark, d):
+    r = rasters(spark, d)
+    mask = F.transform("px", lambda p: F.when(p >= 0.5, 1.0).otherwise(0.0))
+    r = r.withColumn("px", F.when(F.col("vec_id") % 4 == 0, F.col("px")).otherwise(mask))
+    return rounded(op.algorithmic_uncertainty(r).select("vec_id", op.total(F.col("u")).alias("mass")), "mass")
+
+
 @query("ra3_bad_area", f"select vec_id, {R('list_sum(list_transform(px, lambda p: case when 1 - 2 * abs(p - 0.5) > 0.8 then pow((1 - 2 * abs(p - 0.5) - 0.8) / 0.2, 0.65) else 0.0 end))')} as mass from {RASTERS}")
 def ra3(spark, d):
     return rounded(rasters(spark, d).select("vec_id", op.total(op.bad_area(op.graded_uncertainty(F.col("px")))).alias("mass")), "mass")

@@ -79,6 +79,17 @@ def se4(spark, d):
     return rounded(op.near_duplicates(vectors(spark, d), 0.1, 0.1), "distance").drop("similarity")
 
 
+_BITS = f"(select id, cluster, f, list_aggregate(list_transform(range(1, 65), lambda i: case when e[i] >= 0 then '1' else '0' end), 'string_agg', '') as bits from (select vec_id as id, label as cluster, list_transform(embedding[1:4], lambda x: x::double) as f, embedding as e from embeddings))"
+
+
+@query("se4_near_fingerprints", f"""select a.id as a, b.id as b, {R(_DIST)} as distance, (64 - bit_count(xor(a.bits::bit, b.bits::bit))) / 64 as similarity from {_BITS} a join {_BITS} b on a.cluster = b.cluster and a.id < b.id
+ where {_DIST} <= 0.1 or (64 - bit_count(xor(a.bits::bit, b.bits::bit)) >= 0.8 * 64 and {_DIST} <= 0.18)""")
+def se4_packed(spark, d):
+    bits = F.array_join(F.transform("embedding", lambda x: F.when(x >= 0, "1").otherwise("0")), "")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("features"), F.col("label").alias("cluster"), op.pack_bits(bits).alias("bits"))
+    return rounded(op.near_duplicates(v, 0.1, 0.8, length=64), "distance")
+
+
 @query("se5_minmax_features", f"""with x as (select id, i, f[i] as v from {_VEC}, range(1, 5) t(i)), b as (select i, min(v) as lo, max(v) as hi from x group by 1) select id, {R('sum((v - lo) / greatest(hi - lo, 1e-8))')} as mass from x join b on x.i = b.i group by 1""")
 def se5(spark, d):
     return rounded(op.minmax_features(vectors(spark, d)).select("id", total(F.col("features")).alias("mass")), "mass")
