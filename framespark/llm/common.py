@@ -243,3 +243,17 @@ def components(edges: DataFrame, folder: str, name: str, rounds: int = 40) -> Da
         if not changed:
             return labels
     raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
+# ---------------------------------------------------------------- SQL of the checks
+
+#: A table ``tab`` with the list ``crc`` of the CRC-32 checksum, by a recursive table ``bits`` (the polynomial, bits reversed, is a fixed value).
+CRC_TABLE_SQL = """bits as (
+  select i, i as c, 0 as k from range(256) t(i)
+  union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8
+), tab as (select list(c order by i) as crc from bits where k = 8)"""
+
+#: The unsigned CRC-32 of the UTF-8 bytes of a column f, with tab beside it.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || hex(encode(f))[2 * i + 1 : 2 * i + 2])::bigint)),
+        lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)"""

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framespark.llm.common import CRC_SQL, CRC_TABLE_SQL
+
 #: Costs (fixed values).
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 BLANK = " \t\n\x0b\x0c\r"
@@ -309,3 +311,46 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
     return repair_reports(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+SQL = f"""
+with recursive {CRC_TABLE_SQL},
+convs as (select conv_id, row_number() over (order by conv_id nulls first) as g from (select distinct conv_id from conversations)),
+raw as (select g, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(c.conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as f from conversations c join convs on c.conv_id is not distinct from convs.conv_id),
+kinds as (select raw.*, {CRC_SQL} % 20 as kind from raw, tab),
+rows as (
+  select g, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from kinds, range(2) x(copy) where kind <> 0 and (copy = 0 or kind = 3)
+),
+num as (select *, row_number() over (partition by g order by turn nulls first, role, text) as i, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') as bare from rows),
+flags as (
+  select *, bare = '' as blank, bare <> '' and again as duplicate, bare <> '' and not again and right(bare, 1) not in ('.', '!', '?') as truncated, left(role, 1) as initial
+  from (select *, row_number() over (partition by g, role, text order by i) > 1 as again from num)
+),
+ops(p, q, e, o) as (values (0, 0, '', 'D'), (1, 1, '', 'D'), (2, 2, '', 'D'), (3, 3, '', 'D'), (0, 2, 'u', 'E'), (1, 2, 'u', 'E'), (2, 3, 'a', 'E'), (3, 2, 'u', 'E'), (0, 1, 's', 'S')),
+ins(q, k, r) as (values (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (3, 0, 3), (3, 1, 2)),
+states as (
+  select g, 0::bigint as i, r as p, struct_pack(c := 3 * k, a := repeat('I', k)) as best from convs, ins where q = 0
+  union all
+  select s.g, n.i, ins.r, min(struct_pack(
+      c := best.c + 3 * ins.k + case o when 'D' then 4 when 'S' then 3 * truncated::int else 3 * truncated::int + 3 * (initial <> e)::int end,
+      a := best.a || case o when 'D' then 'D' when 'S' then 'K' else case when initial = e then 'K' else 'R' end end || repeat('I', ins.k)))
+  from states s join flags n on n.g = s.g and n.i = s.i + 1 join ops on ops.p = s.p join ins on ins.q = ops.q
+  where o = 'D' or (not (blank or duplicate) and (o = 'E' or initial = 's')) group by 1, 2, 3
+),
+ends as (select g, max(i) as n from states group by 1),
+done as (select s.g, min(best) as best from states s join ends on ends.g = s.g and s.i = ends.n where p in (0, 3) group by 1),
+letters as (
+  select g, j, op, sum((op <> 'I')::int) over w as i, sum((op <> 'D')::int) over w as k, sum((op <> 'D')::int) over (partition by g) as size
+  from (select g, j, best.a[j] as op from done, range(1, 1 + len(best.a)) x(j)) window w as (partition by g order by j)
+),
+texts as (
+  select l.g, string_agg(case when op = 'K' then role when (k - size % 2) % 2 = 1 then 'user' else 'assistant' end || ':' || case when op = 'I' then '' else text end, chr(10) order by j) as t
+  from letters l left join flags f on f.g = l.g and f.i = l.i where op <> 'D' group by 1
+),
+pairs as (select g, count(*) as illegal from (select g, initial || lead(initial) over (partition by g order by i) as two from flags) where two is not null and two not in ('su', 'ua', 'au') group by 1),
+counts as (select g, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank, count_if(duplicate) as duplicate, count_if(truncated) as truncated from flags group by 1)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  best.c::bigint as cost, best.a as audit, sha256(coalesce(t, '')) as repaired_sha256
+from convs join done using (g) left join counts using (g) left join pairs using (g) left join texts using (g)
+"""

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_importance_resampling": resampling.SQL}
+    return {"op11_importance_resampling": resampling.SQL, "op13_conversation_repair": conversations.SQL}

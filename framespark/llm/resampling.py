@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from framespark.functions.common import global_row_number
-from framespark.llm.common import stash, work_dir
+from framespark.llm.common import CRC_SQL, CRC_TABLE_SQL, stash, work_dir
 
 BUCKETS = 10_000
 #: Gains are natural logarithms in thousandths.
@@ -168,16 +168,8 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_ranks(docs, target).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
-# fixed values: the polynomial of the CRC-32 checksum, bits reversed
-SQL_CRC = """list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || hex(encode(f))[2 * i + 1 : 2 * i + 2])::bigint)),
-        lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))"""
-
 SQL = f"""
-with recursive bits as (
-  select i, i as c, 0 as k from range(256) t(i)
-  union all
-  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8
-), tab as (select list(c order by i) as crc from bits where k = 8),
+with recursive {CRC_TABLE_SQL},
 texts as (
   select 'd' as side, doc_id as id, text from documents union all select 'b', item_id, text from benchmark
 ), words as (
@@ -188,7 +180,7 @@ texts as (
   select side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from words where len(w) > 1
 ), n as (select side, id, f, count(*) as n from feats group by all),
 hashed as (
-  select f, xor({SQL_CRC}, 4294967295) % 10000 as bucket from (select distinct f from n), tab
+  select f, {CRC_SQL} % 10000 as bucket from (select distinct f from n), tab
 ), cells as (select side, id, bucket, sum(n)::bigint as n from n join hashed using (f) group by all),
 sides as (select bucket, coalesce(sum(n) filter (side = 'd'), 0)::double as s, coalesce(sum(n) filter (side = 'b'), 0)::double as t from cells group by bucket),
 totals as (select sum(s) as s_all, sum(t) as t_all from sides),

@@ -114,14 +114,14 @@ def flip_flops(latches: DataFrame, inverters: DataFrame, outputs: DataFrame, rou
 
 
 def input_muxes(cores: DataFrame, edges: DataFrame) -> DataFrame:
-    """(design, node, select, data, feedback): core nets that one control joins at one level to a net outside and at the other to a net of the core, from switch_edges."""
+    """(design, node, select, data, feedback, level): core nets that one control joins at one level to a net outside and at the other to a net of the core, from switch_edges; level is the one that lets data in."""
     c = _core_nets(cores).withColumnRenamed("net", "dst")
     e = edges.where("control is not null").join(c, ["design", "dst"])
     own = F.col("src").isin(F.col("ca"), F.col("cb"))
     g = e.groupBy("design", F.col("dst").alias("node"), "ca", "cb", F.col("control").alias("select")).agg(
-        F.count_distinct("level").alias("_n"), F.array_sort(F.collect_set(F.when(~own, F.col("src")))).alias("data"), F.array_sort(F.collect_set(F.when(own, F.col("src")))).alias("feedback")
+        F.count_distinct("level").alias("_n"), F.array_sort(F.collect_set(F.when(~own, F.col("src")))).alias("data"), F.array_sort(F.collect_set(F.when(own, F.col("src")))).alias("feedback"), F.min(F.when(~own, F.col("level"))).alias("level")
     )
-    return g.where("_n = 2 and size(data) > 0 and size(feedback) > 0").select("design", "node", "select", "data", "feedback")
+    return g.where("_n = 2 and size(data) > 0 and size(feedback) > 0").select("design", "node", "select", "data", "feedback", "level")
 
 
 def async_controls(cores: DataFrame, transistors: DataFrame) -> DataFrame:

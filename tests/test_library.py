@@ -15,8 +15,8 @@ from framespark.sources import files
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Iterative queries of many small jobs; the driver checks them, here they would take minutes.
-SLOW = {"gr9_strong_components", "gr20_structure_report", "gr10_parity_cores", "se13_bootstrap_sample"}
+#: A query of many small jobs; the driver checks it, here it would take minutes.
+SLOW = {"se13_bootstrap_sample"}
 
 
 def plain(v):
