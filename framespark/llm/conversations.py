@@ -12,13 +12,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framespark.llm.common import CRC_SQL, CRC_TABLE_SQL
+from framespark.llm.common import CRC_SQL, CRC_TABLE_SQL, runs_of, salted_join, stash, work_dir
 
 #: Costs (fixed values).
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
@@ -27,6 +28,8 @@ ENDS = (".", "!", "?")
 ROLES = {"u": "user", "a": "assistant"}
 OTHER = {"u": "a", "a": "u"}
 BIG = 1 << 28
+#: Conversations of more turns, or of more text, are aligned in segments.
+LONG_TURNS, LONG_BYTES, SEGMENT = 4096, 64 << 20, 1024
 #: Alignments of so few turns are kept, since the same patterns come again and again.
 SHORT = 16
 
@@ -246,52 +249,209 @@ COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 REPORT = "conv_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", audit string, repaired_sha256 string"
 
 
-def _placed(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text with nulls as one blank, and there, in order within partitions by conversation."""
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _batches(rows: Iterator[tuple], schema: str, size: int = 1000) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, size)):
+        yield _batch(some, schema)
+
+
+def _rows(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text with nulls as one blank, and there."""
     text = lambda c: F.coalesce(F.col(c), F.lit(" ")).alias(c)
     there = F.col("there") if "there" in turns.columns else F.lit(True)
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), text("role"), text("text"), there.alias("there"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), text("role"), text("text"), there.alias("there"))
+
+
+def _parted(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of conversations that a task takes whole, in order within partitions, and those of long ones, if there are any."""
+    n, size = F.count_if("there"), F.sum(F.when(F.col("there"), F.octet_length("text")))
+    long = rows.groupBy("conv_id").agg(n.alias("n"), size.alias("size")).where((F.col("n") > LONG_TURNS) | (F.col("size") > LONG_BYTES))
+    long = stash(long.select(F.col("conv_id").alias("_id")), folder, "long")
+    in_task = lambda df: df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    if long.isEmpty():
+        return in_task(rows), None
+    same = rows["conv_id"].eqNullSafe(long["_id"])
+    return in_task(rows.join(long, same, "left_anti")), rows.join(long, same, "left_semi").where("there").drop("there")
 
 
-def repair_reports(turns: DataFrame) -> DataFrame:
+def repair_reports(turns: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per conversation of turns(conv_id, turn, role, text): faults, least cost, audit and the digest of the repaired turns.
 
     Turns are taken by number (nulls first), equal numbers by role and text. Null roles and texts count as one blank; a null conv_id is a
     conversation of its own. Rows whose column ``there``, if there is one, is false only name their conversation; one without
     other rows has zeros, an empty audit and the digest of empty text. Other columns are ignored; an empty table gives none.
+    Conversations of more than LONG_TURNS turns or LONG_BYTES of text are aligned in segments of many tasks.
     """
+    folder = folder or work_dir(turns.sparkSession)
+    short, long = _parted(_rows(turns), folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for conv, *columns in in_order(batches):
-            c = Conversation(*columns)
-            out.append((conv, *c.counts, c.audit, c.digest()))
-            if len(out) == 1000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
+        each = ((conv, Conversation(*columns)) for conv, *columns in in_order(batches))
+        return _batches(((conv, *c.counts, c.audit, c.digest()) for conv, c in each), REPORT)
 
-    return _placed(turns).mapInArrow(run, REPORT)
+    out = short.mapInArrow(run, REPORT)
+    return out if long is None else out.unionByName(_long_reports(*_long(long, folder)))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["conv_id", *COUNTS, "audit", "repaired_sha256"]
-    kinds = [pa.int64()] * (1 + len(COUNTS)) + [pa.string()] * 2
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+def repaired_turns(turns: DataFrame, folder: str | None = None) -> DataFrame:
+    """(conv_id, turn, role, text) of the repaired conversations, turns numbered from 0; input as for repair_reports."""
+    folder = folder or work_dir(turns.sparkSession)
+    short, long = _parted(_rows(turns), folder)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = ((conv, Conversation(*columns).result) for conv, *columns in in_order(batches))
+        return _batches(((conv, i, role, text) for conv, result in each for i, (role, text) in enumerate(result)), TURNS)
+
+    out = short.mapInArrow(run, TURNS)
+    return out if long is None else out.unionByName(_long_turns(*_long(long, folder)[:2]))
+
+
+# ---------------------------------------------------------------- long conversations
+
+PLACE = "conv_id long, part int, seg int"
+ORDERED = f"{PLACE}, pos int, turn long, role string, text string, blank boolean, duplicate boolean, truncated boolean"
+WAYS = f"{PLACE}, start int, end int, cost long, audit string, first string, last string, blank long, duplicate long, truncated long, illegal long"
+JOINED = f"{PLACE}, start int, audit string, blank long, duplicate long, truncated long, illegal long, cost long"
 
-def repaired_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of the repaired conversations, turns numbered from 0; input as for repair_reports."""
-    names = ["conv_id", "turn", "role", "text"]
 
+def _long(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns of long conversations in order and in segments, the audit of each segment, and the totals of each conversation.
+
+    Range partitions put the turns in order without one task for a conversation; segments of SEGMENT turns are aligned each for itself, from
+    every state to every state of the grammar; and what is joined one after the other per conversation is only these few audits a
+    segment. Where a text was seen first is found by a grouping of its digest over all tasks.
+    """
+    known = F.struct(F.col("turn").isNotNull().alias("k"), F.coalesce("turn", F.lit(0)).alias("t"))
+    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.length("role"), F.col("role"), F.col("text")), 256)
+    t = rows.withColumns({"k": key, "at": known})
+    t = salted_join(t, t.groupBy("k").agg(F.min("at").alias("seen")), "k", "at").withColumn("later", F.col("at") > F.col("seen"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = t.withColumn("head", F.substring("text", 1, 32)).repartitionByRange(parts, "conv_id", "turn", "role", "head").sortWithinPartitions("conv_id", "turn", "role", "text")
+    placed = placed.select("conv_id", "turn", "role", "text", "later", F.spark_partition_id().alias("part"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            before = None
+            seg = pos = 0
+            for b in batches:
+                for conv, turn, role, text, later, part in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "later", "part")), strict=True):
+                    if before is None or before[0] != conv:
+                        seg, pos = 0, 0
+                    elif pos == SEGMENT:
+                        seg, pos = seg + 1, 0
+                    bare = text.rstrip(BLANK)
+                    # rows of equal turn, role and text stand together, and all but the first repeat it
+                    again = bool(bare) and (later or before == (conv, role, text))
+                    yield conv, part, seg, pos, turn, role, text, not bare, again, bool(bare) and not again and not bare.endswith(ENDS)
+                    before = (conv, role, text)
+                    pos += 1
+
+        return _batches(each(), ORDERED)
+
+    ordered = stash(placed.mapInArrow(cut, ORDERED), folder, "ordered")
+    narrow = ordered.select("conv_id", "part", "seg", "pos", F.substring("role", 1, 1).alias("initial"), "blank", "duplicate", "truncated")
+    narrow = narrow.repartition("conv_id", "part", "seg").sortWithinPartitions("conv_id", "part", "seg", "pos")
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for rows in runs_of(batches, ("conv_id", "part", "seg")):
+                initials = rows["initial"]
+                blank, duplicate, truncated = (np.array(rows[c], bool) for c in ("blank", "duplicate", "truncated"))
+                forced = blank | duplicate
+                some = "".join(c or " " for c, f in zip(initials, forced, strict=True) if not f)
+                cuts = truncated[~forced]
+                # from any state to any other costs no more than a repair from the beginning and three turns put in
+                bound = incumbent(some, int(cuts.sum()), system=False) + 3 * INSERT
+                facts = (initials[0], initials[-1], int(blank.sum()), int(duplicate.sum()), int(truncated.sum()), illegal_pairs(initials))
+                for start in range(4):
+                    for end, (cost, audit) in paths(some, cuts, start, (NOTHING, SYSTEM, USER, ASSISTANT), bound).items():
+                        yield (rows["conv_id"][0], rows["part"][0], rows["seg"][0], start, end, cost + DELETE * int(forced.sum()), with_forced(audit, forced), *facts)
+
+        return _batches(each(), WAYS, 100)
+
+    by_segment = stash(narrow.mapInArrow(ways, WAYS), folder, "ways")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each conversation a row with its totals, then one a segment."""
+        for conv, segments in groupby(_records(batches), key=lambda r: r[0]):
+            best: dict[int, tuple[int, str, list[tuple[int, str]]]] = {NOTHING: (0, "", [])}
+            places, totals, last = [], np.zeros(4, np.int64), None
+            for (part, seg), some in groupby(segments, key=lambda r: r[1:3]):
+                new: dict[int, tuple[int, str, list[tuple[int, str]]]] = {}
+                for _, _, _, start, end, cost, audit, first, end_initial, *facts in some:
+                    if start in best:
+                        c, a, pieces = best[start]
+                        if end not in new or (c + cost, a + audit) < new[end][:2]:
+                            new[end] = (c + cost, a + audit, [*pieces, (start, audit)])
+                totals += facts
+                totals[3] += last is not None and last + first not in ("su", "ua", "au")
+                best, last = new, end_initial
+                places.append((part, seg))
+            cost, audit, pieces = min(best[e] for e in (NOTHING, ASSISTANT) if e in best)
+            yield _batch([(conv, None, None, None, audit, *totals.tolist(), cost)], JOINED)
+            yield from _batches(((conv, *place, *piece, None, None, None, None, None) for place, piece in zip(places, pieces, strict=True)), JOINED)
+
+    joined = by_segment.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seg", "start", "end").mapInArrow(join, JOINED)
+    joined = stash(joined, folder, "joined")
+    return ordered, joined.where("part is not null").select("conv_id", "part", "seg", "start", "audit"), joined.where("part is null").drop("part", "seg", "start")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _written(ordered: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Turns of each segment in order, after a row with the audit of the segment."""
+    head = pieces.select("conv_id", "part", "seg", F.lit(-1).alias("pos"), F.col("start").cast("string").alias("role"), F.col("audit").alias("text"))
+    every = head.unionByName(ordered.select("conv_id", "part", "seg", "pos", "role", "text"))
+    return every.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seg", "pos")
+
+
+def _each_repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[tuple[str, str]]]]:
+    """(conv_id, its repaired turns) from rows of _written(); one segment is held at a time."""
+
+    def turns(rows: Iterator[tuple]) -> Iterator[tuple[str, str]]:
+        for _, segment in groupby(rows, key=lambda r: r[1:3]):
+            *_, start, audit = next(segment)
+            yield from repaired(audit, ((role, text) for *_, role, text in segment), None if int(start) == NOTHING else NEXT[int(start)])
+            for _ in segment:  # turns deleted at the end
+                pass
+
+    for conv, rows in groupby(_records(batches), key=lambda r: r[0]):
+        yield conv, turns(rows)
+
+
+def _long_turns(ordered: DataFrame, pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for conv, *columns in in_order(batches):
-            done = Conversation(*columns).result
-            columns = [[conv] * len(done), list(range(len(done))), [r for r, _ in done], [t for _, t in done]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
+        return _batches(((conv, i, role, text) for conv, turns in _each_repaired(batches) for i, (role, text) in enumerate(turns)), TURNS)
+
+    return _written(ordered, pieces).mapInArrow(run, TURNS)
 
-    return _placed(turns).mapInArrow(run, "conv_id long, turn long, role string, text string")
+
+def _long_reports(ordered: DataFrame, pieces: DataFrame, totals: DataFrame) -> DataFrame:
+    """Reports of long conversations. The digest reads the repaired turns one by one, as SHA-256 must; nothing is kept of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for conv, turns in _each_repaired(batches):
+            h = hashlib.sha256()
+            for i, (role, text) in enumerate(turns):
+                h.update(f"{chr(10) if i else ''}{role}:{text}".encode())
+            yield _batch([(conv, h.hexdigest())], "_id long, repaired_sha256 string")
+
+    digests = _written(ordered, pieces).mapInArrow(run, "_id long, repaired_sha256 string")
+    known = F.count_distinct("turn")
+    gaps = ordered.groupBy(F.col("conv_id").alias("_gap_id")).agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - known, F.lit(0)).alias("gaps"))
+    out = totals.join(digests, totals["conv_id"].eqNullSafe(digests["_id"])).join(gaps, totals["conv_id"].eqNullSafe(gaps["_gap_id"]))
+    return out.select("conv_id", *COUNTS, "audit", "repaired_sha256")
 
 
 # ---------------------------------------------------------------- query

@@ -873,6 +873,20 @@ def odd_turns():
     return rows + [(100, t, "user", "w" * t) for t in range(60)]
 
 
+def test_long_conversations_in_segments(spark, monkeypatch):
+    rows = odd_turns() + [(7, t % 50, "assistant" if t % 2 else "user", f"{t % 9}.") for t in range(120)]
+    rng = random.Random(4)
+    rows += [(8, t, rng.choice(["user", "assistant", "system"]) if t % 6 == 0 else "assistant" if t % 2 else "user", rng.choice(["ok", f"{t}."])) for t in range(90)]
+    table = conversations.damaged(spark.createDataFrame([(*r, True, 3) for r in rows], CONVERSATION))
+    want = brute_conversations(rows)
+    whole = sorted(map(repr, conversations.repaired_turns(table).collect()))
+    for turns, segment in ((30, 7), (2, 1), (5, 16)):
+        monkeypatch.setattr(conversations, "LONG_TURNS", turns)
+        monkeypatch.setattr(conversations, "SEGMENT", segment)
+        assert reports(conversations.repair_reports(table)) == want
+    assert sorted(map(repr, conversations.repaired_turns(table).collect())) == whole
+
+
 def test_conversation_repair_odd(spark):
     rows = odd_turns()
     table = spark.createDataFrame([(*r, True, 3) for r in rows], CONVERSATION)
