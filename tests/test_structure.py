@@ -155,6 +155,7 @@ def test_nearest_distance_of_large_sides(spark):
 
 def test_hull_and_depth(spark):
     rows = [(1, None, [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]), (2, 1, [(0, 0), (1, 0), (1, 1)]), (3, 2, [(0, 0), (1, 1), (2, 2)]), (4, 3, []), (5, 99, [(0, 0), (2, 0), (2, 2), (0, 2)])]
+    rows = [(i, up, [(float(x), float(y)) for x, y in ring]) for i, up, ring in rows]
     df = spark.createDataFrame([("f", *r) for r in rows], "f string, id int, parent_id int, points array<struct<x:double,y:double>>")
     assert [r.a for r in df.orderBy("id").select(pg.hull_area(F.col("points")).alias("a")).collect()] == [16.0, 0.5, 0.0, 0.0, 4.0]
     assert {(r.id, r.depth) for r in pg.hierarchy_depth(df, ["f"]).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3), (5, 1)}
