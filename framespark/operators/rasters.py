@@ -176,7 +176,7 @@ def consensus(rasters: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def frame_uncertainty(df: DataFrame, u: str = "u", region: str | None = None, limit: float = 0.15) -> DataFrame:
-    """df with mean, fraction above the limit, mean of the top tenth, and risk; region (share of the largest uncertain region) counts as 0 without a column."""
+    """df with mean, fraction above the limit, mean of the top tenth, and risk; region, the column of uncertain_region(), counts as 0 without one."""
     U = F.col(u)
     k = F.ceil(F.size(U) * 0.1).cast("int")
     top = F.slice(F.sort_array(U, asc=False), F.lit(1), k)
@@ -185,6 +185,78 @@ def frame_uncertainty(df: DataFrame, u: str = "u", region: str | None = None, li
     return d.withColumn("risk", sum(v * RISK[k] for k, v in parts.items()))
 
 
+def uncertain_region(df: DataFrame, u: str = "u", width: str = "w", limit: float = 0.15) -> DataFrame:
+    """df(u, w) with region: pixels of the largest 8-connected part above the limit, over all pixels; 0 for an empty map, null for a null one."""
+
+    @F.pandas_udf("double")
+    def share(maps: pd.Series, widths: pd.Series) -> pd.Series:
+        def one(values, w) -> float | None:
+            if values is None:
+                return None
+            if not len(values):
+                return 0.0
+            over = np.asarray(values, float).reshape(-1, int(w)) > limit
+            return float(np.bincount(label_mask(over).ravel())[1:].max(initial=0) / over.size)
+
+        return pd.Series([one(v, w) for v, w in zip(maps, widths, strict=True)], dtype=float)
+
+    return df.withColumn("region", share(F.col(u), F.col(width)))
+
+
+#: Weights of the quality of a mask against the truth (fixed values).
+SUPERVISED = {"soft_dice": 0.20, "soft_iou": 0.15, "ssim": 0.15, "dice": 0.20, "iou": 0.10, "hausdorff_term": 0.12, "centroid": 0.08}
+
+
+def boundary_terms(df: DataFrame, a: str = "a", b: str = "b", radius: int = 1, threshold: float = 0.5) -> DataFrame:
+    """df(h, w, a, b) with boundary_f1, hausdorff, hausdorff_term and count_error of mask a against the true mask b.
+
+    Boundaries are pixels with a 4-neighbour outside the mask or the frame. boundary_f1 lets them differ by ``radius`` pixels in either
+    direction; hausdorff is the greatest distance from one boundary to the nearest pixel of the other, hausdorff_term 1 - it over the diagonal. Two
+    masks without pixels agree; if one has none, they differ by the diagonal. count_error is the difference of the numbers of 8-connected parts,
+    over that of the truth, at most 1.
+    """
+    names = ["boundary_f1", "hausdorff", "hausdorff_term", "count_error"]
+
+    def edge(m: np.ndarray) -> np.ndarray:
+        p = np.pad(m, 1)
+        return m & ~(p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:])
+
+    def grown(m: np.ndarray) -> np.ndarray:
+        p = np.pad(m, radius)
+        h, w = m.shape
+        return np.logical_or.reduce([p[i : i + h, j : j + w] for i in range(2 * radius + 1) for j in range(2 * radius + 1)])
+
+    def one(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
+        ex, ey = edge(x), edge(y)
+        far = math.hypot(*x.shape)
+        parts = [int(label_mask(m).max(initial=0)) for m in (x, y)]
+        count = min(abs(parts[0] - parts[1]) / max(parts[1], 1), 1.0)
+        if not ex.any() or not ey.any():
+            same = ex.any() == ey.any()
+            return float(same), 0.0 if same else far, float(same), count
+        p, r = (ex & grown(ey)).sum() / ex.sum(), (ey & grown(ex)).sum() / ey.sum()
+        # the distance to a boundary's nearest pixel, from every pixel that isn't on it
+        reach = max(x.shape)
+        away = max(float(np.where(f, 0.0, border_distance(f, reach))[e].max()) for e, f in ((ex, ey), (ey, ex)))
+        return float(2 * p * r / (p + r)) if p + r > EPS else 0.0, away, 1 - min(away / far, 1.0), count
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [one(*(np.asarray(v, float).reshape(int(h), int(w)) >= threshold for v in (x, y))) for h, w, x, y in zip(pdf["h"], pdf["w"], pdf[a], pdf[b], strict=True)]
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=float)], axis=1)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    return df.mapInPandas(run, ", ".join(fields + [f"{n} double" for n in names]))
+
+
+def supervised_quality(df: DataFrame, pred: str = "pred", gt: str = "gt", threshold: float = 0.5) -> DataFrame:
+    """df(h, w, pred, gt) with the terms of mask_agreement() and boundary_terms(), quality by the weights SUPERVISED, and error = 1 - quality."""
+    truth = df.withColumn(gt, F.transform(gt, lambda x: F.when(x >= threshold, 1.0).otherwise(0.0)))
+    d = boundary_terms(mask_agreement(truth, pred, gt, threshold).drop("score"), pred, gt, 1, threshold)
+    quality = sum(w * F.col(k) for k, w in SUPERVISED.items())
+    return d.withColumn("quality", quality).withColumn("error", 1 - F.col("quality"))
+
+
 def tile_plan(df: DataFrame, tw: int, th: int, overlap: int = 0) -> DataFrame:
     """df(h, w) with a row (tile_y, tile_x, left, top, right, bottom) per tile; the last tile of a row or column ends at the edge."""
     def starts(dim: Column, size: int) -> Column:

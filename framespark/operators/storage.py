@@ -181,14 +181,16 @@ def _evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(design, output, inputs, value, sop, depends_on) of outputs(design, output) by inputs(design, net), the first input being the highest bit.
+    """(design, output, inputs, value, sop, depends_on, reason) of outputs(design, output) by inputs(design, net), the first input being the highest bit.
 
     Levels go from supplies and inputs over open channels until nothing changes; a part of the net at both levels has none.
     An output without a level takes the supply that it alone reaches over open channels, then over those that may be
-    open, else null. sop and depends_on are null if a value is. Designs of more than MAX_INPUTS inputs have no rows: tables double with each.
+    open, else null. sop and depends_on are null if a value is. Tables double with
+    each input: an output of a design of more than MAX_INPUTS has null tables and the reason too_many_inputs; reason is null otherwise.
     Each output is evaluated in a task of its own from the transistors of its cone.
     """
-    names = inputs.groupBy("design").agg(F.array_sort(F.collect_set("net")).alias("inputs")).where(F.size("inputs") <= MAX_INPUTS)
+    every = inputs.groupBy("design").agg(F.array_sort(F.collect_set("net")).alias("inputs"))
+    names = every.where(F.size("inputs") <= MAX_INPUTS)
     want = outputs.select("design", F.col("output").alias("start"))
     t = transistors.select("design", "device", "kind", "gate", "source", "drain")
     ends = t.select("design", F.explode(F.array("gate", "source", "drain")).alias("net")).distinct()
@@ -203,4 +205,7 @@ def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame)
         else array_join(transform(filter(sequence(0, size(value) - 1), i -> value[i] = 1), i -> {literal}), ' | ') end"""
     depends = """case when exists(value, x -> x is null) then null else transform(filter(transform(inputs, (v, j) -> struct(v, shiftleft(1, size(inputs) - 1 - j) as bit)),
         p -> exists(sequence(0, size(value) - 1), i -> value[i] <> value[i ^ p.bit])), p -> p.v) end"""
-    return v.select("*", F.expr(sop).alias("sop"), F.expr(depends).alias("depends_on"))
+    done = v.select("*", F.expr(sop).alias("sop"), F.expr(depends).alias("depends_on"), F.lit(None).cast("string").alias("reason"))
+    wide = outputs.select("design", "output").join(every.where(F.size("inputs") > MAX_INPUTS), "design")
+    no = F.lit(None)
+    return done.union(wide.select("design", "output", "inputs", no.cast("array<int>"), no.cast("string"), no.cast("array<string>"), F.lit("too_many_inputs")))

@@ -123,6 +123,33 @@ def ra8(spark, d):
     return rounded(op.frame_uncertainty(u), "mean", "fraction", "top", "risk").drop("u")
 
 
+@query("ra8_region_uncertainty", f"""with recursive u as (select vec_id, list_transform(px, lambda p: 1 - 2 * abs(p - 0.5)) as u from {RASTERS}), c as (select vec_id, i, (i - 1) // 8 as y, (i - 1) % 8 as x from u, range(1, 65) t(i) where u[i] > 0.6),
+ e as (select a.vec_id, a.i as a, b.i as b from c a join c b on a.vec_id = b.vec_id and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1), r as (select vec_id, a, b from e union select r.vec_id, r.a, e.b from r join e on e.vec_id = r.vec_id and e.a = r.b),
+ g as (select vec_id, max(n) / 64 as region from (select vec_id, a, count(*) as n from r group by 1, 2) group by 1)
+ select vec_id, {R('coalesce(region, 0)')} as region, {R('0.15 * list_sum(u) / 64 + 0.25 * len(list_filter(u, lambda x: x > 0.6)) / 64 + 0.35 * list_sum(list_reverse_sort(u)[1:7]) / 7 + 0.25 * coalesce(region, 0)')} as risk from u left join g using (vec_id)""")
+def ra8_region(spark, d):
+    u = op.uncertain_region(rasters(spark, d).select("vec_id", "w", op.graded_uncertainty(F.col("px")).alias("u")), limit=0.6)
+    return rounded(op.frame_uncertainty(u, region="region", limit=0.6), "region", "risk").select("vec_id", "region", "risk")
+
+
+@query("ra5_boundary_terms", f"""with recursive m as (select vec_id, mb, s, i, (i - 1) // 8 as y, (i - 1) % 8 as x from (select vec_id, mb, 0 as s, a as px from {PAIRS} union all select vec_id, mb, 1, b from {PAIRS}), range(1, 65) t(i) where px[i] >= 0.5),
+ n as (select a.vec_id, a.mb, a.s, a.i, count(*) as n from m a join m b on a.vec_id = b.vec_id and a.mb = b.mb and a.s = b.s and abs(a.x - b.x) + abs(a.y - b.y) = 1 group by 1, 2, 3, 4), e as (select m.* from m left join n using (vec_id, mb, s, i) where coalesce(n, 0) < 4),
+ d as (select a.vec_id, a.mb, a.s, a.i, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as d, min(greatest(abs(a.x - b.x), abs(a.y - b.y))) as g from e a join e b on a.vec_id = b.vec_id and a.mb = b.mb and a.s <> b.s group by 1, 2, 3, 4),
+ h as (select vec_id, mb, max(d) as far, avg((g <= 1)::int) filter (s = 0) as p, avg((g <= 1)::int) filter (s = 1) as r from d group by 1, 2), k as (select vec_id, mb, count(distinct s) as sides from m group by 1, 2),
+ j as (select a.vec_id, a.mb, a.s, a.i as a, b.i as b from m a join m b on a.vec_id = b.vec_id and a.mb = b.mb and a.s = b.s and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1), z as (select * from j union select z.vec_id, z.mb, z.s, z.a, j.b from z join j on j.vec_id = z.vec_id and j.mb = z.mb and j.s = z.s and j.a = z.b),
+ c as (select vec_id, mb, count(distinct case when s = 0 then r end) as pa, count(distinct case when s = 1 then r end) as pb from (select vec_id, mb, s, a, min(b) as r from z group by 1, 2, 3, 4) group by 1, 2)
+ select vec_id, mb, {R('case when sides is null then 1 when sides = 1 then 0 when p + r <= 1e-8 then 0 else 2 * p * r / (p + r) end')} as boundary_f1, {R('case when sides is null then 0 when sides = 1 then sqrt(128) else far end')} as hausdorff, {R('least(abs(coalesce(pa, 0) - coalesce(pb, 0)) / greatest(coalesce(pb, 0), 1), 1)')} as count_error
+ from (select vec_id, mb from {PAIRS}) left join h using (vec_id, mb) left join k using (vec_id, mb) left join c using (vec_id, mb)""")
+def ra5_boundary(spark, d):
+    return rounded(op.boundary_terms(pairs(spark, d).select("vec_id", "mb", "h", "w", "a", "b")), "boundary_f1", "hausdorff", "count_error").select("vec_id", "mb", "boundary_f1", "hausdorff", "count_error")
+
+
+@query("ra5_supervised_quality")
+def ra5_quality(spark, d):
+    q = op.supervised_quality(pairs(spark, d).select("vec_id", "mb", "h", "w", F.col("a").alias("pred"), F.col("b").alias("gt")))
+    return rounded(q, "quality", "error").select("vec_id", "mb", "quality", "error")
+
+
 @query("ra9_frame_features")
 def ra9(spark, d):
     return op.frame_features(rasters(spark, d).withColumn("px", F.transform("px", lambda x: x * 255)), "vec_id long")

@@ -198,3 +198,23 @@ def test_near_fingerprints_by_bands(spark):
     text = spark.createDataFrame(rows, "id int, features array<double>, bits string, cluster int")
     for df, length in ((text, None), (text.withColumn("bits", selection.pack_bits(F.col("bits"))), 70)):
         assert {(r.a, r.b) for r in selection.near_duplicates(df, 0.05, 0.85, length).collect()} == want and want
+
+
+def test_supervised_quality(spark):
+    """Equal masks score 1; shifted and empty ones follow their terms."""
+    square = lambda x: [1.0 if 2 <= i // 8 < 6 and x <= i % 8 < x + 4 else 0.0 for i in range(64)]
+    rows = [(0, 8, 8, square(2), square(2)), (1, 8, 8, square(3), square(2)), (2, 8, 8, [0.0] * 64, square(2)), (3, 8, 8, [0.0] * 64, [0.0] * 64)]
+    got = {r.id: r for r in ra.supervised_quality(spark.createDataFrame(rows, "id int, h int, w int, pred array<double>, gt array<double>")).collect()}
+    assert got[0].quality == pytest.approx(1) and got[3].quality == pytest.approx(1) and got[0].error == pytest.approx(0)
+    r = got[1]
+    assert (r.boundary_f1, r.hausdorff, r.count_error) == (1.0, 1.0, 0.0) and r.hausdorff_term == pytest.approx(1 - 1 / math.hypot(8, 8))
+    terms = {"soft_dice": 0.20, "soft_iou": 0.15, "ssim": 0.15, "dice": 0.20, "iou": 0.10, "hausdorff_term": 0.12, "centroid": 0.08}
+    assert r.quality == pytest.approx(sum(w * r[k] for k, w in terms.items())) and r.dice == pytest.approx(0.75) and r.iou == pytest.approx(0.6)
+    assert (got[2].hausdorff, got[2].boundary_f1, got[2].count_error) == (math.hypot(8, 8), 0.0, 1.0) and got[2].quality < 0.2
+
+
+def test_wide_truth_tables_give_a_reason(spark):
+    t = spark.createDataFrame([(1, "P", "pmos", "A", "VDD", "Y"), (1, "N", "nmos", "A", "GND", "Y"), (2, "P", "pmos", "A", "VDD", "Y")], "design int, device string, kind string, gate string, source string, drain string")
+    inputs = spark.createDataFrame([(1, "A")] + [(2, f"I{i}") for i in range(13)], "design int, net string")
+    got = storage.truth_tables(t, inputs, spark.createDataFrame([(1, "Y"), (2, "Y")], "design int, output string")).collect()
+    assert {(r.design, str(r.value), r.reason) for r in got} == {(1, "[1, 0]", None), (2, "None", "too_many_inputs")}
