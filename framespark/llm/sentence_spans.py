@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans: every run of consecutive pieces of sentences is hashed and joined globally.
 
 A piece ends at a word that closes with . ! ? , ; or :, or at a line break. Sentences alone are too coarse: where a passage
-starts or ends inside a sentence, the whole of that sentence would be lost to the comparison. A run of three, two or one
-pieces with enough words counts as repeated if its words occur as such a run elsewhere, in any document; the first
+starts or ends inside a sentence, the whole of that sentence would be lost to the comparison. A run of three or two
+consecutive pieces with enough words counts as repeated if its words occur as such a run elsewhere, in any document; the first
 occurrence (smallest doc_id, then position) stays, and every piece that some other occurrence covers is removed. Shorter
 runs need more words, so that everyday phrases are left alone.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from framespark.llm.common import _R, _RI, Words, mix, powers, salted_join, slices, stash, text_bytes, work_dir
 
 #: Pieces of a run -> its least words.
-RUNS = {3: 15, 2: 20, 1: 25}
+RUNS = {3: 15, 2: 20}
 #: Marks that end a piece.
 MARKS = ".!?,;:"
 

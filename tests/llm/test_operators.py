@@ -342,7 +342,7 @@ def test_mix_follows_the_schedule(spark):
 
 
 def brute_spans(texts, marks=".!?,;:", runs=None):
-    runs = runs or {3: 15, 2: 20, 1: 25}
+    runs = runs or {3: 15, 2: 20}
     parts = {}
     for i, t in enumerate(texts):
         m = list(WORD.finditer(t))
