@@ -87,7 +87,7 @@ def latch_pairs(latches: DataFrame, inverters: DataFrame, outputs: DataFrame) ->
     return f.select("design", F.col("m").alias("master"), F.col("s").alias("slave"), "score", F.col("drives_s").alias("drives"))
 
 
-def flip_flops(latches: DataFrame, inverters: DataFrame, outputs: DataFrame, rounds: int = 200) -> DataFrame:
+def flip_flops(latches: DataFrame, inverters: DataFrame, outputs: DataFrame) -> DataFrame:
     """(design, master, slave, clock, edge): pairs of latch_pairs(), greedily by score, then whether the slave drives an output, then names; each latch once.
 
     Pairs that are the best ones of both their latches are taken at once, round by round, which gives the greedy result.
@@ -97,7 +97,9 @@ def flip_flops(latches: DataFrame, inverters: DataFrame, outputs: DataFrame, rou
     latches, inverters = stash(latches, f"{folder}/latches"), stash(inverters, f"{folder}/inverters")
     left = stash(latch_pairs(latches, inverters, outputs).withColumn("_k", F.struct(-F.col("score"), ~F.col("drives"), "master", "slave")), f"{folder}/pairs-0")
     done = left.limit(0).select("design", "master", "slave")
-    for i in range(1, rounds + 1):
+    i = 0
+    while True:
+        i += 1
         if left.isEmpty():
             slave = latches.select("design", F.col("a").alias("slave"), F.col("enable").alias("clock"), F.when(F.col("level") == "high", "rising").otherwise("falling").alias("edge"))
             return done.join(slave, ["design", "slave"]).select("design", "master", "slave", "clock", "edge")
@@ -110,7 +112,6 @@ def flip_flops(latches: DataFrame, inverters: DataFrame, outputs: DataFrame, rou
         for end in ("master", "slave"):
             left = left.join(used.withColumnRenamed("_u", end), ["design", end], "left_anti")
         left = stash(left, f"{folder}/pairs-{i}")
-    raise RuntimeError(f"pairs are left after {rounds} rounds")
 
 
 def input_muxes(cores: DataFrame, edges: DataFrame) -> DataFrame:
