@@ -44,12 +44,6 @@ def stash(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stash(spark: SparkSession, path: str) -> None:
-    """Delete a table written by stash(), once nothing reads it any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 # ---------------------------------------------------------------- hashes
 
 
