@@ -24,11 +24,11 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: A shard is closed when it has so many ids (a longer document still stays whole).
 SHARD_IDS = 1 << 22
-#: Pieces whose ids a worker remembers; the memory is started anew beyond it, which changes no result.
-WORD_MEMORY = 1_000_000
+#: Pieces whose ids a worker remembers (some 50 MB); the memory is started anew beyond it, which changes no result.
+WORD_MEMORY = 1 << 18
 BLOCK_BITS = 512
 #: Bytes of text encoded at once: the larger, the fewer times a frequent piece is looked up.
-SLICE = 4 << 20
+SLICE = 2 << 20
 SHARD_SCHEMA = "shard long, n_ids long, doc_ids binary, n_tokens binary, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
