@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -92,6 +93,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give what the worker process has freed back to the system: workers outlive their tasks, and all of an executor share its memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 def lengths(col: pa.Array) -> np.ndarray:
@@ -189,6 +199,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
                 rows[c].extend(v[x:y])
     if rows is not None:
         yield rows
+    release()
 
 
 # ---------------------------------------------------------------- joins
