@@ -50,20 +50,25 @@ def supply_nets(spark, d):
     return nets(spark, d).where("is_power or is_ground").select("design", "net")
 
 
-_WIRES = "(select l_suppkey as design, 'n' || l_orderkey % 400 as net, l_partkey % 60 as x, l_linenumber as y, l_partkey % 2 as wire from lineitem where l_quantity < 10)"
+#: Wires and pins of a supplier's design: every line item is both, a wire on the net of its order and a pin on that net or the next one.
+#: The columns of a sheet and the instances of a design have fixed numbers of names.
+COLUMNS, INSTANCES = 1009, 499
+_WIRES = f"(select l_suppkey as design, 'n' || l_orderkey as net, l_partkey % {COLUMNS} as x, l_linenumber as y, l_partkey % 2 as wire from lineitem)"
+_PINS = f"(select l_suppkey as design, 'n' || (l_orderkey + l_linenumber % 2) as net, cast(l_partkey % {INSTANCES} as varchar) as instance, l_returnflag as port from lineitem)"
+
+
+def _net(number):
+    return F.concat(F.lit("n"), number.cast("string")).alias("net")
 
 
 def wires(spark, d):
     c = F.col
-    return table(spark, d, "lineitem").where("l_quantity < 10").select(c("l_suppkey").alias("design"), F.concat(F.lit("n"), (c("l_orderkey") % 400).cast("string")).alias("net"), (c("l_partkey") % 60).alias("x"), c("l_linenumber").alias("y"), (c("l_partkey") % 2).alias("wire"))
+    return table(spark, d, "lineitem").select(c("l_suppkey").alias("design"), _net(c("l_orderkey")), (c("l_partkey") % COLUMNS).alias("x"), c("l_linenumber").alias("y"), (c("l_partkey") % 2).alias("wire"))
 
 
 def pins(spark, d):
     c = F.col
-    return table(spark, d, "lineitem").where("l_quantity > 48").select(c("l_suppkey").alias("design"), F.concat(F.lit("n"), (c("l_orderkey") % 400).cast("string")).alias("net"), (c("l_partkey") % 40).cast("string").alias("instance"), c("l_returnflag").alias("port"))
-
-
-_PINS = "(select l_suppkey as design, 'n' || l_orderkey % 400 as net, cast(l_partkey % 40 as varchar) as instance, l_returnflag as port from lineitem where l_quantity > 48)"
+    return table(spark, d, "lineitem").select(c("l_suppkey").alias("design"), _net(c("l_orderkey") + c("l_linenumber") % 2), (c("l_partkey") % INSTANCES).cast("string").alias("instance"), c("l_returnflag").alias("port"))
 
 
 @query("gr2_net_aliases", f"""with recursive e as (select a.design, a.net as a, b.net as b from {_WIRES} a join {_WIRES} b on a.design = b.design and a.x = b.x and a.y = b.y union select a.design, a.net, b.net from {_PINS} a join {_PINS} b on a.design = b.design and a.instance = b.instance and a.port = b.port),
@@ -74,12 +79,12 @@ def gr2(spark, d):
     return every.join(aliases, ["design", "net"], "left").select("design", "net", F.coalesce("canonical", "net").alias("canonical"))
 
 
-@query("gr3_infer_pins", f"""with i as (select l_suppkey as design, l_orderkey || '-' || l_linenumber as instance, l_partkey % 60 as x, l_linenumber as y, l_returnflag as f from lineitem where l_quantity < 4 group by 1, 2, 3, 4, 5),
+@query("gr3_infer_pins", f"""with i as (select l_suppkey as design, l_orderkey || '-' || l_linenumber as instance, l_partkey % {COLUMNS} as x, l_linenumber as y, l_returnflag as f from lineitem group by 1, 2, 3, 4, 5),
  p as (select i.*, port, x + case f when 'A' then px when 'N' then -py else -px end as u, y + case f when 'A' then py when 'N' then px else -py end as v from i, (values ('G', 1, 0), ('S', 0, 1)) t(port, px, py))
  select p.design, instance, port, min(w.net) as net from p join {_WIRES} w on p.design = w.design and p.u = w.x and p.v = w.y group by 1, 2, 3""")
 def gr3(spark, d):
     c = F.col
-    i = table(spark, d, "lineitem").where("l_quantity < 4").select(c("l_suppkey").alias("design"), F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("instance"), F.lit("m").alias("cell"), (c("l_partkey") % 60).alias("x"), c("l_linenumber").alias("y"), F.when(c("l_returnflag") == "A", "R0").when(c("l_returnflag") == "N", "R90").otherwise("R180").alias("orientation")).distinct()
+    i = table(spark, d, "lineitem").select(c("l_suppkey").alias("design"), F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("instance"), F.lit("m").alias("cell"), (c("l_partkey") % COLUMNS).alias("x"), c("l_linenumber").alias("y"), F.when(c("l_returnflag") == "A", "R0").when(c("l_returnflag") == "N", "R90").otherwise("R180").alias("orientation")).distinct()
     sym = spark.createDataFrame([("m", "G", 1, 0), ("m", "S", 0, 1)], "cell string, port string, px int, py int")
     out = op.infer_pins(i, sym, wires(spark, d), pins(spark, d).limit(0))
     return out.groupBy("design", "instance", "port").agg(F.min("net").alias("net"))
@@ -224,7 +229,7 @@ def gr17(spark, d):
 
 
 #: Instances of pins' designs; every eleventh lacks a view, and cell c6 has no symbol.
-_INSTANCES = "(select distinct l_suppkey as design, cast(l_partkey % 40 as varchar) as instance, 'c' || l_partkey % 40 % 7 as cell, case when l_partkey % 40 % 11 <> 0 then 'symbol' end as view from lineitem where l_quantity > 48)"
+_INSTANCES = f"(select distinct l_suppkey as design, cast(l_partkey % {INSTANCES} as varchar) as instance, 'c' || l_partkey % {INSTANCES} % 7 as cell, case when l_partkey % {INSTANCES} % 11 <> 0 then 'symbol' end as view from lineitem)"
 
 
 @query("gr19_netlist_diagnostics", f"""with n as (select design, net from {_WIRES} union select design, net from {_PINS}) select distinct design, code, name from (select design, 'net_without_pins' as code, net as name from n where not exists (select 1 from {_PINS} p where p.design = n.design and p.net = n.net)

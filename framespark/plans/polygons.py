@@ -236,11 +236,12 @@ def pg11(spark, d):
     return rounded(op.polygon_frame_stats(p, p.where("id % 50 <> 0")), "min_area", "topology").drop("min_perimeter")
 
 
-@query("gr1_connected_components", """with recursive e as (select l_orderkey % 3000 as a, 10000 + l_partkey as b from lineitem where l_quantity < 3), u as (select a, b from e union select b, a from e), r as (select a, a as b from u union select r.a, u.b from r join u on u.a = r.b)
- select a as node, min(b) as component from r group by 1""")
+@query("gr1_connected_components", """with recursive e as (select l_suppkey as design, l_orderkey as a, -l_partkey as b from lineitem), u as (select design, a, b from e union select design, b, a from e), r as (select design, a, a as b from u union select r.design, r.a, u.b from r join u on u.design = r.design and u.a = r.b)
+ select design, a as node, min(b) as component from r group by 1, 2""")
 def gr1(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity < 3").select((F.col("l_orderkey") % 3000).alias("src"), (F.col("l_partkey") + 10000).alias("dst"))
-    return connected_components(e)
+    """Orders and parts of each supplier, joined by its line items."""
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("design"), F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst"))
+    return connected_components(e, ("design",))
 
 
 @query("sc13_point_clusters", f"""with recursive p as (select frame_key, id, x, y from {POINTS} where side = 'N'), e as (select a.frame_key, a.id as a, b.id as b from p a join p b on a.frame_key = b.frame_key where {_D} <= 5), r as (select frame_key, a, b from e union select r.frame_key, r.a, e.b from r join e on e.frame_key = r.frame_key and e.a = r.b),
