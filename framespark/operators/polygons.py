@@ -154,30 +154,54 @@ def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
     return on | (F.size(F.filter(edges, safe)) % 2 == 1)
 
 
-def containing_polygon(polygons: DataFrame, keys: list[str], tile: float = 32.0) -> DataFrame:
-    """(keys, id, container): the smallest other polygon that contains the centre of each polygon's box; columns points, area, bbox(x, y, w, h).
+def polygons_at(points: DataFrame, polygons: DataFrame, keys: list[str], tile: float = 32.0) -> DataFrame:
+    """(keys, id, container, container_area) of points(keys, id, cx, cy) inside polygons(keys, id, points, area, bbox(x, y, w, h)), borders included.
 
-    Boxes lie on the level whose tiles are at least as large as they are, so each covers at most four, and a centre is
+    Boxes lie on the level whose tiles are at least as large as they are, so each covers at most four, and a point is
     sought in one tile of every level that occurs. Only ids and boxes meet there; rings come to the pairs that remain.
+    Points without a place, and polygons without a box, meet nothing.
     """
     b = F.col("bbox")
-    p = polygons.select(*keys, "id", "area", "bbox", (b["x"] + b["w"] / 2).alias("cx"), (b["y"] + b["h"] / 2).alias("cy"))
     # boxes beyond 2**20 tiles are one level
     level = F.least(F.greatest(F.ceil(F.log2(F.greatest(b["w"], b["h"]) / tile)), F.lit(0)), F.lit(20)).cast("int")
     at = lambda c, lev: F.floor(c / (F.lit(tile) * F.pow(F.lit(2.0), lev)))
     span = lambda lo, size: F.explode(F.sequence(at(b[lo], F.col("_level")), at(b[lo] + b[size], F.col("_level"))))
-    outer = p.withColumn("_level", level)
+    outer = polygons.where(b.isNotNull()).select(*keys, F.col("id").alias("container"), F.col("area").alias("container_area"), "bbox", level.alias("_level"))
     levels = sorted(outer.agg(F.collect_set("_level").alias("s")).first()["s"])
     outer = outer.withColumn("_tx", span("x", "w")).withColumn("_ty", span("y", "h"))
-    outer = outer.select(*keys, "_level", "_tx", "_ty", F.col("id").alias("container"), F.col("area").alias("_area"), F.col("bbox").alias("_box"))
-    inner = p.select(*keys, "id", "cx", "cy", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("_level"))
+    inner = points.select(*keys, "id", "cx", "cy", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("_level"))
     inner = inner.withColumns({"_tx": at(F.col("cx"), F.col("_level")), "_ty": at(F.col("cy"), F.col("_level"))})
-    box = F.col("_box")
-    inside = (F.col("cx") >= box["x"]) & (F.col("cx") <= box["x"] + box["w"]) & (F.col("cy") >= box["y"]) & (F.col("cy") <= box["y"] + box["h"])
-    pairs = inner.join(outer, [*keys, "_level", "_tx", "_ty"]).where("id <> container").where(inside).select(*keys, "id", "cx", "cy", "container", "_area")
+    inside = (F.col("cx") >= b["x"]) & (F.col("cx") <= b["x"] + b["w"]) & (F.col("cy") >= b["y"]) & (F.col("cy") <= b["y"] + b["h"])
+    pairs = inner.join(outer, [*keys, "_level", "_tx", "_ty"]).where(inside).select(*keys, "id", "cx", "cy", "container", "container_area")
     rings = polygons.select(*keys, F.col("id").alias("container"), F.col("points").alias("_ring"))
     j = pairs.join(rings, [*keys, "container"]).where(point_in_ring(F.col("cx"), F.col("cy"), F.col("_ring")))
-    return j.groupBy(*keys, "id").agg(F.min_by("container", F.struct("_area", "container")).alias("container"))
+    return j.select(*keys, "id", "container", "container_area")
+
+
+def _box_centre(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    b = F.col("bbox")
+    return polygons.select(*keys, "id", (b["x"] + b["w"] / 2).alias("cx"), (b["y"] + b["h"] / 2).alias("cy"))
+
+
+def containing_polygon(polygons: DataFrame, keys: list[str], tile: float = 32.0) -> DataFrame:
+    """(keys, id, container): the smallest other polygon that contains the centre of each polygon's box; columns points, area, bbox(x, y, w, h)."""
+    found = polygons_at(_box_centre(polygons, keys), polygons, keys, tile).where("id <> container")
+    return found.groupBy(*keys, "id").agg(F.min_by("container", F.struct("container_area", "container")).alias("container"))
+
+
+def transfer_metadata(target: DataFrame, reference: DataFrame, keys: list[str], columns: tuple[str, ...] = ("category", "shape_hint", "reject_reason")) -> DataFrame:
+    """target with ``columns`` of the smallest polygon of reference that contains the mean of its vertices and is a hole if it is one; its own where there is none.
+
+    Both have keys, id, points, area, bbox and is_hole. Of equal areas the smallest id counts; rings without a vertex keep what they have.
+    """
+    mean = lambda k: total(F.transform("points", lambda p: p[k].cast("double"))) / F.nullif(F.size("points"), F.lit(0))
+    at = target.select(*keys, "is_hole", "id", mean("x").alias("cx"), mean("y").alias("cy"))
+    held = [*keys, "is_hole"]
+    best = polygons_at(at, reference, held).groupBy(*held, "id").agg(F.min_by("container", F.struct("container_area", "container")).alias("_from"))
+    given = reference.select(*held, F.col("id").alias("_from"), F.struct(*columns).alias("_given"))
+    best = best.join(given, [*held, "_from"]).select(*held, "id", "_given")
+    own = [F.when(F.col("_given").isNotNull(), F.col(f"_given.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns]
+    return target.join(best, [*held, "id"], "left").select(*own)
 
 
 # ---------------------------------------------------------------- polygon columns
@@ -420,11 +444,10 @@ def _inner_point(ring: np.ndarray) -> np.ndarray:
     return np.array([(x[0] + x[1]) / 2, y]) if len(x) > 1 else ring[0]
 
 
-def merge_polygons(polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, group_id, members, area, x, y, w, h): polygons(keys, id, points, area, bbox) whose areas overlap are one group, transitively.
+def overlap_groups(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """polygons(keys, id, points, area, bbox) with group_id: those whose areas overlap are one group, transitively, named by its smallest id.
 
-    Boxes meet first, then the rings of those pairs, by rings_overlap(). group_id is the smallest id; area is the sum of the members' and the box
-    that of them all. Rings of fewer than three points overlap nothing.
+    Boxes meet first, then the rings of those pairs, by rings_overlap(). Rings of fewer than three points overlap nothing.
     """
     b = F.col("bbox")
     pairs = bbox_neighbors(polygons.select(*keys, "id", *[b[c].cast("double").alias(c) for c in "xywh"]), 0.0, keys).select(*keys, "a", "b")
@@ -440,28 +463,43 @@ def merge_polygons(polygons: DataFrame, keys: list[str]) -> DataFrame:
     names = [*keys, "a", "b"]
     found = pairs.mapInPandas(test, ", ".join(f"{n} {pairs.schema[n].dataType.simpleString()}" for n in names))
     comp = connected_components(found.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst")), tuple(keys))
-    g = polygons.join(comp.withColumnRenamed("node", "id"), [*keys, "id"], "left").withColumn("group_id", F.coalesce("component", "id"))
-    g = g.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("members"), F.sum("area").alias("area"), F.min(b["x"]).alias("x"), F.min(b["y"]).alias("y"), F.max(b["x"] + b["w"]).alias("x1"), F.max(b["y"] + b["h"]).alias("y1"))
+    return polygons.join(comp.withColumnRenamed("node", "id"), [*keys, "id"], "left").withColumn("group_id", F.coalesce("component", "id")).drop("component")
+
+
+def group_boxes(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, group_id, members, area, x, y, w, h) of groups(keys, group_id, area, bbox): the sum of the members' areas and the box of them all."""
+    b = F.col("bbox")
+    g = groups.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("members"), F.sum("area").alias("area"), F.min(b["x"]).alias("x"), F.min(b["y"]).alias("y"), F.max(b["x"] + b["w"]).alias("x1"), F.max(b["y"] + b["h"]).alias("y1"))
     return g.select(*keys, "group_id", "members", "area", "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"))
 
 
-def suppress_nms(dets: DataFrame, keys: list[str], kind: str, limit: float = 0.0) -> DataFrame:
+def merge_polygons(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, group_id, members, area, x, y, w, h) of the overlap_groups() of polygons(keys, id, points, area, bbox)."""
+    return group_boxes(overlap_groups(polygons, keys), keys)
+
+
+def suppress_nms(dets: DataFrame, keys: list[str], kind: str, limit: float = 0.0, inclusive: bool = False, always: str | None = None) -> DataFrame:
     """dets(keys, id, x, y, w, h, score) with suppressed_by (null for those kept).
 
     via: small boxes first, one that overlaps a kept one goes. iou: high scores first, iou >= limit goes. distance: high scores
-    first, centres closer than limit go. Order matters only among conflicting boxes, so each connected part of the conflicts
-    is a group of its own.
+    first, centres closer than limit go (with ``inclusive`` those at the limit, too). grid: the same in row-major order of the centres. Rows
+    where the column ``always`` holds, such as hard rejects, are kept and suppress nothing. Order matters only among conflicting
+    boxes, so each connected part of the conflicts is a group of its own.
     """
-    c = bbox_neighbors(dets, limit if kind == "distance" else 0.0, keys)
+    every, by_centre = dets, kind in ("distance", "grid")
+    if always:
+        dets = dets.where(~F.coalesce(F.col(always), F.lit(False)))
+    c = bbox_neighbors(dets, limit if by_centre else 0.0, keys)
     centre = lambda p: (F.col(f"{p}.x") + F.col(f"{p}.w") / 2, F.col(f"{p}.y") + F.col(f"{p}.h") / 2)
     if kind == "via":
         c = c.where("overlap > 0")
     elif kind == "iou":
         c = c.where(F.col("iou") >= limit)
-    elif kind == "distance":
+    elif by_centre:
         p = c.alias("c").join(dets.alias("p"), [*[F.col(f"c.{k}") == F.col(f"p.{k}") for k in keys], F.col("c.a") == F.col("p.id")]).join(dets.alias("q"), [*[F.col(f"c.{k}") == F.col(f"q.{k}") for k in keys], F.col("c.b") == F.col("q.id")])
         (ax, ay), (bx, by) = centre("p"), centre("q")
-        c = p.where(F.sqrt(F.pow(ax - bx, 2) + F.pow(ay - by, 2)) < limit).select("c.*")
+        apart = F.sqrt(F.pow(ax - bx, 2) + F.pow(ay - by, 2))
+        c = p.where(apart <= limit if inclusive else apart < limit).select("c.*")
     else:
         raise ValueError(f"unknown kind {kind!r}")
     pairs = c.select(*keys, "a", "b")
@@ -470,8 +508,8 @@ def suppress_nms(dets: DataFrame, keys: list[str], kind: str, limit: float = 0.0
     part = dets.join(comp, [*keys, "id"]).join(both, [*keys, "id"])
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.assign(area=pdf["w"] * pdf["h"], length=pdf["w"] + pdf["h"])
-        order = order.sort_values(["area", "length", "x", "y", "id"]) if kind == "via" else order.sort_values(["score", "id"], ascending=[False, True])
+        order = pdf.assign(area=pdf["w"] * pdf["h"], length=pdf["w"] + pdf["h"], row=pdf["y"] + pdf["h"] / 2, column=pdf["x"] + pdf["w"] / 2, low=-pdf["score"])
+        order = order.sort_values({"via": ["area", "length", "x", "y", "id"], "grid": ["row", "column", "id"]}.get(kind, ["low", "id"]))
         kept, out = set(), []
         for f, x, foes in zip(zip(*(order[k] for k in keys), strict=True), order["id"], order["foes"], strict=True):
             by = [y for y in foes if (f, y) in kept]
@@ -482,7 +520,7 @@ def suppress_nms(dets: DataFrame, keys: list[str], kind: str, limit: float = 0.0
 
     types = {f.name: f.dataType.simpleString() for f in dets.schema}
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"id {types['id']}", f"suppressed_by {types['id']}"])
-    return dets.join(_in_parts(part, [*keys, "component"]).applyInPandas(greedy, schema), [*keys, "id"], "left")
+    return every.join(_in_parts(part, [*keys, "component"]).applyInPandas(greedy, schema), [*keys, "id"], "left")
 
 
 def polygons_changed(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -500,6 +538,23 @@ def merge_branches(conductors: DataFrame, vias: DataFrame) -> DataFrame:
     return conductors.unionByName(v.select(*conductors.columns))
 
 
+def drop_trace_vias(vias: DataFrame, conductors: DataFrame, keys: list[str], max_elongation: float = 7.0, max_area_ratio: float = 16.0) -> DataFrame:
+    """The vias that don't look like a part of a trace; columns keys, id, points, area, bbox, and is_hole of conductors.
+
+    A component is a group of conductors whose areas overlap, with the box and the summed area of them all; holes are no part of it. A via
+    whose box has its centre on a component goes if the component's longer side is over max_elongation times the shorter one and
+    its area over max_area_ratio times that of the via's box (at least 1). Vias off all conductors stay.
+    """
+    solid = conductors.where("not is_hole")
+    parts = overlap_groups(solid, keys)
+    box = group_boxes(parts, keys).where(F.greatest("w", "h") > max_elongation * F.least("w", "h"))
+    long_ = parts.join(box.select(*keys, "group_id", F.col("area").alias("_long")), [*keys, "group_id"])
+    found = polygons_at(_box_centre(vias, keys), long_.drop("area").withColumnRenamed("_long", "area"), keys)
+    size = vias.select(*keys, "id", F.greatest(F.col("bbox.w") * F.col("bbox.h"), F.lit(1)).alias("_size"))
+    gone = found.join(size, [*keys, "id"]).where(F.col("container_area") > max_area_ratio * F.col("_size"))
+    return vias.join(gone, [*keys, "id"], "left_anti").select(*vias.columns)
+
+
 def polygon_frame_stats(df: DataFrame, reference: DataFrame) -> DataFrame:
     """(frame_key, n_outer, n_hole, min_area, min_perimeter, topology): topology 1 / (1 + .6 |outer difference| + .8 |hole difference|)."""
     count = lambda d, p: d.groupBy("frame_key").agg(F.count(F.when(~F.col("is_hole"), 1)).alias(f"{p}outer"), F.count(F.when(F.col("is_hole"), 1)).alias(f"{p}hole"), F.min("area").alias(f"{p}area"), F.min("perimeter").alias(f"{p}perimeter"))

@@ -120,6 +120,26 @@ def jn10(spark, d):
     return op.containing_polygon(polygons(spark, d), ["frame_key"])
 
 
+_CENTRED = "a.x + a.w / 2 >= b.x + 3 and a.x + a.w / 2 <= b.x + 3 + b.w and a.y + a.h / 2 >= b.y + 3 and a.y + a.h / 2 <= b.y + 3 + b.h"
+
+
+@query("jn10_transfer_metadata", f"""with p as (select *, id % 5 = 0 as is_hole from {BOXES}), m as (select a.frame_key, a.id, arg_min(b.id, (b.w * b.h, b.id)) as c from p a join p b on a.frame_key = b.frame_key and a.is_hole = b.is_hole and {_CENTRED} group by 1, 2)
+ select p.frame_key, p.id, case when c is null then 'own' when c % 3 = 0 then 'via' else 'conductor' end as category, coalesce('h' || c % 10, 'none') as shape_hint from p left join m using (frame_key, id)""")
+def jn10_metadata(spark, d):
+    """Rectangles take over category and hint from a layer whose rectangles lie three pixels off."""
+
+    def layer(off):
+        b = boxes(spark, d).withColumns({"x": F.col("x") + off, "y": F.col("y") + off, "area": F.col("w") * F.col("h")})
+        x, y, w, h = (F.col(k) for k in "xywh")
+        p = lambda u, v: F.struct(u.alias("x"), v.alias("y"))
+        ring = F.array(p(x, y), p(x + w, y), p(x + w, y + h), p(x, y + h))
+        return b.select("frame_key", "id", "area", ring.alias("points"), (F.col("id") % 5 == 0).alias("is_hole")).withColumn("bbox", op.polygon_metrics(F.col("points"))["bbox"])
+
+    given = layer(3).withColumns({"category": F.when(F.col("id") % 3 == 0, "via").otherwise("conductor"), "shape_hint": F.concat(F.lit("h"), (F.col("id") % 10).cast("string"))})
+    out = op.transfer_metadata(layer(0).withColumns({"category": F.lit("own"), "shape_hint": F.lit("none")}), given, ["frame_key"], ("category", "shape_hint"))
+    return out.select("frame_key", "id", "category", "shape_hint")
+
+
 @query("pg1_polygon_metrics", f"select frame_key, id, {R('area')} as area, {R('perimeter')} as perimeter, bw, bh from {POLY}")
 def pg1(spark, d):
     return rounded(polygons(spark, d), "area", "perimeter").select("frame_key", "id", "area", "perimeter", F.col("bbox.w").alias("bw"), F.col("bbox.h").alias("bh"))
@@ -216,6 +236,17 @@ def pg8c(spark, d):
     return op.suppress_nms(boxes(spark, d), ["frame_key"], "distance", 4.0).select("frame_key", "id", "suppressed_by")
 
 
+@query("pg8_suppress_grid")
+def pg8d(spark, d):
+    return op.suppress_nms(boxes(spark, d), ["frame_key"], "grid", 4.0).select("frame_key", "id", "suppressed_by")
+
+
+@query("pg8_suppress_hard_rejects")
+def pg8e(spark, d):
+    hard = boxes(spark, d).withColumn("hard", F.col("score") < 0.01)
+    return op.suppress_nms(hard, ["frame_key"], "distance", 4.0, inclusive=True, always="hard").select("frame_key", "id", "suppressed_by")
+
+
 @query("pg9_polygons_changed", f"select distinct frame_key from {BOXES} where id % 997 = 0")
 def pg9(spark, d):
     p = polygons(spark, d)
@@ -229,6 +260,27 @@ def pg10(spark, d):
     return op.merge_branches(p.where("category = 'conductor'"), p.where("category = 'via'")).select("frame_key", "id", "category")
 
 
+#: Lanes of a frame; the line items of a lane span one straight conductor.
+LANES = 40
+_TRACES = f"(select frame_key, lane, x, lane * 8 as y, x1 - x as w, 1 + lane % 5 as h from (select l_suppkey as frame_key, l_orderkey % {LANES} as lane, min(l_partkey % 300) as x, max(l_partkey % 300 + l_quantity) as x1 from lineitem group by 1, 2))"
+
+
+def traces(spark, d):
+    c = F.col
+    t = table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("frame_key"), (c("l_orderkey") % LANES).alias("id")).agg(F.min(c("l_partkey") % 300).cast("double").alias("x"), F.max(c("l_partkey") % 300 + c("l_quantity")).cast("double").alias("x1"))
+    y = (c("id") * 8).cast("double")
+    p = lambda u, v: F.struct(u.alias("x"), v.alias("y"))
+    y1 = y + 1 + c("id") % 5
+    ring = F.array(p(c("x"), y), p(c("x1"), y), p(c("x1"), y1), p(c("x"), y1))
+    return t.select("frame_key", "id", ring.alias("points"), F.lit(False).alias("is_hole")).withColumn("_m", op.polygon_metrics(c("points"))).select("*", "_m.*").drop("_m")
+
+
+@query("pg10_drop_trace_vias", f"""select frame_key, id from (select *, floor(x) + bw / 2 as cx, floor(y) + bh / 2 as cy from {POLY} where via) v where not exists (select 1 from {_TRACES} t where t.frame_key = v.frame_key and cx >= t.x and cx <= t.x + t.w and cy >= t.y and cy <= t.y + t.h
+ and greatest(t.w + 1, t.h + 1) > 7 * least(t.w + 1, t.h + 1) and t.w * t.h > 16 * bw * bh)""")
+def pg10_vias(spark, d):
+    return op.drop_trace_vias(polygons(spark, d).where("category = 'via'"), traces(spark, d), ["frame_key"]).select("frame_key", "id")
+
+
 @query("pg11_polygon_frame_stats", f"""select a.frame_key, n_outer, n_hole, {R('m')} as min_area, {R('1 / (1 + 0.6 * abs(n_outer - coalesce(r_outer, 0)) + 0.8 * abs(n_hole - coalesce(r_hole, 0)))')} as topology from (select frame_key, count(*) filter (where not is_hole) as n_outer, count(*) filter (where is_hole) as n_hole, min(area) as m from {POLY} group by 1) a
  left join (select frame_key, count(*) filter (where not is_hole) as r_outer, count(*) filter (where is_hole) as r_hole from {POLY} where id % 50 <> 0 group by 1) b on a.frame_key = b.frame_key""")
 def pg11(spark, d):

@@ -29,9 +29,10 @@ def test_match_points(spark):
     assert {(r.k, r.ia, r.ib) for r in got} == want and len(got) == len(want)
 
 
-def brute_nms(rows, kind, limit):
+def brute_nms(rows, kind, limit, inclusive=False):
     area = lambda r: r[4] * r[5]
-    order = sorted(rows, key=(lambda r: (area(r), r[4] + r[5], r[2], r[3], r[1])) if kind == "via" else (lambda r: (-r[6], r[1])))
+    by_row = lambda r: (r[3] + r[5] / 2, r[2] + r[4] / 2, r[1])
+    order = sorted(rows, key=(lambda r: (area(r), r[4] + r[5], r[2], r[3], r[1])) if kind == "via" else by_row if kind == "grid" else (lambda r: (-r[6], r[1])))
 
     def foes(a, b):
         w, h = min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]), min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])
@@ -40,7 +41,8 @@ def brute_nms(rows, kind, limit):
             return both > 0
         if kind == "iou":
             return both > 0 and both / (area(a) + area(b) - both) >= limit
-        return math.dist((a[2] + a[4] / 2, a[3] + a[5] / 2), (b[2] + b[4] / 2, b[3] + b[5] / 2)) < limit
+        apart = math.dist((a[2] + a[4] / 2, a[3] + a[5] / 2), (b[2] + b[4] / 2, b[3] + b[5] / 2))
+        return apart <= limit if inclusive else apart < limit
 
     kept, out = [], {}
     for r in order:
@@ -51,7 +53,7 @@ def brute_nms(rows, kind, limit):
     return out
 
 
-@pytest.mark.parametrize(("kind", "limit"), [("via", 0.0), ("iou", 0.2), ("distance", 4.0)])
+@pytest.mark.parametrize(("kind", "limit"), [("via", 0.0), ("iou", 0.2), ("distance", 4.0), ("grid", 4.0)])
 def test_suppression(spark, kind, limit):
     rng = random.Random(2)
     rows = [(k, i, float(rng.randrange(40)), float(rng.randrange(40)), float(rng.randrange(2, 8)), float(rng.randrange(2, 8)), rng.randrange(20) / 20) for k in range(2) for i in range(80)]
@@ -59,6 +61,42 @@ def test_suppression(spark, kind, limit):
     assert {(r.k, r.id): r.suppressed_by for r in got.collect()} == brute_nms(rows, kind, limit)
 
 
+def test_suppression_with_hard_rejects(spark):
+    """Hard rejects stay and suppress nothing; the limit itself counts."""
+    rng = random.Random(5)
+    rows = [(0, i, float(rng.randrange(30)), float(rng.randrange(30)), 2.0, 2.0, rng.randrange(20) / 20, rng.choice([True, False, None])) for i in range(120)]
+    got = pg.suppress_nms(spark.createDataFrame(rows, "k int, id int, x double, y double, w double, h double, score double, hard boolean"), ["k"], "distance", 3.0, inclusive=True, always="hard").collect()
+    want = brute_nms([r[:7] for r in rows if not r[7]], "distance", 3.0, inclusive=True)
+    assert {(r.k, r.id): r.suppressed_by for r in got} == want | {(0, r[1]): None for r in rows if r[7]}
+    assert any(want.values())
+
+
+def shapes(spark, rows):
+    """rows (id, x, y, w, h, is_hole, category) as rectangles of frame 1."""
+    df = spark.createDataFrame(rows, "id long, x double, y double, w double, h double, is_hole boolean, category string")
+    p = lambda u, v: F.struct(F.expr(u).alias("x"), F.expr(v).alias("y"))
+    ring = F.array(p("x", "y"), p("x + w", "y"), p("x + w", "y + h"), p("x", "y + h"))
+    return df.select(F.lit(1).alias("k"), "id", ring.alias("points"), "is_hole", "category").withColumn("m", pg.polygon_metrics(F.col("points"))).select("*", "m.*").drop("m")
+
+
+def test_trace_vias(spark):
+    """Two conductors that overlap are one long trace; a square, a hole and a trace that is small beside the via drop nothing."""
+    conductors = [(1, 0.0, 0.0, 30.0, 5.0, False, "c"), (2, 25.0, 0.0, 30.0, 5.0, False, "c"), (3, 0.0, 50.0, 40.0, 40.0, False, "c"), (4, 100.0, 0.0, 90.0, 3.0, True, "c")]
+    vias = [(1, 10.0, 1.0, 2.0, 2.0, False, "v"), (2, 50.0, 1.0, 2.0, 2.0, False, "v"), (3, 20.0, 60.0, 2.0, 2.0, False, "v"), (4, 120.0, 0.0, 2.0, 2.0, False, "v"), (5, 20.0, 0.0, 5.0, 3.0, False, "v"), (6, 300.0, 0.0, 2.0, 2.0, False, "v")]
+    got = pg.drop_trace_vias(shapes(spark, vias), shapes(spark, conductors), ["k"])
+    assert sorted(r.id for r in got.collect()) == [3, 4, 5, 6]
+    assert got.columns == shapes(spark, vias).columns
+    assert pg.drop_trace_vias(shapes(spark, vias), shapes(spark, conductors).limit(0), ["k"]).count() == 6
+
+
+def test_metadata_transfer(spark):
+    given = shapes(spark, [(1, 0.0, 0.0, 50.0, 50.0, False, "large"), (2, 10.0, 10.0, 10.0, 10.0, False, "small"), (3, 10.0, 10.0, 6.0, 6.0, True, "hole")])
+    mine = shapes(spark, [(7, 12.0, 12.0, 2.0, 2.0, False, "a"), (8, 40.0, 40.0, 2.0, 2.0, False, "b"), (9, 12.0, 12.0, 2.0, 2.0, True, "c"), (10, 90.0, 0.0, 2.0, 2.0, False, "d"), (11, 40.0, 40.0, 2.0, 2.0, True, "e")])
+    empty = mine.where("id = 7").withColumns({"id": F.lit(12).cast("long"), "points": F.slice("points", 1, 0)})
+    got = {r.id: r.category for r in pg.transfer_metadata(mine.union(empty), given, ["k"], ("category",)).collect()}
+    assert got == {7: "small", 8: "large", 9: "hole", 10: "d", 11: "e", 12: "a"}
+
+
 def test_weighted_sample(spark):
     """The share of draws follows the weight, nothing of weight 0 is drawn, and reruns agree."""
     df = spark.range(4000).withColumn("w", (F.col("id") % 4).cast("double"))
