@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python task works on at once; a longer document forms a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch; a batch stands in memory on both sides, beside the slice that is worked on.
+BATCH_BYTES = 4 << 20
+
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, dtype=bool)
@@ -96,6 +99,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     release()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let rows go to Python workers in batches of at most BATCH_BYTES, where the session sets no bound of its own; it concerns memory on either side alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Give what the worker process has freed back to the system: workers outlive their tasks, and all of an executor share its memory."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespark.llm.common import Words, components, mix, ragged, runs_of, salted_join, slices, stash, text_bytes, work_dir
+from framespark.llm.common import Words, bound_batches, components, mix, ragged, runs_of, salted_join, slices, stash, text_bytes, work_dir
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     out; rows that repeat a doc_id count as one document. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or work_dir(spark)
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     same = base.select("id", F.unhex(F.md5("text")).alias("h"))

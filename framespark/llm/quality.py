@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from framespark.llm.common import Words, mix, slices, stash, text_bytes, work_dir
+from framespark.llm.common import Words, bound_batches, mix, slices, stash, text_bytes, work_dir
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -106,6 +106,7 @@ def measure(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Data
 
     A null or empty text counts 0 everywhere. The work is linear in the text, one slice of about a megabyte at a time.
     """
+    bound_batches(docs.sparkSession)
     names = [x.split()[0] for x in MEASURES.split(", ")]
     docs = docs.drop(*names)
     rest = [c for c in docs.columns if keep_text or c != text]

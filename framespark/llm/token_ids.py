@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespark.llm.common import SPACE, ragged, slices, text_bytes, work_dir
+from framespark.llm.common import SPACE, bound_batches, ragged, slices, text_bytes, work_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -302,6 +302,7 @@ def write_shards(docs: DataFrame, path: str, shards: int, tokenizer: str = TOKEN
         if held:
             yield close()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
