@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -320,6 +322,89 @@ def bootstrap_sample(df: DataFrame, n: int, uniform_share: float = 0.7) -> DataF
     return df.join(F.broadcast(chosen), "path", "left_semi")
 
 
+def unit_features(df: DataFrame) -> DataFrame:
+    """df with every feature moved and scaled to 0..1 over all rows; one that never varies becomes 0."""
+    span = df.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i").collect()  # a row a feature
+    lows, spans = F.array(*[F.lit(float(r.lo)) for r in span]), F.array(*[F.lit(max(float(r.hi) - float(r.lo), EPS)) for r in span])
+    return df.withColumn("features", F.zip_with(F.zip_with("features", lows, lambda x, lo: x - lo), spans, lambda x, width: x / width))
+
+
+#: Candidates that a round of picks looks at.
+LOOK = 128
+#: (whether only picks of the row's own cluster count, distance, similarity)
+NearRule = tuple[bool, float, float]
+
+
+def _near_pick(picks: list[Row], rules: list[NearRule], length: int) -> Column:
+    """Whether a row is near one of the picks: distance <= d, or similarity of the bits >= s and distance <= 1.8 d."""
+    text = json.dumps([{"cluster": str(p.cluster), "features": p.features, "bits": p.bits} for p in picks])
+    given = F.from_json(F.lit(text), "array<struct<cluster: string, features: array<double>, bits: array<bigint>>>")
+
+    def near(p: Column) -> Column:
+        far = F.sqrt(total(F.zip_with("features", p["features"], lambda x, y: (x - y) * (x - y))))
+        same = 1 - total(F.zip_with("bits", p["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("double"))) / length
+        tests = [(F.lit(True) if not own else F.col("cluster").cast("string") == p["cluster"]) & ((far <= d) | ((F.coalesce(same, F.lit(0.0)) >= s) & (far <= 1.8 * d))) for own, d, s in rules]
+        return reduce(lambda a, b: a | b, tests)
+
+    return F.exists(given, near)
+
+
+def _pick_apart(rest: DataFrame, order: list[Column], n: int, picks: list[Row], rules: list[NearRule], length: int, folder: str) -> list[Row]:
+    """picks and rows of rest after them, up to n: in order, those that are not near one picked before.
+
+    A round holds all rows against the newest picks, where they lie, and brings only the next LOOK of those that are left here.
+    """
+    picks, fresh, i = list(picks), list(picks), 0
+    while len(picks) < n:
+        for at in range(0, len(fresh), LOOK):
+            rest = rest.where(~_near_pick(fresh[at : at + LOOK], rules, length))
+        rest = stash(rest, f"{folder}-{i}")
+        look = rest.orderBy(*order).limit(LOOK).collect()
+        if not look:
+            break
+        fresh = []
+        for r in look:
+            if len(picks) < n and not any(_near_rows(r, p, rules, length) for p in fresh):
+                fresh.append(r)
+                picks.append(r)
+        rest = rest.where(~F.col("path").isin([r.path for r in look]))
+        i += 1
+    return picks
+
+
+def _near_rows(a: Row, b: Row, rules: list[NearRule], length: int) -> bool:
+    far = math.sqrt(sum((x - y) * (x - y) for x, y in zip(a.features, b.features, strict=True)))
+    same = 0.0 if a.bits is None or b.bits is None else 1 - sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a.bits, b.bits, strict=True)) / length
+    return any((not own or a.cluster == b.cluster) and (far <= d or (same >= s and far <= 1.8 * d)) for own, d, s in rules)
+
+
+def clustered_sample(df: DataFrame, n: int, own: tuple[float, float] = (0.12, 0.94), every: tuple[float, float] = (0.05, 0.98), relax: float = 0.6, length: int = 256, rotate: bool = False) -> DataFrame:
+    """(path, pick): up to n rows of df(path, cluster, score, quality, features, bits) that don't repeat each other.
+
+    First the row of best score of every cluster, in order of the clusters. Then rows by quality (with ``rotate`` by turns: the
+    second of each cluster by score, the third, and so on) that are neither near a pick of their own cluster nor near any other, as (distance, similarity)
+    say. If there are too few, rows by quality that keep relax times the distance of ``every``. Features are brought to one scale first;
+    bits are longs as of pack_bits(), ``length`` of them, null ones are like no others. Ties go by path. n is small, rows may be many.
+    """
+    folder = work_dir(df.sparkSession)
+    rows = stash(unit_features(df).select("path", "cluster", "score", "quality", "features", "bits"), f"{folder}/rows")
+    best = rows.groupBy("cluster").agg(F.min_by(F.struct(*rows.columns), F.struct(-F.col("score"), F.col("path"))).alias("r")).orderBy("cluster").limit(n)
+    picks = best.select("r.*").collect()  # at most n
+    by_quality = [F.desc("quality"), F.col("path")]
+    left = lambda: rows.where(~F.col("path").isin([p.path for p in picks]))
+    rules = [(True, *own), (False, *every)]
+    if rotate:
+        turn = global_row_number(rows.select("path", "cluster", "score"), [F.col("cluster"), -F.col("score"), F.col("path")], "_at")
+        first = turn.groupBy("cluster").agg(F.min("_at").alias("_first"))
+        turn = turn.join(first, "cluster").select("path", (F.col("_at") - F.col("_first")).alias("turn"))
+        picks = _pick_apart(left().join(turn, "path"), [F.col("turn"), F.col("cluster"), F.col("path")], n, picks, rules, length, f"{folder}/turns")
+    else:
+        picks = _pick_apart(left(), by_quality, n, picks, rules, length, f"{folder}/apart")
+    picks = _pick_apart(left(), by_quality, n, picks, [(False, relax * every[0], every[1])], length, f"{folder}/relaxed")
+    kind = df.schema["path"].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(p.path, i) for i, p in enumerate(picks, 1)], f"path {kind}, pick int")
+
+
 def author_sample(frames: DataFrame, percent: float, seed: int = 1) -> DataFrame:
     """Distinct frames: per author ceil(n * percent / 100) of author_frames(author, frame) in a seeded hash order."""
     d = frames.select("author", "frame").distinct()

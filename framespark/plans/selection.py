@@ -194,6 +194,14 @@ def se13c(spark, d):
     return op.bootstrap_sample(v, 20).select("path")
 
 
+@query("se13_clustered_sample")
+def se13d(spark, d):
+    v = vectors(spark, d)
+    bits = F.array(*[F.xxhash64("bits", F.lit(i)) for i in range(4)])
+    v = v.select("id", F.format_string("%06d", "id").alias("path"), "cluster", F.get("features", F.lit(0)).alias("quality"), F.get("features", F.lit(1)).alias("score"), "features", bits.alias("bits"))
+    return op.clustered_sample(v, 40)
+
+
 @query("se14_author_sample", """select distinct frame from (select o_orderkey as frame, row_number() over (partition by o_orderpriority order by md5('7:' || o_orderpriority || ':' || o_orderkey), o_orderkey) as r, count(*) over (partition by o_orderpriority) as n from orders) where r <= ceil(n * 12.5 / 100)""")
 def se14(spark, d):
     return op.author_sample(table(spark, d, "orders").select(F.col("o_orderpriority").alias("author"), F.col("o_orderkey").alias("frame")), 12.5, 7)

@@ -97,6 +97,40 @@ def test_metadata_transfer(spark):
     assert got == {7: "small", 8: "large", 9: "hole", 10: "d", 11: "e", 12: "a"}
 
 
+def brute_clustered(rows, n, rotate):
+    low, high = ([f([r[4][i] for r in rows]) for i in range(2)] for f in (min, max))
+    rows = [(*r[:4], [(x - a) / max(b - a, 1e-8) for x, a, b in zip(r[4], low, high, strict=True)], r[5]) for r in rows]
+
+    def near(a, b, d, s):
+        far = math.dist(a[4], b[4])
+        same = 0 if a[5] is None or b[5] is None else 1 - ((a[5][0] ^ b[5][0]) & (2**64 - 1)).bit_count() / 64
+        return far <= d or (same >= s and far <= 1.8 * d)
+
+    groups = {c: sorted((r for r in rows if r[1] == c), key=lambda r: (-r[2], r[0])) for c in {r[1] for r in rows}}
+    picks = [groups[c][0] for c in sorted(groups)][:n]
+    by_quality = sorted(rows, key=lambda r: (-r[3], r[0]))
+    order = sorted(rows, key=lambda r: (groups[r[1]].index(r), r[1])) if rotate else by_quality
+    for r in order:
+        if len(picks) < n and r not in picks and not any((r[1] == p[1] and near(r, p, 0.12, 0.9)) or near(r, p, 0.05, 0.98) for p in picks):
+            picks.append(r)
+    for r in by_quality:
+        if len(picks) < n and r not in picks and not any(near(r, p, 0.6 * 0.05, 0.98) for p in picks):
+            picks.append(r)
+    return [r[0] for r in picks]
+
+
+@pytest.mark.parametrize("rotate", [False, True])
+def test_clustered_sample(spark, monkeypatch, rotate):
+    monkeypatch.setattr(selection, "LOOK", 8)
+    rng = random.Random(6)
+    rows = [(f"f{i:03}", rng.randrange(4), rng.randrange(9) / 9, rng.randrange(30) / 30, [rng.randrange(40) / 4, rng.randrange(40) / 2], rng.choice([None, [-1], [-2], [rng.getrandbits(62)]])) for i in range(150)]
+    df = spark.createDataFrame(rows, "path string, cluster int, score double, quality double, features array<double>, bits array<bigint>")
+    for n in (3, 40, 150):
+        got = selection.clustered_sample(df, n, own=(0.12, 0.9), length=64, rotate=rotate).orderBy("pick").collect()
+        assert [r.path for r in got] == brute_clustered(rows, n, rotate)
+    assert selection.clustered_sample(df.limit(0), 5, length=64).count() == 0
+
+
 def test_weighted_sample(spark):
     """The share of draws follows the weight, nothing of weight 0 is drawn, and reruns agree."""
     df = spark.range(4000).withColumn("w", (F.col("id") % 4).cast("double"))
