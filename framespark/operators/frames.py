@@ -34,6 +34,11 @@ def natural_key(c: Column, width: int = 20) -> Column:
     return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), width, "0")).otherwise(x)), "")
 
 
+def natural_sort(names: Column) -> Column:
+    """An array of texts in natural order, equals of one key in order of the text."""
+    return F.transform(F.array_sort(F.transform(names, lambda x: F.struct(natural_key(x).alias("key"), x.alias("name")))), lambda x: x["name"])
+
+
 def frame_identity(df: DataFrame, path: str = "path") -> DataFrame:
     """df with sequence_id (parent folder or null), sequence_group (__root__ when null) and display_name."""
     parent = F.nullif(F.regexp_extract(F.col(path), r"(?:^|/)([^/]+)/[^/]+$", 1), F.lit(""))

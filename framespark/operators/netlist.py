@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framespark.functions.common import stash, work_dir
+from framespark.operators.frames import natural_key
 from framespark.operators.graph import connected_components, reach
 
 POWER = r"(?i)^(vdd|vcc|vpp|pwr|power|vdda|vddd)\d*$"
@@ -54,6 +55,18 @@ def top_ports(ports: DataFrame, wire_points: DataFrame) -> DataFrame:
     return ports.select("design", "port", "x", "y").distinct().join(at, ["design", "x", "y"]).select("design", "port", "net", direction.alias("direction"), *[v.alias(k) for k, v in supply.items()]).distinct()
 
 
+def port_nets(ports: DataFrame, wire_points: DataFrame) -> DataFrame:
+    """(design, port, net, direction): the net of each port IN<n> or OUT<n>, the first in natural order of those with a wire point at its place; inputs are named in capitals.
+
+    Other ports, ports without a place and ports with no wire there have no row; where one name stands at several places, the first net of them all counts.
+    """
+    name = F.upper("port")
+    direction = F.when(name.rlike(r"^IN\d+$"), "input").when(name.rlike(r"^OUT\d+$"), "output")
+    p = ports.withColumn("direction", direction).where("direction is not null").withColumn("port", F.when(F.col("direction") == "input", name).otherwise(F.col("port")))
+    met = p.select("design", "port", "direction", "x", "y").join(wire_points.select("design", "x", "y", "net"), ["design", "x", "y"])
+    return met.groupBy("design", "port", "direction").agg(F.min_by("net", F.struct(natural_key(F.col("net")), F.col("net"))).alias("net")).select("design", "port", "net", "direction")
+
+
 def classify_devices(devices: DataFrame) -> DataFrame:
     """devices(design, device, cell, pins map) with kind and domain by the first rule that fits: pin shapes of transistors first, then name tokens."""
     names = F.map_keys("pins")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framespark.functions.common import stash, work_dir
+from framespark.operators.frames import natural_sort
 from framespark.operators.netlist import GROUND, POWER, bistable_cores, logic_cone
 
 MAX_INPUTS = 12
@@ -32,7 +33,8 @@ def topological_latches(inverters: DataFrame, switches: DataFrame) -> DataFrame:
     Switches vote for the gate and level that opens them, if there is one; the gate with the most switches to nets
     outside all cores wins, then to nets outside its own core, to other cores, in all, and across the core, then n-gates
     and names. Without a switch that leaves the core there is no latch. Data are the far nets of the winner's switches,
-    those outside all cores before the others; complements are its switches' opposite gates that an inverter joins to it.
+    those outside all cores before the others; complements are its switches' opposite gates that an inverter joins to it. Lists
+    are in natural order.
     """
     cores = bistable_cores(inverters)
     signal = lambda c: F.filter(c, lambda g: ~g.rlike(POWER) & ~g.rlike(GROUND))
@@ -53,11 +55,11 @@ def topological_latches(inverters: DataFrame, switches: DataFrame) -> DataFrame:
     leaves, free = F.col("far").isNotNull(), F.col("far").isNotNull() & ~F.col("_in")
     votes = met.groupBy("design", "ca", "cb", "enable", "level").agg(
         F.count_if(free).alias("_free"), F.count_if(leaves).alias("_leaves"), F.count_if(leaves & F.col("_in")).alias("_stage"), F.count(F.lit(1)).alias("_all"), F.count_if(F.col("touch") == 2).alias("_across"),
-        F.collect_set(F.when(free, F.col("far"))).alias("_data"), F.collect_set(F.when(leaves & F.col("_in"), F.col("far"))).alias("_from"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("complements")))).alias("complements"),
+        F.collect_set(F.when(free, F.col("far"))).alias("_data"), F.collect_set(F.when(leaves & F.col("_in"), F.col("far"))).alias("_from"), natural_sort(F.array_distinct(F.flatten(F.collect_list("complements")))).alias("complements"),
     )
     order = [F.desc(c) for c in ("_free", "_leaves", "_stage", "_all", "_across")] + [F.col("level") == "low", F.col("enable"), F.col("level")]
     best = votes.withColumn("_r", F.row_number().over(Window.partitionBy("design", "ca", "cb").orderBy(*order))).where("_r = 1 and _leaves > 0")
-    data = F.array_sort(F.when(F.size("_data") > 0, F.col("_data")).otherwise(F.col("_from")))
+    data = natural_sort(F.when(F.size("_data") > 0, F.col("_data")).otherwise(F.col("_from")))
     return best.select("design", F.col("ca").alias("a"), F.col("cb").alias("b"), "enable", "level", data.alias("data"), "complements")
 
 
@@ -114,6 +116,26 @@ def flip_flops(latches: DataFrame, inverters: DataFrame, outputs: DataFrame) ->
         left = stash(left, f"{folder}/pairs-{i}")
 
 
+def storage_elements(latches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(design, kind, a, b, control, mode, trigger, data, outputs, nets): the flip-flops of pairs(design, master, slave, clock, edge) and the latches that none of them uses.
+
+    A flip-flop takes its data from the master and has its outputs at the slave's core; mode is edge and trigger rising or falling. A
+    latch has both of its own, mode level and trigger high or low. a and b are master and slave, or the nets of the latch's core; nets are
+    all nets of the cores. Lists are in natural order.
+    """
+    core = latches.select("design", F.col("a").alias("_n"), F.array("a", "b").alias("_core"), F.col("data").alias("_data"))
+    of = lambda end, *cols: core.select("design", F.col("_n").alias(end), *[F.col(c).alias(f"{end}{c}") for c in cols])
+    ff = pairs.join(of("master", "_core", "_data"), ["design", "master"]).join(of("slave", "_core"), ["design", "slave"])
+    ff = ff.select(
+        "design", F.lit("flip_flop").alias("kind"), F.col("master").alias("a"), F.col("slave").alias("b"), F.col("clock").alias("control"), F.lit("edge").alias("mode"), F.col("edge").alias("trigger"),
+        F.col("master_data").alias("data"), natural_sort(F.col("slave_core")).alias("outputs"), natural_sort(F.array_union("master_core", "slave_core")).alias("nets"),
+    )
+    used = pairs.select("design", F.explode(F.array("master", "slave")).alias("a"))
+    own = natural_sort(F.array("a", "b"))
+    left = latches.join(used, ["design", "a"], "left_anti")
+    return ff.union(left.select("design", F.lit("latch"), "a", "b", F.col("enable"), F.lit("level"), F.col("level"), "data", own, own))
+
+
 def input_muxes(cores: DataFrame, edges: DataFrame) -> DataFrame:
     """(design, node, select, data, feedback, level): core nets that one control joins at one level to a net outside and at the other to a net of the core, from switch_edges; level is the one that lets data in."""
     c = _core_nets(cores).withColumnRenamed("net", "dst")

@@ -110,6 +110,18 @@ def gr4_ports(spark, d):
     return op.top_ports(port_places(spark, d), wires(spark, d))
 
 
+#: Ports of a design at the sheet's first columns, where several nets meet.
+_SIDES = "(values ('in1', 1), ('OUT1', 2), ('IN2', 3), ('INX', 4), ('OUT10', 5), ('in2', 6)) t(port, y)"
+
+
+@query("gr4_port_nets", f"""select design, case when port in ('in1', 'in2') then upper(port) else port end as port, 'n' || min(cast(net[2:] as bigint)) as net, case when port like 'OUT%' then 'output' else 'input' end as direction
+ from (select s_suppkey as design, s_suppkey % 20 as x, t.* from supplier, {_SIDES}) p join (select design, net, x % 20 as x, y from {_WIRES}) w using (design, x, y) where port <> 'INX' group by 1, 2, 4""")
+def gr4_port_nets(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("design"), (F.col("s_suppkey") % 20).alias("x"))
+    sides = F.array(*[F.struct(F.lit(p).alias("port"), F.lit(y).alias("y")) for p, y in (("in1", 1), ("OUT1", 2), ("IN2", 3), ("INX", 4), ("OUT10", 5), ("in2", 6))])
+    return op.port_nets(s.select("design", "x", F.explode(sides).alias("p")).select("design", "p.port", "x", "p.y"), wires(spark, d).withColumn("x", F.col("x") % 20))
+
+
 @query("gr5_classify_devices", """select p_partkey as device, case p_partkey % 6 when 0 then 'nmos' when 1 then 'pmos' when 2 then 'nand' when 3 then 'dff' when 4 then 'xor' else 'unknown' end as kind, case p_partkey % 6 when 0 then 'switch' when 1 then 'switch' when 2 then 'gate' when 3 then 'storage' when 4 then 'gate' else 'unknown' end as domain from part""")
 def gr5(spark, d):
     k = F.col("p_partkey") % 6

@@ -238,6 +238,30 @@ def test_flip_flops_are_the_greedy_pairs(spark, tmp_path):
         assert r.clock == slave.enable != master.enable and r.edge == ("rising" if slave.level == "high" else "falling")
 
 
+def test_storage_elements(spark):
+    """Each latch is in one element: in its flip-flop, or by itself; lists are in natural order."""
+    from framespark.operators import storage
+
+    latches = one(
+        spark, [(1, "A9", "B10", "EN", "high", ["D10", "D9"]), (1, "A10", "B2", "ENB", "high", ["B10"]), (1, "A3", "B3", "EN", "low", ["X"]), (2, "A9", "B9", "G", "low", ["D"])],
+        "design int, a string, b string, enable string, level string, data array<string>",
+    )
+    pairs = one(spark, [(1, "A9", "A10", "ENB", "rising")], "design int, master string, slave string, clock string, edge string")
+    got = {(r.design, r.a): tuple(r)[1:] for r in storage.storage_elements(latches, pairs).collect()}
+    assert got == {
+        (1, "A9"): ("flip_flop", "A9", "A10", "ENB", "edge", "rising", ["D10", "D9"], ["A10", "B2"], ["A9", "A10", "B2", "B10"]),
+        (1, "A3"): ("latch", "A3", "B3", "EN", "level", "low", ["X"], ["A3", "B3"], ["A3", "B3"]),
+        (2, "A9"): ("latch", "A9", "B9", "G", "level", "low", ["D"], ["A9", "B9"], ["A9", "B9"]),
+    }
+
+
+def test_ports_take_the_first_net_in_natural_order(spark):
+    wires = one(spark, [(1, 0, 0, "n10"), (1, 0, 0, "n9"), (1, 5, 5, "n1"), (2, 0, 0, "z")], "design int, x int, y int, net string")
+    ports = one(spark, [(1, "in1", 0, 0), (1, "OUT2", 5, 5), (1, "CLK", 5, 5), (1, "IN3", 7, 7), (2, "IN_1", 0, 0), (2, "out1", 0, 0), (2, "IN4", None, None)], "design int, port string, x int, y int")
+    got = {tuple(r) for r in netlist.port_nets(ports, wires).collect()}
+    assert got == {(1, "IN1", "n9", "input"), (1, "OUT2", "n1", "output"), (2, "out1", "z", "output")}
+
+
 def test_truth_tables_of_unknown_and_fought_outputs(spark):
     from framespark.operators import storage
 
