@@ -175,6 +175,59 @@ def _spread(marks: np.ndarray, a: np.ndarray, b: np.ndarray, open_: np.ndarray)
         marks = new
 
 
+def _primes(on: np.ndarray) -> np.ndarray:
+    """Prime implicants of a table of n axes of length 2, a row each: 0, 1, or 2 for an input that doesn't matter.
+
+    Along each axis a third place says whether both others hold, so the array holds all cubes; a prime is in no larger one.
+    """
+    cubes = on
+    for axis in range(on.ndim):
+        no, yes = (np.take(cubes, [v], axis) for v in (0, 1))
+        cubes = np.concatenate((no, yes, no & yes), axis)
+    prime = cubes.copy()
+    for axis in range(on.ndim):
+        larger = np.take(cubes, [2], axis)
+        prime &= ~np.concatenate((larger, larger, np.zeros_like(larger)), axis)
+    return np.argwhere(prime)
+
+
+def _sum_text(on: np.ndarray, inputs: list[str]) -> str:
+    """A short sum of products: primes that alone hold some row, then by most rows still open, fewest literals, and order."""
+    primes, rows = _primes(on), np.argwhere(on)
+    holds = np.ones((len(rows), len(primes)), bool)
+    for axis in range(on.ndim):
+        holds &= (primes[:, axis] == 2) | (primes[:, axis] == rows[:, axis, None])
+    chosen = set(holds[holds.sum(axis=1) == 1].argmax(axis=1).tolist())
+    literals = (primes < 2).sum(axis=1)
+    open_ = ~holds[:, sorted(chosen)].any(axis=1)
+    while open_.any():
+        gain = holds[open_].sum(axis=0)
+        best = int(np.lexsort((literals, -gain))[0])
+        chosen.add(best)
+        open_ &= ~holds[:, best]
+    terms = [[i if v else f"!{i}" for i, v in zip(inputs, primes[c], strict=True) if v < 2] for c in sorted(chosen)]
+    return " | ".join(" & ".join(t) if len(t) == 1 or len(terms) == 1 else f"({' & '.join(t)})" for t in terms)
+
+
+def expression_of(value: list[int | None], inputs: list[str]) -> str | None:
+    """A short expression of a truth table: a constant, a parity (^) of the inputs that matter, or the shorter of a sum of products and the inverse of one; null if a value is."""
+    if any(v is None for v in value):
+        return None
+    on = np.array(value, bool).reshape((2,) * len(inputs))
+    if on.all() or not on.any():
+        return str(int(on.all()))
+    used = [a for a in range(on.ndim) if (np.take(on, 0, a) != np.take(on, 1, a)).any()]
+    if len(used) > 1 and all((np.take(on, 0, a) != np.take(on, 1, a)).all() for a in used):
+        text = " ^ ".join(inputs[a] for a in used)
+        return f"!({text})" if on.flat[0] else text
+    direct, inverse = _sum_text(on, inputs), _sum_text(~on, inputs)
+    if not any(c in inverse for c in "&|"):
+        inverse = inverse[1:] if inverse.startswith("!") else f"!{inverse}"
+    else:
+        inverse = f"!({inverse})"
+    return min(direct, inverse, key=lambda t: (sum(t.count(c) for c in "&|"), len(t)))
+
+
 def _evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
     """Truth table of one output from the transistors of its cone; all assignments of the inputs at once."""
     inputs, out = list(pdf["inputs"].iloc[0]), pdf["output"].iloc[0]
@@ -200,15 +253,16 @@ def _evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
     for open_ in (on, on | (level[gate] < 0)):  # open for sure, then perhaps
         up, down = (_spread(np.repeat(s[:, None], m, axis=1), a, b, open_)[out_at] for s in (power, ground))
         value = np.where((value < 0) & (up != down), up.astype(np.int8), value)
-    return pd.DataFrame({"design": [pdf["design"].iloc[0]], "output": [out], "inputs": [inputs], "value": [[None if v < 0 else int(v) for v in value]]})
+    value = [None if v < 0 else int(v) for v in value]
+    return pd.DataFrame({"design": [pdf["design"].iloc[0]], "output": [out], "inputs": [inputs], "value": [value], "expression": [expression_of(value, inputs)]})
 
 
 def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(design, output, inputs, value, sop, depends_on, reason) of outputs(design, output) by inputs(design, net), the first input being the highest bit.
+    """(design, output, inputs, value, sop, depends_on, reason, expression) of outputs(design, output) by inputs(design, net), the first input being the highest bit.
 
     Levels go from supplies and inputs over open channels until nothing changes; a part of the net at both levels has none.
     An output without a level takes the supply that it alone reaches over open channels, then over those that may be
-    open, else null. sop and depends_on are null if a value is. Tables double with
+    open, else null. sop, depends_on and expression, a short form of the function, are null if a value is. Tables double with
     each input: an output of a design of more than MAX_INPUTS has null tables and the reason too_many_inputs; reason is null otherwise.
     Each output is evaluated in a task of its own from the transistors of its cone.
     """
@@ -222,13 +276,13 @@ def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame)
     near = t.select("*", F.explode(F.array_distinct(F.array("source", "drain"))).alias("node")).join(cone, ["design", "node"]).drop("node").distinct()
     near = near.join(names, "design").withColumnRenamed("start", "output")
     typ = transistors.schema["design"].dataType.simpleString()
-    v = near.groupBy("design", "output").applyInPandas(_evaluate, f"design {typ}, output string, inputs array<string>, value array<int>")
+    v = near.groupBy("design", "output").applyInPandas(_evaluate, f"design {typ}, output string, inputs array<string>, value array<int>, expression string")
     literal = "array_join(transform(inputs, (v, j) -> if(shiftright(i, size(inputs) - 1 - j) & 1 = 1, v, '!' || v)), ' & ')"
     sop = f"""case when exists(value, x -> x is null) then null when not exists(value, x -> x = 1) then '0' when not exists(value, x -> x = 0) then '1'
         else array_join(transform(filter(sequence(0, size(value) - 1), i -> value[i] = 1), i -> {literal}), ' | ') end"""
     depends = """case when exists(value, x -> x is null) then null else transform(filter(transform(inputs, (v, j) -> struct(v, shiftleft(1, size(inputs) - 1 - j) as bit)),
         p -> exists(sequence(0, size(value) - 1), i -> value[i] <> value[i ^ p.bit])), p -> p.v) end"""
-    done = v.select("*", F.expr(sop).alias("sop"), F.expr(depends).alias("depends_on"), F.lit(None).cast("string").alias("reason"))
+    done = v.select("design", "output", "inputs", "value", F.expr(sop).alias("sop"), F.expr(depends).alias("depends_on"), F.lit(None).cast("string").alias("reason"), "expression")
     wide = outputs.select("design", "output").join(every.where(F.size("inputs") > MAX_INPUTS), "design")
     no = F.lit(None)
-    return done.union(wide.select("design", "output", "inputs", no.cast("array<int>"), no.cast("string"), no.cast("array<string>"), F.lit("too_many_inputs")))
+    return done.union(wide.select("design", "output", "inputs", no.cast("array<int>"), no.cast("string"), no.cast("array<string>"), F.lit("too_many_inputs"), no.cast("string")))

@@ -238,6 +238,30 @@ def test_flip_flops_are_the_greedy_pairs(spark, tmp_path):
         assert r.clock == slave.enable != master.enable and r.edge == ("rising" if slave.level == "high" else "falling")
 
 
+def test_expressions_of_truth_tables():
+    """Literal cases; and each expression of random tables has the table's values and is no longer than its sum of products."""
+    import itertools
+    import random
+    import re
+
+    from framespark.operators.storage import expression_of
+
+    cases = {"10": "!A", "1110": "!A | !B", "1000": "!A & !B", "0110": "A ^ B", "1001": "!(A ^ B)", "01101001": "A ^ B ^ C", "00000000": "0", "11": "1", "0011": "A", "00010111": "(B & C) | (A & C) | (A & B)"}
+    for table, want in cases.items():
+        got = expression_of([int(v) for v in table], list("ABC")[: len(table).bit_length() - 1])
+        assert got == want or sorted(got.split(" | ")) == sorted(want.split(" | "))
+    assert expression_of([0, None], ["A"]) is None
+    rng = random.Random(7)
+    for n in (1, 2, 3, 4, 5):
+        for _ in range(30):
+            value = [rng.randrange(2) for _ in range(1 << n)]
+            text = expression_of(value, [f"x{i}" for i in range(n)])
+            env = lambda bits: {f"x{i}": b for i, b in enumerate(bits)}
+            code = re.sub(r"!x(\d)", r"(1 - x\1)", text).replace("!(", "1 - (")
+            assert [eval(code, {}, env(bits)) for bits in itertools.product((0, 1), repeat=n)] == value
+            assert text.count("&") + text.count("|") <= max(sum(value) * n - 1, 0)
+
+
 def test_storage_elements(spark):
     """Each latch is in one element: in its flip-flop, or by itself; lists are in natural order."""
     from framespark.operators import storage
