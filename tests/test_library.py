@@ -303,7 +303,8 @@ def test_truth_tables_of_unknown_and_fought_outputs(spark):
     assert got[2].value == [1, None, None, 0] and got[2].sop is None and got[2].depends_on is None
     assert got[3].value == [1, 1] and got[3].sop == "1" and got[3].depends_on == []
     assert got[4].value == [1, 1, 1, 0] and got[4].sop == "!A & !B | !A & B | A & !B" and got[4].depends_on == ["A", "B"]
-    assert 5 not in got
+    assert got[5].value is None and got[5].reason == "too_many_inputs"
+    assert [got[i].expression for i in range(1, 6)] == ["!A", None, "1", "!A | !B", None]
 
 
 def test_frames_with_one_side(spark):
