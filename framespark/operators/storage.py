@@ -23,7 +23,9 @@ def _core_nets(cores: DataFrame) -> DataFrame:
 
 
 def _both_ways(inverters: DataFrame) -> DataFrame:
-    return inverters.select("design", F.col("gate").alias("u"), F.col("out").alias("v")).union(inverters.select("design", "out", "gate")).distinct()
+    way = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    # no union, which would lose that rows lie by design
+    return inverters.select("design", F.explode(F.array(way("gate", "out"), way("out", "gate"))).alias("w")).select("design", "w.*").distinct()
 
 
 def topological_latches(inverters: DataFrame, switches: DataFrame) -> DataFrame:

@@ -218,3 +218,29 @@ def test_wide_truth_tables_give_a_reason(spark):
     inputs = spark.createDataFrame([(1, "A")] + [(2, f"I{i}") for i in range(13)], "design int, net string")
     got = storage.truth_tables(t, inputs, spark.createDataFrame([(1, "Y"), (2, "Y")], "design int, output string")).collect()
     assert {(r.design, str(r.value), r.reason) for r in got} == {(1, "[1, 0]", None), (2, "None", "too_many_inputs")}
+
+
+def test_supplies_by_name_and_by_table_agree(spark):
+    rng = random.Random(5)
+    names = ["VDD", "vcc1", "GND", "VSS", "a", "b", "c", "EN"]
+    rows = [(d, f"T{i}", rng.choice(["nmos", "pmos"]), *rng.choices(names, k=3)) for d in range(6) for i in range(60)]
+    t = spark.createDataFrame(rows, "design int, device string, kind string, gate string, source string, drain string")
+    n = netlist.supplies(t.select("design", F.explode(F.array("gate", "source", "drain")).alias("net")).distinct())
+    got = lambda df: sorted(map(str, df.collect()))
+    assert got(netlist.cmos_inverters(t)) == got(netlist.cmos_inverters(t, n))
+    assert got(netlist.controlled_switches(t)) == got(netlist.controlled_switches(t, n))
+    assert got(netlist.switch_edges(t)) == got(netlist.switch_edges(t, n.where("is_power or is_ground").select("design", "net")))
+
+
+@pytest.mark.parametrize("name", ["gr12_input_muxes", "gr12_async_controls", "gr16_topological_latches"])
+def test_registers_move_line_items_and_orders_only(spark, name):
+    from framespark.plans import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # every exchange is that of the rows by design, before there are transistors
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and all("REPARTITION_BY_COL" in x for x in moved)
