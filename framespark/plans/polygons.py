@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framespark.functions.common import r6
+from framespark.functions.common import laid_by, r6
 from framespark.operators import polygons as op
 from framespark.operators.graph import connected_components
 from framespark.plans.tables import table
@@ -36,7 +36,7 @@ BOXES = "(select frame_key, id, min(x) as x, min(y) as y, min(w) as w, min(h) as
 def points(spark, d):
     c = F.col
     p = table(spark, d, "lineitem").select(c("l_suppkey").alias("frame_key"), c("l_returnflag").alias("side"), (c("l_orderkey") * 100 + c("l_linenumber")).alias("id"), (c("l_quantity") * 4).alias("x"), (c("l_partkey") % 200).cast("double").alias("y"))
-    return p.groupBy("frame_key", "side", "id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    return laid_by(p, "frame_key").groupBy("frame_key", "side", "id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
 
 
 def boxes(spark, d):
@@ -45,7 +45,7 @@ def boxes(spark, d):
         c("l_suppkey").alias("frame_key"), (c("l_orderkey") * 100 + c("l_linenumber")).alias("id"), (c("l_partkey") % 300).cast("double").alias("x"), (c("l_orderkey") % 311).cast("double").alias("y"),
         (c("l_quantity") / 4 + 1).alias("w"), (c("l_discount") * 100 + 1).alias("h"), c("l_tax").alias("score"),
     )
-    return p.groupBy("frame_key", "id").agg(*[F.min(k).alias(k) for k in ("x", "y", "w", "h")], F.max("score").alias("score"))
+    return laid_by(p, "frame_key").groupBy("frame_key", "id").agg(*[F.min(k).alias(k) for k in ("x", "y", "w", "h")], F.max("score").alias("score"))
 
 
 def sides(spark, d):
