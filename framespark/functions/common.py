@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 EPS = 1e-8
@@ -38,6 +45,75 @@ def laid_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys)
 
 
+#: Rows of a group that one task may hold; larger groups go by joins over all tasks.
+GROUP_ROWS = 1 << 17
+
+
+def whole_groups(rows: DataFrame, keys: list[str], size: Column | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """rows of the groups by keys whose size (an aggregate, by default the number of rows) is within the limit, and those of all others or None.
+
+    Rows with a null key are among the others, and so is everything without keys. rows are read twice, so they should be a table.
+    """
+    if not keys:
+        return rows.limit(0), rows
+    null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in keys])
+    size = F.count(F.lit(1)) if size is None else size
+    big = rows.groupBy(*keys).agg(size.alias("_size")).where((F.col("_size") > (GROUP_ROWS if limit is None else limit)) | null).select(*[F.col(c).alias(f"_{c}") for c in keys])
+    if big.isEmpty():
+        return rows, None
+    big = stash(big, f"{work_dir(rows.sparkSession)}/big")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    return rows.join(big, same, "left_anti"), rows.join(big, same, "left_semi")
+
+
+def by_group(rows: DataFrame, keys: list[str], solve: Callable, schema: str) -> DataFrame:
+    """(keys, columns of schema): solve(), called once a group with the lists of its other columns, returns the lists of the new columns.
+
+    Rows are laid and sorted by keys, and a task goes through its groups one after the other; only for groups of whole_groups().
+    """
+    given = rows.select(*keys, *[c for c in rows.columns if c not in keys])
+    new = StructType.fromDDL(schema)
+    out = StructType([given.schema[k] for k in keys] + new.fields)
+    types = [f.type for f in to_arrow_schema(new)]
+    names, n = out.names, len(keys)
+
+    def borders(t: pa.Table) -> np.ndarray:
+        first = np.zeros(t.num_rows, bool)
+        first[:1] = True
+        for i in range(n):
+            first[1:] |= pc.not_equal(t.column(i).slice(1), t.column(i).slice(0, t.num_rows - 1)).to_numpy()
+        return np.flatnonzero(first)
+
+    def solved(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        columns = [c.to_pylist() for c in t.columns[n:]]
+        counts, found = [], [[] for _ in types]
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), t.num_rows], strict=True):
+            got = solve(*[c[lo:hi] for c in columns])
+            counts.append(len(got[0]))
+            for f, g in zip(found, got, strict=True):
+                f.extend(g)
+        place = pa.array(np.repeat(at, counts))
+        arrays = [t.column(i).combine_chunks().take(place) for i in range(n)] + [pa.array(f, x) for f, x in zip(found, types, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            at = borders(t)
+            last = int(at[-1])
+            # the last group may go on in the next batch
+            if last:
+                yield solved(t.slice(0, last), at[:-1])
+            held = t.slice(last).to_batches()
+        if held:
+            yield solved(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    return given.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
+
+
 def r6(c: Column) -> Column:
     """Rounded to six places the same way in every engine."""
     return F.floor(c * 1e6 + 0.5) / 1e6
