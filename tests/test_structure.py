@@ -256,3 +256,40 @@ def test_rings_of_a_batch_are_judged_together():
     assert all(np.array_equal(g, pg._without_spikes([r], 40.0)[0]) for g, r in zip(got, rings, strict=True))
     spiked = [np.array([(0, 0), (4, 0), (4, 4), (0, 4), (-50, 0.5)], float)] * 3
     assert [len(r) for r in pg._without_spikes(spiked, 40.0)] == [4, 4, 4]
+
+
+def test_groups_in_a_task_and_by_rounds_agree(spark, monkeypatch):
+    """Groups that a task can hold move once; the rounds over all tasks, for larger ones, give the same rows."""
+    from framespark.functions import common
+
+    rng = random.Random(6)
+    rows = [(d, f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", rng.randrange(2)) for d in range(6) for _ in range(rng.randrange(1, 30))] + [(None, "a", "b", 1)]
+    e = spark.createDataFrame(rows, "design int, src string, dst string, inversion int")
+    starts = spark.createDataFrame([(d, f"n{i}") for d in range(6) for i in range(3)], "design int, start string")
+    boxes = spark.createDataFrame([(rng.randrange(5), i, rng.random() * 30, rng.random() * 30, 3.0, 4.0, rng.random()) for i in range(300)], "f int, id int, x double, y double, w double, h double, score double")
+    controls = F.array(F.struct(F.lit("s").alias("signal"), F.col("inversion").alias("level")))
+    signals = starts.select("design", F.array(F.lit("s"), F.lit("t")).alias("signals")).distinct()
+    every = {
+        "components": lambda: graph.connected_components(e, ("design",)), "reach": lambda: graph.reach(e, starts, ("design",)),
+        "chains": lambda: netlist.toggle_chains(e.where("src <> dst")),
+        "phases": lambda: structure.enumerated_phases(e.withColumn("controls", controls), signals, starts, e.select("design", F.col("dst").alias("node"))),
+        "via": lambda: pg.suppress_nms(boxes, ["f"], "via").select("f", "id", "suppressed_by"), "grid": lambda: pg.suppress_nms(boxes, ["f"], "grid", 3.0).select("f", "id", "suppressed_by"),
+        "match": lambda: pg.match_points(boxes.where("id < 150"), boxes.where("id >= 150"), 4.0, ["f"]),
+    }
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("components", "reach", "chains", "match"):
+        assert "MapInArrow" in plan(every[name]())
+    moved = plan(graph.connected_components(e, ("design",)))
+    assert sum("Exchange hashpartitioning" in x for x in moved.splitlines()) == 1
+    got = lambda: {k: sorted(map(str, f().collect())) for k, f in every.items()}
+    whole = got()
+    for place, name in ((common, "GROUP_ROWS"), (graph, "GROUP_WALKS"), (structure, "GROUP_WALKS"), (netlist, "GROUP_WALKS")):
+        monkeypatch.setattr(place, name, 20)
+    assert got() == whole and all(whole.values())
+
+
+def test_strong_components_by_rounds(spark):
+    rng = random.Random(7)
+    e = spark.createDataFrame([(d, rng.randrange(9), rng.randrange(9)) for d in range(4) for _ in range(12)], "design int, a int, b int")
+    row = lambda df: sorted((r.design, r.node, r.component, r["size"]) for r in df.collect())
+    assert row(graph._strong_by_rounds(e, ["design"])) == row(graph.strong_components(e, ("design",), "a", "b"))
