@@ -293,3 +293,17 @@ def test_strong_components_by_rounds(spark):
     e = spark.createDataFrame([(d, rng.randrange(9), rng.randrange(9)) for d in range(4) for _ in range(12)], "design int, a int, b int")
     row = lambda df: sorted((r.design, r.node, r.component, r["size"]) for r in df.collect())
     assert row(graph._strong_by_rounds(e, ["design"])) == row(graph.strong_components(e, ("design",), "a", "b"))
+
+
+def test_pairs_of_rings_are_judged_together():
+    rng = np.random.default_rng(8)
+    ell = lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h / 2), (x + w / 2, y + h / 2), (x + w / 2, y + h), (x, y + h)])
+    box = lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+    a, b = ([(ell, box)[i % (2 + k)](*rng.integers(0, 6, 2).astype(float), *rng.integers(1, 5, 2).astype(float)) if i % (2 + k) < 2 else ell(1.0, 1.0, 2.0, 2.0) for i in range(400)] for k in (0, 1))
+    got = pg.each_overlaps(a, b)
+    assert got.tolist() == [pg.rings_overlap(x, y) for x, y in zip(a, b, strict=True)] and 0 < got.sum() < 400
+    # an L is the union of two rectangles
+    halves = lambda r: [(r[0], r[2]), (r[0], r[4])] if len(r) == 6 else [(r[0], r[2])]
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        assert got[i] == any((p[0] < q[1]).all() and (q[0] < p[1]).all() for p in halves(x) for q in halves(y))
+    assert pg.each_overlaps([], []).tolist() == []
