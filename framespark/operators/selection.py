@@ -42,8 +42,10 @@ def fingerprint(px: Column, h: Column, w: Column, side: int = 16) -> Column:
     at = F.sequence(F.lit(0), F.lit(side * side - 1))
     y, x = lambda i: F.floor(F.floor(i / side) * h / side), lambda i: F.floor((i % side) * w / side)
     sample = F.transform(at, lambda i: F.get(px, (y(i) * w + x(i)).cast("int")))
-    mean = F.aggregate(sample, F.lit(0.0), lambda a, v: a + v) / (side * side)
-    return F.array_join(F.transform(sample, lambda v: F.when(v >= mean, "1").otherwise("0")), "")
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / (side * side)
+    # lists of one bind the sample and its mean to variables, so each is taken once a raster and not once a pixel
+    bits = F.transform(F.array(sample), lambda s: F.transform(F.array(mean(s)), lambda m: F.array_join(F.transform(s, lambda v: F.when(v >= m, "1").otherwise("0")), "")))
+    return F.get(F.get(bits, F.lit(0)), F.lit(0))
 
 
 def dedupe_fingerprint(df: DataFrame, key: str = "fingerprint", quality: str = "quality", order: str = "path") -> DataFrame:
