@@ -307,3 +307,41 @@ def test_pairs_of_rings_are_judged_together():
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
         assert got[i] == any((p[0] < q[1]).all() and (q[0] < p[1]).all() for p in halves(x) for q in halves(y))
     assert pg.each_overlaps([], []).tolist() == []
+
+
+def _lookups(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_roles_are_looked_up_once_a_device(spark):
+    rows = [("d", "a", "nmos", {"g": "first", "G": "second", "S": "x", "SOURCE": "y", "D": ""}), ("d", "b", "nmos", {"G": "g", "SOURCE": "x", "p2": "z"}), ("d", "c", "inv", None), ("d", "e", "inv", {})]
+    # entries keep their order in a list, not in a dict
+    rows = [(*r[:3], None if r[3] is None else list(r[3].items())) for r in rows]
+    devices = spark.createDataFrame(rows, "design string, device string, kind string, pins array<struct<key:string,value:string>>").withColumn("pins", F.map_from_entries("pins"))
+    found = {r.device: (r.gate, r.source, r.drain) for r in structure._with_pins(devices).collect()}
+    assert found == {"a": ("first", "x", None), "b": ("g", "x", "z"), "c": (None,) * 3, "e": (None,) * 3}
+    edges = structure.device_edges(devices)
+    assert _lookups(edges) == 1
+    assert {(r.src, r.dst, r.semantic) for r in edges.collect()} == {("x", "z", "conduction"), ("z", "x", "conduction"), ("g", "x", "influence"), ("g", "z", "influence")}
+
+
+def test_dynamic_nodes_and_keepers_by_names_of_supplies(spark):
+    rows = [("d", "P", "pmos", {"G": "CLK", "S": "VDD", "D": "n"}), ("d", "E", "nmos", {"G": "CLK", "S": "n", "D": "m"}), ("d", "I", "inv", {"A": "n", "Y": "k"}), ("d", "J", "inv", {"A": "k", "Y": "n"}), ("d", "K", "inv", {"A": "n", "Y": "one_way"})]
+    edges = structure.device_edges(spark.createDataFrame(rows, "design string, device string, kind string, pins map<string,string>"))
+    clocks = spark.createDataFrame([("d", "CLK")], "design string, signal string")
+    dynamic = structure.dynamic_nodes(edges.where("semantic = 'conduction'"), None, clocks, spark.createDataFrame([], "design string, signal string, inverse string"))
+    assert [tuple(r) for r in dynamic.collect()] == [("d", "n", "CLK", 0, ["m"])]
+    keepers = structure.keepers(dynamic, edges, dynamic.limit(0))
+    assert [tuple(r) for r in keepers.collect()] == [("d", "n", "k")]
+    assert _lookups(keepers) <= 3
+
+
+def test_fingerprint_takes_the_mean_once_a_raster(spark):
+    px = [float(i % 7) for i in range(64)]
+    bits = selection.fingerprint(F.col("px"), F.lit(8), F.lit(8))
+    df = spark.createDataFrame([(px,), ([],), (None,)], "px array<double>").select(bits.alias("bits"))
+    sample = [px[(i // 16 // 2) * 8 + i % 16 // 2] for i in range(256)]
+    assert [r.bits for r in df.collect()][0] == "".join("1" if v >= sum(sample) / 256 else "0" for v in sample)
+    # the mean is bound to a variable: what is joined holds no sum
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan[plan.index("array_join(") :]
