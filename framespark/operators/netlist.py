@@ -268,13 +268,14 @@ def classify_storage(devices: DataFrame) -> DataFrame:
     return s.select("design", "device", structure.alias("structure"), F.lit(0.75).alias("confidence"), feats.alias("features"))
 
 
-def logic_cone(transistors: DataFrame, outputs: DataFrame, supply_nets: DataFrame) -> DataFrame:
-    """(design, start, node): nets that each output(design, start) depends on: across channels and then to gates; supplies end the walk."""
+def logic_cone(transistors: DataFrame, outputs: DataFrame, supply_nets: DataFrame | None = None) -> DataFrame:
+    """(design, start, node): nets that each output(design, start) depends on: across channels and then to gates; supplies end the walk.
+
+    Without supply_nets(design, net) the names tell supplies, which spares two joins.
+    """
     t = transistors
     dep = t.select("design", F.col("source").alias("src"), F.col("drain").alias("dst")).union(t.select("design", "drain", "source")).union(t.select("design", "source", "gate")).union(t.select("design", "drain", "gate"))
-    s = supply_nets.select("design", F.col("net").alias("_s"))
-    for end in ("src", "dst"):
-        dep = dep.join(s, (dep["design"] == s["design"]) & (dep[end] == s["_s"]), "left_anti")
+    dep = _signals_at(dep, ("src", "dst"), supply_nets)
     return reach(dep, outputs, ("design",))
 
 

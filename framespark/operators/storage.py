@@ -266,17 +266,17 @@ def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame)
     An output without a level takes the supply that it alone reaches over open channels, then over those that may be
     open, else null. sop, depends_on and expression, a short form of the function, are null if a value is. Tables double with
     each input: an output of a design of more than MAX_INPUTS has null tables and the reason too_many_inputs; reason is null otherwise.
-    Each output is evaluated in a task of its own from the transistors of its cone.
+    Each output is evaluated in a task of its own from the transistors of its cone. Its tables are as long as the designs are many, however
+    small their files, so none is broadcast through the driver.
     """
     every = inputs.groupBy("design").agg(F.array_sort(F.collect_set("net")).alias("inputs"))
     names = every.where(F.size("inputs") <= MAX_INPUTS)
     want = outputs.select("design", F.col("output").alias("start"))
     t = transistors.select("design", "device", "kind", "gate", "source", "drain")
-    ends = t.select("design", F.explode(F.array("gate", "source", "drain")).alias("net")).distinct()
-    cone = logic_cone(t, want, ends.where(F.col("net").rlike(POWER) | F.col("net").rlike(GROUND)))
+    cone = logic_cone(t, want)
     cone = cone.select("design", "start", "node").union(want.select("design", "start", "start")).distinct()
-    near = t.select("*", F.explode(F.array_distinct(F.array("source", "drain"))).alias("node")).join(cone, ["design", "node"]).drop("node").distinct()
-    near = near.join(names, "design").withColumnRenamed("start", "output")
+    near = t.select("*", F.explode(F.array_distinct(F.array("source", "drain"))).alias("node")).join(cone.hint("merge"), ["design", "node"]).drop("node").distinct()
+    near = near.join(names.hint("merge"), "design").withColumnRenamed("start", "output")
     typ = transistors.schema["design"].dataType.simpleString()
     v = near.groupBy("design", "output").applyInPandas(_evaluate, f"design {typ}, output string, inputs array<string>, value array<int>, expression string")
     literal = "array_join(transform(inputs, (v, j) -> if(shiftright(i, size(inputs) - 1 - j) & 1 = 1, v, '!' || v)), ' & ')"
@@ -285,6 +285,6 @@ def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame)
     depends = """case when exists(value, x -> x is null) then null else transform(filter(transform(inputs, (v, j) -> struct(v, shiftleft(1, size(inputs) - 1 - j) as bit)),
         p -> exists(sequence(0, size(value) - 1), i -> value[i] <> value[i ^ p.bit])), p -> p.v) end"""
     done = v.select("design", "output", "inputs", "value", F.expr(sop).alias("sop"), F.expr(depends).alias("depends_on"), F.lit(None).cast("string").alias("reason"), "expression")
-    wide = outputs.select("design", "output").join(every.where(F.size("inputs") > MAX_INPUTS), "design")
+    wide = outputs.select("design", "output").join(every.where(F.size("inputs") > MAX_INPUTS).hint("merge"), "design")
     no = F.lit(None)
     return done.union(wide.select("design", "output", "inputs", no.cast("array<int>"), no.cast("string"), no.cast("array<string>"), F.lit("too_many_inputs"), no.cast("string")))

@@ -345,3 +345,10 @@ def test_fingerprint_takes_the_mean_once_a_raster(spark):
     # the mean is bound to a variable: what is joined holds no sum
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan[plan.index("array_join(") :]
+
+
+def test_truth_tables_send_nothing_through_the_driver(spark):
+    t = spark.createDataFrame([("d", "P", "pmos", "A", "VDD", "Y"), ("d", "N", "nmos", "A", "GND", "Y")], "design string, device string, kind string, gate string, source string, drain string")
+    out = storage.truth_tables(t, spark.createDataFrame([("d", "A")], "design string, net string"), spark.createDataFrame([("d", "Y")], "design string, output string"))
+    assert [tuple(r) for r in out.select("design", "output", "value", "expression").collect()] == [("d", "Y", [1, 0], "!A")]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
