@@ -286,25 +286,35 @@ def netlist_diagnostics(nets: DataFrame, pins: DataFrame, wire_points: DataFrame
     the wire); ports without a place; designs without input or output ports (name ''); and instances(design, instance,
     library, cell, view) whose symbol is not named in full or is not among views(library, cell, view).
     """
-    row = lambda df, code, col: df.select("design", F.lit(code).alias("code"), F.col(col).alias("name"))
-    dup = nets.groupBy("design", "net").count().where("count > 1")
-    out = row(dup, "duplicate_net", "net").union(row(nets.join(pins, ["design", "net"], "left_anti"), "net_without_pins", "net")).union(row(nets.join(wire_points, ["design", "net"], "left_anti"), "net_without_wires", "net"))
-    out = out.union(row(ports.where("x is null or y is null"), "port_without_location", "port"))
-    if "wire" in wire_points.columns:
-        short = wire_points.groupBy("design", "net", "wire").count().where("count < 2")
-        out = out.union(row(short, "degenerate_wire", "net"))
-    designs = nets.select("design").distinct()
-    for code, names in (("no_input_ports", r"(?i)^(IN|INSIN)\d+$"), ("no_output_ports", r"(?i)^OUT\d+$")):
-        has = ports.where(F.col("port").rlike(names)).select("design")
-        out = out.union(designs.join(has, "design", "left_anti").select("design", F.lit(code), F.lit("")))
+    kinds = {"_nets": nets, "_pins": pins, "_wires": wire_points}
+    wired = "wire" in wire_points.columns
+    if wired:
+        kinds["_wires"] = wire_points.groupBy("design", "net", "wire").agg(F.count(F.lit(1)).alias("_points"))
+    short = lambda k: F.col("_points") < 2 if wired and k == "_wires" else F.lit(False)
+    rows = reduce(DataFrame.union, [df.select("design", "net", *[F.lit(k == x).alias(x) for x in kinds], short(k).alias("_short")) for k, df in kinds.items()])
+    # a net is judged from one row, so nets, pins and wires are moved once
+    net = rows.groupBy("design", "net").agg(F.count_if("_nets").alias("_n"), *[F.max(c).alias(c) for c in ("_pins", "_wires", "_short")])
+    known, null = F.col("_n") > 0, F.col("design").isNull() | F.col("net").isNull()
+    tests = {"duplicate_net": F.col("_n") > 1, "net_without_pins": known & (null | ~F.col("_pins")), "net_without_wires": known & (null | ~F.col("_wires")), "degenerate_wire": F.col("_short")}
+    codes = F.array_compact(F.array(*[F.when(on, F.lit(code)) for code, on in tests.items()]))
+    of_nets = net.select("design", F.explode(codes).alias("code"), F.col("net").alias("name"))
+    folder = work_dir(nets.sparkSession)
+    # one row a design, read three times
+    designs = stash(net.groupBy("design").agg(F.max(known).alias("_known"), F.max(reduce(lambda a, b: a | b, tests.values())).alias("_bad")).where("_known"), f"{folder}/designs")
+    other = ports.where("x is null or y is null").select("design", F.lit("port_without_location").alias("code"), F.col("port").alias("name")).distinct()
+    has = ports.groupBy("design").agg(*[F.coalesce(F.max(F.col("port").rlike(names)), F.lit(False)).alias(c) for c, names in (("_in", r"(?i)^(IN|INSIN)\d+$"), ("_out", r"(?i)^OUT\d+$"))])
+    lacks = [F.when(~F.coalesce(c, F.lit(False)), code) for c, code in (("_in", "no_input_ports"), ("_out", "no_output_ports"))]
+    other = other.union(designs.join(has, "design", "left").select("design", F.explode(F.array_compact(F.array(*lacks))), F.lit("")))
     if instances is not None:
-        named = "library is not null and cell is not null and view is not null"
-        out = out.union(row(instances.where(f"not ({named})"), "missing_symbol_reference", "instance"))
+        code = F.when(F.expr("library is null or cell is null or view is null"), "missing_symbol_reference")
+        i = instances.select("design", F.col("instance").alias("name"), "library", "cell", "view")
         if views is not None:
-            out = out.union(row(instances.where(named).join(views, ["library", "cell", "view"], "left_anti"), "unresolved_symbol", "instance"))
-    out = out.distinct()
-    fine = designs.join(out.select("design"), "design", "left_anti")
-    return out.union(fine.select("design", F.lit("info"), F.lit("no problems")))
+            i = i.join(views.select("library", "cell", "view", F.lit(True).alias("_found")).distinct(), ["library", "cell", "view"], "left")
+            code = code.when(F.col("_found").isNull(), "unresolved_symbol")
+        other = other.union(i.select("design", code.alias("code"), "name").where("code is not null").distinct())
+    other = stash(other, f"{folder}/other")
+    fine = designs.where("not _bad or design is null").join(other.select("design"), "design", "left_anti")
+    return of_nets.union(other).union(fine.select("design", F.lit("info"), F.lit("no problems")))
 
 
 def structure_report(nodes: DataFrame, edges: DataFrame, scc: DataFrame, storage: DataFrame) -> DataFrame:

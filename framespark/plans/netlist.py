@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framespark.functions.common import laid_by
 from framespark.operators import graph
 from framespark.operators import netlist as op
 from framespark.operators import structure
@@ -61,14 +62,14 @@ def _net(number):
     return F.concat(F.lit("n"), number.cast("string")).alias("net")
 
 
-def wires(spark, d):
+def wires(spark, d, items=None):
     c = F.col
-    return table(spark, d, "lineitem").select(c("l_suppkey").alias("design"), _net(c("l_orderkey")), (c("l_partkey") % COLUMNS).alias("x"), c("l_linenumber").alias("y"), (c("l_partkey") % 2).alias("wire"))
+    return (table(spark, d, "lineitem") if items is None else items).select(c("l_suppkey").alias("design"), _net(c("l_orderkey")), (c("l_partkey") % COLUMNS).alias("x"), c("l_linenumber").alias("y"), (c("l_partkey") % 2).alias("wire"))
 
 
-def pins(spark, d):
+def pins(spark, d, items=None):
     c = F.col
-    return table(spark, d, "lineitem").select(c("l_suppkey").alias("design"), _net(c("l_orderkey") + c("l_linenumber") % 2), (c("l_partkey") % INSTANCES).cast("string").alias("instance"), c("l_returnflag").alias("port"))
+    return (table(spark, d, "lineitem") if items is None else items).select(c("l_suppkey").alias("design"), _net(c("l_orderkey") + c("l_linenumber") % 2), (c("l_partkey") % INSTANCES).cast("string").alias("instance"), c("l_returnflag").alias("port"))
 
 
 @query("gr2_net_aliases", f"""with recursive e as (select a.design, a.net as a, b.net as b from {_WIRES} a join {_WIRES} b on a.design = b.design and a.x = b.x and a.y = b.y union select a.design, a.net, b.net from {_PINS} a join {_PINS} b on a.design = b.design and a.instance = b.instance and a.port = b.port),
@@ -249,14 +250,17 @@ _INSTANCES = f"(select distinct l_suppkey as design, cast(l_partkey % {INSTANCES
  union all select design, 'degenerate_wire', net from {_WIRES} group by design, net, wire having count(*) = 1 union all select distinct design, 'no_output_ports', '' from n where design % 5 = 0
  union all select design, case when view is null then 'missing_symbol_reference' else 'unresolved_symbol' end, instance from {_INSTANCES} where view is null or cell = 'c6')""")
 def gr19(spark, d):
-    w, p = wires(spark, d), pins(spark, d)
+    # a supplier's few hundred line items go to one task, and what is made of them stays there
+    items = laid_by(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "l_suppkey")
+    w, p = wires(spark, d, items), pins(spark, d, items)
     n = w.select("design", "net").union(p.select("design", "net")).distinct()
-    inputs = n.select("design", F.lit("IN1").alias("port"), F.when(F.col("design") % 2 == 1, 1).alias("x"), F.lit(1).alias("y")).distinct()
-    outputs = n.where("design % 5 <> 0").select("design", F.lit("OUT1"), F.lit(2), F.lit(1)).distinct()
+    designs = w.select("design").union(p.select("design")).distinct()
+    inputs = designs.select("design", F.lit("IN1").alias("port"), F.when(F.col("design") % 2 == 1, 1).alias("x"), F.lit(1).alias("y"))
+    outputs = designs.where("design % 5 <> 0").select("design", F.lit("OUT1"), F.lit(2), F.lit(1))
     k = F.col("instance").cast("int")
     used = p.select("design", "instance", F.lit("lib").alias("library"), F.concat(F.lit("c"), (k % 7).cast("string")).alias("cell"), F.when(k % 11 != 0, "symbol").alias("view")).distinct()
     symbols = used.where("view is not null and cell <> 'c6'").select("library", "cell", "view").distinct()
-    return op.netlist_diagnostics(n.union(n.where("net like '%7'")), p, w, inputs.union(outputs), used, symbols)
+    return op.netlist_diagnostics(n.withColumn("_i", F.explode(F.expr("if(net like '%7', array(1, 2), array(1))"))).drop("_i"), p, w, inputs.union(outputs), used, symbols)
 
 
 @query("gr20_structure_report", f"""with recursive e as {_G}, n as (select design, src as node from e union select design, dst from e), r as (select design, src as a, dst as b from e union select r.design, r.a, e.dst from r join e on e.design = r.design and e.src = r.b),
