@@ -121,8 +121,12 @@ _AVG = "avg(sharpness) as sharpness, avg(contrast) as contrast, avg(noise) as no
 @query("se7_label_clusters", f"""select l_partkey as cluster, case when sharpness < 0.05 or contrast < 0.04 then 'blur_or_low_detail' when noise > 0.12 then 'noisy_artifacts' when saturation > 0.3 or abs(brightness - 0.5) > 0.35 then 'exposure' when entropy < 0.3 then 'low_information' when contrast >= 0.12 and noise <= 0.06 then 'normal_clean' else 'mixed' end as name
  from (select l_partkey, {_AVG} from {_FEAT} group by 1)""".replace("sharpness < 0.05", "sharpness * 2 < 0.1").replace("contrast < 0.04", "contrast * 1.5 < 0.06").replace("contrast >= 0.12", "contrast * 1.5 >= 0.12"))
 def se7(spark, d):
+    # averages meet limits exactly, so the order of sums decides: it is that of the rows in their files, however they are split. A part has a few dozen line items
     names = ("sharpness", "contrast", "noise", "saturation", "entropy", "brightness")
-    p = features(spark, d).groupBy(F.col("l_partkey").alias("cluster")).agg(*[F.avg(n).alias(n) for n in names])
+    rows = features(spark, d).select(F.col("l_partkey").alias("cluster"), F.struct("_metadata.file_path", "_metadata.row_index", *names).alias("row"))
+    p = rows.groupBy("cluster").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    mean = lambda n: total(F.transform("rows", lambda r: F.coalesce(r[n], F.lit(0.0)))) / F.nullif(F.size(F.filter("rows", lambda r: r[n].isNotNull())), F.lit(0))
+    p = p.select("cluster", *[mean(n).alias(n) for n in names])
     return op.label_clusters(p.withColumns({"sharpness": F.col("sharpness") * 2, "contrast": F.col("contrast") * 1.5})).select("cluster", "name")
 
 
