@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -158,19 +159,26 @@ def label_clusters(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("name", name)
 
 
-def _pack_nearest(xs: list, ys: list, k: int) -> list[list[float]]:
-    """Distances of each of xs, a list of (id, f), to the k nearest of ys with another id, in order."""
-    if not xs or not ys:
-        return [[] for _ in xs]
-    a, b = (np.array([r["f"] for r in rows], np.float64) for rows in (xs, ys))
+Cell = tuple[np.ndarray, np.ndarray]
+
+
+def _cells_of(column: pa.Array) -> Iterator[Cell]:
+    """Ids and features(row, dimension) of each list of (id, f), one list at a time and without an object a row."""
+    for i in range(len(column)):
+        rows = column.slice(i, 1).flatten()
+        f = rows.field("f").flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        yield rows.field("id").to_numpy(zero_copy_only=False), f.reshape(len(rows), -1)
+
+
+def _pack_nearest(xs: Cell, ys: Cell, k: int) -> list[np.ndarray]:
+    """Distances of each of xs to the k nearest of ys with another id, in order."""
+    (ids, a), (names, b) = xs, ys
     sq = np.zeros((len(a), len(b)))
     for i in range(a.shape[1]):
         sq += (a[:, i, None] - b[None, :, i]) ** 2
-    names = np.array([r["id"] for r in ys], object)
-    for i, r in enumerate(xs):
-        sq[i, names == r["id"]] = np.inf
+    sq[ids[:, None] == names[None, :]] = np.inf
     near = np.sort(np.partition(sq, min(k, len(b)) - 1, axis=1)[:, :k], axis=1)
-    return [np.sqrt(r[np.isfinite(r)]).tolist() for r in near]
+    return [np.sqrt(r[np.isfinite(r)]) for r in near]
 
 
 def nearest_distances(df: DataFrame, column: str = "features", k: int = 5, block: int = 256) -> DataFrame:
@@ -180,6 +188,9 @@ def nearest_distances(df: DataFrame, column: str = "features", k: int = 5, block
     cells whose box is nearer than the farthest k-th neighbour within itself, two cells at a time, so no task holds more.
     """
     out = f"id {df.schema['id'].dataType.simpleString()}, d array<double>"
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(bound, str(4 << 20))  # two cells are some 20 kB, and a worker holds a batch of them
     folder = work_dir(df.sparkSession)
     n = global_row_number(df.where(F.col(column).isNotNull()).select("id", F.col(column).cast("array<double>").alias("f")), [F.get("f", F.lit(0))], "_n")
     n = n.withColumn("_slab", F.floor(F.col("_n") / (16 * block)))
@@ -188,16 +199,13 @@ def nearest_distances(df: DataFrame, column: str = "features", k: int = 5, block
     cells = stash(cells, f"{folder}/cells")
 
     def boxes(batches):
-        for pdf in batches:
-            rows = []
-            for cell, members in zip(pdf["cell"], pdf["rows"], strict=True):
-                x = np.array([r["f"] for r in members], np.float64)
-                near = _pack_nearest(list(members), list(members), k)
-                reach = max(r[-1] if len(r) == k else np.inf for r in near)
-                rows.append((cell, x.min(0).tolist(), x.max(0).tolist(), float(reach)))
-            yield pd.DataFrame(rows, columns=["cell", "lo", "hi", "reach"])
-
-    box = stash(cells.mapInPandas(boxes, "cell long, lo array<double>, hi array<double>, reach double"), f"{folder}/boxes")
+        for batch in batches:
+            for cell, own in zip(batch.column("cell"), _cells_of(batch.column("rows")), strict=True):
+                reach = max(r[-1] if len(r) == k else np.inf for r in _pack_nearest(own, own, k))
+                lo, hi = (pa.array([x.tolist()], pa.list_(pa.float64())) for x in (own[1].min(0), own[1].max(0)))
+                yield pa.RecordBatch.from_arrays([pa.array([cell.as_py()], pa.int64()), lo, hi, pa.array([float(reach)])], names=["cell", "lo", "hi", "reach"])
+
+    box = stash(cells.mapInArrow(boxes, "cell long, lo array<double>, hi array<double>, reach double"), f"{folder}/boxes")
     other = box.select(F.col("cell").alias("_cell"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     apart = lambda lo, hi: F.zip_with(lo, hi, lambda x, y: F.greatest(x - y, F.lit(0.0)))
     gap = F.sqrt(total(F.zip_with(apart("_lo", "hi"), apart("lo", "_hi"), lambda x, y: x * x + y * y)))
@@ -206,11 +214,14 @@ def nearest_distances(df: DataFrame, column: str = "features", k: int = 5, block
     pairs = pairs.join(cells, "cell").join(cells.select(F.col("cell").alias("_cell"), F.col("rows").alias("_rows")), "_cell").select("rows", "_rows")
 
     def compare(batches):
-        for pdf in batches:
-            for xs, ys in zip(pdf["rows"], pdf["_rows"], strict=True):
-                yield pd.DataFrame({"id": [r["id"] for r in xs], "d": _pack_nearest(list(xs), list(ys), k)})
-
-    d = pairs.mapInPandas(compare, out).groupBy("id").agg(F.flatten(F.collect_list("d")).alias("d"))
+        for batch in batches:
+            ids = batch.column("rows").type.value_type.field("id").type
+            for xs, ys in zip(_cells_of(batch.column("rows")), _cells_of(batch.column("_rows")), strict=True):
+                near = _pack_nearest(xs, ys, k)
+                ends = np.cumsum([0, *map(len, near)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(xs[0], ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(near)))], names=["id", "d"])
+
+    d = pairs.mapInArrow(compare, out).groupBy("id").agg(F.flatten(F.collect_list("d")).alias("d"))
     return d.select("id", F.slice(F.array_sort("d"), 1, k).alias("distances"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from framespark.operators import netlist
+from framespark.operators import netlist, selection
 from framespark.plans import selection as selection_plans
 
 
@@ -43,3 +43,14 @@ def test_cluster_means_add_rows_in_the_order_of_files(spark, tmp_path):
 
     got = {r.cluster: r.name for r in selection_plans.Q["se7_label_clusters"](spark, str(tmp_path)).collect()}
     assert got == {i: name(tax[i]) for i in range(parts)}
+
+
+def test_nearest_distances_hold_no_object_a_row(spark):
+    x = np.random.default_rng(5).normal(size=(90, 4)).round(3)
+    df = spark.createDataFrame([(f"v{i}", r.tolist()) for i, r in enumerate(x)], "id string, features array<double>")
+    out = selection.nearest_distances(df, block=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.where(np.eye(90), np.inf, 0)
+    for r in out.collect():
+        assert np.allclose(r.distances, np.sort(d[int(r.id[1:])])[:5])
