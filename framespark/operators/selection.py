@@ -63,13 +63,18 @@ def pack_bits(text: Column) -> Column:
     return F.transform(words, lambda i: F.conv(word(i), 2, -10).cast("long"))
 
 
+#: Least bits of a band (four a character of text) that tells pairs apart.
+MIN_BAND = 8
+
+
 def near_duplicates(df: DataFrame, max_distance: float, min_similarity: float = 0.9, length: int | None = None) -> DataFrame:
     """(a, b, distance, similarity) of rows df(id, features array<double>, bits, cluster) of one cluster that are near.
 
     Near: distance <= d, or Hamming similarity >= s and distance <= 1.8 d. bits is text, compared by characters, or an array of longs
     as of pack_bits(), compared by bit_count of xor; ``length`` is its number of bits then. Pairs meet in a cell of width d of the first
     feature (its own or the next), or in one of width 1.8 d and a band of the bits: of one band more than may differ, one is equal
-    (pigeonholes), so no pair is missed, and the wider cells don't compare everything. Null bits have no band; rows without features are left out.
+    (pigeonholes), so no pair is missed, and the wider cells don't compare everything. Bands of fewer than MIN_BAND characters or bits would let most pairs
+    meet, many times over: then each pair meets once, in cells of width 1.8 d of the first two features. Null bits have no band; rows without features are left out.
     """
     kind = df.schema["bits"].dataType.simpleString()
     packed = kind.startswith("array")
@@ -102,10 +107,20 @@ def near_duplicates(df: DataFrame, max_distance: float, min_similarity: float =
     else:
         same = F.aggregate(F.zip_with(F.split("bits", ""), F.split("bb", ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.length("bits")
     scored = lambda j: j.withColumns({"distance": dist, "similarity": same})
+    pair = lambda j: j.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), "distance", "similarity")
+    if length < bands * MIN_BAND * (1 if packed else 0.25) and max_distance > 0:
+        wide = 1.8 * max_distance
+        cell = [F.floor(F.coalesce(F.get("features", F.lit(i)), F.lit(0.0)) / wide) for i in (0, 1)]
+        around = F.array(*[F.struct((cell[0] + i).alias("_c"), (cell[1] + j).alias("_e")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+        l = df.select("*", cell[0].alias("_x"), cell[1].alias("_y"), F.explode(around).alias("_at")).select("*", "_at.*")
+        r = df.select("cluster", cell[0].alias("_c"), cell[1].alias("_e"), F.col("id").alias("b"), F.col("features").alias("fb"), F.col("bits").alias("bb"))
+        own = (F.col("_x") == F.col("_c")) & (F.col("_y") == F.col("_e"))
+        near = l.join(r, ["cluster", "_c", "_e"]).where((own & (F.col("id") < F.col("b"))) | (~own & (F.col("id") != F.col("b")))).withColumn("distance", dist).where(F.col("distance") <= wide)
+        near = near.withColumn("similarity", same).where((F.col("distance") <= max_distance) | (F.col("similarity") >= min_similarity))
+        return pair(near).dropDuplicates(["a", "b"])
     by_distance = scored(meet(df, max_distance, [])).where(F.col("distance") <= max_distance)
     banded = df.where("bits is not null").withColumn("_k", F.explode(keys))
     by_bits = scored(meet(banded, 1.8 * max_distance, ["_k"])).where((F.col("similarity") >= min_similarity) & (F.col("distance") <= 1.8 * max_distance))
-    pair = lambda j: j.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), "distance", "similarity")
     return pair(by_distance).union(pair(by_bits)).dropDuplicates(["a", "b"])
 
 

@@ -54,3 +54,20 @@ def test_nearest_distances_hold_no_object_a_row(spark):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.where(np.eye(90), np.inf, 0)
     for r in out.collect():
         assert np.allclose(r.distances, np.sort(d[int(r.id[1:])])[:5])
+
+
+def test_near_duplicates_meet_once_where_bands_tell_little(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(scale=0.12, size=(120, 3)).round(4)
+    bits = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in x]
+    df = spark.createDataFrame([(i, x[i].tolist(), bits[i] if i % 9 else None, i % 2) for i in range(120)], "id long, features array<double>, bits string, cluster long")
+    out = selection.near_duplicates(df, 0.1, 0.1)
+    assert "xxhash64" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for i in range(120):
+        for j in range(i + 2, 120, 2):
+            d = float(np.sqrt(((x[i] - x[j]) ** 2).sum()))
+            same = sum(p == q for p, q in zip(bits[i], bits[j], strict=True)) / 32 if i % 9 and j % 9 else 0
+            if d <= 0.1 or (same >= 0.1 and d <= 0.18):
+                want.add((i, j))
+    assert want and sorted((r.a, r.b) for r in out.collect()) == sorted(want)
