@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespark.functions.common import stash, work_dir
+from framespark.functions.common import by_group, stash, whole_groups, work_dir
 from framespark.operators.frames import natural_sort
+from framespark.operators.graph import GROUP_WALKS
 from framespark.operators.netlist import GROUND, POWER, bistable_cores, logic_cone
 
 MAX_INPUTS = 12
@@ -91,11 +92,72 @@ def latch_pairs(latches: DataFrame, inverters: DataFrame, outputs: DataFrame) ->
     return f.select("design", F.col("m").alias("master"), F.col("s").alias("slave"), "score", F.col("drives_s").alias("drives"))
 
 
+def _paired(a: list, b: list, enable: list, level: list, data: list, gate: list, out: list) -> tuple[list, list, list, list]:
+    """flip_flops() of one design, from rows of latches, of inverters, and of outputs, which have no gate."""
+    own, nets, into, near, ends = {}, {}, {}, {}, set()
+    for x, y, e, v, far, g, o in zip(a, b, enable, level, data, gate, out, strict=True):
+        if x is not None:
+            own.setdefault(x, []).append((e, v))
+            nets.setdefault(x, set()).update((x, y))
+            for net in far or ():
+                into.setdefault(net, set()).add(x)
+        elif g is not None:
+            near.setdefault(g, set()).add(o)
+            near.setdefault(o, set()).add(g)
+        else:
+            ends.add(o)
+    for x in (own, nets, into, near):
+        x.pop(None, None)
+    ends.discard(None)
+    feeds = {}
+    for m, own_nets in nets.items():
+        for net in own_nets:
+            feeds.update(((m, s), 3) for s in into.get(net, ()))
+            for v in near.get(net, ()):
+                for s in into.get(v, ()):
+                    feeds.setdefault((m, s), 2)
+    drives = {m: not own_nets.isdisjoint(ends) for m, own_nets in nets.items()}
+    opposite = lambda m, s: any((e == f and u != v) if e == f else (u == v and f in near.get(e, ())) for e, u in own[m] for f, v in own[s] if None not in (e, f, u, v))
+    pairs = {p: score for p, score in feeds.items() if p[0] != p[1] and opposite(*p)}
+    order = []
+    for (m, s), score in pairs.items():
+        back = pairs.get((s, m), 0)
+        if score > back or (score == back and drives[s] and not drives[m]):
+            order.append((-score, not drives[s], m, s))
+    used, found = set(), ([], [], [], [])
+    for _, _, m, s in sorted(order):
+        if m not in used and s not in used:
+            used.update((m, s))
+            for clock, v in own[s]:
+                for f, x in zip(found, (m, s, clock, "rising" if v == "high" else "falling"), strict=True):
+                    f.append(x)
+    return found
+
+
 def flip_flops(latches: DataFrame, inverters: DataFrame, outputs: DataFrame) -> DataFrame:
     """(design, master, slave, clock, edge): pairs of latch_pairs(), greedily by score, then whether the slave drives an output, then names; each latch once.
 
-    Pairs that are the best ones of both their latches are taken at once, round by round, which gives the greedy result.
+    A design of few latches is paired in one task, so its rows move once and no table of latches goes through the driver. In the others, pairs that are
+    the best ones of both their latches are taken at once, round by round, which gives the greedy result.
     """
+    kind = latches.schema["a"].dataType.simpleString()
+    none = lambda c: F.lit(None).cast(latches.schema[c].dataType).alias(c)
+    columns = ("a", "b", "enable", "level", "data")
+    net = lambda c, name: (F.lit(None) if c is None else F.col(c)).cast(kind).alias(name)
+    rows = latches.select("design", *columns, net(None, "gate"), net(None, "out"))
+    rows = rows.union(inverters.select("design", *map(none, columns), net("gate", "gate"), net("out", "out")))
+    rows = rows.union(outputs.select("design", *map(none, columns), net(None, "gate"), net("net", "out")))
+    rows = stash(rows, f"{work_dir(latches.sparkSession)}/rows")
+    small, large = whole_groups(rows, ["design"], F.count("a") * F.count("a") + F.count(F.lit(1)), GROUP_WALKS)
+    clock = latches.schema["enable"].dataType.simpleString()
+    found = by_group(small, ["design"], _paired, f"master {kind}, slave {kind}, clock {clock}, edge string")
+    if large is None:
+        return found
+    inverters, outputs = large.where("a is null and gate is not null").select("design", "gate", "out"), large.where("a is null and gate is null").select("design", F.col("out").alias("net"))
+    return found.union(_flip_flops_by_rounds(large.where("a is not null").select("design", *columns), inverters, outputs))
+
+
+def _flip_flops_by_rounds(latches: DataFrame, inverters: DataFrame, outputs: DataFrame) -> DataFrame:
     folder = work_dir(latches.sparkSession)
     # each is read many times
     latches, inverters = stash(latches, f"{folder}/latches"), stash(inverters, f"{folder}/inverters")
@@ -127,14 +189,15 @@ def storage_elements(latches: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     core = latches.select("design", F.col("a").alias("_n"), F.array("a", "b").alias("_core"), F.col("data").alias("_data"))
     of = lambda end, *cols: core.select("design", F.col("_n").alias(end), *[F.col(c).alias(f"{end}{c}") for c in cols])
-    ff = pairs.join(of("master", "_core", "_data"), ["design", "master"]).join(of("slave", "_core"), ["design", "slave"])
+    # latches are as many as the designs, however small their files, so none is broadcast through the driver
+    ff = pairs.join(of("master", "_core", "_data").hint("merge"), ["design", "master"]).join(of("slave", "_core").hint("merge"), ["design", "slave"])
     ff = ff.select(
         "design", F.lit("flip_flop").alias("kind"), F.col("master").alias("a"), F.col("slave").alias("b"), F.col("clock").alias("control"), F.lit("edge").alias("mode"), F.col("edge").alias("trigger"),
         F.col("master_data").alias("data"), natural_sort(F.col("slave_core")).alias("outputs"), natural_sort(F.array_union("master_core", "slave_core")).alias("nets"),
     )
     used = pairs.select("design", F.explode(F.array("master", "slave")).alias("a"))
     own = natural_sort(F.array("a", "b"))
-    left = latches.join(used, ["design", "a"], "left_anti")
+    left = latches.join(used.hint("merge"), ["design", "a"], "left_anti")
     return ff.union(left.select("design", F.lit("latch"), "a", "b", F.col("enable"), F.lit("level"), F.col("level"), "data", own, own))
 
 
