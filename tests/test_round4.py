@@ -2,7 +2,7 @@
 
 import random
 
-from framespark.operators import storage
+from framespark.operators import storage, structure
 
 
 def _plan(df):
@@ -28,3 +28,25 @@ def test_flip_flops_of_a_design_go_through_one_task(spark):
     assert len(want) > 10 and sorted(map(tuple, out.collect())) == want
     # elements meet latches by no table in the driver
     assert "BroadcastHashJoin" not in _plan(storage.storage_elements(l, out))
+
+
+def test_flip_flop_classes_walk_a_design_in_one_task(spark):
+    rng = random.Random(5)
+    latches, inverses, influence = [], [], []
+    for design in range(40):
+        n = rng.randint(1, 5)
+        nets = [f"{x}{i}" for i in range(n) for x in "ab"]
+        for i in range(n):
+            clocks = [(c, rng.randint(0, 1)) for c in rng.sample(["EN", "ENB", "X"], rng.randint(0, 2))]
+            latches.append((design, f"a{i}", f"b{i}", rng.choice(["gated_d_latch"] * 4 + ["rs_latch"]), rng.sample([*nets, "D", "E"], 2), clocks))
+        inverses.append((design, "EN", "ENB"))
+        influence += [(design, rng.choice([*nets, None]), rng.choice([*nets, "w"])) for _ in range(n)] + [(design, "w", rng.choice(nets))]
+    l = spark.createDataFrame(latches, "design long, a string, b string, structure string, data array<string>, clocks array<struct<signal:string,level:int>>")
+    p = spark.createDataFrame(inverses, "design long, signal string, inverse string")
+    e = spark.createDataFrame(influence, "design long, src string, dst string")
+    out = structure.flip_flop_classes(l, p, e)
+    assert "Join" not in _plan(out)
+    timed = l.where("structure = 'gated_d_latch'").selectExpr("design", "a", "b", "data", "inline(clocks)").withColumnRenamed("signal", "clock")
+    want = sorted(map(tuple, structure._fed_by_joins(timed, p, e).collect()))
+    got = out.collect()
+    assert len(want) > 10 and sorted((r.design, r.master, r.slave) for r in got if r.structure == "master_slave_dff") == want and len(got) == 2 * len(want)
