@@ -1,6 +1,6 @@
 """Exact substring dedup by sorting suffixes: bytes covered by a 50-byte string of an earlier document are removed.
 
-A sparse set of suffixes carries the work. In every 50-byte window the least 16-byte hash marks an anchor, so two equal
+A sparse set of suffixes carries the work. In every 50-byte window the least 26-byte hash marks an anchor, so two equal
 windows share their anchor and its place; consecutive windows with one anchor form a segment. Anchors that stand in a
 single document can't take part in a repeat and are dropped after a count over hash buckets. The segments of the others
 meet in buckets, where the suffixes that begin at their windows are sorted to a depth of 50 bytes by deep-shallow
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from framespark.llm.common import _R, _RI, mix, powers, ragged, slices, stash, text_bytes, work_dir
 
 LENGTH = 50
-GRAM = 16
+#: Longer grams stand in several documents by chance less often as the corpus grows, but mark more anchors.
+GRAM = 26
 #: Words of eight bytes that the multikey quicksort goes by; beyond them groups go to blind tries.
 SHALLOW_WORDS = 2
 #: Hash buckets for each shuffle partition, so that hashing deals them evenly.
@@ -31,7 +32,9 @@ SLICE = 2 << 20
 #: Windows whose anchors are sought at once.
 CHUNK = 1 << 24
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5AFE))
-_MASK48 = np.uint64((1 << 48) - 1)
+_MASK32 = np.uint64((1 << 32) - 1)
+#: Segments overlap, and their bytes are most of what is moved.
+_PACKED = "zstd"
 _PLACE = np.uint64(28)
 
 
@@ -84,15 +87,13 @@ def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def _to48(h: np.ndarray) -> np.ndarray:
-    """The low six bytes of each hash."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
+def _short(h: np.ndarray) -> np.ndarray:
+    """The low four bytes of each hash. Buckets go by the whole hash, so what meets within one rarely agrees in them by chance, and such a hash only lets an anchor through."""
+    return h.astype(np.uint32)
 
 
-def _from48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def _longs(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32).astype(np.uint64)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -129,7 +130,7 @@ def _grams(buckets: int):
                         pa.array(which, pa.int32()),
                         pa.array([marked] * len(which), pa.bool_()),
                         pa.array([_bytes(np.diff(d[x:y], prepend=0)) for x, y in zip(bound[:-1], bound[1:], strict=True)], pa.binary()),
-                        pa.array([_bytes(_to48(g[x:y])) for x, y in zip(bound[:-1], bound[1:], strict=True)], pa.binary()),
+                        pa.array([_bytes(_short(g[x:y])) for x, y in zip(bound[:-1], bound[1:], strict=True)], pa.binary()),
                     ],
                     names=["bucket", "marked", "ids", "hashes"],
                 )
@@ -158,7 +159,7 @@ def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _runs_of(batches, "bucket"):
         ids = [np.cumsum(np.frombuffer(x, np.int64)) for x in rows["ids"]]
         marks = np.repeat(np.array(rows["marked"]), [len(x) for x in ids])
-        d, h = np.concatenate(ids), np.concatenate([_from48(x) for x in rows["hashes"]])
+        d, h = np.concatenate(ids), np.concatenate([_longs(x) for x in rows["hashes"]])
         o = np.lexsort((d, h))
         d, h, marks = d[o], h[o], marks[o]
         at = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
@@ -167,9 +168,9 @@ def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = np.lexsort((h, d))
         d, h = d[o], h[o]
         at = np.append(np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))), len(d)) if len(d) else np.zeros(1, np.int64)
-        # six bytes of each hash; hashes of different length never meet
-        raw = pa.py_buffer(_bytes(_to48(h)))
-        packed = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 6).astype(np.int32)), raw])
+        # four bytes of each hash
+        raw = pa.py_buffer(_bytes(_short(h)))
+        packed = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), raw])
         yield pa.RecordBatch.from_arrays([pa.array(d[at[:-1]] if len(d) else d, pa.int64()), packed], names=["id", "hashes"])
 
 
@@ -181,12 +182,12 @@ def _segments(buckets: int):
             data, off = text_bytes(b.column("text"))
             ids = b.column("id").to_numpy()
             doc, first, last, h = anchors(data, off)
-            want = [[_from48(x) for x in v] for v in b.column("hashes").to_pylist()]
+            want = [[_longs(x) for x in v] for v in b.column("hashes").to_pylist()]
             size = [sum(map(len, v)) for v in want]
             owner = np.repeat(np.arange(len(want)), size).astype(np.uint64)
             flat = np.concatenate([x for v in want for x in v] or [np.zeros(0, np.uint64)])
             wanted = np.sort(mix(flat ^ mix(owner)))
-            have = mix((h & _MASK48) ^ mix(doc.astype(np.uint64)))
+            have = mix((h & _MASK32) ^ mix(doc.astype(np.uint64)))
             at = np.minimum(np.searchsorted(wanted, have), max(len(wanted) - 1, 0))
             hit = wanted[at] == have if len(wanted) else np.zeros(len(have), bool)
             doc, first, last, h = doc[hit], first[hit], last[hit], h[hit]
@@ -210,7 +211,7 @@ def _segments(buckets: int):
                 length = end[s] - first[s]
                 a, z = occ[x], occ[y]
                 out["size"].append(_bytes(length.astype(np.uint16)))
-                out["bytes"].append(_bytes(data[ragged(first[s], length)]))
+                out["bytes"].append(pa.compress(_bytes(data[ragged(first[s], length)]), _PACKED, asbytes=True))
                 out["times"].append(_bytes(np.diff(occ[x : y + 1]).astype(np.uint32)))
                 out["ids"].append(_bytes(ids[doc[a:z]]))
                 out["starts"].append(_bytes((first[a:z] - off[doc[a:z]]).astype(np.uint32)))
@@ -332,8 +333,9 @@ def sort_suffixes(buf: np.ndarray, start: np.ndarray, depth: int = LENGTH) -> tu
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, starts, ends): byte ranges to remove, found by sorting the suffixes of each bucket's segments."""
     for rows in _runs_of(batches, "bucket"):
-        size = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["size"]]).astype(np.int64)
-        buf = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
+        sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in rows["size"]]
+        size = np.concatenate(sizes)
+        buf = np.frombuffer(b"".join(pa.decompress(x, int(n.sum()), _PACKED, asbytes=True) for x, n in zip(rows["bytes"], sizes, strict=True)), np.uint8)
         times = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["times"]]).astype(np.int64)
         ids = np.frombuffer(b"".join(rows["ids"]), np.int64)
         starts = np.frombuffer(b"".join(rows["starts"]), np.uint32).astype(np.int64)

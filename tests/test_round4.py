@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from framespark.llm import suffix_dedup
 from framespark.operators import storage, structure
 
 
@@ -50,3 +54,17 @@ def test_flip_flop_classes_walk_a_design_in_one_task(spark):
     want = sorted(map(tuple, structure._fed_by_joins(timed, p, e).collect()))
     got = out.collect()
     assert len(want) > 10 and sorted((r.design, r.master, r.slave) for r in got if r.structure == "master_slave_dff") == want and len(got) == 2 * len(want)
+
+
+def test_few_anchors_of_prose_repeat_by_chance_and_their_hashes_are_short():
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(30)])
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(300)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    doc, _, _, h = suffix_dedup.anchors(data, np.cumsum([0, *map(len, texts)]))
+    _, at = np.unique(h, return_inverse=True)
+    once = np.unique(np.stack((at, doc), 1), axis=0)[:, 0]
+    assert (np.bincount(once)[at] > 1).mean() < 0.2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["id", "text"])
+    packs = [r for b in suffix_dedup._grams(8)([batch]) for r in b.to_pylist()]
+    assert sum(len(r["hashes"]) for r in packs) * 2 == sum(len(r["ids"]) for r in packs)
