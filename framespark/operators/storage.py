@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -293,20 +293,21 @@ def expression_of(value: list[int | None], inputs: list[str]) -> str | None:
     return min(direct, inverse, key=lambda t: (sum(t.count(c) for c in "&|"), len(t)))
 
 
-def _evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Truth table of one output from the transistors of its cone; all assignments of the inputs at once."""
-    inputs, out = list(pdf["inputs"].iloc[0]), pdf["output"].iloc[0]
-    ends = [pdf[c].to_numpy() for c in ("gate", "source", "drain")]
+@lru_cache(maxsize=256)
+def _evaluate(inputs: tuple[str, ...], out: str, transistors: tuple[tuple, ...]) -> tuple[list[int | None], str | None]:
+    """Truth table and expression of one output from the transistors (kind, gate, source, drain) of its cone; all assignments of the inputs at once."""
+    kind, *ends = (np.array(x, dtype=object) for x in zip(*transistors, strict=True))
     nets, at = np.unique(np.concatenate([*ends, np.array([out, *inputs], dtype=object)]), return_inverse=True)
-    gate, a, b = np.split(at[: 3 * len(pdf)], 3)
-    out_at, in_at = at[3 * len(pdf)], at[3 * len(pdf) + 1 :]
+    n = len(transistors)
+    gate, a, b = np.split(at[: 3 * n], 3)
+    out_at, in_at = at[3 * n], at[3 * n + 1 :]
     m = 1 << len(inputs)
     level = np.full((len(nets), m), -1, np.int8)
     power, ground = (np.array([bool(re.match(p, n)) for n in nets]) for p in (POWER, GROUND))
     level[power], level[ground] = 1, 0
     for j, i in enumerate(in_at):
         level[i] = (np.arange(m) >> (len(inputs) - 1 - j)) & 1
-    opens = (pdf["kind"].to_numpy() == "nmos").astype(np.int8)[:, None]
+    opens = (kind == "nmos").astype(np.int8)[:, None]
     while True:
         on = level[gate] == opens
         one, zero = (_spread(level == v, a, b, on) for v in (1, 0))
@@ -319,7 +320,14 @@ def _evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
         up, down = (_spread(np.repeat(s[:, None], m, axis=1), a, b, open_)[out_at] for s in (power, ground))
         value = np.where((value < 0) & (up != down), up.astype(np.int8), value)
     value = [None if v < 0 else int(v) for v in value]
-    return pd.DataFrame({"design": [pdf["design"].iloc[0]], "output": [out], "inputs": [inputs], "value": [value], "expression": [expression_of(value, inputs)]})
+    return value, expression_of(value, list(inputs))
+
+
+def _table_of(inputs: list, start: list, kind: list, gate: list, source: list, drain: list) -> tuple[list, list, list]:
+    """Inputs, values and expression of one output from the rows of its cone; cones alike in all but their design are evaluated once."""
+    names = tuple(inputs[0])
+    value, text = _evaluate(names, start[0], tuple(sorted(zip(kind, gate, source, drain, strict=True))))
+    return [list(names)], [value], [text]
 
 
 def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -329,7 +337,7 @@ def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame)
     An output without a level takes the supply that it alone reaches over open channels, then over those that may be
     open, else null. sop, depends_on and expression, a short form of the function, are null if a value is. Tables double with
     each input: an output of a design of more than MAX_INPUTS has null tables and the reason too_many_inputs; reason is null otherwise.
-    Each output is evaluated in a task of its own from the transistors of its cone. Its tables are as long as the designs are many, however
+    Each output is evaluated in one task from the transistors of its cone, and a task keeps the last tables, so cones alike in all but their design cost little. Tables are as long as the designs are many, however
     small their files, so none is broadcast through the driver.
     """
     every = inputs.groupBy("design").agg(F.array_sort(F.collect_set("net")).alias("inputs"))
@@ -339,9 +347,8 @@ def truth_tables(transistors: DataFrame, inputs: DataFrame, outputs: DataFrame)
     cone = logic_cone(t, want)
     cone = cone.select("design", "start", "node").union(want.select("design", "start", "start")).distinct()
     near = t.select("*", F.explode(F.array_distinct(F.array("source", "drain"))).alias("node")).join(cone.hint("merge"), ["design", "node"]).drop("node").distinct()
-    near = near.join(names.hint("merge"), "design").withColumnRenamed("start", "output")
-    typ = transistors.schema["design"].dataType.simpleString()
-    v = near.groupBy("design", "output").applyInPandas(_evaluate, f"design {typ}, output string, inputs array<string>, value array<int>, expression string")
+    near = near.join(names.hint("merge"), "design").withColumn("output", F.col("start"))
+    v = by_group(near.select("design", "output", "inputs", "start", "kind", "gate", "source", "drain"), ["design", "output"], _table_of, "inputs array<string>, value array<int>, expression string")
     literal = "array_join(transform(inputs, (v, j) -> if(shiftright(i, size(inputs) - 1 - j) & 1 = 1, v, '!' || v)), ' & ')"
     sop = f"""case when exists(value, x -> x is null) then null when not exists(value, x -> x = 1) then '0' when not exists(value, x -> x = 0) then '1'
         else array_join(transform(filter(sequence(0, size(value) - 1), i -> value[i] = 1), i -> {literal}), ' | ') end"""

@@ -68,3 +68,12 @@ def test_few_anchors_of_prose_repeat_by_chance_and_their_hashes_are_short():
     batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["id", "text"])
     packs = [r for b in suffix_dedup._grams(8)([batch]) for r in b.to_pylist()]
     assert sum(len(r["hashes"]) for r in packs) * 2 == sum(len(r["ids"]) for r in packs)
+
+
+def test_truth_tables_of_like_cones_are_evaluated_once():
+    storage._evaluate.cache_clear()
+    rows = [("pmos", "A", "VDD", "Y"), ("nmos", "A", "GND", "Y")]
+    for way in (rows, rows[::-1], rows):
+        kind, gate, source, drain = map(list, zip(*way, strict=True))
+        assert storage._table_of([["A"]] * 2, ["Y"] * 2, kind, gate, source, drain) == ([["A"]], [[1, 0]], ["!A"])
+    assert storage._evaluate.cache_info().misses == 1
