@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +68,75 @@ def pack_bits(text: Column) -> Column:
 MIN_BAND = 8
 
 
+#: Distances that are taken at once.
+NEAR_BLOCK = 1 << 20
+
+
+def _bit_rows(col: pa.Array, packed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """bits as a matrix of characters or words, filled with 0, and the number of each row's, -1 for null."""
+    if packed:
+        lengths = pc.fill_null(pc.list_value_length(col), -1).to_numpy().astype(np.int64)
+        out = np.zeros((len(col), max(lengths.max(initial=1), 1)), np.uint64)
+        out[np.arange(out.shape[1]) < lengths[:, None]] = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    else:
+        lengths = pc.fill_null(pc.utf8_length(col), -1).to_numpy().astype(np.int64)
+        wide = max(int(lengths.max(initial=1)), 1)
+        out = np.array(col.fill_null("").to_pylist(), dtype=f"U{wide}").view(np.uint32).reshape(len(col), wide)
+    return out, lengths
+
+
+def _near_pairs(keys: list[str], packed: bool, length: int, distance: float, wide: float, similarity: float):
+    """Pairs (id, b, distance, similarity) of rows of a cell, and of its rows with visitors, which come after them; rows come sorted by keys and _visits."""
+
+    def compare(xs: tuple, ys: tuple, own: bool) -> Iterator[pa.RecordBatch]:
+        (ids, f, bits, sizes), (names, g, others, widths) = xs, ys
+        step, w = max(NEAR_BLOCK // max(len(g), 1), 1), min(bits.shape[1], others.shape[1])
+        for i in range(0, len(f), step):
+            sq = np.zeros((len(f[i : i + step]), len(g)))
+            for k in range(f.shape[1]):
+                apart = f[i : i + step, k, None] - g[None, :, k]
+                sq += apart * apart
+            hit = sq <= wide * wide * (1 + 1e-9)
+            if own:
+                hit &= np.arange(len(g)) > np.arange(i, i + len(sq))[:, None]
+            x, y = np.nonzero(hit)
+            d, x = np.sqrt(sq[x, y]), x + i
+            known = (sizes[x] == widths[y]) & (sizes[x] > 0)
+            if packed:
+                same = 1 - np.bitwise_count(bits[x, :w] ^ others[y, :w]).sum(axis=1) / length
+            else:
+                n = np.maximum(sizes[x], 1)
+                same = ((bits[x, :w] == others[y, :w]).sum(axis=1) - (w - n)) / n
+            near = np.flatnonzero((d <= distance) | ((d <= wide) & known & (same >= similarity)))
+            if len(near):
+                x, y, d = x[near], y[near], d[near]
+                out = pa.RecordBatch.from_arrays([ids.take(pa.array(x)), names.take(pa.array(y)), pa.array(d), pa.array(same[near], mask=~known[near])], names=["id", "b", "distance", "similarity"])
+                yield out.filter(pc.not_equal(out.column("id"), out.column("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        for b in batches:
+            cell = [b.column(c) for c in (*keys, "_visits")]
+            new = np.ones(b.num_rows, bool)
+            if b.num_rows:
+                new[1:] = np.any([pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False) for c in cell], axis=0)
+            at = np.flatnonzero(new).tolist()
+            for lo, hi in zip(at, [*at[1:], b.num_rows], strict=True):
+                *key, visits = (c[lo].as_py() for c in cell)
+                if key != now:
+                    now, own = key, []
+                part = b.slice(lo, hi - lo)
+                f = part.column("features")
+                rows = (part.column("id"), f.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1), *_bit_rows(part.column("bits"), packed))
+                for ys in own:
+                    yield from compare(rows, ys, False)
+                if not visits:
+                    yield from compare(rows, rows, True)
+                    own.append(rows)
+
+    return run
+
+
 def near_duplicates(df: DataFrame, max_distance: float, min_similarity: float = 0.9, length: int | None = None) -> DataFrame:
     """(a, b, distance, similarity) of rows df(id, features array<double>, bits, cluster) of one cluster that are near.
 
@@ -111,13 +181,15 @@ def near_duplicates(df: DataFrame, max_distance: float, min_similarity: float =
     if length < bands * MIN_BAND * (1 if packed else 0.25) and max_distance > 0:
         wide = 1.8 * max_distance
         cell = [F.floor(F.coalesce(F.get("features", F.lit(i)), F.lit(0.0)) / wide) for i in (0, 1)]
-        around = F.array(*[F.struct((cell[0] + i).alias("_c"), (cell[1] + j).alias("_e")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-        l = df.select("*", cell[0].alias("_x"), cell[1].alias("_y"), F.explode(around).alias("_at")).select("*", "_at.*")
-        r = df.select("cluster", cell[0].alias("_c"), cell[1].alias("_e"), F.col("id").alias("b"), F.col("features").alias("fb"), F.col("bits").alias("bb"))
-        own = (F.col("_x") == F.col("_c")) & (F.col("_y") == F.col("_e"))
-        near = l.join(r, ["cluster", "_c", "_e"]).where((own & (F.col("id") < F.col("b"))) | (~own & (F.col("id") != F.col("b")))).withColumn("distance", dist).where(F.col("distance") <= wide)
-        near = near.withColumn("similarity", same).where((F.col("distance") <= max_distance) | (F.col("similarity") >= min_similarity))
-        return pair(near).dropDuplicates(["a", "b"])
+        # a row stands in its own cell and visits half of those around it, where it meets their rows a batch at a time
+        places = F.array(*[F.struct((cell[0] + i).alias("_c"), (cell[1] + j).alias("_e"), F.lit(bool(i or j)).alias("_visits")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+        rows = df.where("cluster is not null and forall(features, x -> x is not null)").select("id", F.col("features").cast("array<double>").alias("features"), "bits", "cluster", F.size("features").alias("_n"), F.explode(places).alias("_at")).select("*", "_at.*").drop("_at")
+        keys = ["cluster", "_n", "_c", "_e"]
+        typ = df.schema["id"].dataType.simpleString()
+        near = rows.repartition(*keys).sortWithinPartitions(*keys, "_visits").mapInArrow(_near_pairs(keys, packed, length, max_distance, wide, min_similarity), f"id {typ}, b {typ}, distance double, similarity double")
+        # without repeated ids every pair is met once
+        again = not df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+        return pair(near).dropDuplicates(["a", "b"]) if again else pair(near)
     by_distance = scored(meet(df, max_distance, [])).where(F.col("distance") <= max_distance)
     banded = df.where("bits is not null").withColumn("_k", F.explode(keys))
     by_bits = scored(meet(banded, 1.8 * max_distance, ["_k"])).where((F.col("similarity") >= min_similarity) & (F.col("distance") <= 1.8 * max_distance))

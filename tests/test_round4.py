@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from framespark.llm import suffix_dedup
-from framespark.operators import storage, structure
+from framespark.operators import selection, storage, structure
 
 
 def _plan(df):
@@ -77,3 +77,22 @@ def test_truth_tables_of_like_cones_are_evaluated_once():
         kind, gate, source, drain = map(list, zip(*way, strict=True))
         assert storage._table_of([["A"]] * 2, ["Y"] * 2, kind, gate, source, drain) == ([["A"]], [[1, 0]], ["!A"])
     assert storage._evaluate.cache_info().misses == 1
+
+
+def test_near_duplicates_are_measured_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(selection, "NEAR_BLOCK", 64)
+    rng = np.random.default_rng(7)
+    x = rng.normal(scale=0.1, size=(90, 4)).round(4)
+    words = rng.integers(-(2**62), 2**62, (90, 1))
+    rows = [(i, x[i].tolist(), None if i % 10 == 0 else words[i].tolist(), i % 3 or None) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, bits array<long>, cluster int")
+    out = selection.near_duplicates(df, 0.1, 0.5, length=64)
+    assert "Join" not in _plan(out)
+    want = {}
+    for i in range(90):
+        for j in range(i + 1, 90):
+            d = float(np.sqrt(((x[i] - x[j]) ** 2).sum()))
+            same = None if i % 10 == 0 or j % 10 == 0 else 1 - int(np.bitwise_count((words[i] ^ words[j]).view(np.uint64))[0]) / 64
+            if i % 3 and i % 3 == j % 3 and (d <= 0.1 or (d <= 0.18 and (same or 0) >= 0.5)):
+                want[i, j] = (round(d, 9), same)
+    assert len(want) > 20 and {(r.a, r.b): (round(r.distance, 9), r.similarity) for r in out.collect()} == want
