@@ -96,3 +96,22 @@ def test_near_duplicates_are_measured_in_blocks(spark, monkeypatch):
             if i % 3 and i % 3 == j % 3 and (d <= 0.1 or (d <= 0.18 and (same or 0) >= 0.5)):
                 want[i, j] = (round(d, 9), same)
     assert len(want) > 20 and {(r.a, r.b): (round(r.distance, 9), r.similarity) for r in out.collect()} == want
+
+
+def test_dynamic_nodes_are_judged_in_one_grouping(spark):
+    edge = lambda src, dst, signal, level, design=1: (design, src, dst, [(signal, level)])
+    ways = lambda *e: [edge(*e), edge(e[1], e[0], *e[2:])]
+    rows = [
+        *ways("VDD", "n1", "CLK", 0), *ways("n1", "m1", "CLK", 1), *ways("n1", "m0", "CLK", 0), *ways("VDD", "n2", "CLK", 0), *ways("n2", "m3", "CLKB", 0), *ways("n2", "m2", "CLKB", 1), *ways("VDD", "n3", "EN", 0), *ways("n3", "m4", "EN", 1),
+        *ways("VDD", "n4", "CLKB", 1), *ways("VDD", "n4", "CLK", 1), *ways("n4", "m5", "CLK", 0), *ways("VDD", "n1", "CLK", 0, 2), *ways("n1", "m1", "CLKB", 0, 2),
+    ]
+    conduction = spark.createDataFrame(rows, "design long, src string, dst string, controls array<struct<signal:string,level:int>>")
+    clocks = spark.createDataFrame([(d, s) for d in (1, 2) for s in ("CLK", "CLKB")], "design long, signal string")
+    inverses = spark.createDataFrame([(1, "CLK", "CLKB")], "design long, signal string, inverse string")
+    nets = spark.createDataFrame([(d, n, n == "VDD") for d in (1, 2) for n in ("VDD", "n1")], "design long, net string, is_power boolean")
+    want = [(1, "n1", "CLK", 0, ["m1"]), (1, "n2", "CLK", 0, ["m2", "m3"]), (1, "n4", "CLK", 1, ["VDD", "m5"])]
+    for given in (None, nets):
+        out = structure.dynamic_nodes(conduction, given, clocks, inverses)
+        assert sorted(map(tuple, out.collect())) == want
+        assert "BroadcastHashJoin" not in _plan(out)
+    assert _plan(structure.dynamic_nodes(conduction, None, clocks, inverses)).count("Join") <= 3
